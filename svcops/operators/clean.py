@@ -248,3 +248,45 @@ CLEANERS = {
     "tickets": clean_tickets,
     "operations": clean_operations,
 }
+
+
+# --------------------------------------------------------------------- registered jobs
+
+def cl_c_medians(T) -> DataFrame:
+    """Segment medians used for CLV imputation, 2 decimals."""
+    df = CUSTOMER_STEPS[1][1](CUSTOMER_STEPS[0][1](T.raw("customers")))
+    return (segment_medians(df)
+            .select("segment", F.round("median_clv", 2).alias("median_clv"))
+            .orderBy("segment"))
+
+
+def cl_k_rates(T) -> DataFrame:
+    """Breach count, breach % and response % after cleaning."""
+    return T.k.agg(
+        F.sum("sla_breached").alias("breached_tickets"),
+        C.pct(F.avg("sla_breached")).alias("breach_rate_pct"),
+        C.pct(F.avg(F.col("csat_responded").cast("int"))).alias("response_rate_pct"))
+
+
+def _step_job(table: str, key: str):
+    def job(T) -> DataFrame:
+        return T.step(table, key)
+    job.__name__ = key
+    return job
+
+
+def _clean_job(table: str):
+    def job(T) -> DataFrame:
+        return T.clean(table)
+    job.__name__ = f"clean_{table}"
+    return job
+
+
+QUERIES = {}
+for _table, _steps in (("transactions", TRANSACTION_STEPS), ("customers", CUSTOMER_STEPS),
+                       ("tickets", TICKET_STEPS), ("operations", OPERATION_STEPS)):
+    for _key, _ in _steps:
+        QUERIES[_key] = _step_job(_table, _key)
+    QUERIES[f"clean_{_table}"] = _clean_job(_table)
+QUERIES["cl_c_medians"] = cl_c_medians
+QUERIES["cl_k_rates"] = cl_k_rates

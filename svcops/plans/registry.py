@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from svcops.plans import oracle_sql as O
+from svcops.plans import oracle_clean
+from svcops.plans import oracle_sql as oracle_sqlset
 from svcops.plans.oracle_prelude import oracle
 from svcops.sources.catalog import Tables
 
@@ -14,16 +15,16 @@ JobFn = Callable[[Tables], DataFrame]
 
 
 def _jobs() -> dict[str, JobFn]:
-    from svcops.operators import service_queries
+    from svcops.operators import clean, quality, service_queries
     jobs: dict[str, JobFn] = {}
-    for module in (service_queries,):
+    for module in (clean, quality, service_queries):
         jobs.update(module.QUERIES)
     return jobs
 
 
 def _oracles() -> dict[str, str]:
     texts: dict[str, str] = {}
-    for module in (O,):
+    for module in (oracle_clean, oracle_sqlset):
         texts.update(module.SQL)
     return texts
 
