@@ -65,6 +65,11 @@ class Tables:
         """The raw table after the cleaning steps up to and including ``upto``."""
         return CL.CLEANERS[name](self.raw(name), upto=upto)
 
+    def derived(self, name: str, build) -> DataFrame:
+        """A DataFrame several reports reuse (e.g. the risk profile), staged
+        like the clean tables."""
+        return self._stage(name, build)
+
     # short names used throughout the jobs
     @property
     def t(self) -> DataFrame:
