@@ -25,7 +25,8 @@ from svcops.functions import columns as C
 from svcops.functions import constants as K
 from svcops.sources.catalog import Tables
 
-_ALL = Window.partitionBy()
+def _all() -> Window:
+    return Window.partitionBy()
 
 
 def _known(t: DataFrame) -> DataFrame:
@@ -135,7 +136,7 @@ def q2_3_country_revenue(T: Tables) -> DataFrame:
     return (g.select(
         "country", "unique_customers", "total_orders",
         F.round("_rev", 2).alias("total_revenue"),
-        C.pct(F.col("_rev") / F.sum("_rev").over(_ALL)).alias("revenue_share_pct"))
+        C.pct(F.col("_rev") / F.sum("_rev").over(_all())).alias("revenue_share_pct"))
         .orderBy(F.desc("total_revenue"), "country")
         .limit(10))
 
@@ -149,7 +150,7 @@ def q2_4_channel_clv(T: Tables) -> DataFrame:
         "acquisition_channel", "customers_acquired",
         F.round("_avg", 2).alias("avg_clv"),
         F.col("_sum").cast("double").alias("total_clv"),
-        C.pct(F.col("_avg") / F.sum("_avg").over(_ALL)).alias("clv_index"))
+        C.pct(F.col("_avg") / F.sum("_avg").over(_all())).alias("clv_index"))
         .orderBy(F.desc("avg_clv"), "acquisition_channel"))
 
 
@@ -181,7 +182,7 @@ def q3_1_clv_risk_segment(T: Tables) -> DataFrame:
         F.countDistinct("customer_id").alias("customers_at_risk"),
         F.sum(C.money("clv")).alias("_sum"),
         F.avg("clv").alias("_avg"))
-    total = F.sum(F.col("_sum").cast("double")).over(_ALL)
+    total = F.sum(F.col("_sum").cast("double")).over(_all())
     return (g.select(
         "segment", "customers_at_risk",
         F.col("_sum").cast("double").alias("clv_at_risk"),
@@ -264,7 +265,7 @@ def q4_1_country_index(T: Tables) -> DataFrame:
         .where(F.col("order_count") > 50))
     return (g.select(
         "country", F.round("_avg", 2).alias("avg_order_value"),
-        C.pct(F.col("_avg") / F.avg("_avg").over(_ALL)).alias("index_vs_avg"),
+        C.pct(F.col("_avg") / F.avg("_avg").over(_all())).alias("index_vs_avg"),
         "order_count")
         .orderBy(F.desc("avg_order_value"), "country"))
 
