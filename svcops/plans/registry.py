@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from svcops.plans import oracle_clean, oracle_explore, oracle_reports
+from svcops.plans import oracle_clean, oracle_explore, oracle_misc, oracle_reports
 from svcops.plans import oracle_sql as oracle_sqlset
 from svcops.plans.oracle_prelude import oracle
 from svcops.sources.catalog import Tables
@@ -15,18 +15,19 @@ JobFn = Callable[[Tables], DataFrame]
 
 
 def _jobs() -> dict[str, JobFn]:
-    from svcops.operators import (clean, experience, exploratory, implications, market,
-                                  quality, service_queries)
+    from svcops.operators import (clean, dashboard, experience, exploratory, implications,
+                                  market, profiling, quality, service_queries)
+    from svcops.sources import io
     jobs: dict[str, JobFn] = {}
-    for module in (clean, quality, service_queries, experience, implications,
-                   exploratory, market):
+    for module in (io, profiling, clean, quality, service_queries, experience, implications,
+                   exploratory, market, dashboard):
         jobs.update(module.QUERIES)
     return jobs
 
 
 def _oracles() -> dict[str, str]:
     texts: dict[str, str] = {}
-    for module in (oracle_clean, oracle_sqlset, oracle_reports, oracle_explore):
+    for module in (oracle_clean, oracle_sqlset, oracle_reports, oracle_explore, oracle_misc):
         texts.update(module.SQL)
     return texts
 
