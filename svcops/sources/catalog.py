@@ -30,10 +30,18 @@ CLEAN_TABLES = ("transactions", "customers", "tickets", "operations")
 class Tables:
     """Accessor for ``<name>_raw`` and clean ``<name>`` DataFrames."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, staged: bool = True):
+    def __init__(self, spark: SparkSession, sf_dir: str, staged: bool = True,
+                 raw_frames: dict[str, DataFrame] | None = None):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self.staged = staged
+        self.staged = staged and not raw_frames
+        self.raw_frames = dict(raw_frames or {})
+
+    @classmethod
+    def from_frames(cls, spark: SparkSession, **raw: DataFrame) -> "Tables":
+        """Tables over given raw DataFrames (``transactions=...``, ...), unstaged;
+        used for small hand-made edge-case inputs."""
+        return cls(spark, "<frames>", staged=False, raw_frames=raw)
 
     # ------------------------------------------------------------------ staging
     def _stage(self, name: str, build) -> DataFrame:
@@ -54,6 +62,8 @@ class Tables:
 
     def raw(self, name: str) -> DataFrame:
         """``transactions``/``customers``/``tickets``/``operations`` raw table."""
+        if name in self.raw_frames:
+            return self.raw_frames[name]
         builder = FX.RAW_BUILDERS[f"{name}_raw"]
         return self._stage(f"{name}_raw", lambda: builder(self.spark, self.sf_dir))
 
