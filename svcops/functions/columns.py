@@ -106,3 +106,16 @@ def money(col: Column | str) -> Column:
     """Exact money arithmetic: sums of DECIMAL(18,2) hash equal across engines."""
     c = F.col(col) if isinstance(col, str) else col
     return c.cast("decimal(18,2)")
+
+
+def in_years(ts: Column | str, years) -> Column:
+    """``year(ts) IN years`` written as half-open date ranges, so Parquet
+    row-group statistics can skip data (a function of the column cannot be
+    pushed down)."""
+    t = F.col(ts) if isinstance(ts, str) else ts
+    cond = None
+    for y in sorted(set(int(v) for v in years)):
+        r = (t >= F.lit(f"{y}-01-01").cast("timestamp_ntz")) & (
+            t < F.lit(f"{y + 1}-01-01").cast("timestamp_ntz"))
+        cond = r if cond is None else (cond | r)
+    return cond if cond is not None else F.lit(False)

@@ -45,7 +45,7 @@ def eda_revenue_summary(T: Tables) -> DataFrame:
 
 
 def _monthly(T: Tables, years=K.YEARS) -> DataFrame:
-    return (T.t.where(F.year("invoice_date").isin(*years))
+    return (T.t_years(years)
             .groupBy(C.month_text("invoice_date").alias("month_str"))
             .agg(F.sum("revenue").alias("_rev")))
 

@@ -21,10 +21,6 @@ def _rate20():
     return F.lit("0.20").cast("decimal(3,2)")
 
 
-def _years(t: DataFrame, years=K.YEARS) -> DataFrame:
-    return t.where(F.year("invoice_date").isin(*years))
-
-
 def _portfolio_clv(T: Tables) -> DataFrame:
     return T.c.agg(F.sum(C.money("clv")).alias("total_clv"))
 
@@ -71,7 +67,7 @@ def bi_churn_scenarios(T: Tables) -> DataFrame:
 
 
 def _quarterly(T: Tables) -> DataFrame:
-    return (_years(T.t).groupBy(F.year("invoice_date").alias("year"),
+    return (T.t_years(K.YEARS).groupBy(F.year("invoice_date").alias("year"),
                                 F.quarter("invoice_date").alias("quarter"))
             .agg(F.sum("revenue").alias("_rev")))
 
@@ -83,7 +79,7 @@ def bi_quarterly_revenue(T: Tables) -> DataFrame:
 
 def _q4(T: Tables) -> DataFrame:
     is_q4 = F.month("invoice_date").isin(*K.Q4_MONTHS)
-    return _years(T.t).agg(F.sum(F.when(is_q4, F.col("revenue"))).alias("q4"),
+    return T.t_years(K.YEARS).agg(F.sum(F.when(is_q4, F.col("revenue"))).alias("q4"),
                            F.sum("revenue").alias("annual"))
 
 

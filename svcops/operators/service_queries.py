@@ -155,7 +155,7 @@ def q2_4_channel_clv(T: Tables) -> DataFrame:
 
 
 def q2_5_mom_growth(T: Tables, years=K.YEARS) -> DataFrame:
-    g = (T.t.where(F.year("invoice_date").isin(*years))
+    g = (T.t_years(years)
          .groupBy(C.month_text("invoice_date").alias("month"))
          .agg(F.sum("revenue").alias("_rev")))
     prev = F.lag("_rev").over(Window.orderBy("month"))
@@ -235,7 +235,7 @@ def q3_3_churn_cost(T: Tables) -> DataFrame:
 
 
 def q3_4_quarter_share(T: Tables, years=K.YEARS) -> DataFrame:
-    g = (T.t.where(F.year("invoice_date").isin(*years))
+    g = (T.t_years(years)
          .groupBy(F.year("invoice_date").alias("year"),
                   F.quarter("invoice_date").alias("quarter"))
          .agg(F.sum("revenue").alias("_rev")))

@@ -17,6 +17,9 @@ import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from svcops.functions import columns as C
 from svcops.operators import clean as CL
 from svcops.session import scratch_path
 from svcops.sources import fixtures as FX
@@ -25,6 +28,7 @@ _LOCK = threading.RLock()
 _STAGED: dict[tuple[str, str, str], str] = {}
 
 CLEAN_TABLES = ("transactions", "customers", "tickets", "operations")
+YEAR_PARTITION = "invoice_year"
 
 
 class Tables:
@@ -44,17 +48,20 @@ class Tables:
         return cls(spark, "<frames>", staged=False, raw_frames=raw)
 
     # ------------------------------------------------------------------ staging
-    def _stage(self, name: str, build) -> DataFrame:
-        if not self.staged:
-            return build()
+    def _stage_path(self, name: str, build, partition_by: tuple[str, ...] = ()) -> str:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         with _LOCK:
             path = _STAGED.get(key)
             if path is None:
                 path = scratch_path(self.spark, f"stage-{name}")
-                build().write.mode("overwrite").parquet(path)
+                build().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
                 _STAGED[key] = path
-        return self.spark.read.parquet(path)
+        return path
+
+    def _stage(self, name: str, build) -> DataFrame:
+        if not self.staged:
+            return build()
+        return self.spark.read.parquet(self._stage_path(name, build))
 
     # ------------------------------------------------------------------ tables
     def driver(self, name: str) -> DataFrame:
@@ -69,8 +76,27 @@ class Tables:
 
     def clean(self, name: str) -> DataFrame:
         cleaner = CL.CLEANERS[name]
+        if name == "transactions" and self.staged:
+            return self._transactions_staged().drop(YEAR_PARTITION)
         return self._stage(name, lambda: cleaner(self.raw(name)))
 
+    def _transactions_staged(self) -> DataFrame:
+        """Clean transactions, staged partitioned by invoice year."""
+        def build():
+            t = CL.clean_transactions(self.raw("transactions"))
+            return t.withColumn(YEAR_PARTITION, F.year("invoice_date"))
+        return self.spark.read.parquet(
+            self._stage_path("transactions", build, (YEAR_PARTITION,)))
+
+    def t_years(self, years) -> DataFrame:
+        """Clean transactions of the given invoice years: partition pruning on
+        the staged table, plus a pushable date-range filter."""
+        cond = C.in_years("invoice_date", years)
+        if self.staged:
+            return (self._transactions_staged()
+                    .where(F.col(YEAR_PARTITION).isin(*years) & cond).drop(YEAR_PARTITION))
+        return self.t.where(cond)
+
     def step(self, name: str, upto: str) -> DataFrame:
         """The raw table after the cleaning steps up to and including ``upto``."""
         return CL.CLEANERS[name](self.raw(name), upto=upto)
