@@ -59,13 +59,25 @@ def cx_res_band(T: Tables) -> DataFrame:
     return T.k.select("ticket_id", "resolution_days", C.res_band("resolution_days").alias("res_band"))
 
 
+def tickets_per_customer(T: Tables) -> DataFrame:
+    """Ticket sums per customer: the join grain for segment-level ticket
+    statistics (a customer-unique join, so no hot join key)."""
+    return T.k.groupBy("customer_id").agg(
+        F.count("ticket_id").alias("_n"),
+        F.sum("sla_breached").alias("_b"),
+        F.sum("csat_score").alias("_cs"), F.count("csat_score").alias("_cn"),
+        F.sum("resolution_days").alias("_ds"), F.count("resolution_days").alias("_dn"))
+
+
 def _segment_burden(T: Tables) -> DataFrame:
-    return (ticket_customer(T).where(F.col("segment").isNotNull())
-            .groupBy("segment").agg(
-                F.count("ticket_id").alias("ticket_count"),
-                F.round(F.avg("sla_breached"), 2).alias("sla_breach_rate"),
-                F.round(F.avg("csat_score"), 2).alias("avg_csat"),
-                F.round(F.avg("resolution_days"), 2).alias("avg_resolution")))
+    per = tickets_per_customer(T).join(T.c.select("customer_id", "segment"), "customer_id")
+    g = (per.where(F.col("segment").isNotNull()).groupBy("segment")
+         .agg(*[F.sum(c).alias(c) for c in ("_n", "_b", "_cs", "_cn", "_ds", "_dn")]))
+    return g.select(
+        "segment", F.col("_n").alias("ticket_count"),
+        F.round(F.col("_b") / F.col("_n"), 2).alias("sla_breach_rate"),
+        F.round(C.ratio(F.col("_cs"), F.col("_cn")), 2).alias("avg_csat"),
+        F.round(C.ratio(F.col("_ds"), F.col("_dn")), 2).alias("avg_resolution"))
 
 
 def cx_segment_burden(T: Tables) -> DataFrame:

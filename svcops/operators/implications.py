@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from svcops.functions import columns as C
 from svcops.functions import constants as K
-from svcops.operators.experience import at_risk, ticket_customer
+from svcops.operators.experience import at_risk, tickets_per_customer
 from svcops.sources.catalog import Tables
 
 def _rate20():
@@ -42,13 +42,17 @@ def bi_portfolio(T: Tables) -> DataFrame:
 
 
 def bi_sla_cost(T: Tables) -> DataFrame:
-    breached = F.col("sla_breached") == 1
-    a = ticket_customer(T).agg(
-        C.pct(F.avg("sla_breached")).alias("breach_rate_pct"),
-        F.count(F.lit(1)).alias("total_tickets"),
-        F.sum("sla_breached").alias("breached_tickets"),
-        F.round(F.avg(F.when(breached, F.col("clv"))), 2).alias("avg_clv_per_breach"),
-        F.sum(F.when(breached, C.money("clv"))).cast("double").alias("total_clv_touched"))
+    """CLV touched by breaches, counted once per breached ticket: tickets are
+    summed per customer first, then weighted by the customer's CLV."""
+    per = tickets_per_customer(T).join(T.c.select("customer_id", "clv"), "customer_id", "left")
+    has_clv = F.col("clv").isNotNull()
+    a = per.agg(
+        C.pct(F.sum("_b") / F.sum("_n")).alias("breach_rate_pct"),
+        F.sum("_n").alias("total_tickets"),
+        F.sum("_b").alias("breached_tickets"),
+        F.round(F.sum(F.col("clv") * F.col("_b")) / F.sum(F.when(has_clv, F.col("_b"))), 2)
+         .alias("avg_clv_per_breach"),
+        F.sum(C.money("clv") * F.col("_b")).cast("double").alias("total_clv_touched"))
     return a.withColumn("monthly_breaches",
                         F.expr(f"breached_tickets div {K.MONTHS_IN_DATA}"))
 

@@ -31,6 +31,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     conf.update(extra or {})
     if "spark.checkpoint.dir" not in conf:
         conf.setdefault("spark.checkpoint.dir", tempfile.mkdtemp(prefix="svcops-ckpt-"))
+    conf.setdefault("spark.sql.warehouse.dir", f"{conf['spark.checkpoint.dir']}/warehouse")
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

@@ -17,7 +17,11 @@ MONDAY_OFFSET = "4 days"
 
 
 def weekly_breach_agg(tickets: DataFrame, ts_col: str = "ticket_date") -> DataFrame:
-    ts = F.col(ts_col).cast("timestamp")
+    """Batch input: a DATE column is windowed as ``timestamp_ntz`` (no session
+    time-zone shift of the week boundaries); a stream passes its event-time
+    timestamp column."""
+    col = F.col(ts_col)
+    ts = col.cast("timestamp_ntz") if ts_col == "ticket_date" else col
     g = (tickets.groupBy(F.window(ts, WEEK, WEEK, MONDAY_OFFSET).alias("w"), "location_id")
          .agg(F.count("ticket_id").alias("tickets"),
               F.sum("sla_breached").alias("breaches")))
@@ -33,3 +37,16 @@ def weekly_breach_stream(spark: SparkSession, tickets_path: str, schema,
               .withColumn("ticket_ts", F.col("ticket_date").cast("timestamp"))
               .withWatermark("ticket_ts", watermark))
     return weekly_breach_agg(stream, "ticket_ts")
+
+
+def start_weekly_breach_stream(spark: SparkSession, tickets_path: str, schema, table: str,
+                               watermark: str = "14 days"):
+    """Start the stream into a Parquet folder under the shared work folder,
+    with its checkpoint there too, so a restarted query (or a lost executor)
+    resumes exactly-once from the last committed batch."""
+    from svcops.session import scratch_path
+    base = scratch_path(spark, f"stream-{table}")
+    return (weekly_breach_stream(spark, tickets_path, schema, watermark)
+            .writeStream.outputMode("append").format("parquet")
+            .option("path", f"{base}/data").option("checkpointLocation", f"{base}/checkpoint")
+            .start())
