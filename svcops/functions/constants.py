@@ -107,6 +107,17 @@ LOCATION_BREACH_WARNING_ABOVE = 0.80
 LOCATION_CSAT_DANGER_BELOW = 2.5
 LOCATION_CSAT_WARNING_BELOW = 3.0
 
+# expectation, German %, EU % (consumer survey benchmarks set against the data)
+EXPECTATIONS = (
+    ("Expect response within 24 hours", 71, 64),
+    ("Would switch after 1 bad experience", 38, 32),
+    ("Would switch after 2 bad experiences", 67, 59),
+    ("Rate resolution speed as top priority", 73, 68),
+    ("Check reviews before purchasing", 82, 74),
+    ("Share bad experience publicly", 44, 39),
+)
+RESPONSE_EXPECTATION_DAYS = 1.0
+
 # priority, action, timeline, owner
 ACTIONS = (
     (1, "Outreach to Critical Risk corporate accounts", "This week", "Account Management"),

@@ -92,6 +92,22 @@ def mk_resolution_worst(T: Tables) -> DataFrame:
         (F.min("gap_vs_industry") > 0).alias("all_above_industry"))
 
 
+def mk_expectations(T: Tables) -> DataFrame:
+    """German and EU consumer expectations, their difference, set against the
+    measured average resolution time (the 24-hour expectation is met only if
+    the average resolution is within one day)."""
+    rows = T.spark.createDataFrame(
+        [(e, g, u, i) for i, (e, g, u) in enumerate(K.EXPECTATIONS)],
+        "expectation string, german_pct int, eu_pct int, list_order int")
+    own = internal_metrics(T).select("avg_resolution_days")
+    return (F.broadcast(rows).crossJoin(own).select(
+        "expectation", "german_pct", "eu_pct",
+        (F.col("german_pct") - F.col("eu_pct")).alias("difference_pts"),
+        "avg_resolution_days",
+        (F.col("avg_resolution_days") <= K.RESPONSE_EXPECTATION_DAYS).alias("meets_24h_expectation"),
+        "list_order").orderBy("list_order").drop("list_order"))
+
+
 def mk_country_top6(T: Tables) -> DataFrame:
     top = (T.t.where(F.col("customer_id") != K.GUEST).groupBy("country")
            .agg(F.sum("revenue").alias("_rev"))
@@ -144,6 +160,7 @@ QUERIES = {
     "mk_csat_gap": mk_csat_gap,
     "mk_resolution_gap": mk_resolution_gap,
     "mk_resolution_worst": mk_resolution_worst,
+    "mk_expectations": mk_expectations,
     "mk_country_top6": mk_country_top6,
     "mk_geo_mix": mk_geo_mix,
     "mk_scorecard": mk_scorecard,

@@ -71,6 +71,10 @@ _SC_ROWS = " UNION ALL ".join(
     f"{str(lo).lower()} AS lower_is_better, {k} AS list_order"
     for k, (n, i, b, lo) in enumerate(K.SCORECARD_BENCHMARKS))
 
+_EXP_ROWS = " UNION ALL ".join(
+    f"SELECT '{e}' AS expectation, {g} AS german_pct, {u} AS eu_pct, {i} AS list_order"
+    for i, (e, g, u) in enumerate(K.EXPECTATIONS))
+
 SQL = {
     "eda_time_cols": """SELECT invoice, stock_code, invoice_date,
        CAST(year(invoice_date) AS INTEGER) AS year, CAST(month(invoice_date) AS INTEGER) AS month,
@@ -161,6 +165,11 @@ SELECT (SELECT issue_category FROM rgap ORDER BY gap_vs_industry DESC, list_orde
              / {K.BILLING_INDUSTRY_DAYS}, 1) AS billing_multiple,
        min(gap_vs_industry) > 0 AS all_above_industry
 FROM rgap""",
+    "mk_expectations": _INT + f"""
+, ex AS ({_EXP_ROWS})
+SELECT expectation, german_pct, eu_pct, german_pct - eu_pct AS difference_pts, avg_resolution_days,
+       avg_resolution_days <= {K.RESPONSE_EXPECTATION_DAYS} AS meets_24h_expectation
+FROM ex, m ORDER BY list_order""",
     "mk_country_top6": _top(6) + """
 SELECT country, round(rev, 2) AS revenue, round(rev / sum(rev) OVER () * 100, 1) AS share_pct
 FROM top ORDER BY revenue DESC""",
