@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from svcops.functions import columns as C
-from svcops.functions import constants as K
 from svcops.operators.experience import at_risk
 from svcops.sources.catalog import Tables
 

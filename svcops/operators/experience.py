@@ -49,10 +49,14 @@ def cx_ticket_customer(T: Tables) -> DataFrame:
 
 
 def cx_match_coverage(T: Tables) -> DataFrame:
-    return ticket_customer(T).agg(
-        F.count("segment").alias("matched_tickets"),
-        F.count(F.lit(1)).alias("total_tickets"),
-        C.pct(F.count("segment") / F.count(F.lit(1))).alias("coverage_pct"))
+    """Tickets whose customer has a segment, of all tickets (counted per
+    customer first, so the customer join is on unique keys)."""
+    per = T.k.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_n"))
+    j = per.join(T.c.select("customer_id", "segment"), "customer_id", "left")
+    matched = F.sum(F.when(F.col("segment").isNotNull(), F.col("_n")).otherwise(0))
+    return j.agg(matched.alias("matched_tickets"), F.sum("_n").alias("total_tickets")).select(
+        "matched_tickets", "total_tickets",
+        C.pct(F.col("matched_tickets") / F.col("total_tickets")).alias("coverage_pct"))
 
 
 def cx_res_band(T: Tables) -> DataFrame:

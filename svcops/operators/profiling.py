@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from svcops.functions import constants as K
 from svcops.operators.experience import risk_profile
 from svcops.sources.catalog import CLEAN_TABLES, Tables
 
