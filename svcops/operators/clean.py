@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from svcops.functions import columns as C
+from svcops.functions.frames import presented
 from svcops.functions import constants as K
 
 # --------------------------------------------------------------------- transactions
@@ -257,7 +258,7 @@ def cl_c_medians(T) -> DataFrame:
     df = CUSTOMER_STEPS[1][1](CUSTOMER_STEPS[0][1](T.raw("customers")))
     return (segment_medians(df)
             .select("segment", F.round("median_clv", 2).alias("median_clv"))
-            .orderBy("segment"))
+            .transform(presented, "segment"))
 
 
 def cl_k_rates(T) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from svcops.functions import columns as C
+from svcops.functions.frames import presented
 from svcops.operators.experience import at_risk
 from svcops.sources.catalog import Tables
 
@@ -43,7 +44,7 @@ def dash_csat_by_category(T: Tables, segment: str | None = None,
     return (k.where(F.col("issue_category").isNotNull()).groupBy("issue_category").agg(
         F.round(F.avg("csat_score"), 2).alias("avg_csat"),
         F.count("ticket_id").alias("ticket_count"))
-        .orderBy(F.asc_nulls_last("avg_csat"), "issue_category"))
+        .transform(presented, F.asc_nulls_last("avg_csat"), "issue_category"))
 
 
 def dash_segment_risk_share(T: Tables) -> DataFrame:
@@ -51,14 +52,14 @@ def dash_segment_risk_share(T: Tables) -> DataFrame:
          .agg(F.sum(C.money("clv")).cast("double").alias("clv_at_risk")))
     return (g.withColumn("share_pct",
                          C.pct(F.col("clv_at_risk") / F.sum("clv_at_risk").over(Window.partitionBy())))
-            .orderBy(F.desc("clv_at_risk"), "segment"))
+            .transform(presented, F.desc("clv_at_risk"), "segment"))
 
 
 def weekly_breach(T: Tables) -> DataFrame:
     """Weekly (Monday-start) breach rate per location: the batch form of
     :func:`svcops.streaming.weekly.weekly_breach_stream`."""
     from svcops.streaming.weekly import weekly_breach_agg
-    return weekly_breach_agg(T.k).orderBy("week_start", "location_id")
+    return weekly_breach_agg(T.k).transform(presented, "week_start", "location_id")
 
 
 QUERIES = {

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from svcops.functions import columns as C
+from svcops.functions.frames import presented
 from svcops.functions import constants as K
 from svcops.sources.catalog import Tables
 
@@ -85,7 +86,7 @@ def _segment_burden(T: Tables) -> DataFrame:
 
 
 def cx_segment_burden(T: Tables) -> DataFrame:
-    return _segment_burden(T).orderBy(F.desc("ticket_count"), "segment")
+    return _segment_burden(T).transform(presented, F.desc("ticket_count"), "segment")
 
 
 def _clv_at_risk(T: Tables) -> DataFrame:
@@ -101,7 +102,7 @@ def cx_segment_focus(T: Tables) -> DataFrame:
              .select("segment", "avg_resolution", "avg_csat",
                      (F.col("avg_csat") < K.NEUTRAL_CSAT).alias("csat_below_neutral")))
     risk = _clv_at_risk(T).select("segment", "customers_at_risk", "clv_at_risk")
-    return focus.join(F.broadcast(risk), "segment", "left").orderBy("segment")
+    return focus.join(F.broadcast(risk), "segment", "left").transform(presented, "segment")
 
 
 def _band_stats(T: Tables) -> DataFrame:
@@ -117,7 +118,7 @@ def cx_band_csat(T: Tables) -> DataFrame:
     return (spine.join(F.broadcast(_band_stats(T)), "res_band", "left")
             .select("res_band", "band_order", "avg_csat",
                     F.coalesce(F.col("ticket_count"), F.lit(0)).alias("ticket_count"))
-            .orderBy("band_order"))
+            .transform(presented, "band_order"))
 
 
 def cx_csat_drop(T: Tables) -> DataFrame:
@@ -141,11 +142,11 @@ def cx_risk_overview(T: Tables) -> DataFrame:
 
 def cx_risk_tiers(T: Tables) -> DataFrame:
     return (risk_profile(T).groupBy("risk_tier").agg(F.count(F.lit(1)).alias("customers"))
-            .orderBy(F.desc("customers"), "risk_tier"))
+            .transform(presented, F.desc("customers"), "risk_tier"))
 
 
 def cx_clv_at_risk(T: Tables) -> DataFrame:
-    return _clv_at_risk(T).orderBy("segment")
+    return _clv_at_risk(T).transform(presented, "segment")
 
 
 def cx_clv_share(T: Tables) -> DataFrame:
@@ -175,7 +176,7 @@ def cx_response_by_category(T: Tables) -> DataFrame:
     r = F.col("response_rate")
     cls = (F.when(r < K.RESPONSE_DANGER_BELOW, "danger")
            .when(r < K.RESPONSE_WARNING_BELOW, "warning").otherwise("primary"))
-    return g.withColumn("rate_class", cls).orderBy("response_rate", "issue_category")
+    return g.withColumn("rate_class", cls).transform(presented, "response_rate", "issue_category")
 
 
 QUERIES = {

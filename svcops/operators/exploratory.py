@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from svcops.functions import columns as C
+from svcops.functions.frames import presented
 from svcops.functions import constants as K
 from svcops.sources.catalog import Tables
 
@@ -52,7 +53,7 @@ def _monthly(T: Tables, years=K.YEARS) -> DataFrame:
 
 def eda_monthly_revenue(T: Tables) -> DataFrame:
     return (_monthly(T).select("month_str", F.round("_rev", 2).alias("revenue"))
-            .orderBy("month_str"))
+            .transform(presented, "month_str"))
 
 
 def eda_peak_premium(T: Tables) -> DataFrame:
@@ -72,7 +73,7 @@ def _top_countries(T: Tables, n: int) -> DataFrame:
 
 
 def eda_country_top8(T: Tables) -> DataFrame:
-    return _top_countries(T, 8).orderBy(F.desc("revenue"), "country")
+    return _top_countries(T, 8).transform(presented, F.desc("revenue"), "country")
 
 
 def eda_uk_share(T: Tables) -> DataFrame:
@@ -91,7 +92,7 @@ def _segments(T: Tables) -> DataFrame:
 
 
 def eda_segment_summary(T: Tables) -> DataFrame:
-    return _segments(T).orderBy("segment")
+    return _segments(T).transform(presented, "segment")
 
 
 def eda_segment_multiple(T: Tables) -> DataFrame:
@@ -112,7 +113,7 @@ def _categories(T: Tables) -> DataFrame:
 
 
 def eda_category_summary(T: Tables) -> DataFrame:
-    return _categories(T).orderBy(F.desc("ticket_count"), "issue_category")
+    return _categories(T).transform(presented, F.desc("ticket_count"), "issue_category")
 
 
 def eda_category_focus(T: Tables) -> DataFrame:
@@ -132,7 +133,7 @@ def eda_tickets_by_month(T: Tables) -> DataFrame:
         F.date_format(F.make_date(F.lit(2000), m, F.lit(1)), "MMM").alias("month_name"),
         F.when(m.isin(*K.PEAK_MONTHS), "Critical peak")
          .when(m == K.HIGH_VOLUME_MONTH, "High").otherwise("Normal").alias("volume_class"))
-        .orderBy("month"))
+        .transform(presented, "month"))
 
 
 def eda_ticket_peak(T: Tables) -> DataFrame:
@@ -152,7 +153,7 @@ def _locations(T: Tables) -> DataFrame:
 
 
 def eda_location_sla(T: Tables) -> DataFrame:
-    return _locations(T).orderBy(F.desc("sla_breach_rate"), "location_id")
+    return _locations(T).transform(presented, F.desc("sla_breach_rate"), "location_id")
 
 
 def eda_location_rag(T: Tables) -> DataFrame:
@@ -166,7 +167,7 @@ def eda_location_rag(T: Tables) -> DataFrame:
          .when(s < K.LOCATION_CSAT_WARNING_BELOW, "warning").otherwise("primary")
          .alias("csat_class"),
         (r > K.BREACH_TARGET_RATE).alias("above_target"))
-        .orderBy("location_id"))
+        .transform(presented, "location_id"))
 
 
 def eda_location_extremes(T: Tables) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from svcops.functions import columns as C
+from svcops.functions.frames import presented
 from svcops.functions import constants as K
 from svcops.operators.experience import at_risk, tickets_per_customer
 from svcops.sources.catalog import Tables
@@ -67,7 +68,7 @@ def bi_churn_scenarios(T: Tables) -> DataFrame:
         loss.cast("double").alias("clv_loss"),
         C.pct(loss.cast("double") / F.col("total_clv").cast("double")).alias("pct_of_portfolio"),
         F.round(loss.cast("double") / 12, 2).alias("monthly_loss"))
-        .orderBy("churn_rate"))
+        .transform(presented, "churn_rate"))
 
 
 def _quarterly(T: Tables) -> DataFrame:
@@ -78,7 +79,7 @@ def _quarterly(T: Tables) -> DataFrame:
 
 def bi_quarterly_revenue(T: Tables) -> DataFrame:
     return (_quarterly(T).select("year", "quarter", F.round("_rev", 2).alias("revenue"))
-            .orderBy("year", "quarter"))
+            .transform(presented, "year", "quarter"))
 
 
 def _q4(T: Tables) -> DataFrame:
@@ -106,7 +107,7 @@ def bi_q4_tickets(T: Tables) -> DataFrame:
 def bi_avg_quarter(T: Tables) -> DataFrame:
     return (_quarterly(T).groupBy("quarter")
             .agg(F.round(F.avg("_rev"), 2).alias("avg_quarter_revenue"))
-            .orderBy("quarter"))
+            .transform(presented, "quarter"))
 
 
 def bi_month_spine(T: Tables) -> DataFrame:
@@ -116,7 +117,7 @@ def bi_month_spine(T: Tables) -> DataFrame:
               .agg(F.count("ticket_id").alias("_n")))
     return (spine.join(F.broadcast(counts), "month", "left")
             .select("month", F.coalesce(F.col("_n"), F.lit(0)).alias("ticket_count"))
-            .orderBy("month"))
+            .transform(presented, "month"))
 
 
 def _segment_exposure(T: Tables) -> DataFrame:
@@ -134,7 +135,7 @@ def _segment_exposure(T: Tables) -> DataFrame:
 
 
 def bi_segment_exposure(T: Tables) -> DataFrame:
-    return _segment_exposure(T).orderBy("segment")
+    return _segment_exposure(T).transform(presented, "segment")
 
 
 def _corporate_case(T: Tables) -> DataFrame:
@@ -176,7 +177,7 @@ def bi_action_impact(T: Tables) -> DataFrame:
     return (F.broadcast(acts).crossJoin(figures).select(
         "priority", "action", "timeline", "owner", text.alias("financial_impact"),
         F.round(value, 2).alias("impact_gbp"))
-        .orderBy("priority"))
+        .transform(presented, "priority"))
 
 
 def bi_five_numbers(T: Tables) -> DataFrame:

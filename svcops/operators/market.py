@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from svcops.functions import columns as C
+from svcops.functions.frames import presented
 from svcops.functions import constants as K
 from svcops.sources.catalog import Tables
 
@@ -78,7 +79,7 @@ def _resolution_gap(T: Tables) -> DataFrame:
 
 
 def mk_resolution_gap(T: Tables) -> DataFrame:
-    return _resolution_gap(T).orderBy("list_order").drop("list_order")
+    return _resolution_gap(T).transform(presented, "list_order").drop("list_order")
 
 
 def mk_resolution_worst(T: Tables) -> DataFrame:
@@ -105,7 +106,7 @@ def mk_expectations(T: Tables) -> DataFrame:
         (F.col("german_pct") - F.col("eu_pct")).alias("difference_pts"),
         "avg_resolution_days",
         (F.col("avg_resolution_days") <= K.RESPONSE_EXPECTATION_DAYS).alias("meets_24h_expectation"),
-        "list_order").orderBy("list_order").drop("list_order"))
+        "list_order").transform(presented, "list_order").drop("list_order"))
 
 
 def mk_country_top6(T: Tables) -> DataFrame:
@@ -114,7 +115,7 @@ def mk_country_top6(T: Tables) -> DataFrame:
            .orderBy(F.desc("_rev"), "country").limit(6))
     return (top.select("country", F.round("_rev", 2).alias("revenue"),
                        C.pct(F.col("_rev") / F.sum("_rev").over(_all())).alias("share_pct"))
-            .orderBy(F.desc("revenue"), "country"))
+            .transform(presented, F.desc("revenue"), "country"))
 
 
 def mk_geo_mix(T: Tables) -> DataFrame:
@@ -130,7 +131,7 @@ def mk_geo_mix(T: Tables) -> DataFrame:
     return (F.broadcast(bench).join(own_long, "country_group", "left").select(
         "country_group", "own_pct", "benchmark_pct",
         F.round(F.col("own_pct") - F.col("benchmark_pct"), 1).alias("gap_pts"), "list_order")
-        .orderBy("list_order").drop("list_order"))
+        .transform(presented, "list_order").drop("list_order"))
 
 
 def mk_scorecard(T: Tables) -> DataFrame:
@@ -152,7 +153,7 @@ def mk_scorecard(T: Tables) -> DataFrame:
               .when(shortfall > 0, "AT RISK").otherwise("OK"))
     return (F.broadcast(rows).crossJoin(m).select(
         "metric", ours.alias("ours"), "industry_avg", "best_practice", status.alias("status"),
-        "list_order").orderBy("list_order").drop("list_order"))
+        "list_order").transform(presented, "list_order").drop("list_order"))
 
 
 QUERIES = {

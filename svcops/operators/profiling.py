@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from svcops.functions.frames import presented
 from svcops.operators.experience import risk_profile
 from svcops.sources.catalog import CLEAN_TABLES, Tables
 
@@ -100,7 +101,7 @@ def prof_describe(T: Tables) -> DataFrame:
                      F.round(stat("quantity", s), 2).alias("quantity"),
                      F.round(stat("price", s), 2).alias("price"))
             for i, s in enumerate(_STATS)]
-    return wide.select(F.inline(F.array(*rows))).orderBy("stat_order")
+    return wide.select(F.inline(F.array(*rows))).transform(presented, "stat_order")
 
 
 def prof_sign_counts(T: Tables) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from svcops.functions import constants as K
+from svcops.functions.frames import presented
 
 
 def _row(step: int, table: str, metric: str, before: Column, after: Column,
@@ -131,7 +132,7 @@ def dq_report(T) -> DataFrame:
         out = out.unionByName(p)
     return (out.withColumn("change", F.col("before") - F.col("after"))
                .select("step", "table", "metric", "before", "after", "change", "action_taken")
-               .orderBy("step"))
+               .transform(presented, "step"))
 
 
 def dq_rows_removed(T) -> DataFrame:

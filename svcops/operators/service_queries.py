@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from svcops.functions import columns as C
+from svcops.functions.frames import presented
 from svcops.functions import constants as K
 from svcops.sources.catalog import Tables
 
@@ -42,7 +43,7 @@ def q1_1_breach_by_location(T: Tables) -> DataFrame:
         C.pct(F.avg("sla_breached")).alias("breach_rate_pct"),
         F.round(F.avg("csat_score"), 2).alias("avg_csat"),
         F.round(F.avg("resolution_days"), 1).alias("avg_resolution_days"))
-        .orderBy(F.desc("breach_rate_pct"), "location_id"))
+        .transform(presented, F.desc("breach_rate_pct"), "location_id"))
 
 
 def q1_2_sla_trend(T: Tables) -> DataFrame:
@@ -50,7 +51,7 @@ def q1_2_sla_trend(T: Tables) -> DataFrame:
         "location_id", "quarter", "region",
         C.pct(F.col("sla_achievement_rate")).alias("sla_achievement_pct"),
         "sla_status", "staff_count", "inventory_level", "ticket_volume_handled")
-        .orderBy("location_id", "quarter"))
+        .transform(presented, "location_id", "quarter"))
 
 
 def q1_3_locations_below_70(T: Tables) -> DataFrame:
@@ -61,7 +62,7 @@ def q1_3_locations_below_70(T: Tables) -> DataFrame:
         F.sum(F.when(F.col("sla_status") == "Critical", 1).otherwise(0))
          .alias("critical_quarters"))
         .where(F.col("avg_sla_pct") < 70)
-        .orderBy("avg_sla_pct", "location_id"))
+        .transform(presented, "avg_sla_pct", "location_id"))
 
 
 def q1_4_monthly_tickets(T: Tables) -> DataFrame:
@@ -70,7 +71,7 @@ def q1_4_monthly_tickets(T: Tables) -> DataFrame:
         F.sum("sla_breached").alias("breached"),
         C.pct(F.avg("sla_breached")).alias("breach_rate_pct"),
         F.round(F.avg("csat_score"), 2).alias("avg_csat"))
-        .orderBy("month"))
+        .transform(presented, "month"))
 
 
 def q1_5_category_priority(T: Tables) -> DataFrame:
@@ -79,7 +80,7 @@ def q1_5_category_priority(T: Tables) -> DataFrame:
         F.round(F.avg("resolution_days"), 1).alias("avg_resolution_days"),
         C.pct(F.avg("sla_breached")).alias("breach_rate_pct"),
         F.round(F.avg("csat_score"), 2).alias("avg_csat"))
-        .orderBy("issue_category", C.priority_rank("priority"), "priority"))
+        .transform(presented, "issue_category", C.priority_rank("priority"), "priority"))
 
 
 # ------------------------------------------------------------------ phase 2
@@ -106,7 +107,7 @@ def q2_1_segment_revenue(T: Tables) -> DataFrame:
         F.round(F.col("_rev") / F.col("_lines"), 2).alias("avg_order_revenue"),
         F.round(C.ratio(F.col("_rev"), F.col("customer_count")), 2)
          .alias("revenue_per_customer"))
-        .orderBy(F.desc("total_revenue"), "segment"))
+        .transform(presented, F.desc("total_revenue"), "segment"))
 
 
 def q2_2_top20_customers(T: Tables) -> DataFrame:
@@ -155,7 +156,7 @@ def q2_4_channel_clv(T: Tables) -> DataFrame:
         F.round("_avg", 2).alias("avg_clv"),
         F.col("_sum").cast("double").alias("total_clv"),
         C.pct(F.col("_avg") / F.sum("_avg").over(_all())).alias("clv_index"))
-        .orderBy(F.desc("avg_clv"), "acquisition_channel"))
+        .transform(presented, F.desc("avg_clv"), "acquisition_channel"))
 
 
 def q2_5_mom_growth(T: Tables, years=K.YEARS) -> DataFrame:
@@ -166,7 +167,7 @@ def q2_5_mom_growth(T: Tables, years=K.YEARS) -> DataFrame:
     return (g.select(
         "month", F.round("_rev", 2).alias("monthly_revenue"),
         F.round(C.ratio(F.col("_rev") - prev, prev) * 100, 1).alias("mom_growth_pct"))
-        .orderBy("month"))
+        .transform(presented, "month"))
 
 
 # ------------------------------------------------------------------ phase 3
@@ -192,7 +193,7 @@ def q3_1_clv_risk_segment(T: Tables) -> DataFrame:
         F.col("_sum").cast("double").alias("clv_at_risk"),
         F.round("_avg", 2).alias("avg_clv_at_risk"),
         C.pct(F.col("_sum").cast("double") / total).alias("pct_of_total_risk"))
-        .orderBy(F.desc("clv_at_risk"), "segment"))
+        .transform(presented, F.desc("clv_at_risk"), "segment"))
 
 
 def q3_2_location_exposure(T: Tables) -> DataFrame:
@@ -217,7 +218,7 @@ def q3_2_location_exposure(T: Tables) -> DataFrame:
         F.round(C.ratio(F.col("_cs"), F.col("_cn")), 2).alias("avg_csat"),
         "unique_customers_affected",
         F.col("_clv").cast("double").alias("total_clv_exposed"))
-        .orderBy(F.desc("breach_rate_pct"), "location_id"))
+        .transform(presented, F.desc("breach_rate_pct"), "location_id"))
 
 
 def scenario_rows(T: Tables) -> DataFrame:
@@ -235,7 +236,7 @@ def q3_3_churn_cost(T: Tables) -> DataFrame:
                     F.round(F.col("clv_at_risk") * F.col("churn_rate"), 2)
                      .cast("double").alias("projected_clv_loss"),
                     "churn_rate")
-            .orderBy("churn_rate").drop("churn_rate"))
+            .transform(presented, "churn_rate").drop("churn_rate"))
 
 
 def q3_4_quarter_share(T: Tables, years=K.YEARS) -> DataFrame:
@@ -247,7 +248,7 @@ def q3_4_quarter_share(T: Tables, years=K.YEARS) -> DataFrame:
         "year", "quarter", F.round("_rev", 2).alias("quarterly_revenue"),
         C.pct(F.col("_rev") / F.sum("_rev").over(Window.partitionBy("year")))
          .alias("pct_of_annual_revenue"))
-        .orderBy("year", "quarter"))
+        .transform(presented, "year", "quarter"))
 
 
 def q3_5_abandonment(T: Tables) -> DataFrame:
@@ -257,7 +258,7 @@ def q3_5_abandonment(T: Tables) -> DataFrame:
         F.sum(ab).alias("abandoned_tickets"),
         C.pct(F.avg(ab)).alias("abandonment_rate_pct"))
         .where(F.col("abandonment_rate_pct") > 5)
-        .orderBy(F.desc("abandonment_rate_pct"), "location_id", "issue_category"))
+        .transform(presented, F.desc("abandonment_rate_pct"), "location_id", "issue_category"))
 
 
 # ------------------------------------------------------------------ phase 4
@@ -275,7 +276,7 @@ def q4_1_country_index(T: Tables) -> DataFrame:
         "country", F.round("_avg", 2).alias("avg_order_value"),
         C.pct(F.col("_avg") / F.avg("_avg").over(_all())).alias("index_vs_avg"),
         "order_count")
-        .orderBy(F.desc("avg_order_value"), "country"))
+        .transform(presented, F.desc("avg_order_value"), "country"))
 
 
 def q4_2_response_rate(T: Tables) -> DataFrame:
@@ -285,7 +286,7 @@ def q4_2_response_rate(T: Tables) -> DataFrame:
         F.sum(resp).alias("responses_received"),
         C.pct(F.avg(resp)).alias("response_rate_pct"),
         F.round(F.avg("csat_score"), 2).alias("avg_csat_where_responded"))
-        .orderBy("response_rate_pct", "issue_category"))
+        .transform(presented, "response_rate_pct", "issue_category"))
 
 
 def q4_3_repeat_bands(T: Tables) -> DataFrame:
@@ -296,7 +297,7 @@ def q4_3_repeat_bands(T: Tables) -> DataFrame:
         F.count("customer_id").alias("customers"),
         F.round(F.avg("total_revenue"), 2).alias("avg_revenue"),
         F.round(F.avg("order_count"), 1).alias("avg_orders"))
-        .orderBy("avg_orders", "order_frequency_band"))
+        .transform(presented, "avg_orders", "order_frequency_band"))
 
 
 QUERIES = {
