@@ -14,3 +14,10 @@ def presented(df: DataFrame, *order) -> DataFrame:
     left unordered) and not for top-k (``orderBy().limit()`` plans TakeOrdered).
     """
     return df.repartition(1).sortWithinPartitions(*order)
+
+
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach every column of a one-row aggregate to each row of ``df`` as an
+    uncorrelated scalar subquery: evaluated once (Spark merges subqueries over
+    the same input), no join and no pairing of rows."""
+    return df.select("*", *[one_row.select(c).scalar().alias(c) for c in one_row.columns])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from svcops.functions import columns as C
-from svcops.functions.frames import presented
+from svcops.functions.frames import presented, with_scalars
 from svcops.functions import constants as K
 
 # --------------------------------------------------------------------- transactions
@@ -210,8 +210,8 @@ def step_o_sla(df: DataFrame) -> DataFrame:
 
 def step_o_staff(df: DataFrame) -> DataFrame:
     """Missing staff count -> median over all rows, flagged ``staff_imputed``."""
-    med = F.broadcast(df.agg(F.median("staff_count").alias("_staff_median")))  # one row
-    return (df.crossJoin(med)
+    med = df.agg(F.median("staff_count").alias("_staff_median"))  # one row
+    return (with_scalars(df, med)
               .withColumn("staff_imputed", F.col("staff_count").isNull())
               .withColumn("staff_count", F.coalesce(F.col("staff_count"),
                                                     F.col("_staff_median")))

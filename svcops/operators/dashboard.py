@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from svcops.functions import columns as C
-from svcops.functions.frames import presented
+from svcops.functions.frames import presented, with_scalars
 from svcops.operators.experience import at_risk
 from svcops.sources.catalog import Tables
 
@@ -35,7 +35,7 @@ def dash_kpis(T: Tables, segment: str | None = None, location: str | None = None
     svc = k.agg(C.pct(F.avg("sla_breached")).alias("breach_rate_pct"),
                 F.round(F.avg("csat_score"), 2).alias("avg_csat"))
     clv = risk.agg(F.sum(C.money("clv")).cast("double").alias("clv_at_risk"))
-    return rev.crossJoin(svc).crossJoin(clv)
+    return with_scalars(with_scalars(rev, svc), clv)
 
 
 def dash_csat_by_category(T: Tables, segment: str | None = None,

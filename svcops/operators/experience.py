@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from svcops.functions import columns as C
-from svcops.functions.frames import presented
+from svcops.functions.frames import presented, with_scalars
 from svcops.functions import constants as K
 from svcops.sources.catalog import Tables
 
@@ -152,7 +152,7 @@ def cx_clv_at_risk(T: Tables) -> DataFrame:
 def cx_clv_share(T: Tables) -> DataFrame:
     risk = at_risk(T).agg(F.sum(C.money("clv")).alias("_risk"))
     port = T.c.agg(F.sum(C.money("clv")).alias("_port"))
-    return risk.crossJoin(port).select(
+    return with_scalars(risk, port).select(
         F.col("_risk").cast("double").alias("total_clv_at_risk"),
         F.col("_port").cast("double").alias("portfolio_clv"),
         C.pct(F.col("_risk").cast("double") / F.col("_port").cast("double")).alias("pct_at_risk"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from svcops.functions import columns as C
-from svcops.functions.frames import presented
+from svcops.functions.frames import presented, with_scalars
 from svcops.functions import constants as K
 from svcops.sources.catalog import Tables
 
@@ -40,7 +40,7 @@ def eda_revenue_summary(T: Tables) -> DataFrame:
         F.count_distinct(F.when(F.col("customer_id") != K.GUEST, F.col("customer_id")))
          .alias("total_customers"),
         C.pct(F.avg(F.col("is_guest").cast("int"))).alias("guest_pct"))
-    return orders.crossJoin(lines).select(
+    return with_scalars(orders, lines).select(
         F.round("_rev", 2).alias("total_revenue"), "total_orders",
         F.round("_aov", 2).alias("avg_order_value"), "total_customers", "guest_pct")
 

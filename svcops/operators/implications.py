@@ -1,8 +1,8 @@
 """Business-implication jobs: portfolio exposure, churn scenarios, Q4 risk,
 segment exposure and the ranked action list.
 
-Scalar KPIs are single-row aggregates combined with ``crossJoin`` (a
-broadcast nested-loop join of one-row sides); the scenario and action lists
+Scalar KPIs are single-row aggregates attached as uncorrelated scalar
+subqueries (evaluated once, no join); the scenario and action lists
 are fixed label rows joined to computed figures. Money is summed as
 DECIMAL(18,2), so totals are exact at any row count.
 """
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from svcops.functions import columns as C
-from svcops.functions.frames import presented
+from svcops.functions.frames import presented, with_scalars
 from svcops.functions import constants as K
 from svcops.operators.experience import at_risk, tickets_per_customer
 from svcops.sources.catalog import Tables
@@ -33,7 +33,7 @@ def _risk_clv(T: Tables) -> DataFrame:
 
 def bi_portfolio(T: Tables) -> DataFrame:
     rev = T.t.agg(F.round(F.sum("revenue"), 2).alias("total_revenue"))
-    return (_portfolio_clv(T).crossJoin(rev).crossJoin(_risk_clv(T)).select(
+    return (with_scalars(with_scalars(_portfolio_clv(T), rev), _risk_clv(T)).select(
         F.col("total_clv").cast("double").alias("total_clv"),
         "total_revenue",
         F.col("clv_at_risk").cast("double").alias("clv_at_risk"),
@@ -60,9 +60,9 @@ def bi_sla_cost(T: Tables) -> DataFrame:
 
 def bi_churn_scenarios(T: Tables) -> DataFrame:
     sc = T.spark.createDataFrame(list(K.CHURN_SCENARIOS), "scenario string, rate string")
-    base = _risk_clv(T).crossJoin(_portfolio_clv(T))
+    base = with_scalars(_risk_clv(T), _portfolio_clv(T))
     loss = F.round(F.col("clv_at_risk") * F.col("rate").cast("decimal(3,2)"), 2)
-    return (base.crossJoin(F.broadcast(sc)).select(
+    return (with_scalars(sc, base).select(
         "scenario",
         F.col("rate").cast("double").alias("churn_rate"),
         loss.cast("double").alias("clv_loss"),
@@ -161,8 +161,8 @@ def bi_corporate_case(T: Tables) -> DataFrame:
 
 
 def bi_action_impact(T: Tables) -> DataFrame:
-    figures = _corporate_case(T).select("corporate_loss_20pct").crossJoin(
-        _q4(T).select(F.col("q4").alias("q4_revenue")))
+    figures = with_scalars(_corporate_case(T).select("corporate_loss_20pct"),
+                           _q4(T).select(F.col("q4").alias("q4_revenue")))
     acts = T.spark.createDataFrame(list(K.ACTIONS),
                                    "priority int, action string, timeline string, owner string")
     p = F.col("priority")
@@ -174,7 +174,7 @@ def bi_action_impact(T: Tables) -> DataFrame:
                                       F.lit(" Q4 revenue from service-driven churn")))
     for prio, fixed in K.ACTION_IMPACT_TEXT.items():
         text = text.when(p == prio, F.lit(fixed))
-    return (F.broadcast(acts).crossJoin(figures).select(
+    return (with_scalars(acts, figures).select(
         "priority", "action", "timeline", "owner", text.alias("financial_impact"),
         F.round(value, 2).alias("impact_gbp"))
         .transform(presented, "priority"))
@@ -183,8 +183,8 @@ def bi_action_impact(T: Tables) -> DataFrame:
 def bi_five_numbers(T: Tables) -> DataFrame:
     breach = T.k.agg(C.pct(F.avg("sla_breached")).alias("breach_rate_pct"))
     q4 = _q4(T).select(C.pct(F.col("q4") / F.col("annual")).alias("q4_share_pct"))
-    base = _risk_clv(T).crossJoin(_portfolio_clv(T))
-    return base.crossJoin(breach).crossJoin(q4).select(
+    base = with_scalars(_risk_clv(T), _portfolio_clv(T))
+    return with_scalars(with_scalars(base, breach), q4).select(
         F.col("clv_at_risk").cast("double").alias("clv_at_risk"),
         C.pct(F.col("clv_at_risk").cast("double") / F.col("total_clv").cast("double"))
          .alias("clv_at_risk_pct"),

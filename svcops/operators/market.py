@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from svcops.functions import columns as C
-from svcops.functions.frames import presented
+from svcops.functions.frames import presented, with_scalars
 from svcops.functions import constants as K
 from svcops.sources.catalog import Tables
 
@@ -37,7 +37,7 @@ def internal_metrics(T: Tables) -> DataFrame:
                  / F.sum("revenue") * 100).alias("_de"),
                 (F.sum(F.when(F.col("country") == K.FRANCE, F.col("revenue")))
                  / F.sum("revenue") * 100).alias("_fr"))
-    return k.crossJoin(t).withColumn("uk_revenue_pct", F.round("_uk", 1))
+    return with_scalars(k, t).withColumn("uk_revenue_pct", F.round("_uk", 1))
 
 
 _METRICS = ("avg_csat", "avg_resolution_days", "sla_breach_rate", "csat_response_rate",
@@ -55,7 +55,7 @@ def mk_csat_gap(T: Tables) -> DataFrame:
         "name string, benchmark double")
     score = F.coalesce(F.col("benchmark"), F.col("_own"))
     gap = F.round(score - F.col("_own"), 2)
-    return (F.broadcast(bench).crossJoin(own).select(
+    return (with_scalars(bench, own).select(
         "name", score.alias("score"), gap.alias("gap"),
         F.when(F.col("name") == K.OWN_BUSINESS, "INTERNAL")
          .when(gap > 0, "GAP").otherwise("ABOVE").alias("status")))
@@ -101,7 +101,7 @@ def mk_expectations(T: Tables) -> DataFrame:
         [(e, g, u, i) for i, (e, g, u) in enumerate(K.EXPECTATIONS)],
         "expectation string, german_pct int, eu_pct int, list_order int")
     own = internal_metrics(T).select("avg_resolution_days")
-    return (F.broadcast(rows).crossJoin(own).select(
+    return (with_scalars(rows, own).select(
         "expectation", "german_pct", "eu_pct",
         (F.col("german_pct") - F.col("eu_pct")).alias("difference_pts"),
         "avg_resolution_days",
@@ -151,7 +151,7 @@ def mk_scorecard(T: Tables) -> DataFrame:
     shortfall = F.when(F.col("lower_is_better"), (ours - ind) / ind).otherwise((ind - ours) / ind)
     status = (F.when(shortfall > K.SCORECARD_CRITICAL_SHORTFALL, "CRITICAL")
               .when(shortfall > 0, "AT RISK").otherwise("OK"))
-    return (F.broadcast(rows).crossJoin(m).select(
+    return (with_scalars(rows, m).select(
         "metric", ours.alias("ours"), "industry_avg", "best_practice", status.alias("status"),
         "list_order").transform(presented, "list_order").drop("list_order"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from svcops.functions import columns as C
-from svcops.functions.frames import presented
+from svcops.functions.frames import presented, with_scalars
 from svcops.functions import constants as K
 from svcops.sources.catalog import Tables
 
@@ -231,7 +231,7 @@ def scenario_rows(T: Tables) -> DataFrame:
 def q3_3_churn_cost(T: Tables) -> DataFrame:
     base = (T.c.join(at_risk_customers(T).select("customer_id"), "customer_id")
             .agg(F.sum(C.money("clv")).alias("clv_at_risk")))
-    return (base.crossJoin(F.broadcast(scenario_rows(T)))
+    return (with_scalars(scenario_rows(T), base)
             .select("churn_scenario",
                     F.round(F.col("clv_at_risk") * F.col("churn_rate"), 2)
                      .cast("double").alias("projected_clv_loss"),
