@@ -119,3 +119,25 @@ def in_years(ts: Column | str, years) -> Column:
             t < F.lit(f"{y + 1}-01-01").cast("timestamp_ntz"))
         cond = r if cond is None else (cond | r)
     return cond if cond is not None else F.lit(False)
+
+
+def dec(col: Column | str, scale: int) -> Column:
+    """A value known to have at most ``scale`` decimals (money: 2, days: 1,
+    counts: 0) as an exact DECIMAL; float noise from earlier double sums is
+    rounded away first."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.round(c, scale).cast(f"decimal(20,{scale})")
+
+
+def round_ratio(total: Column, count: Column, digits: int) -> Column:
+    """``total / count`` rounded half-up to ``digits``, computed exactly
+    (``total`` DECIMAL): a mean then does not depend on summation order, so
+    an exact tie such as 0.705 always rounds the same way."""
+    return F.round(F.try_divide(total, count), digits).cast("double")
+
+
+def avg_round(col: Column | str, scale: int, digits: int) -> Column:
+    """Exact mean of a column with at most ``scale`` decimals, rounded
+    half-up to ``digits`` (nulls skipped, like ``avg``)."""
+    d = dec(col, scale)
+    return round_ratio(F.sum(d), F.count(d), digits)

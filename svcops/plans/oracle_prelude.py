@@ -196,7 +196,7 @@ PRELUDE = "WITH " + RAW.strip() + ",\n" + CLEAN.strip()
 def oracle(body: str) -> str:
     """Full oracle text: the prelude, then ``body`` (a SELECT, or extra CTEs
     beginning with a comma followed by a SELECT)."""
+    from svcops.plans.oracle_text import spark_rounding
     body = body.strip()
-    if body.startswith(","):
-        return PRELUDE + body
-    return PRELUDE + "\n" + body
+    text = PRELUDE + body if body.startswith(",") else PRELUDE + "\n" + body
+    return spark_rounding(text)
