@@ -71,7 +71,7 @@ def tickets_per_customer(T: Tables) -> DataFrame:
         F.count("ticket_id").alias("_n"),
         F.sum("sla_breached").alias("_b"),
         F.sum("csat_score").alias("_cs"), F.count("csat_score").alias("_cn"),
-        F.sum("resolution_days").alias("_ds"), F.count("resolution_days").alias("_dn"))
+        F.sum(C.dec("resolution_days", 1)).alias("_ds"), F.count("resolution_days").alias("_dn"))
 
 
 def _segment_burden(T: Tables) -> DataFrame:
@@ -82,7 +82,7 @@ def _segment_burden(T: Tables) -> DataFrame:
         "segment", F.col("_n").alias("ticket_count"),
         F.round(F.col("_b") / F.col("_n"), 2).alias("sla_breach_rate"),
         F.round(C.ratio(F.col("_cs"), F.col("_cn")), 2).alias("avg_csat"),
-        F.round(C.ratio(F.col("_ds"), F.col("_dn")), 2).alias("avg_resolution"))
+        C.round_ratio(F.col("_ds"), F.col("_dn"), 2).alias("avg_resolution"))
 
 
 def cx_segment_burden(T: Tables) -> DataFrame:
@@ -94,7 +94,7 @@ def _clv_at_risk(T: Tables) -> DataFrame:
             .groupBy("segment").agg(
                 F.count("customer_id").alias("customers_at_risk"),
                 F.sum(C.money("clv")).cast("double").alias("clv_at_risk"),
-                F.round(F.avg("clv"), 2).alias("avg_clv_at_risk")))
+                C.avg_round("clv", 2, 2).alias("avg_clv_at_risk")))
 
 
 def cx_segment_focus(T: Tables) -> DataFrame:

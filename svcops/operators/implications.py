@@ -51,7 +51,7 @@ def bi_sla_cost(T: Tables) -> DataFrame:
         C.pct(F.sum("_b") / F.sum("_n")).alias("breach_rate_pct"),
         F.sum("_n").alias("total_tickets"),
         F.sum("_b").alias("breached_tickets"),
-        F.round(F.sum(F.col("clv") * F.col("_b")) / F.sum(F.when(has_clv, F.col("_b"))), 2)
+        C.round_ratio(F.sum(C.money("clv") * F.col("_b")), F.sum(F.when(has_clv, F.col("_b"))), 2)
          .alias("avg_clv_per_breach"),
         F.sum(C.money("clv") * F.col("_b")).cast("double").alias("total_clv_touched"))
     return a.withColumn("monthly_breaches",
@@ -106,7 +106,7 @@ def bi_q4_tickets(T: Tables) -> DataFrame:
 
 def bi_avg_quarter(T: Tables) -> DataFrame:
     return (_quarterly(T).groupBy("quarter")
-            .agg(F.round(F.avg("_rev"), 2).alias("avg_quarter_revenue"))
+            .agg(C.avg_round("_rev", 2, 2).alias("avg_quarter_revenue"))
             .transform(presented, "quarter"))
 
 
@@ -124,7 +124,7 @@ def _segment_exposure(T: Tables) -> DataFrame:
     risk = (at_risk(T).where(F.col("segment").isNotNull()).groupBy("segment").agg(
         F.count("customer_id").alias("customers_at_risk"),
         F.sum(C.money("clv")).alias("_risk"),
-        F.round(F.avg("clv"), 2).alias("avg_clv")))
+        C.avg_round("clv", 2, 2).alias("avg_clv")))
     seg = (T.c.where(F.col("segment").isNotNull()).groupBy("segment")
            .agg(F.sum(C.money("clv")).alias("_seg")))
     return risk.join(F.broadcast(seg), "segment", "left").select(

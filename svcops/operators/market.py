@@ -19,18 +19,18 @@ def _all() -> Window:
 
 
 def _days_of(category: str):
-    return F.avg(F.when(F.col("issue_category") == category, F.col("resolution_days")))
+    return F.when(F.col("issue_category") == category, F.col("resolution_days"))
 
 
 def internal_metrics(T: Tables) -> DataFrame:
     """One row: the seven internal KPIs (UK share includes guest revenue)."""
     k = T.k.agg(
         F.round(F.avg("csat_score"), 2).alias("avg_csat"),
-        F.round(F.avg("resolution_days"), 2).alias("avg_resolution_days"),
+        C.avg_round("resolution_days", 1, 2).alias("avg_resolution_days"),
         C.pct(F.avg("sla_breached")).alias("sla_breach_rate"),
         C.pct(F.avg(F.col("csat_responded").cast("int"))).alias("csat_response_rate"),
-        F.round(_days_of("Billing"), 2).alias("billing_resolution"),
-        F.round(_days_of("Refund"), 2).alias("refund_resolution"))
+        C.avg_round(_days_of("Billing"), 1, 2).alias("billing_resolution"),
+        C.avg_round(_days_of("Refund"), 1, 2).alias("refund_resolution"))
     t = T.t.agg((F.sum(F.when(F.col("country") == K.UK, F.col("revenue")))
                  / F.sum("revenue") * 100).alias("_uk"),
                 (F.sum(F.when(F.col("country") == K.GERMANY, F.col("revenue")))
@@ -69,7 +69,7 @@ def _benchmarks(T: Tables) -> DataFrame:
 
 def _resolution_gap(T: Tables) -> DataFrame:
     own = T.k.groupBy("issue_category").agg(
-        F.round(F.avg("resolution_days"), 2).alias("internal_days"))
+        C.avg_round("resolution_days", 1, 2).alias("internal_days"))
     j = F.broadcast(_benchmarks(T)).join(own, "issue_category", "left")
     return j.select(
         "issue_category", "internal_days", "industry_avg", "best_practice",

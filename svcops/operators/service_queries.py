@@ -42,7 +42,7 @@ def q1_1_breach_by_location(T: Tables) -> DataFrame:
         F.sum("sla_breached").alias("breached_tickets"),
         C.pct(F.avg("sla_breached")).alias("breach_rate_pct"),
         F.round(F.avg("csat_score"), 2).alias("avg_csat"),
-        F.round(F.avg("resolution_days"), 1).alias("avg_resolution_days"))
+        C.avg_round("resolution_days", 1, 1).alias("avg_resolution_days"))
         .transform(presented, F.desc("breach_rate_pct"), "location_id"))
 
 
@@ -77,7 +77,7 @@ def q1_4_monthly_tickets(T: Tables) -> DataFrame:
 def q1_5_category_priority(T: Tables) -> DataFrame:
     return (T.k.groupBy("issue_category", "priority").agg(
         F.count("ticket_id").alias("ticket_count"),
-        F.round(F.avg("resolution_days"), 1).alias("avg_resolution_days"),
+        C.avg_round("resolution_days", 1, 1).alias("avg_resolution_days"),
         C.pct(F.avg("sla_breached")).alias("breach_rate_pct"),
         F.round(F.avg("csat_score"), 2).alias("avg_csat"))
         .transform(presented, "issue_category", C.priority_rank("priority"), "priority"))
@@ -100,13 +100,13 @@ def q2_1_segment_revenue(T: Tables) -> DataFrame:
         F.countDistinct("customer_id").alias("customer_count"),
         F.countDistinct("invoice").alias("total_orders"),
         F.sum("inv_revenue").alias("_rev"),
+        F.sum(C.dec("inv_revenue", 2)).alias("_revd"),
         F.sum("inv_lines").alias("_lines"))
     return (g.select(
         "segment", "customer_count", "total_orders",
         F.round("_rev", 2).alias("total_revenue"),
-        F.round(F.col("_rev") / F.col("_lines"), 2).alias("avg_order_revenue"),
-        F.round(C.ratio(F.col("_rev"), F.col("customer_count")), 2)
-         .alias("revenue_per_customer"))
+        C.round_ratio(F.col("_revd"), F.col("_lines"), 2).alias("avg_order_revenue"),
+        C.round_ratio(F.col("_revd"), F.col("customer_count"), 2).alias("revenue_per_customer"))
         .transform(presented, F.desc("total_revenue"), "segment"))
 
 
@@ -114,6 +114,7 @@ def q2_2_top20_customers(T: Tables) -> DataFrame:
     per_cust = customer_invoices(T).groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("total_orders"),
         F.sum("inv_revenue").alias("_rev"),
+        F.sum(C.dec("inv_revenue", 2)).alias("_revd"),
         F.sum("inv_lines").alias("_lines"),
         F.min("inv_first").alias("_first"),
         F.max("inv_last").alias("_last"))
@@ -122,7 +123,7 @@ def q2_2_top20_customers(T: Tables) -> DataFrame:
         "customer_id", "segment", "region", F.col("clv").alias("assigned_clv"),
         "total_orders",
         F.round("_rev", 2).alias("total_revenue"),
-        F.round(F.col("_rev") / F.col("_lines"), 2).alias("avg_order_value"),
+        C.round_ratio(F.col("_revd"), F.col("_lines"), 2).alias("avg_order_value"),
         F.to_date("_first").alias("first_order"),
         F.to_date("_last").alias("last_order"))
         .orderBy(F.desc("total_revenue"), "customer_id")
@@ -150,10 +151,10 @@ def q2_4_channel_clv(T: Tables) -> DataFrame:
     g = T.c.groupBy("acquisition_channel").agg(
         F.count("customer_id").alias("customers_acquired"),
         F.avg("clv").alias("_avg"),
+        C.avg_round("clv", 2, 2).alias("avg_clv"),
         F.sum(C.money("clv")).alias("_sum"))
     return (g.select(
-        "acquisition_channel", "customers_acquired",
-        F.round("_avg", 2).alias("avg_clv"),
+        "acquisition_channel", "customers_acquired", "avg_clv",
         F.col("_sum").cast("double").alias("total_clv"),
         C.pct(F.col("_avg") / F.sum("_avg").over(_all())).alias("clv_index"))
         .transform(presented, F.desc("avg_clv"), "acquisition_channel"))
@@ -186,12 +187,12 @@ def q3_1_clv_risk_segment(T: Tables) -> DataFrame:
     g = j.groupBy("segment").agg(
         F.countDistinct("customer_id").alias("customers_at_risk"),
         F.sum(C.money("clv")).alias("_sum"),
-        F.avg("clv").alias("_avg"))
+        C.avg_round("clv", 2, 2).alias("avg_clv_at_risk"))
     total = F.sum(F.col("_sum").cast("double")).over(_all())
     return (g.select(
         "segment", "customers_at_risk",
         F.col("_sum").cast("double").alias("clv_at_risk"),
-        F.round("_avg", 2).alias("avg_clv_at_risk"),
+        "avg_clv_at_risk",
         C.pct(F.col("_sum").cast("double") / total).alias("pct_of_total_risk"))
         .transform(presented, F.desc("clv_at_risk"), "segment"))
 
@@ -270,10 +271,11 @@ def q4_1_country_index(T: Tables) -> DataFrame:
         F.sum("revenue").alias("_rev"), F.count(F.lit(1)).alias("_n"))
     g = (inv.groupBy("country").agg(
         (F.sum("_rev") / F.sum("_n")).alias("_avg"),
+        C.round_ratio(F.sum(C.dec("_rev", 2)), F.sum("_n"), 2).alias("avg_order_value"),
         F.count(F.lit(1)).alias("order_count"))
         .where(F.col("order_count") > 50))
     return (g.select(
-        "country", F.round("_avg", 2).alias("avg_order_value"),
+        "country", "avg_order_value",
         C.pct(F.col("_avg") / F.avg("_avg").over(_all())).alias("index_vs_avg"),
         "order_count")
         .transform(presented, F.desc("avg_order_value"), "country"))
@@ -295,8 +297,8 @@ def q4_3_repeat_bands(T: Tables) -> DataFrame:
         F.round(F.sum("inv_revenue"), 2).alias("total_revenue")))
     return (per.groupBy(C.order_band("order_count").alias("order_frequency_band")).agg(
         F.count("customer_id").alias("customers"),
-        F.round(F.avg("total_revenue"), 2).alias("avg_revenue"),
-        F.round(F.avg("order_count"), 1).alias("avg_orders"))
+        C.avg_round("total_revenue", 2, 2).alias("avg_revenue"),
+        C.avg_round("order_count", 0, 1).alias("avg_orders"))
         .transform(presented, "avg_orders", "order_frequency_band"))
 
 

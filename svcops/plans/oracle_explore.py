@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from svcops.functions import constants as K
+from svcops.plans.oracle_text import avg_r
 
 Y = ", ".join(str(y) for y in K.YEARS)
 
+_PEAK_REV = "CASE WHEN month_str LIKE '%-11' OR month_str LIKE '%-12' THEN rev END"
+_BILLING_DAYS = "CASE WHEN issue_category = 'Billing' THEN resolution_days END"
+_REFUND_DAYS = "CASE WHEN issue_category = 'Refund' THEN resolution_days END"
+
 _MONTHLY = f"""
 , monthly AS (SELECT strftime(invoice_date, '%Y-%m') AS month_str, sum(revenue) AS rev
               FROM transactions WHERE year(invoice_date) IN ({Y}) GROUP BY 1)"""
@@ -18,13 +23,13 @@ def _top(n: int) -> str:
           ORDER BY rev DESC, country LIMIT {n})"""
 
 
-_SEG = """
-, seg AS (SELECT segment, count(customer_id) AS customer_count, round(avg(clv), 2) AS avg_clv,
+_SEG = f"""
+, seg AS (SELECT segment, count(customer_id) AS customer_count, {avg_r('clv', 2, 2)} AS avg_clv,
                  CAST(sum(CAST(clv AS DECIMAL(18,2))) AS DOUBLE) AS total_clv
           FROM customers WHERE segment IS NOT NULL GROUP BY segment)"""
-_CAT = """
+_CAT = f"""
 , cat AS (SELECT issue_category, count(ticket_id) AS ticket_count,
-                 round(avg(resolution_days), 2) AS avg_resolution_days,
+                 {avg_r('resolution_days', 1, 2)} AS avg_resolution_days,
                  round(avg(sla_breached), 2) AS sla_breach_rate, round(avg(csat_score), 2) AS avg_csat
           FROM tickets WHERE issue_category IS NOT NULL GROUP BY issue_category)"""
 _TBM = """
@@ -34,13 +39,13 @@ _LOC = """
 , loc AS (SELECT location_id, count(ticket_id) AS total_tickets,
                  round(avg(sla_breached), 3) AS sla_breach_rate, round(avg(csat_score), 3) AS avg_csat
           FROM tickets WHERE location_id IS NOT NULL GROUP BY location_id)"""
-_INT = """
+_INT = f"""
 , im AS (SELECT round(avg(csat_score), 2) AS avg_csat,
-                round(avg(resolution_days), 2) AS avg_resolution_days,
+                {avg_r('resolution_days', 1, 2)} AS avg_resolution_days,
                 round(avg(sla_breached) * 100, 1) AS sla_breach_rate,
                 round(avg(CAST(csat_responded AS INTEGER)) * 100, 1) AS csat_response_rate,
-                round(avg(resolution_days) FILTER (WHERE issue_category = 'Billing'), 2) AS billing_resolution,
-                round(avg(resolution_days) FILTER (WHERE issue_category = 'Refund'), 2) AS refund_resolution
+                {avg_r(_BILLING_DAYS, 1, 2)} AS billing_resolution,
+                {avg_r(_REFUND_DAYS, 1, 2)} AS refund_resolution
          FROM tickets),
 tm AS (SELECT sum(revenue) FILTER (WHERE country = 'United Kingdom') / sum(revenue) * 100 AS uk,
               sum(revenue) FILTER (WHERE country = 'Germany') / sum(revenue) * 100 AS de,
@@ -54,7 +59,7 @@ _BENCH = " UNION ALL ".join(
     for n, (c, i, b) in enumerate(K.RESOLUTION_BENCHMARKS))
 _RGAP = f"""
 , bench AS ({_BENCH}),
-own AS (SELECT issue_category, round(avg(resolution_days), 2) AS internal_days
+own AS (SELECT issue_category, {avg_r('resolution_days', 1, 2)} AS internal_days
         FROM tickets GROUP BY issue_category),
 rgap AS (SELECT b.issue_category, o.internal_days, b.industry_avg, b.best_practice,
                 round(o.internal_days - b.industry_avg, 2) AS gap_vs_industry,
@@ -80,17 +85,17 @@ SQL = {
        CAST(year(invoice_date) AS INTEGER) AS year, CAST(month(invoice_date) AS INTEGER) AS month,
        strftime(invoice_date, '%Y-%m') AS month_str FROM transactions""",
     "eda_known_only": "SELECT * FROM transactions WHERE customer_id != 'GUEST'",
-    "eda_revenue_summary": """
+    "eda_revenue_summary": f"""
 SELECT round(sum(inv), 2) AS total_revenue, count(*) AS total_orders,
-       round(avg(inv), 2) AS avg_order_value,
+       {avg_r('inv', 2, 2)} AS avg_order_value,
        (SELECT count(DISTINCT customer_id) FROM transactions WHERE customer_id != 'GUEST') AS total_customers,
        (SELECT round(avg(CAST(is_guest AS INTEGER)) * 100, 1) FROM transactions) AS guest_pct
 FROM (SELECT invoice, sum(revenue) AS inv FROM transactions GROUP BY invoice)""",
     "eda_monthly_revenue": _MONTHLY + """
 SELECT month_str, round(rev, 2) AS revenue FROM monthly ORDER BY month_str""",
-    "eda_peak_premium": _MONTHLY + """
-SELECT round(avg(rev), 2) AS avg_monthly_revenue,
-       round(avg(rev) FILTER (WHERE month_str LIKE '%-11' OR month_str LIKE '%-12'), 2) AS avg_peak_revenue,
+    "eda_peak_premium": _MONTHLY + f"""
+SELECT {avg_r('rev', 2, 2)} AS avg_monthly_revenue,
+       {avg_r(_PEAK_REV, 2, 2)} AS avg_peak_revenue,
        round((avg(rev) FILTER (WHERE month_str LIKE '%-11' OR month_str LIKE '%-12') / avg(rev) - 1) * 100, 1)
          AS peak_premium_pct
 FROM monthly""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from svcops.plans.oracle_text import avg_r
+
 RAW_COLUMNS = {
     "transactions_raw": ("invoice", "stock_code", "description", "quantity", "invoice_date",
                          "price", "customer_id", "country", "revenue"),
@@ -45,11 +47,11 @@ def _describe() -> str:
             q, p = f"q_{s}", f"p_{s}"
         parts.append(f"SELECT {i} AS stat_order, '{s}' AS stat, round(CAST({q} AS DOUBLE), 2) AS quantity, "
                      f"round(CAST({p} AS DOUBLE), 2) AS price FROM d")
-    return """
-, d AS (SELECT count(quantity) AS q_count, avg(quantity) AS q_mean, stddev_samp(quantity) AS q_std,
+    return f"""
+, d AS (SELECT count(quantity) AS q_count, {avg_r("quantity", 2, 2)} AS q_mean, stddev_samp(quantity) AS q_std,
                min(quantity) AS q_min, max(quantity) AS q_max,
                quantile_cont(CAST(quantity AS DOUBLE), [0.25, 0.5, 0.75]) AS qq,
-               count(price) AS p_count, avg(price) AS p_mean, stddev_samp(price) AS p_std,
+               count(price) AS p_count, {avg_r("price", 2, 2)} AS p_mean, stddev_samp(price) AS p_std,
                min(price) AS p_min, max(price) AS p_max,
                quantile_cont(price, [0.25, 0.5, 0.75]) AS pq
         FROM transactions_raw)
