@@ -148,3 +148,24 @@ def test_growth_first_month_null(spark):
     T = Tables.from_frames(spark, transactions=raw)
     rows = SQ.q2_5_mom_growth(T).collect()
     assert [(r["month"], r["mom_growth_pct"]) for r in rows] == [("1999-01", None), ("1999-02", 100.0)]
+
+
+def test_hot_customer_third_of_tickets(spark):
+    """One customer holds a third of all tickets: results stay whole and exact."""
+    rows = [(f"h{i}", "hot", f"LOC_0{i % 8 + 1}", float(i % 7), float(i % 5 + 1)) for i in range(300)]
+    rows += [(f"o{i}", f"c{i % 60}", f"LOC_0{i % 8 + 1}", 1.0, 4.0) for i in range(600)]
+    cust = customers(spark, [("hot", "Corporate", 5000.0)] + [(f"c{i}", "Retail", 100.0 + i) for i in range(60)])
+    ops = spark.createDataFrame(
+        [(f"LOC_0{i}", "1999-Q1", "UK", 3.0, 2.0, 0.8, 0.5, 10) for i in range(1, 9)],
+        "location_id string, quarter string, region string, staff_count double, "
+        "sla_target_days double, sla_achievement_rate double, inventory_level double, "
+        "ticket_volume_handled int")
+    T = Tables.from_frames(spark, customers=cust, tickets=tickets(spark, rows), operations=ops)
+    prof = {r["customer_id"]: r for r in X.risk_profile(T).collect()}
+    assert len(prof) == 61
+    hot = prof["hot"]
+    assert hot["total_tickets"] == 300
+    assert hot["sla_breaches"] == sum(1 for i in range(300) if i % 7 > 2)
+    assert abs(hot["avg_csat"] - sum(i % 5 + 1 for i in range(300)) / 300) < 1e-12
+    loc = {r["location_id"]: r["total_tickets"] for r in SQ.q3_2_location_exposure(T).collect()}
+    assert sum(loc.values()) == 900
