@@ -103,7 +103,7 @@ def sink_csv(T) -> DataFrame:
 def sink_tables(T) -> DataFrame:
     """Four clean tables saved into a database (one per call, so a returned
     DataFrame never sees a later overwrite); row counts read back."""
-    db = f"customer_ops_{uuid.uuid4().hex[:8]}"
+    db = f"svcops_tables_{uuid.uuid4().hex[:8]}"
     loc = scratch_path(T.spark, db)
     T.spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{loc}'")
     parts = []
