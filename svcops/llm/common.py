@@ -46,6 +46,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def shared(spark: SparkSession, obj):
+    """A function that gives tasks a copy of ``obj``, whose attributes are
+    broadcast; its class travels with the function."""
+    kind, sent = type(obj), spark.sparkContext.broadcast(vars(obj))
+
+    def get():
+        copy = kind.__new__(kind)
+        copy.__dict__.update(sent.value)
+        return copy
+
+    return get
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of an Arrow string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

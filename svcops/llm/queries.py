@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from svcops.llm import exact_dedup, language_id, simhash
+from svcops.llm import decontaminate, exact_dedup, language_id, mixing, simhash
 from svcops.llm.common import read
 
 
+def op2_mixing(spark, sf_dir):
+    """Domain posteriors and mixing rate of every document."""
+    return mixing.mixed_rates(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))[0]
+
+
+def op4_decontaminate(spark, sf_dir):
+    """Documents that contain benchmark passages."""
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     """Exact copies among all documents."""
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
@@ -21,7 +31,7 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_exact_dedup, op9_language_id, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op4_decontaminate, op8_exact_dedup, op9_language_id, op10_simhash_near_dedup)}
 
 SQL = {
     "op8_exact_dedup": r"""
