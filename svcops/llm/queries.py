@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from svcops.llm import decontaminate, exact_dedup, language_id, mixing, simhash
+from svcops.llm import decontaminate, exact_dedup, language_id, mixing, quality_rules, simhash
 from svcops.llm.common import read
 
 
@@ -16,6 +16,11 @@ def op4_decontaminate(spark, sf_dir):
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_quality_rules(spark, sf_dir):
+    """Quality score of every document."""
+    return quality_rules.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     """Exact copies among all documents."""
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
@@ -31,7 +36,7 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_decontaminate, op8_exact_dedup, op9_language_id, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op4_decontaminate, op7_quality_rules, op8_exact_dedup, op9_language_id, op10_simhash_near_dedup)}
 
 SQL = {
     "op8_exact_dedup": r"""
