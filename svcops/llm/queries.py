@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
-from svcops.llm import decontaminate, exact_dedup, language_id, mixing, quality_rules, simhash
+from svcops.llm import (decontaminate, exact_dedup, html_text, language_id, license_scan, mixing, quality_rules,
+                        simhash, token_counts)
 from svcops.llm.common import read
 
 
+#: The tokenizer's model file; another path can be given to the operator.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_html_text(spark, sf_dir):
+    """Main text of every page."""
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op2_mixing(spark, sf_dir):
     """Domain posteriors and mixing rate of every document."""
     return mixing.mixed_rates(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))[0]
 
 
+def op3_token_counts(spark, sf_dir):
+    """Tokens of every document."""
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), token_counts.read_vocabulary(TOKENIZER))
+
+
 def op4_decontaminate(spark, sf_dir):
     """Documents that contain benchmark passages."""
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_license_scan(spark, sf_dir):
+    """Licence families that documents name."""
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark, sf_dir):
     """Quality score of every document."""
     return quality_rules.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -36,7 +56,9 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_decontaminate, op7_quality_rules, op8_exact_dedup, op9_language_id, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_html_text, op2_mixing, op3_token_counts, op4_decontaminate, op6_license_scan, op7_quality_rules,
+    op8_exact_dedup, op9_language_id, op10_simhash_near_dedup)}
 
 SQL = {
     "op8_exact_dedup": r"""
