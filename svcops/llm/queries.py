@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from svcops.llm import (decontaminate, exact_dedup, html_text, language_id, license_scan, mixing, quality_rules,
-                        simhash, token_counts)
+                        repeats, simhash, token_counts)
 from svcops.llm.common import read
 
 
@@ -31,6 +31,11 @@ def op4_decontaminate(spark, sf_dir):
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    """What remains of every document without passages that start in an earlier one."""
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark, sf_dir):
     """Licence families that documents name."""
     return license_scan.scan(read(spark, sf_dir, "documents"))
@@ -57,7 +62,7 @@ def op10_simhash_near_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_html_text, op2_mixing, op3_token_counts, op4_decontaminate, op6_license_scan, op7_quality_rules,
+    op1_html_text, op2_mixing, op3_token_counts, op4_decontaminate, op5_suffix_dedup, op6_license_scan, op7_quality_rules,
     op8_exact_dedup, op9_language_id, op10_simhash_near_dedup)}
 
 SQL = {
