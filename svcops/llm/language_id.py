@@ -50,9 +50,8 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     off = np.concatenate([[0], np.cumsum([len(t) for t in low])]).astype(np.int64)
     letter = letters()[codes]
     keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    heads = off[:-1][off[:-1] < off[1:]]
-    keep[heads] = letter[np.minimum(heads + 1, max(len(letter) - 1, 0))]  # a space before a first letter
+    keep[:-1] |= letter[1:]  # one space before a word
+    keep[off[1:][sums(letter.astype(np.uint8), off) > 0] - 1] = True  # and one after the last
     off = np.concatenate([[0], np.cumsum(keep)])[off]
     codes = np.where(letter, codes, 32)[keep].astype(np.uint64)
     room = np.repeat(off[1:], np.diff(off)) - np.arange(len(codes))  # code points left in the text
