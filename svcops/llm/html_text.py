@@ -40,8 +40,8 @@ _BLOCK = frozenset(
     "tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video head select button".split())
+_UNSEEN = frozenset("script style noscript template".split())
 _NEVER = frozenset("nav footer aside form menu dialog".split())
-_CLOSED_BY_BLOCK = frozenset(("p",))
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 #: Words in class, id or role that mark a container as no content.
@@ -151,8 +151,8 @@ def blocks(page: str) -> list[Block]:
                 at = close.start() if close[0].lower().startswith("<body") else close.end()
             if name in _BLOCK:
                 turn()
-            else:
-                add(" ")
+            elif name not in _UNSEEN:
+                now.pieces.append(" ")
             continue
         if name in _BLOCK:
             if any(x[0] == "p" for x in stack[-4:]):
