@@ -12,10 +12,11 @@ def norm_customer_id(col: Column | str) -> Column:
     """Integer text of a customer id: ``'13085.0'`` and ``'13085'`` both become
     ``'13085'``; a non-numeric id (``'GUEST'``) is kept as it is.
 
-    Normalising once in cleaning turns the expression-wrapped join key of the
-    SQL set into a plain string equi-join."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(c.try_cast("decimal(20,0)").cast("string"), c)
+    Only whole numbers are changed (``'13085.5'`` is no other customer's id).
+    All cleaners normalise, so joins on ids are plain string equi-joins."""
+    c = (F.col(col) if isinstance(col, str) else col).cast("string")
+    n = c.try_cast("decimal(38,10)")
+    return F.when(n == F.floor(n), F.floor(n).cast("string")).otherwise(c)
 
 
 def label_map(col: Column | str, mapping: dict[str, str]) -> Column:
@@ -44,14 +45,6 @@ def res_band(days: Column | str) -> Column:
             .otherwise("5+ days"))
 
 
-def res_band_rank(band: Column | str) -> Column:
-    b = F.col(band) if isinstance(band, str) else band
-    expr = F.when(b == K.RES_BAND_ORDER[0], 1)
-    for i, name in enumerate(K.RES_BAND_ORDER[1:], start=2):
-        expr = expr.when(b == name, i)
-    return expr
-
-
 def sla_status(rate: Column | str) -> Column:
     r = F.col(rate) if isinstance(rate, str) else rate
     return (F.when(r < K.SLA_STATUS_CRITICAL_BELOW, "Critical")
@@ -121,23 +114,29 @@ def in_years(ts: Column | str, years) -> Column:
     return cond if cond is not None else F.lit(False)
 
 
-def dec(col: Column | str, scale: int) -> Column:
-    """A value known to have at most ``scale`` decimals (money: 2, days: 1,
-    counts: 0) as an exact DECIMAL; float noise from earlier double sums is
-    rounded away first."""
+#: Decimals kept of a value in exact arithmetic; a DOUBLE's shortest decimal
+#: form is used, and what lies beyond the tenth decimal is rounded off.
+EXACT_SCALE = 10
+
+
+def exact(col: Column | str) -> Column:
+    """A number as an exact DECIMAL with its own decimals (up to ten)."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.round(c, scale).cast(f"decimal(20,{scale})")
+    return c.cast(f"decimal(28,{EXACT_SCALE})")
+
+
+def total(col: Column | str) -> Column:
+    """Exact sum as DOUBLE: the same whatever the order of summation."""
+    return F.sum(exact(col)).cast("double")
 
 
 def round_ratio(total: Column, count: Column, digits: int) -> Column:
-    """``total / count`` rounded half-up to ``digits``, computed exactly
-    (``total`` DECIMAL): a mean then does not depend on summation order, so
-    an exact tie such as 0.705 always rounds the same way."""
-    return F.round(F.try_divide(total, count), digits).cast("double")
+    """``total / count`` rounded half-up to ``digits`` once, from an exact
+    DECIMAL total: an exact tie such as 0.705 always rounds the same way."""
+    return F.round(F.try_divide(total.cast(f"decimal(27,{EXACT_SCALE})"), count), digits).cast("double")
 
 
-def avg_round(col: Column | str, scale: int, digits: int) -> Column:
-    """Exact mean of a column with at most ``scale`` decimals, rounded
-    half-up to ``digits`` (nulls skipped, like ``avg``)."""
-    d = dec(col, scale)
+def avg_round(col: Column | str, digits: int) -> Column:
+    """Exact mean, rounded half-up to ``digits`` (nulls skipped, like ``avg``)."""
+    d = exact(col)
     return round_ratio(F.sum(d), F.count(d), digits)

@@ -6,9 +6,8 @@ and imputations are taken after the previous step). No step triggers a job.
 
 Imputation lookups (segment medians, location means, the global staff median)
 are computed with ``groupBy`` (partial aggregation, no hot partition) and
-joined back with a broadcast: their row counts are bounded by the fixed label
-domains (3 segments, a handful of locations, one global row), never by the
-data size.
+joined back; only the medians of the three fixed segment labels are
+force-broadcast, the planner's size check decides on the location means.
 """
 
 from __future__ import annotations
@@ -113,7 +112,7 @@ def step_c_region(df: DataFrame) -> DataFrame:
 
 
 def step_c_types(df: DataFrame) -> DataFrame:
-    return (df.withColumn("customer_id", F.col("customer_id").cast("string"))
+    return (df.withColumn("customer_id", C.norm_customer_id("customer_id"))
               .withColumn("clv", F.round("clv", 2))
               .withColumn("acquisition_date", F.to_date("acquisition_date")))
 
@@ -160,7 +159,7 @@ def step_k_responded(df: DataFrame) -> DataFrame:
 
 
 def step_k_types(df: DataFrame) -> DataFrame:
-    return (df.withColumn("customer_id", F.col("customer_id").cast("string"))
+    return (df.withColumn("customer_id", C.norm_customer_id("customer_id"))
               .withColumn("ticket_date", F.to_date("ticket_date"))
               .withColumn("resolution_days", F.col("resolution_days").try_cast("double")))
 
@@ -198,8 +197,7 @@ def step_o_location(df: DataFrame) -> DataFrame:
 
 def step_o_sla(df: DataFrame) -> DataFrame:
     """Missing SLA rate -> mean of the same location; whole column to 2 dp."""
-    means = F.broadcast(df.groupBy("location_id")
-                          .agg(F.avg("sla_achievement_rate").alias("_loc_mean")))
+    means = df.groupBy("location_id").agg(F.avg("sla_achievement_rate").alias("_loc_mean"))
     rate = F.col("sla_achievement_rate")
     return (df.join(means, "location_id", "left")
               .withColumn("sla_imputed", rate.isNull())

@@ -31,7 +31,7 @@ def _filtered(T: Tables, segment: str | None, location: str | None):
 
 def dash_kpis(T: Tables, segment: str | None = None, location: str | None = None) -> DataFrame:
     t, k, risk = _filtered(T, segment, location)
-    rev = t.agg(F.round(F.sum("revenue"), 2).alias("total_revenue"))
+    rev = t.agg(F.round(C.total("revenue"), 2).alias("total_revenue"))
     svc = k.agg(C.pct(F.avg("sla_breached")).alias("breach_rate_pct"),
                 F.round(F.avg("csat_score"), 2).alias("avg_csat"))
     clv = risk.agg(F.sum(C.money("clv")).cast("double").alias("clv_at_risk"))

@@ -1,8 +1,8 @@
 """Customer-experience jobs: service burden, resolution bands, churn risk.
 
 The per-customer risk profile aggregates tickets to one row per customer
-*before* meeting the customer table (customer ids are unique after
-cleaning, so it equals grouping the joined rows, with far less shuffle).
+*before* meeting the customer table, which is also brought to one row per id;
+an id listed twice counts as grouping the joined rows would count it.
 "Hot" customers only add partial-aggregate rows per map task.
 The profile is staged once and reused by the experience and implication
 reports, as the original writes it to a file for the next notebook.
@@ -24,12 +24,21 @@ def ticket_customer(T: Tables) -> DataFrame:
     return T.k.join(T.c.select("customer_id", "segment", "clv", "region"), "customer_id", "left")
 
 
+def customer_attributes(T: Tables) -> DataFrame:
+    """One row per customer id: its attributes and how often it is listed."""
+    return T.c.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
+        F.max("segment").alias("segment"), F.max("clv").alias("clv"),
+        F.max("region").alias("region"), F.count(F.lit(1)).alias("_m"))
+
+
 def _risk_profile(T: Tables) -> DataFrame:
-    per = T.k.groupBy("customer_id").agg(
-        F.count("ticket_id").alias("total_tickets"),
-        F.sum("sla_breached").alias("sla_breaches"),
+    per = T.k.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
+        F.count("ticket_id").alias("_n"), F.sum("sla_breached").alias("_b"),
         F.avg("csat_score").alias("avg_csat"))
-    prof = per.join(T.c.select("customer_id", "segment", "clv", "region"), "customer_id", "left")
+    times = F.coalesce("_m", F.lit(1))  # an id listed twice meets its tickets twice
+    prof = per.join(customer_attributes(T), "customer_id", "left").select(
+        "customer_id", (F.col("_n") * times).alias("total_tickets"),
+        (F.col("_b") * times).alias("sla_breaches"), "avg_csat", "segment", "clv", "region")
     churn = C.churn_risk("sla_breaches", "avg_csat")
     return (prof.withColumn("churn_risk", churn)
                 .withColumn("risk_tier", C.risk_tier("churn_risk", "clv")))
@@ -71,7 +80,7 @@ def tickets_per_customer(T: Tables) -> DataFrame:
         F.count("ticket_id").alias("_n"),
         F.sum("sla_breached").alias("_b"),
         F.sum("csat_score").alias("_cs"), F.count("csat_score").alias("_cn"),
-        F.sum(C.dec("resolution_days", 1)).alias("_ds"), F.count("resolution_days").alias("_dn"))
+        F.sum(C.exact("resolution_days")).alias("_ds"), F.count("resolution_days").alias("_dn"))
 
 
 def _segment_burden(T: Tables) -> DataFrame:
@@ -94,7 +103,7 @@ def _clv_at_risk(T: Tables) -> DataFrame:
             .groupBy("segment").agg(
                 F.count("customer_id").alias("customers_at_risk"),
                 F.sum(C.money("clv")).cast("double").alias("clv_at_risk"),
-                C.avg_round("clv", 2, 2).alias("avg_clv_at_risk")))
+                C.avg_round("clv", 2).alias("avg_clv_at_risk")))
 
 
 def cx_segment_focus(T: Tables) -> DataFrame:

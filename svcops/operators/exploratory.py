@@ -33,22 +33,24 @@ def eda_known_only(T: Tables) -> DataFrame:
 
 
 def eda_revenue_summary(T: Tables) -> DataFrame:
-    per_invoice = T.t.groupBy("invoice").agg(F.sum("revenue").alias("_inv"))
-    orders = per_invoice.agg(F.sum("_inv").alias("_rev"), F.count(F.lit(1)).alias("total_orders"),
-                             C.avg_round("_inv", 2, 2).alias("_aov"))
-    lines = T.t.agg(
-        F.count_distinct(F.when(F.col("customer_id") != K.GUEST, F.col("customer_id")))
-         .alias("total_customers"),
-        C.pct(F.avg(F.col("is_guest").cast("int"))).alias("guest_pct"))
-    return with_scalars(orders, lines).select(
-        F.round("_rev", 2).alias("total_revenue"), "total_orders",
-        F.col("_aov").alias("avg_order_value"), "total_customers", "guest_pct")
+    # the lines are read once: per (invoice, customer), then invoices and ids
+    per_invoice = T.t.groupBy("invoice", "customer_id").agg(
+        F.sum(C.exact("revenue")).alias("_inv"), F.count(F.lit(1)).alias("_n"),
+        F.sum(F.col("is_guest").cast("int")).alias("_g"))
+    orders = per_invoice.groupBy("invoice").agg(F.sum("_inv").alias("_inv"), F.sum("_n").alias("_n"), F.sum("_g").alias("_g"))
+    a = orders.agg(C.total("_inv").alias("_rev"), F.count(F.lit(1)).alias("total_orders"),
+                   C.avg_round("_inv", 2).alias("avg_order_value"),
+                   C.pct(F.sum("_g") / F.sum("_n")).alias("guest_pct"))
+    ids = per_invoice.where(F.col("customer_id") != K.GUEST).groupBy("customer_id").agg(F.lit(1))
+    return with_scalars(a, ids.agg(F.count(F.lit(1)).alias("total_customers"))).select(
+        F.round("_rev", 2).alias("total_revenue"), "total_orders", "avg_order_value",
+        "total_customers", "guest_pct")
 
 
 def _monthly(T: Tables, years=K.YEARS) -> DataFrame:
     return (T.t_years(years)
             .groupBy(C.month_text("invoice_date").alias("month_str"))
-            .agg(F.sum("revenue").alias("_rev")))
+            .agg(C.total("revenue").alias("_rev")))
 
 
 def eda_monthly_revenue(T: Tables) -> DataFrame:
@@ -60,14 +62,14 @@ def eda_peak_premium(T: Tables) -> DataFrame:
     peak = F.substring("month_str", 6, 2).isin(*[f"{m:02d}" for m in K.PEAK_MONTHS])
     a = _monthly(T).agg(F.avg("_rev").alias("_avg"),
                         F.avg(F.when(peak, F.col("_rev"))).alias("_peak"),
-                        C.avg_round("_rev", 2, 2).alias("avg_monthly_revenue"),
-                        C.avg_round(F.when(peak, F.col("_rev")), 2, 2).alias("avg_peak_revenue"))
+                        C.avg_round("_rev", 2).alias("avg_monthly_revenue"),
+                        C.avg_round(F.when(peak, F.col("_rev")), 2).alias("avg_peak_revenue"))
     return a.select("avg_monthly_revenue", "avg_peak_revenue",
                     F.round((F.col("_peak") / F.col("_avg") - 1) * 100, 1).alias("peak_premium_pct"))
 
 
 def _top_countries(T: Tables, n: int) -> DataFrame:
-    top = (_known(T).groupBy("country").agg(F.sum("revenue").alias("_rev"))
+    top = (_known(T).groupBy("country").agg(C.total("revenue").alias("_rev"))
            .orderBy(F.desc("_rev"), "country").limit(n))
     return top.select("country", F.round("_rev", 2).alias("revenue"),
                       C.pct(F.col("_rev") / F.sum("_rev").over(_all())).alias("revenue_pct"))
@@ -84,7 +86,7 @@ def eda_uk_share(T: Tables) -> DataFrame:
 def _segments(T: Tables) -> DataFrame:
     g = (T.c.where(F.col("segment").isNotNull()).groupBy("segment").agg(
         F.count("customer_id").alias("customer_count"),
-        C.avg_round("clv", 2, 2).alias("avg_clv"),
+        C.avg_round("clv", 2).alias("avg_clv"),
         F.sum(C.money("clv")).cast("double").alias("total_clv")))
     return g.select("*",
                     C.pct(F.col("customer_count") / F.sum("customer_count").over(_all()))
@@ -98,7 +100,7 @@ def eda_segment_summary(T: Tables) -> DataFrame:
 
 def eda_segment_multiple(T: Tables) -> DataFrame:
     s = T.c.where(F.col("segment").isNotNull()).groupBy("segment").agg(
-        C.avg_round("clv", 2, 2).alias("avg_clv"))
+        C.avg_round("clv", 2).alias("avg_clv"))
     a = s.agg(F.max(F.when(F.col("segment") == "Corporate", F.col("avg_clv"))).alias("corporate_avg_clv"),
               F.max(F.when(F.col("segment") == "Retail", F.col("avg_clv"))).alias("retail_avg_clv"))
     return a.withColumn("corporate_retail_multiple",
@@ -108,7 +110,7 @@ def eda_segment_multiple(T: Tables) -> DataFrame:
 def _categories(T: Tables) -> DataFrame:
     return (T.k.where(F.col("issue_category").isNotNull()).groupBy("issue_category").agg(
         F.count("ticket_id").alias("ticket_count"),
-        C.avg_round("resolution_days", 1, 2).alias("avg_resolution_days"),
+        C.avg_round("resolution_days", 2).alias("avg_resolution_days"),
         F.round(F.avg("sla_breached"), 2).alias("sla_breach_rate"),
         F.round(F.avg("csat_score"), 2).alias("avg_csat")))
 

@@ -32,7 +32,7 @@ def _risk_clv(T: Tables) -> DataFrame:
 
 
 def bi_portfolio(T: Tables) -> DataFrame:
-    rev = T.t.agg(F.round(F.sum("revenue"), 2).alias("total_revenue"))
+    rev = T.t.agg(F.round(C.total("revenue"), 2).alias("total_revenue"))
     return (with_scalars(with_scalars(_portfolio_clv(T), rev), _risk_clv(T)).select(
         F.col("total_clv").cast("double").alias("total_clv"),
         "total_revenue",
@@ -74,7 +74,7 @@ def bi_churn_scenarios(T: Tables) -> DataFrame:
 def _quarterly(T: Tables) -> DataFrame:
     return (T.t_years(K.YEARS).groupBy(F.year("invoice_date").alias("year"),
                                 F.quarter("invoice_date").alias("quarter"))
-            .agg(F.sum("revenue").alias("_rev")))
+            .agg(C.total("revenue").alias("_rev")))
 
 
 def bi_quarterly_revenue(T: Tables) -> DataFrame:
@@ -84,8 +84,8 @@ def bi_quarterly_revenue(T: Tables) -> DataFrame:
 
 def _q4(T: Tables) -> DataFrame:
     is_q4 = F.month("invoice_date").isin(*K.Q4_MONTHS)
-    return T.t_years(K.YEARS).agg(F.sum(F.when(is_q4, F.col("revenue"))).alias("q4"),
-                           F.sum("revenue").alias("annual"))
+    return T.t_years(K.YEARS).agg(C.total(F.when(is_q4, F.col("revenue"))).alias("q4"),
+                           C.total("revenue").alias("annual"))
 
 
 def bi_q4_share(T: Tables) -> DataFrame:
@@ -106,7 +106,7 @@ def bi_q4_tickets(T: Tables) -> DataFrame:
 
 def bi_avg_quarter(T: Tables) -> DataFrame:
     return (_quarterly(T).groupBy("quarter")
-            .agg(C.avg_round("_rev", 2, 2).alias("avg_quarter_revenue"))
+            .agg(C.avg_round("_rev", 2).alias("avg_quarter_revenue"))
             .transform(presented, "quarter"))
 
 
@@ -124,7 +124,7 @@ def _segment_exposure(T: Tables) -> DataFrame:
     risk = (at_risk(T).where(F.col("segment").isNotNull()).groupBy("segment").agg(
         F.count("customer_id").alias("customers_at_risk"),
         F.sum(C.money("clv")).alias("_risk"),
-        C.avg_round("clv", 2, 2).alias("avg_clv")))
+        C.avg_round("clv", 2).alias("avg_clv")))
     seg = (T.c.where(F.col("segment").isNotNull()).groupBy("segment")
            .agg(F.sum(C.money("clv")).alias("_seg")))
     return risk.join(F.broadcast(seg), "segment", "left").select(

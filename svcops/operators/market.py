@@ -26,17 +26,17 @@ def internal_metrics(T: Tables) -> DataFrame:
     """One row: the seven internal KPIs (UK share includes guest revenue)."""
     k = T.k.agg(
         F.round(F.avg("csat_score"), 2).alias("avg_csat"),
-        C.avg_round("resolution_days", 1, 2).alias("avg_resolution_days"),
+        C.avg_round("resolution_days", 2).alias("avg_resolution_days"),
         C.pct(F.avg("sla_breached")).alias("sla_breach_rate"),
         C.pct(F.avg(F.col("csat_responded").cast("int"))).alias("csat_response_rate"),
-        C.avg_round(_days_of("Billing"), 1, 2).alias("billing_resolution"),
-        C.avg_round(_days_of("Refund"), 1, 2).alias("refund_resolution"))
-    t = T.t.agg((F.sum(F.when(F.col("country") == K.UK, F.col("revenue")))
-                 / F.sum("revenue") * 100).alias("_uk"),
-                (F.sum(F.when(F.col("country") == K.GERMANY, F.col("revenue")))
-                 / F.sum("revenue") * 100).alias("_de"),
-                (F.sum(F.when(F.col("country") == K.FRANCE, F.col("revenue")))
-                 / F.sum("revenue") * 100).alias("_fr"))
+        C.avg_round(_days_of("Billing"), 2).alias("billing_resolution"),
+        C.avg_round(_days_of("Refund"), 2).alias("refund_resolution"))
+    t = T.t.agg((C.total(F.when(F.col("country") == K.UK, F.col("revenue")))
+                 / C.total("revenue") * 100).alias("_uk"),
+                (C.total(F.when(F.col("country") == K.GERMANY, F.col("revenue")))
+                 / C.total("revenue") * 100).alias("_de"),
+                (C.total(F.when(F.col("country") == K.FRANCE, F.col("revenue")))
+                 / C.total("revenue") * 100).alias("_fr"))
     return with_scalars(k, t).withColumn("uk_revenue_pct", F.round("_uk", 1))
 
 
@@ -69,7 +69,7 @@ def _benchmarks(T: Tables) -> DataFrame:
 
 def _resolution_gap(T: Tables) -> DataFrame:
     own = T.k.groupBy("issue_category").agg(
-        C.avg_round("resolution_days", 1, 2).alias("internal_days"))
+        C.avg_round("resolution_days", 2).alias("internal_days"))
     j = F.broadcast(_benchmarks(T)).join(own, "issue_category", "left")
     return j.select(
         "issue_category", "internal_days", "industry_avg", "best_practice",
@@ -111,7 +111,7 @@ def mk_expectations(T: Tables) -> DataFrame:
 
 def mk_country_top6(T: Tables) -> DataFrame:
     top = (T.t.where(F.col("customer_id") != K.GUEST).groupBy("country")
-           .agg(F.sum("revenue").alias("_rev"))
+           .agg(C.total("revenue").alias("_rev"))
            .orderBy(F.desc("_rev"), "country").limit(6))
     return (top.select("country", F.round("_rev", 2).alias("revenue"),
                        C.pct(F.col("_rev") / F.sum("_rev").over(_all())).alias("share_pct"))

@@ -88,7 +88,7 @@ def prof_describe(T: Tables) -> DataFrame:
     aggs = []
     for c in ("quantity", "price"):
         q = F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        aggs += [F.count(c).cast("double").alias(f"{c}_count"), C.avg_round(c, 2, 2).alias(f"{c}_mean"),
+        aggs += [F.count(c).cast("double").alias(f"{c}_count"), C.avg_round(c, 2).alias(f"{c}_mean"),
                  F.stddev_samp(c).alias(f"{c}_std"), F.min(c).cast("double").alias(f"{c}_min"),
                  q.alias(f"{c}_q"), F.max(c).cast("double").alias(f"{c}_max")]
     wide = raw.agg(*aggs)

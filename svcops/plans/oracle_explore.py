@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from svcops.functions import constants as K
-from svcops.plans.oracle_text import avg_r
+from svcops.plans.oracle_text import avg_r, tot
 
 Y = ", ".join(str(y) for y in K.YEARS)
 
@@ -12,24 +12,24 @@ _BILLING_DAYS = "CASE WHEN issue_category = 'Billing' THEN resolution_days END"
 _REFUND_DAYS = "CASE WHEN issue_category = 'Refund' THEN resolution_days END"
 
 _MONTHLY = f"""
-, monthly AS (SELECT strftime(invoice_date, '%Y-%m') AS month_str, sum(revenue) AS rev
+, monthly AS (SELECT strftime(invoice_date, '%Y-%m') AS month_str, {tot('revenue')} AS rev
               FROM transactions WHERE year(invoice_date) IN ({Y}) GROUP BY 1)"""
 
 
 def _top(n: int) -> str:
     return f"""
-, top AS (SELECT country, rev FROM (SELECT country, sum(revenue) AS rev FROM transactions
+, top AS (SELECT country, rev FROM (SELECT country, {tot('revenue')} AS rev FROM transactions
                                     WHERE customer_id != 'GUEST' GROUP BY country)
           ORDER BY rev DESC, country LIMIT {n})"""
 
 
 _SEG = f"""
-, seg AS (SELECT segment, count(customer_id) AS customer_count, {avg_r('clv', 2, 2)} AS avg_clv,
+, seg AS (SELECT segment, count(customer_id) AS customer_count, {avg_r('clv', 2)} AS avg_clv,
                  CAST(sum(CAST(clv AS DECIMAL(18,2))) AS DOUBLE) AS total_clv
           FROM customers WHERE segment IS NOT NULL GROUP BY segment)"""
 _CAT = f"""
 , cat AS (SELECT issue_category, count(ticket_id) AS ticket_count,
-                 {avg_r('resolution_days', 1, 2)} AS avg_resolution_days,
+                 {avg_r('resolution_days', 2)} AS avg_resolution_days,
                  round(avg(sla_breached), 2) AS sla_breach_rate, round(avg(csat_score), 2) AS avg_csat
           FROM tickets WHERE issue_category IS NOT NULL GROUP BY issue_category)"""
 _TBM = """
@@ -41,15 +41,15 @@ _LOC = """
           FROM tickets WHERE location_id IS NOT NULL GROUP BY location_id)"""
 _INT = f"""
 , im AS (SELECT round(avg(csat_score), 2) AS avg_csat,
-                {avg_r('resolution_days', 1, 2)} AS avg_resolution_days,
+                {avg_r('resolution_days', 2)} AS avg_resolution_days,
                 round(avg(sla_breached) * 100, 1) AS sla_breach_rate,
                 round(avg(CAST(csat_responded AS INTEGER)) * 100, 1) AS csat_response_rate,
-                {avg_r(_BILLING_DAYS, 1, 2)} AS billing_resolution,
-                {avg_r(_REFUND_DAYS, 1, 2)} AS refund_resolution
+                {avg_r(_BILLING_DAYS, 2)} AS billing_resolution,
+                {avg_r(_REFUND_DAYS, 2)} AS refund_resolution
          FROM tickets),
-tm AS (SELECT sum(revenue) FILTER (WHERE country = 'United Kingdom') / sum(revenue) * 100 AS uk,
-              sum(revenue) FILTER (WHERE country = 'Germany') / sum(revenue) * 100 AS de,
-              sum(revenue) FILTER (WHERE country = 'France') / sum(revenue) * 100 AS fr
+tm AS (SELECT {tot("CASE WHEN country = 'United Kingdom' THEN revenue END")} / {tot('revenue')} * 100 AS uk,
+              {tot("CASE WHEN country = 'Germany' THEN revenue END")} / {tot('revenue')} * 100 AS de,
+              {tot("CASE WHEN country = 'France' THEN revenue END")} / {tot('revenue')} * 100 AS fr
        FROM transactions),
 m AS (SELECT im.*, round(tm.uk, 1) AS uk_revenue_pct, tm.de, tm.fr FROM im, tm)"""
 
@@ -59,7 +59,7 @@ _BENCH = " UNION ALL ".join(
     for n, (c, i, b) in enumerate(K.RESOLUTION_BENCHMARKS))
 _RGAP = f"""
 , bench AS ({_BENCH}),
-own AS (SELECT issue_category, {avg_r('resolution_days', 1, 2)} AS internal_days
+own AS (SELECT issue_category, {avg_r('resolution_days', 2)} AS internal_days
         FROM tickets GROUP BY issue_category),
 rgap AS (SELECT b.issue_category, o.internal_days, b.industry_avg, b.best_practice,
                 round(o.internal_days - b.industry_avg, 2) AS gap_vs_industry,
@@ -87,15 +87,15 @@ SQL = {
     "eda_known_only": "SELECT * FROM transactions WHERE customer_id != 'GUEST'",
     "eda_revenue_summary": f"""
 SELECT round(sum(inv), 2) AS total_revenue, count(*) AS total_orders,
-       {avg_r('inv', 2, 2)} AS avg_order_value,
+       {avg_r('inv', 2)} AS avg_order_value,
        (SELECT count(DISTINCT customer_id) FROM transactions WHERE customer_id != 'GUEST') AS total_customers,
        (SELECT round(avg(CAST(is_guest AS INTEGER)) * 100, 1) FROM transactions) AS guest_pct
-FROM (SELECT invoice, sum(revenue) AS inv FROM transactions GROUP BY invoice)""",
+FROM (SELECT invoice, {tot('revenue')} AS inv FROM transactions GROUP BY invoice)""",
     "eda_monthly_revenue": _MONTHLY + """
 SELECT month_str, round(rev, 2) AS revenue FROM monthly ORDER BY month_str""",
     "eda_peak_premium": _MONTHLY + f"""
-SELECT {avg_r('rev', 2, 2)} AS avg_monthly_revenue,
-       {avg_r(_PEAK_REV, 2, 2)} AS avg_peak_revenue,
+SELECT {avg_r('rev', 2)} AS avg_monthly_revenue,
+       {avg_r(_PEAK_REV, 2)} AS avg_peak_revenue,
        round((avg(rev) FILTER (WHERE month_str LIKE '%-11' OR month_str LIKE '%-12') / avg(rev) - 1) * 100, 1)
          AS peak_premium_pct
 FROM monthly""",

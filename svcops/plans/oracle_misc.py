@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from svcops.plans.oracle_text import avg_r
+from svcops.plans.oracle_text import avg_r, tot
 
 RAW_COLUMNS = {
     "transactions_raw": ("invoice", "stock_code", "description", "quantity", "invoice_date",
@@ -48,10 +48,10 @@ def _describe() -> str:
         parts.append(f"SELECT {i} AS stat_order, '{s}' AS stat, round(CAST({q} AS DOUBLE), 2) AS quantity, "
                      f"round(CAST({p} AS DOUBLE), 2) AS price FROM d")
     return f"""
-, d AS (SELECT count(quantity) AS q_count, {avg_r("quantity", 2, 2)} AS q_mean, stddev_samp(quantity) AS q_std,
+, d AS (SELECT count(quantity) AS q_count, {avg_r("quantity", 2)} AS q_mean, stddev_samp(quantity) AS q_std,
                min(quantity) AS q_min, max(quantity) AS q_max,
                quantile_cont(CAST(quantity AS DOUBLE), [0.25, 0.5, 0.75]) AS qq,
-               count(price) AS p_count, {avg_r("price", 2, 2)} AS p_mean, stddev_samp(price) AS p_std,
+               count(price) AS p_count, {avg_r("price", 2)} AS p_mean, stddev_samp(price) AS p_std,
                min(price) AS p_min, max(price) AS p_max,
                quantile_cont(price, [0.25, 0.5, 0.75]) AS pq
         FROM transactions_raw)
@@ -109,7 +109,7 @@ FROM transactions_raw""",
     "src_customer_spine": """SELECT DISTINCT CAST(TRY_CAST(customer_id AS DECIMAL(20,0)) AS BIGINT) AS customer_id
 FROM transactions_raw WHERE customer_id IS NOT NULL""",
 
-    "dash_kpis": """SELECT (SELECT round(sum(revenue), 2) FROM transactions) AS total_revenue,
+    "dash_kpis": f"""SELECT (SELECT round({tot('revenue')}, 2) FROM transactions) AS total_revenue,
        (SELECT round(avg(sla_breached) * 100, 1) FROM tickets) AS breach_rate_pct,
        (SELECT round(avg(csat_score), 2) FROM tickets) AS avg_csat,
        (SELECT CAST(sum(CAST(clv AS DECIMAL(18,2))) AS DOUBLE) FROM risk_profile WHERE churn_risk)

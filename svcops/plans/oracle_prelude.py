@@ -16,6 +16,13 @@ _CATEGORY_LIST = ", ".join(f"'{s}'" for s in K.CATEGORY_MAP)
 _CATEGORY_CASE = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in K.CATEGORY_MAP.items())
 _SEGMENT_CASE = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in K.SEGMENT_MAP.items())
 
+
+def _id(x: str) -> str:
+    """Integer text of an id that is a whole number; other ids as they are."""
+    n = f"TRY_CAST({x} AS DECIMAL(38,10))"
+    return f"CASE WHEN {n} = floor({n}) THEN CAST(CAST({n} AS DECIMAL(38,0)) AS VARCHAR) ELSE {x} END"
+
+
 RAW = f"""
 transactions_raw0 AS (
   SELECT
@@ -94,7 +101,7 @@ ops_agg AS (
          avg(CAST(l_quantity <= 18 + 4 * CAST(l_suppkey % 8 + 1 AS INTEGER) AS INTEGER)) AS rate,
          avg(l_quantity) AS avg_qty,
          count(*) AS n
-  FROM lineitem WHERE year(l_shipdate) IN ({_Y1}, {_Y2})
+  FROM lineitem
   GROUP BY 1, 2
 ),
 operations_raw AS (
@@ -116,8 +123,7 @@ CLEAN = f"""
 transactions AS (
   SELECT invoice, stock_code, coalesce(description, 'Unknown') AS description, quantity,
          CAST(invoice_date AS TIMESTAMP) AS invoice_date, price,
-         coalesce(CAST(TRY_CAST(coalesce(customer_id, 'GUEST') AS DECIMAL(20,0)) AS VARCHAR),
-                  coalesce(customer_id, 'GUEST')) AS customer_id,
+         {_id("coalesce(customer_id, 'GUEST')")} AS customer_id,
          country, quantity * price AS revenue,
          coalesce(customer_id, 'GUEST') = 'GUEST' AS is_guest
   FROM transactions_raw
@@ -132,7 +138,7 @@ customers_m AS (
   FROM customers_d
 ),
 customers AS (
-  SELECT customer_id, segment,
+  SELECT {_id("customer_id")} AS customer_id, segment,
          round(coalesce(clv, CASE WHEN segment IS NOT NULL
                                   THEN median(clv) OVER (PARTITION BY segment) END), 2) AS clv,
          acquisition_channel, coalesce(region, 'Unknown') AS region,
@@ -141,7 +147,7 @@ customers AS (
   FROM customers_m
 ),
 tickets AS (
-  SELECT ticket_id, customer_id, location_id, ticket_date,
+  SELECT ticket_id, {_id("customer_id")} AS customer_id, location_id, ticket_date,
          CASE issue_category {_CATEGORY_CASE} END AS issue_category,
          priority, resolution_days,
          CAST(CASE WHEN resolution_days IS NULL THEN 1 WHEN resolution_days > 2 THEN 1 ELSE 0 END
@@ -181,6 +187,7 @@ risk AS (
          avg(k.csat_score) AS avg_csat,
          max(c.segment) AS segment, max(c.clv) AS clv, max(c.region) AS region
   FROM tickets k LEFT JOIN customers c ON k.customer_id = c.customer_id
+  WHERE k.customer_id IS NOT NULL
   GROUP BY k.customer_id
 ),
 risk_profile AS (

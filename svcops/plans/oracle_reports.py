@@ -4,7 +4,7 @@ reports (pandas semantics: null group keys dropped, NaN skipped)."""
 from __future__ import annotations
 
 from svcops.functions import constants as K
-from svcops.plans.oracle_text import avg_r
+from svcops.plans.oracle_text import avg_r, tot
 
 Y = ", ".join(str(y) for y in K.YEARS)
 
@@ -17,12 +17,12 @@ _BAND = """CASE WHEN resolution_days IS NULL THEN 'Abandoned' WHEN resolution_da
 _BURDEN = _TC + f"""
 , burden AS (SELECT segment, count(ticket_id) AS ticket_count,
        round(avg(sla_breached), 2) AS sla_breach_rate, round(avg(csat_score), 2) AS avg_csat,
-       {avg_r('resolution_days', 1, 2)} AS avg_resolution
+       {avg_r('resolution_days', 2)} AS avg_resolution
   FROM tc WHERE segment IS NOT NULL GROUP BY segment)"""
 _CAR = f"""
 , car AS (SELECT segment, count(customer_id) AS customers_at_risk,
        CAST(sum(CAST(clv AS DECIMAL(18,2))) AS DOUBLE) AS clv_at_risk,
-       {avg_r('clv', 2, 2)} AS avg_clv_at_risk
+       {avg_r('clv', 2)} AS avg_clv_at_risk
   FROM risk_profile WHERE churn_risk AND segment IS NOT NULL GROUP BY segment)"""
 _BANDS = f"""
 , bands AS (SELECT {_BAND} AS res_band, round(avg(csat_score), 2) AS avg_csat,
@@ -32,18 +32,18 @@ _RISK = """
          FROM risk_profile WHERE churn_risk),
 pf AS (SELECT sum(CAST(clv AS DECIMAL(18,2))) AS total_clv FROM customers)"""
 _Q4 = f"""
-, q4 AS (SELECT sum(revenue) FILTER (WHERE month(invoice_date) IN (10, 11, 12)) AS q4,
-                sum(revenue) AS annual
+, q4 AS (SELECT {tot("CASE WHEN month(invoice_date) IN (10, 11, 12) THEN revenue END")} AS q4,
+                {tot('revenue')} AS annual
          FROM transactions WHERE year(invoice_date) IN ({Y}))"""
 _QTR = f"""
 , qtr AS (SELECT CAST(year(invoice_date) AS INTEGER) AS year,
-                 CAST(quarter(invoice_date) AS INTEGER) AS quarter, sum(revenue) AS rev
+                 CAST(quarter(invoice_date) AS INTEGER) AS quarter, {tot('revenue')} AS rev
           FROM transactions WHERE year(invoice_date) IN ({Y}) GROUP BY 1, 2)"""
 _EXPO = f"""
 , expo AS (SELECT r.segment, r.customers_at_risk, CAST(r.risk AS DOUBLE) AS clv_at_risk, r.avg_clv,
        round(CAST(r.risk AS DOUBLE) / CAST(s.seg AS DOUBLE) * 100, 1) AS pct_segment_clv_at_risk
   FROM (SELECT segment, count(customer_id) AS customers_at_risk,
-               sum(CAST(clv AS DECIMAL(18,2))) AS risk, {avg_r('clv', 2, 2)} AS avg_clv
+               sum(CAST(clv AS DECIMAL(18,2))) AS risk, {avg_r('clv', 2)} AS avg_clv
         FROM risk_profile WHERE churn_risk AND segment IS NOT NULL GROUP BY segment) r
   LEFT JOIN (SELECT segment, sum(CAST(clv AS DECIMAL(18,2))) AS seg FROM customers
              WHERE segment IS NOT NULL GROUP BY segment) s ON r.segment = s.segment)"""
@@ -112,9 +112,9 @@ FROM (SELECT issue_category, count(ticket_id) AS total_tickets,
       FROM tickets WHERE issue_category IS NOT NULL GROUP BY issue_category)
 ORDER BY response_rate""",
 
-    "bi_portfolio": _RISK + """
+    "bi_portfolio": _RISK + f"""
 SELECT CAST(total_clv AS DOUBLE) AS total_clv,
-       (SELECT round(sum(revenue), 2) FROM transactions) AS total_revenue,
+       (SELECT round({tot('revenue')}, 2) FROM transactions) AS total_revenue,
        CAST(clv_at_risk AS DOUBLE) AS clv_at_risk,
        round(CAST(clv_at_risk AS DOUBLE) / CAST(total_clv AS DOUBLE) * 100, 1) AS pct_at_risk,
        customers_at_risk
@@ -122,7 +122,7 @@ FROM pf, rk""",
     "bi_sla_cost": _TC + f"""
 SELECT round(avg(sla_breached) * 100, 1) AS breach_rate_pct, count(*) AS total_tickets,
        CAST(sum(sla_breached) AS BIGINT) AS breached_tickets,
-       {avg_r('CASE WHEN sla_breached = 1 THEN clv END', 2, 2)} AS avg_clv_per_breach,
+       {avg_r('CASE WHEN sla_breached = 1 THEN clv END', 2)} AS avg_clv_per_breach,
        CAST(sum(CASE WHEN sla_breached = 1 THEN CAST(clv AS DECIMAL(18,2)) END) AS DOUBLE)
          AS total_clv_touched,
        CAST(sum(sla_breached) // 24 AS BIGINT) AS monthly_breaches
@@ -149,7 +149,7 @@ SELECT count(*) FILTER (WHERE month(ticket_date) IN (10, 11, 12)) AS q4_tickets,
          AS q4_breach_rate_pct
 FROM tickets""",
     "bi_avg_quarter": _QTR + f"""
-SELECT quarter, {avg_r('rev', 2, 2)} AS avg_quarter_revenue FROM qtr GROUP BY quarter ORDER BY quarter""",
+SELECT quarter, {avg_r('rev', 2)} AS avg_quarter_revenue FROM qtr GROUP BY quarter ORDER BY quarter""",
     "bi_month_spine": """
 SELECT CAST(s.m AS INTEGER) AS month, coalesce(c.n, 0) AS ticket_count
 FROM range(1, 13) s(m)

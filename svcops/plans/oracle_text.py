@@ -12,13 +12,23 @@ summation order either.
 from __future__ import annotations
 
 
-def avg_r(x: str, scale: int, digits: int, count: str | None = None) -> str:
-    """round_half_up(sum(x) / count(x), digits), exactly, for values ``x``
-    with at most ``scale`` decimals (``count`` overrides the denominator)."""
-    units = f"CAST(round(({x}) * {10 ** scale}) AS BIGINT)"
+def exact(x: str) -> str:
+    """``x`` as a DECIMAL with its own decimals (up to ten), by its shortest text."""
+    return f"CAST(CAST(({x}) AS VARCHAR) AS DECIMAL(28,10))"
+
+
+def tot(x: str) -> str:
+    """Exact sum as DOUBLE."""
+    return f"CAST(sum({exact(x)}) AS DOUBLE)"
+
+
+def avg_r(x: str, digits: int, count: str | None = None) -> str:
+    """round_half_up(sum(x) / count(x), digits) in integers of 10**-10
+    (``count`` overrides the denominator)."""
+    units = f"CAST(replace(CAST(sum({exact(x)}) AS VARCHAR), '.', '') AS HUGEINT)"
     n = count or f"count({x})"
-    num = f"2 * sum({units}) * {10 ** digits} + ({n}) * {10 ** scale}"
-    den = f"nullif(2 * ({n}) * {10 ** scale}, 0)"
+    num = f"2 * {units} * {10 ** digits} + CAST({n} AS HUGEINT) * {10 ** 10}"
+    den = f"nullif(2 * CAST({n} AS HUGEINT) * {10 ** 10}, 0)"
     return f"(CAST(({num}) // {den} AS DOUBLE) / {10 ** digits})"
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
+from svcops.functions import columns as C
 from svcops.operators import clean as CL
 from svcops.session import scratch_path
 
@@ -69,8 +70,7 @@ def add_revenue(df: DataFrame) -> DataFrame:
 def customer_spine(raw_transactions: DataFrame) -> DataFrame:
     """Distinct non-null customer ids as integers."""
     return (raw_transactions.where(F.col("customer_id").isNotNull())
-            .select(F.col("customer_id").try_cast("decimal(20,0)").cast("bigint")
-                    .alias("customer_id"))
+            .select(C.norm_customer_id("customer_id").try_cast("bigint").alias("customer_id"))
             .distinct())
 
 
