@@ -159,8 +159,3 @@ DQ_ACTIONS = {
 # The reference analyses 2010 and 2011; the driver data covers 1995-2001, and
 # its fixture views use 1999 and 2000 in their place.
 YEARS = (1999, 2000)
-
-# Rows of a reference input that are fixed by construction and never grow
-# with the data; used to justify broadcast joins.
-MAX_SEGMENTS = len(set(SEGMENT_MAP.values())) + 1
-MAX_CATEGORIES = len(set(CATEGORY_MAP.values())) + 1

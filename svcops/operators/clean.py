@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from svcops.functions import columns as C
 from svcops.functions.frames import presented, with_scalars
+from svcops.functions.ranks import percentiles
 from svcops.functions import constants as K
 
 # --------------------------------------------------------------------- transactions
@@ -94,8 +95,7 @@ def step_c_segment(df: DataFrame) -> DataFrame:
 
 def segment_medians(df: DataFrame) -> DataFrame:
     """Median CLV per mapped segment (exact, interpolated like pandas)."""
-    return (df.where(F.col("segment").isNotNull())
-              .groupBy("segment").agg(F.median("clv").alias("median_clv")))
+    return percentiles(df, "segment", "clv", (0.5,)).withColumnRenamed("p0", "median_clv")
 
 
 def step_c_clv(df: DataFrame) -> DataFrame:
@@ -267,6 +267,16 @@ def cl_k_rates(T) -> DataFrame:
         C.pct(F.avg(F.col("csat_responded").cast("int"))).alias("response_rate_pct"))
 
 
+def cl_k_category(T) -> DataFrame:
+    """Tickets with mapped categories, and two counts on every row: spellings
+    the quality report lists as inconsistent, and labels that really change."""
+    label = F.col("issue_category")
+    counts = T.raw("tickets").agg(
+        F.count_if(label.isin(*K.CATEGORY_INCONSISTENT)).alias("listed_labels"),
+        F.count_if(~label.eqNullSafe(C.label_map("issue_category", K.CATEGORY_MAP))).alias("changed_labels"))
+    return with_scalars(T.step("tickets", "cl_k_category"), counts)
+
+
 def _step_job(table: str, key: str):
     def job(T) -> DataFrame:
         return T.step(table, key)
@@ -287,5 +297,6 @@ for _table, _steps in (("transactions", TRANSACTION_STEPS), ("customers", CUSTOM
     for _key, _ in _steps:
         QUERIES[_key] = _step_job(_table, _key)
     QUERIES[f"clean_{_table}"] = _clean_job(_table)
+QUERIES["cl_k_category"] = cl_k_category
 QUERIES["cl_c_medians"] = cl_c_medians
 QUERIES["cl_k_rates"] = cl_k_rates

@@ -47,8 +47,8 @@ def eda_revenue_summary(T: Tables) -> DataFrame:
         "total_customers", "guest_pct")
 
 
-def _monthly(T: Tables, years=K.YEARS) -> DataFrame:
-    return (T.t_years(years)
+def _monthly(T: Tables, years=None) -> DataFrame:
+    return (T.t_years(years or T.years)
             .groupBy(C.month_text("invoice_date").alias("month_str"))
             .agg(C.total("revenue").alias("_rev")))
 

@@ -55,7 +55,7 @@ def bi_sla_cost(T: Tables) -> DataFrame:
          .alias("avg_clv_per_breach"),
         F.sum(C.money("clv") * F.col("_b")).cast("double").alias("total_clv_touched"))
     return a.withColumn("monthly_breaches",
-                        F.expr(f"breached_tickets div {K.MONTHS_IN_DATA}"))
+                        F.expr(f"breached_tickets div {int(T.months)}"))
 
 
 def bi_churn_scenarios(T: Tables) -> DataFrame:
@@ -72,7 +72,7 @@ def bi_churn_scenarios(T: Tables) -> DataFrame:
 
 
 def _quarterly(T: Tables) -> DataFrame:
-    return (T.t_years(K.YEARS).groupBy(F.year("invoice_date").alias("year"),
+    return (T.t_years(T.years).groupBy(F.year("invoice_date").alias("year"),
                                 F.quarter("invoice_date").alias("quarter"))
             .agg(C.total("revenue").alias("_rev")))
 
@@ -84,7 +84,7 @@ def bi_quarterly_revenue(T: Tables) -> DataFrame:
 
 def _q4(T: Tables) -> DataFrame:
     is_q4 = F.month("invoice_date").isin(*K.Q4_MONTHS)
-    return T.t_years(K.YEARS).agg(C.total(F.when(is_q4, F.col("revenue"))).alias("q4"),
+    return T.t_years(T.years).agg(C.total(F.when(is_q4, F.col("revenue"))).alias("q4"),
                            C.total("revenue").alias("annual"))
 
 

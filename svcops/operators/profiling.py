@@ -2,7 +2,7 @@
 
 Every profile is one aggregate pass per table (``count_if`` per column, all
 statistics in one ``agg``), reshaped with ``unpivot`` / ``inline``; exact
-quartiles use ``percentile`` (not ``summary()``, which approximates)."""
+quartiles come from ranked distinct values (``functions.ranks``)."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from svcops.functions import columns as C
-from svcops.functions.frames import presented
+from svcops.functions.frames import presented, with_scalars
+from svcops.functions.ranks import percentiles
 from svcops.operators.experience import risk_profile
 from svcops.sources.catalog import CLEAN_TABLES, Tables
 
@@ -85,13 +86,16 @@ _STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 def prof_describe(T: Tables) -> DataFrame:
     """``describe()`` of quantity and price on the raw lines, 2 decimals."""
     raw = T.raw("transactions")
+    long = raw.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v"))
+                                          for c in ("quantity", "price")])).alias("x")).select("x.c", "x.v")
+    quartiles = percentiles(long, "c", "v", (0.25, 0.5, 0.75)).agg(*[
+        F.max(F.when(F.col("c") == c, F.array("p0", "p1", "p2"))).alias(f"{c}_q") for c in ("quantity", "price")])
     aggs = []
     for c in ("quantity", "price"):
-        q = F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         aggs += [F.count(c).cast("double").alias(f"{c}_count"), C.avg_round(c, 2).alias(f"{c}_mean"),
                  F.stddev_samp(c).alias(f"{c}_std"), F.min(c).cast("double").alias(f"{c}_min"),
-                 q.alias(f"{c}_q"), F.max(c).cast("double").alias(f"{c}_max")]
-    wide = raw.agg(*aggs)
+                 F.max(c).cast("double").alias(f"{c}_max")]
+    wide = with_scalars(raw.agg(*aggs), quartiles)
 
     def stat(c: str, s: str):
         if s in ("25%", "50%", "75%"):
@@ -127,6 +131,24 @@ def prof_preview(T: Tables, n: int = 5) -> DataFrame:
     return T.c.orderBy("customer_id").limit(n)
 
 
+def prof_preview_transactions(T: Tables, n: int = 10) -> DataFrame:
+    raw = T.raw("transactions")
+    return raw.orderBy("invoice", "stock_code", *raw.columns).limit(n)
+
+
+def prof_preview_customers(T: Tables, n: int = 5) -> DataFrame:
+    raw = T.raw("customers")
+    return raw.orderBy(*raw.columns).limit(n)
+
+
+def prof_preview_tickets(T: Tables, n: int = 5) -> DataFrame:
+    return T.raw("tickets").orderBy("ticket_id").limit(n)
+
+
+def prof_preview_operations(T: Tables, n: int = 5) -> DataFrame:
+    return T.raw("operations").orderBy("location_id", "quarter").limit(n)
+
+
 def prof_row_counts(T: Tables) -> DataFrame:
     return _union([T.clean(t).agg(F.count(F.lit(1)).alias("rows"))
                    .select(F.lit(t).alias("table"), "rows") for t in CLEAN_TABLES])
@@ -142,5 +164,9 @@ QUERIES = {
     "prof_sign_counts": prof_sign_counts,
     "prof_duplicates": prof_duplicates,
     "prof_preview": prof_preview,
+    "prof_preview_transactions": prof_preview_transactions,
+    "prof_preview_customers": prof_preview_customers,
+    "prof_preview_tickets": prof_preview_tickets,
+    "prof_preview_operations": prof_preview_operations,
     "prof_row_counts": prof_row_counts,
 }

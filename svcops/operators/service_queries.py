@@ -164,8 +164,8 @@ def q2_4_channel_clv(T: Tables) -> DataFrame:
         .transform(presented, F.desc("avg_clv"), "acquisition_channel"))
 
 
-def q2_5_mom_growth(T: Tables, years=K.YEARS) -> DataFrame:
-    g = (T.t_years(years)
+def q2_5_mom_growth(T: Tables, years=None) -> DataFrame:
+    g = (T.t_years(years or T.years)
          .groupBy(C.month_text("invoice_date").alias("month"))
          .agg(C.total("revenue").alias("_rev")))
     prev = F.lag("_rev").over(Window.orderBy("month"))
@@ -246,8 +246,8 @@ def q3_3_churn_cost(T: Tables) -> DataFrame:
             .transform(presented, "churn_rate").drop("churn_rate"))
 
 
-def q3_4_quarter_share(T: Tables, years=K.YEARS) -> DataFrame:
-    g = (T.t_years(years)
+def q3_4_quarter_share(T: Tables, years=None) -> DataFrame:
+    g = (T.t_years(years or T.years)
          .groupBy(F.year("invoice_date").alias("year"),
                   F.quarter("invoice_date").alias("quarter"))
          .agg(C.total("revenue").alias("_rev")))

@@ -111,7 +111,11 @@ SQL = {
     "clean_customers": "SELECT * FROM customers",
     "cl_c_medians": """SELECT segment, round(median(clv), 2) AS median_clv FROM customers_m
 WHERE segment IS NOT NULL GROUP BY segment ORDER BY segment""",
-    "cl_k_category": _K1,
+    "cl_k_category": f"""SELECT *,
+       (SELECT count(*) FILTER (WHERE issue_category IN ({_CAT})) FROM tickets_raw) AS listed_labels,
+       (SELECT count(*) FILTER (WHERE issue_category IS DISTINCT FROM CASE issue_category {_CATEGORY_CASE} END)
+        FROM tickets_raw) AS changed_labels
+FROM ({_K1})""",
     "cl_k_abandoned": _K2,
     "cl_k_breach": _K3,
     "cl_k_responded": _K4,

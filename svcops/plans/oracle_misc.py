@@ -95,6 +95,12 @@ FROM transactions_raw""",
        CAST((SELECT count(*) FROM customers_raw) - (SELECT count(*) FROM customers_d) AS BIGINT)
          AS duplicate_rows""",
     "prof_preview": "SELECT * FROM customers ORDER BY customer_id LIMIT 5",
+    "prof_preview_transactions": """SELECT * FROM transactions_raw
+ORDER BY invoice, stock_code, description NULLS FIRST, quantity, invoice_date, price, customer_id NULLS FIRST LIMIT 10""",
+    "prof_preview_customers": """SELECT * FROM customers_raw
+ORDER BY customer_id, segment, clv NULLS FIRST, acquisition_channel, region NULLS FIRST LIMIT 5""",
+    "prof_preview_tickets": "SELECT * FROM tickets_raw ORDER BY ticket_id LIMIT 5",
+    "prof_preview_operations": "SELECT * FROM operations_raw ORDER BY location_id, quarter LIMIT 5",
     "prof_row_counts": "\nUNION ALL ".join(
         f"SELECT '{t}' AS \"table\", count(*) AS \"rows\" FROM {t}" for t in CLEAN_COLUMNS),
 
@@ -114,6 +120,13 @@ FROM transactions_raw WHERE customer_id IS NOT NULL""",
        (SELECT round(avg(csat_score), 2) FROM tickets) AS avg_csat,
        (SELECT CAST(sum(CAST(clv AS DECIMAL(18,2))) AS DOUBLE) FROM risk_profile WHERE churn_risk)
          AS clv_at_risk""",
+    "dash_kpis_corporate": f"""
+, ids AS (SELECT customer_id FROM customers WHERE segment = 'Corporate')
+SELECT (SELECT round({tot('revenue')}, 2) FROM transactions WHERE customer_id IN (FROM ids)) AS total_revenue,
+       (SELECT round(avg(sla_breached) * 100, 1) FROM tickets WHERE customer_id IN (FROM ids)) AS breach_rate_pct,
+       (SELECT round(avg(csat_score), 2) FROM tickets WHERE customer_id IN (FROM ids)) AS avg_csat,
+       (SELECT CAST(sum(CAST(clv AS DECIMAL(18,2))) AS DOUBLE) FROM risk_profile
+        WHERE churn_risk AND segment = 'Corporate') AS clv_at_risk""",
     "dash_csat_by_category": """SELECT issue_category, round(avg(csat_score), 2) AS avg_csat,
        count(ticket_id) AS ticket_count
 FROM tickets WHERE issue_category IS NOT NULL GROUP BY issue_category ORDER BY avg_csat""",

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -22,16 +23,14 @@ DEFAULT_CONF = {
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "svcops", extra: dict | None = None) -> SparkSession:
     """Session for tests, the bench and local runs. On a cluster the caller's
-    own session is used and only its existing settings apply."""
+    own session is used and only its existing settings apply. The work folder
+    is never set here: ``shared_dir`` takes the one the session names."""
     cpus = os.environ.get("BENCH_CPUS", "*")
     builder = SparkSession.builder.master(master or f"local[{cpus}]").appName(app_name)
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or 8)
     conf["spark.driver.memory"] = os.environ.get("SVCOPS_DRIVER_MEMORY", "16g")
     conf.update(extra or {})
-    if "spark.checkpoint.dir" not in conf:
-        conf.setdefault("spark.checkpoint.dir", tempfile.mkdtemp(prefix="svcops-ckpt-"))
-    conf.setdefault("spark.sql.warehouse.dir", f"{conf['spark.checkpoint.dir']}/warehouse")
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -43,18 +42,54 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
-    It is read from the session; only when it is unset (local tests, the
-    bench) is a scratch folder created and registered as the checkpoint dir.
+    It is read from the session. Where it is unset, a local session (tests,
+    the bench) gets a scratch folder; any other master is an error, because
+    its executors could not see a folder of this machine.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="svcops-ckpt-"))
-        d = spark.sparkContext.getCheckpointDir()
-    return d.rstrip("/")
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not (named or context.getCheckpointDir()):
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="svcops-ckpt-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return (named or context.getCheckpointDir()).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared folder."""
     return f"{shared_dir(spark)}/svcops/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder, so that what reads it
+    again sees the same rows in the same partitions and a lost executor costs
+    a reread. Spark removes it when the result is no longer used."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _path(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def file_version(spark: SparkSession, paths) -> tuple:
+    """Names, sizes and modification times of the files at the paths: what a
+    staged copy of them depends on. Works on any store that Spark reads."""
+    out = []
+    for p in paths:
+        path, fs = _path(spark, p)
+        if fs.exists(path):
+            files = fs.listStatus(path) if fs.getFileStatus(path).isDirectory() else [fs.getFileStatus(path)]
+            out += sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
+    return tuple(out)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a work folder of our own under the shared folder."""
+    if not path.startswith(f"{shared_dir(spark)}/svcops/"):
+        raise ValueError(f"not a work folder: {path}")
+    hadoop, fs = _path(spark, path)
+    fs.delete(hadoop, True)

@@ -1,14 +1,14 @@
-"""Raw and clean tables of one data directory, optionally staged as Parquet.
-
-The analysis is a chain of stages (raw extract -> clean tables -> reports).
-Like the original, where each stage writes files the next one reads, the
-raw and clean tables can be *staged*: written once as Parquet into the
-cluster-shared folder (``spark.checkpoint.dir``) and read back by every
-query. That cuts the lineage (a lost executor recomputes from the staged
-files, not from the five-way join), lets each report scan only its columns,
-and makes the expensive derivation a one-off per session. The write is a
-normal Spark job: task retries and the output committer make it survive
-executor loss; a half-written folder is never registered.
+"""Raw and clean tables of one data directory, of files or of DataFrames.
+
+Asking for a table builds a plan; a table that takes a shuffle to make (clean
+transactions, customers and operations, the risk profile) is *staged* on first
+use: written once as Parquet into the cluster-shared folder and read back by
+every report. Tickets are a projection of their source and are never staged, so
+column pruning reaches the source. A stage belongs to the version of its input
+files (names, sizes, modification times): when they change, the next use writes
+it anew and removes the old one; ``unstage`` removes all. The write is a normal
+Spark job: task retries and the output committer make it survive executor
+loss; a half-written folder is never registered.
 """
 
 from __future__ import annotations
@@ -16,77 +16,116 @@ from __future__ import annotations
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from svcops.functions import columns as C
+from svcops.functions import constants as K
 from svcops.operators import clean as CL
-from svcops.session import scratch_path
+from svcops.session import file_version, remove_path, scratch_path
 from svcops.sources import fixtures as FX
 
-_LOCK = threading.RLock()
-_STAGED: dict[tuple[str, str, str], str] = {}
+_LOCK = threading.Lock()
+_STAGED: dict[tuple, tuple[tuple, str]] = {}  # key -> (input version, path)
+_BUILDING: dict[tuple, threading.Lock] = {}
 
 CLEAN_TABLES = ("transactions", "customers", "tickets", "operations")
 YEAR_PARTITION = "invoice_year"
+SOURCES = ("region", "nation", "customer", "part", "orders", "lineitem")
 
 
 class Tables:
-    """Accessor for ``<name>_raw`` and clean ``<name>`` DataFrames."""
+    """Accessor for raw and clean tables. ``years`` are the years that the year
+    reports cover, ``months`` the number of months that the tickets span."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, staged: bool = True,
-                 raw_frames: dict[str, DataFrame] | None = None):
+                 raw_frames: dict[str, DataFrame] | None = None, files: dict[str, str] | None = None,
+                 years: tuple[int, ...] = K.YEARS, months: int = K.MONTHS_IN_DATA):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self.staged = staged and not raw_frames
+        self.files = dict(files or {})
         self.raw_frames = dict(raw_frames or {})
+        self.staged = staged and not (self.raw_frames and not self.files)
+        self.years = tuple(years)
+        self.months = months
+
+    @classmethod
+    def from_frames(cls, spark: SparkSession, *, years=K.YEARS, months=K.MONTHS_IN_DATA,
+                    **raw: DataFrame) -> Tables:
+        """Tables over given raw DataFrames (``transactions=...``, ...), unstaged."""
+        return cls(spark, "<frames>", staged=False, raw_frames=raw, years=years, months=months)
 
     @classmethod
-    def from_frames(cls, spark: SparkSession, **raw: DataFrame) -> "Tables":
-        """Tables over given raw DataFrames (``transactions=...``, ...), unstaged;
-        used for small hand-made edge-case inputs."""
-        return cls(spark, "<frames>", staged=False, raw_frames=raw)
+    def from_files(cls, spark: SparkSession, *, years=K.YEARS, months=K.MONTHS_IN_DATA,
+                   staged: bool = True, **paths: str) -> Tables:
+        """Tables over one's own raw files: ``transactions=path, customers=path,
+        tickets=path, operations=path``, CSV with a header or Parquet (by the
+        path's ending), read with the raw schemas of ``sources.io``."""
+        from svcops.sources.io import read_raw
+        return cls(spark, "<files>", staged=staged, files=paths, years=years, months=months,
+                   raw_frames={name: read_raw(spark, name, path) for name, path in paths.items()})
 
     # ------------------------------------------------------------------ staging
-    def _stage_path(self, name: str, build, partition_by: tuple[str, ...] = ()) -> str:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+    def _version(self) -> tuple:
+        paths = self.files.values() or [f"{self.sf_dir}/{t}.parquet" for t in SOURCES]
+        return file_version(self.spark, paths)
+
+    def stage_path(self, name: str, write) -> str:
+        """A folder of the shared directory that ``write(path)`` filled from this
+        version of the input; it is called once for each version."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, tuple(sorted(self.files.items())), name)
+        version = self._version()
         with _LOCK:
-            path = _STAGED.get(key)
-            if path is None:
-                path = scratch_path(self.spark, f"stage-{name}")
-                build().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-                _STAGED[key] = path
+            building = _BUILDING.setdefault(key, threading.Lock())
+        with building:  # other stages go on meanwhile
+            old = _STAGED.get(key)
+            if old and old[0] == version:
+                return old[1]
+            path = scratch_path(self.spark, f"stage-{name}")
+            write(path)
+            _STAGED[key] = (version, path)
+        if old:
+            remove_path(self.spark, old[1])
         return path
 
-    def _stage(self, name: str, build) -> DataFrame:
+    def unstage(self) -> None:
+        """Remove everything staged from this source."""
+        own = (self.spark.sparkContext.applicationId, self.sf_dir, tuple(sorted(self.files.items())))
+        for key in [k for k in _STAGED if k[:3] == own]:
+            remove_path(self.spark, _STAGED.pop(key)[1])
+
+    def _stage(self, name: str, build, partition_by: tuple[str, ...] = (), sort: tuple[str, ...] = ()) -> DataFrame:
         if not self.staged:
             return build()
-        return self.spark.read.parquet(self._stage_path(name, build))
 
-    # ------------------------------------------------------------------ tables
-    def driver(self, name: str) -> DataFrame:
-        return FX.read_table(self.spark, self.sf_dir, name)
+        def write(path: str) -> None:
+            df = build()
+            df = df.sortWithinPartitions(*partition_by, *sort) if sort else df
+            df.write.partitionBy(*partition_by).parquet(path)
+
+        return self.spark.read.parquet(self.stage_path(name, write))
 
+    # ------------------------------------------------------------------ tables
     def raw(self, name: str) -> DataFrame:
         """``transactions``/``customers``/``tickets``/``operations`` raw table."""
         if name in self.raw_frames:
             return self.raw_frames[name]
-        builder = FX.RAW_BUILDERS[f"{name}_raw"]
-        return self._stage(f"{name}_raw", lambda: builder(self.spark, self.sf_dir))
+        return FX.RAW_BUILDERS[f"{name}_raw"](self.spark, self.sf_dir)
 
     def clean(self, name: str) -> DataFrame:
-        cleaner = CL.CLEANERS[name]
         if name == "transactions" and self.staged:
             return self._transactions_staged().drop(YEAR_PARTITION)
-        return self._stage(name, lambda: cleaner(self.raw(name)))
+        cleaned = CL.CLEANERS[name]
+        if name == "tickets":
+            return cleaned(self.raw(name))
+        return self._stage(name, lambda: cleaned(self.raw(name)))
 
     def _transactions_staged(self) -> DataFrame:
-        """Clean transactions, staged partitioned by invoice year."""
+        """Clean transactions by invoice year, sorted by date inside the files, so
+        that a date range skips row groups."""
         def build():
             t = CL.clean_transactions(self.raw("transactions"))
             return t.withColumn(YEAR_PARTITION, F.year("invoice_date"))
-        return self.spark.read.parquet(
-            self._stage_path("transactions", build, (YEAR_PARTITION,)))
+        return self._stage("transactions", build, (YEAR_PARTITION,), ("invoice_date",))
 
     def t_years(self, years) -> DataFrame:
         """Clean transactions of the given invoice years: partition pruning on

@@ -1,13 +1,14 @@
 """Typed CSV / Parquet sources and sinks, and the table sink.
 
-Reads always pass an explicit schema (no inference pass over the data);
-writes go to the cluster-shared folder. The CSV round trips are the
-re-aimed form of the original's spreadsheet and CSV hand-offs.
+Reads always pass an explicit schema (no inference pass over the data). The
+registered round trips write to the cluster-shared folder, once for each
+version of the input; they are the re-aimed form of the original's
+spreadsheet and CSV hand-offs.
 """
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,26 +16,42 @@ from pyspark.sql import types as T_
 
 from svcops.functions import columns as C
 from svcops.operators import clean as CL
-from svcops.session import scratch_path
-
-S = T_.StringType()
-TRANSACTIONS_RAW_SCHEMA = T_.StructType([
-    T_.StructField("invoice", S), T_.StructField("stock_code", S),
-    T_.StructField("description", S), T_.StructField("quantity", T_.IntegerType()),
-    T_.StructField("invoice_date", T_.TimestampNTZType()), T_.StructField("price", T_.DoubleType()),
-    T_.StructField("customer_id", S), T_.StructField("country", S),
-    T_.StructField("revenue", T_.DoubleType())])
-TICKETS_RAW_SCHEMA = T_.StructType([
-    T_.StructField("ticket_id", S), T_.StructField("customer_id", S),
-    T_.StructField("location_id", S), T_.StructField("ticket_date", T_.DateType()),
-    T_.StructField("issue_category", S), T_.StructField("priority", S),
-    T_.StructField("resolution_days", T_.DoubleType()), T_.StructField("csat_score", T_.DoubleType()),
-    T_.StructField("status", S)])
-CUSTOMERS_CLEAN_SCHEMA = T_.StructType([
-    T_.StructField("customer_id", S), T_.StructField("segment", S),
-    T_.StructField("clv", T_.DoubleType()), T_.StructField("acquisition_channel", S),
-    T_.StructField("region", S), T_.StructField("acquisition_date", T_.DateType()),
-    T_.StructField("clv_imputed", T_.BooleanType())])
+
+S, D, I = T_.StringType(), T_.DoubleType(), T_.IntegerType()
+DAY, B = T_.DateType(), T_.BooleanType()
+
+
+def _schema(*fields) -> T_.StructType:
+    return T_.StructType([T_.StructField(n, t) for n, t in fields])
+
+
+TRANSACTIONS_RAW_SCHEMA = _schema(
+    ("invoice", S), ("stock_code", S), ("description", S), ("quantity", I), ("invoice_date", T_.TimestampNTZType()),
+    ("price", D), ("customer_id", S), ("country", S), ("revenue", D))
+CUSTOMERS_RAW_SCHEMA = _schema(
+    ("customer_id", S), ("segment", S), ("clv", D), ("acquisition_channel", S), ("region", S), ("acquisition_date", DAY))
+TICKETS_RAW_SCHEMA = _schema(
+    ("ticket_id", S), ("customer_id", S), ("location_id", S), ("ticket_date", DAY), ("issue_category", S),
+    ("priority", S), ("resolution_days", D), ("csat_score", D), ("status", S))
+OPERATIONS_RAW_SCHEMA = _schema(
+    ("location_id", S), ("quarter", S), ("region", S), ("staff_count", D), ("sla_target_days", D),
+    ("sla_achievement_rate", D), ("inventory_level", D), ("ticket_volume_handled", I))
+RAW_SCHEMAS = {"transactions": TRANSACTIONS_RAW_SCHEMA, "customers": CUSTOMERS_RAW_SCHEMA,
+               "tickets": TICKETS_RAW_SCHEMA, "operations": OPERATIONS_RAW_SCHEMA}
+
+CLEAN_SCHEMAS = {
+    "transactions": _schema(*((f.name, f.dataType) for f in TRANSACTIONS_RAW_SCHEMA), ("is_guest", B)),
+    "customers": _schema(*((f.name, f.dataType) for f in CUSTOMERS_RAW_SCHEMA), ("clv_imputed", B)),
+    "tickets": _schema(
+        ("ticket_id", S), ("customer_id", S), ("location_id", S), ("ticket_date", DAY), ("issue_category", S),
+        ("priority", S), ("resolution_days", D), ("sla_breached", I), ("csat_score", D), ("status", S),
+        ("is_abandoned", B), ("csat_responded", B)),
+    "operations": _schema(*((f.name, f.dataType) for f in OPERATIONS_RAW_SCHEMA),
+                          ("sla_imputed", B), ("staff_imputed", B), ("sla_status", S)),
+}
+
+#: Text that stands for a missing value in the CSV files this package writes for itself.
+NULL_TEXT = "\\N"
 
 # Column headers of the original retail export, in file order (fixed values).
 SOURCE_HEADERS = ("Invoice", "StockCode", "Description", "Quantity", "InvoiceDate", "Price",
@@ -43,16 +60,39 @@ SNAKE_NAMES = ("invoice", "stock_code", "description", "quantity", "invoice_date
                "customer_id", "country", "revenue")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T_.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+def _csv_options(null_text: str) -> dict[str, str]:
+    """Ordinary CSV: quotes are doubled inside quoted fields, blanks are data."""
+    return {"header": "true", "quote": '"', "escape": '"', "nullValue": null_text,
+            "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def read_csv(spark: SparkSession, path: str, schema: T_.StructType, null_text: str = "",
+             multi_line: bool = False) -> DataFrame:
+    """CSV with a header, every column of the schema present. ``null_text``: the
+    text of a missing value (by default an empty field). ``multi_line``: fields
+    may hold line breaks; such a file is read by one task, so leave it off for
+    large files that have none."""
+    return (spark.read.schema(schema).options(**_csv_options(null_text), emptyValue="")
+            .option("multiLine", multi_line).option("mode", "FAILFAST").csv(path))
+
+
+def write_csv(df: DataFrame, path: str, null_text: str = "") -> None:
+    df.write.options(**_csv_options(null_text), emptyValue='""').csv(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+def read_raw(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """One of the four raw tables from a Parquet or CSV path."""
+    if path.rstrip("/").endswith(".parquet"):
+        return spark.read.schema(RAW_SCHEMAS[name]).parquet(path)
+    return read_csv(spark, path, RAW_SCHEMAS[name], multi_line=name == "transactions")
 
 
-def write_parquet(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def write_outputs(T, base: str) -> None:
+    """The analysis' three CSV outputs: risk profile, critical list, quality report."""
+    from svcops.operators import experience, quality
+    write_csv(experience.cx_risk_profile(T), f"{base}/customer_risk_profile")
+    write_csv(experience.cx_critical_top20(T), f"{base}/critical_risk_customers")
+    write_csv(quality.dq_report(T), f"{base}/data_quality_report")
 
 
 def rename_snake(df: DataFrame) -> DataFrame:
@@ -76,45 +116,50 @@ def customer_spine(raw_transactions: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ registered jobs
 
-def src_sheets_union(T) -> DataFrame:
-    """Two yearly 'sheets' (written as CSV) read with a schema and appended."""
-    raw = T.raw("transactions")
-    base = scratch_path(T.spark, "sheets")
-    first = F.year("invoice_date") < 1998
-    write_csv(raw.where(first), f"{base}/sheet_a")
-    write_csv(raw.where(~first), f"{base}/sheet_b")
-    a = read_csv(T.spark, f"{base}/sheet_a", TRANSACTIONS_RAW_SCHEMA)
-    b = read_csv(T.spark, f"{base}/sheet_b", TRANSACTIONS_RAW_SCHEMA)
-    return a.unionByName(b)
+def src_sheets_union(T, boundary_year: int = 1998) -> DataFrame:
+    """Yearly 'sheets' (CSV folders of one write) read with a schema and appended.
+    Lines before the boundary year are one sheet, lines from it on another, and
+    lines without a date a third, so none is lost."""
+    year = F.year("invoice_date")
+    sheet = F.when(year < boundary_year, "a").when(year >= boundary_year, "b").otherwise("undated")
+
+    def write(path: str) -> None:
+        raw = T.raw("transactions").withColumn("sheet", sheet)
+        raw.write.options(**_csv_options(NULL_TEXT), emptyValue='""').partitionBy("sheet").csv(path)
+
+    path = T.stage_path(f"sheets-{boundary_year}", write)
+    # the folder names carry the sheet; one read appends them
+    return read_csv(T.spark, path, _schema(*((f.name, f.dataType) for f in TRANSACTIONS_RAW_SCHEMA), ("sheet", S)),
+                    NULL_TEXT).drop("sheet")
 
 
 def src_csv(T) -> DataFrame:
-    path = scratch_path(T.spark, "tickets_raw_csv")
-    write_csv(T.raw("tickets"), path)
-    return read_csv(T.spark, path, TICKETS_RAW_SCHEMA)
+    path = T.stage_path("tickets_raw_csv", lambda p: write_csv(T.raw("tickets"), p, NULL_TEXT))
+    return read_csv(T.spark, path, TICKETS_RAW_SCHEMA, NULL_TEXT)
 
 
 def sink_csv(T) -> DataFrame:
-    path = scratch_path(T.spark, "customers_clean_csv")
-    write_csv(T.c, path)
-    return read_csv(T.spark, path, CUSTOMERS_CLEAN_SCHEMA)
+    path = T.stage_path("customers_clean_csv", lambda p: write_csv(T.c, p, NULL_TEXT))
+    return read_csv(T.spark, path, CLEAN_SCHEMAS["customers"], NULL_TEXT)
 
 
-def sink_tables(T) -> DataFrame:
-    """Four clean tables saved into a database (one per call, so a returned
-    DataFrame never sees a later overwrite); row counts read back."""
-    db = f"svcops_tables_{uuid.uuid4().hex[:8]}"
-    loc = scratch_path(T.spark, db)
-    T.spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{loc}'")
-    parts = []
+def save_tables(T, database: str, location: str) -> None:
+    """The four clean tables as Spark tables of a database at ``location``."""
+    T.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{location}'")
     for name in CL.CLEANERS:
-        T.clean(name).write.mode("overwrite").format("parquet").saveAsTable(f"{db}.{name}")
-        parts.append(T.spark.table(f"{db}.{name}").agg(F.count(F.lit(1)).alias("rows"))
-                     .select(F.lit(name).alias("table"), "rows"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        T.clean(name).write.mode("overwrite").format("parquet").saveAsTable(f"{database}.{name}")
+
+
+def sink_tables(T) -> DataFrame:
+    """Row counts read back from the saved tables; they are written once for
+    each version of the input."""
+    def database(path: str) -> str:
+        return "svcops_" + path.rsplit("-", 1)[-1]
+
+    path = T.stage_path("tables", lambda p: save_tables(T, database(p), p))
+    counts = [T.spark.table(f"{database(path)}.{name}").agg(F.count(F.lit(1)).alias("rows"))
+              .select(F.lit(name).alias("table"), "rows") for name in CL.CLEANERS]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def src_rename_snake(T) -> DataFrame:

@@ -2,51 +2,57 @@
 
 The same aggregation runs on a static DataFrame and on a stream: tumbling
 7-day windows starting on Mondays (the epoch is a Thursday, so the window
-start is offset by 4 days). On a stream a watermark bounds the state: a
-week is emitted once the watermark passes its end, later tickets for it
-are dropped by the engine (the usual late-data contract).
+start is offset by 4 days). Weeks belong to the ticket's date, whatever the
+session's time zone. On a stream a watermark bounds the state: a week is
+emitted once the watermark passes its end, later tickets for it are dropped
+by the engine (the usual late-data contract).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WEEK = "7 days"
 MONDAY_OFFSET = "4 days"
 
 
-def weekly_breach_agg(tickets: DataFrame, ts_col: str = "ticket_date") -> DataFrame:
-    """Batch input: a DATE column is windowed as ``timestamp_ntz`` (no session
-    time-zone shift of the week boundaries); a stream passes its event-time
-    timestamp column."""
-    col = F.col(ts_col)
-    ts = col.cast("timestamp_ntz") if ts_col == "ticket_date" else col
-    g = (tickets.groupBy(F.window(ts, WEEK, WEEK, MONDAY_OFFSET).alias("w"), "location_id")
-         .agg(F.count("ticket_id").alias("tickets"),
-              F.sum("sla_breached").alias("breaches")))
-    return g.select(F.to_date(F.col("w.start")).alias("week_start"), "location_id", "tickets",
-                    "breaches", F.round(F.col("breaches") / F.col("tickets"), 3).alias("breach_rate"))
+def _week_start(start: Column) -> Column:
+    """Date of a window that was cut in UTC (an instant) or without a zone."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(start) / 86400).cast("int"))
+
+
+def _rates(groups, start: Column) -> DataFrame:
+    g = groups.agg(F.count("ticket_id").alias("tickets"), F.sum("sla_breached").alias("breaches"))
+    return g.select(start.alias("week_start"), "location_id", "tickets", "breaches",
+                    F.round(F.col("breaches") / F.col("tickets"), 3).alias("breach_rate"))
+
+
+def weekly_breach_agg(tickets: DataFrame) -> DataFrame:
+    """Batch: the date is windowed as ``timestamp_ntz``."""
+    ts = F.col("ticket_date").cast("timestamp_ntz")
+    return _rates(tickets.groupBy(F.window(ts, WEEK, WEEK, MONDAY_OFFSET).alias("w"), "location_id"),
+                  F.to_date(F.col("w.start")))
 
 
 def weekly_breach_stream(spark: SparkSession, tickets_path: str, schema,
                          watermark: str = "14 days") -> DataFrame:
     """Streaming version over Parquet files of clean tickets arriving in
-    ``tickets_path`` (append output mode)."""
+    ``tickets_path``. Event time is the date's midnight in UTC: watermarks take
+    instants only."""
+    event = F.timestamp_seconds(F.unix_date("ticket_date").cast("bigint") * 86400)
     stream = (spark.readStream.schema(schema).parquet(tickets_path)
-              .withColumn("ticket_ts", F.col("ticket_date").cast("timestamp"))
-              .withWatermark("ticket_ts", watermark))
-    return weekly_breach_agg(stream, "ticket_ts")
-
-
-def start_weekly_breach_stream(spark: SparkSession, tickets_path: str, schema, table: str,
-                               watermark: str = "14 days"):
-    """Start the stream into a Parquet folder under the shared work folder,
-    with its checkpoint there too, so a restarted query (or a lost executor)
-    resumes exactly-once from the last committed batch."""
-    from svcops.session import scratch_path
-    base = scratch_path(spark, f"stream-{table}")
+              .withColumn("ticket_ts", event).withWatermark("ticket_ts", watermark))
+    return _rates(stream.groupBy(F.window("ticket_ts", WEEK, WEEK, MONDAY_OFFSET).alias("w"), "location_id"),
+                  _week_start(F.col("w.start")))
+
+
+def start_weekly_breach_stream(spark: SparkSession, tickets_path: str, schema, data_path: str,
+                               checkpoint_path: str, watermark: str = "14 days"):
+    """Start the stream into the Parquet folder ``data_path``. Started again with
+    the same two paths, on shared storage, it goes on after the last committed
+    batch, and each week is written exactly once."""
     return (weekly_breach_stream(spark, tickets_path, schema, watermark)
             .writeStream.outputMode("append").format("parquet")
-            .option("path", f"{base}/data").option("checkpointLocation", f"{base}/checkpoint")
+            .option("path", data_path).option("checkpointLocation", checkpoint_path)
             .start())

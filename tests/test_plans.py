@@ -2,7 +2,10 @@
 
 import pytest
 
+from svcops.operators.dashboard import dash_kpis
+from svcops.operators.experience import _risk_profile, cx_match_coverage
 from svcops.plans.registry import queries
+from svcops.sources.catalog import Tables
 
 PLAN_KEYS = sorted(k for k in queries() if not k.startswith(("src_", "sink_")))
 
@@ -18,13 +21,51 @@ def test_no_pairing_joins(spark, sf_dir, key):
     assert "BroadcastNestedLoopJoin" not in plan
 
 
-def test_hot_keys_are_pre_aggregated(spark, sf_dir):
-    """Per-customer aggregation combines map-side before the shuffle, so a
-    customer with a third of all tickets sends one row per map task."""
-    from svcops.operators.experience import _risk_profile
-    from svcops.sources.catalog import Tables
-    p = _plan(_risk_profile(Tables(spark, sf_dir)))
-    assert "partial_count" in p and "partial_sum" in p
+@pytest.fixture
+def no_broadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+#: Hash exchanges of a report when no side is small enough to broadcast.
+EXCHANGES = {"cx_risk_profile": 0, "q1_1_breach_by_location": 1, "q2_2_top20_customers": 3, "q2_4_channel_clv": 1,
+             "q4_3_repeat_bands": 3, "weekly_breach": 1}
+
+
+@pytest.mark.parametrize("key", sorted(EXCHANGES))
+def test_exchanges(spark, sf_dir, no_broadcast, key):
+    plan = _plan(queries()[key](spark, sf_dir))
+    assert plan.count("Exchange hashpartitioning") <= EXCHANGES[key]
+
+
+def test_lines_are_summed_before_they_meet_a_key(spark, sf_dir, no_broadcast):
+    """Every exchange below a join on customers carries sums, made map-side."""
+    T = Tables(spark, sf_dir)
+    for df in (_risk_profile(T), dash_kpis(T, segment="Corporate", location="LOC_01"), cx_match_coverage(T)):
+        lines = _plan(df).splitlines()
+        for i, line in enumerate(lines):
+            if "Exchange hashpartitioning(customer_id" in line:
+                below = next(x for x in lines[i + 1:] if "InputAdapter" not in x)
+                customers_side = "segment#" in below or "clv#" in below  # a row for each customer
+                assert "partial_" in below or "functions=[]" in below or customers_side, below
+
+
+def test_guests_stay_out_of_the_filtered_dashboard(spark, sf_dir):
+    plan = _plan(dash_kpis(Tables(spark, sf_dir), segment="Corporate"))
+    assert "NOT (customer_id" in plan and "GUEST" in plan
+
+
+def test_no_percentile_buffers(spark, sf_dir):
+    for key in ("cl_c_medians", "cl_c_clv", "prof_describe"):
+        plan = _plan(queries()[key](spark, sf_dir)).lower()
+        assert "percentile" not in plan and "median(" not in plan
+
+
+def test_no_forced_broadcast_of_locations(spark, sf_dir, no_broadcast):
+    plan = _plan(queries()["q3_2_location_exposure"](spark, sf_dir))
+    assert "BroadcastExchange" not in plan
 
 
 def test_year_reports_prune_partitions(spark, sf_dir):

@@ -1,10 +1,12 @@
 """The weekly breach aggregation gives the same result on a stream."""
 
-from pyspark.sql import functions as F
+import datetime as dt
+
+import pytest
 
 from svcops.session import scratch_path
 from svcops.sources.catalog import Tables
-from svcops.streaming.weekly import weekly_breach_agg, weekly_breach_stream
+from svcops.streaming.weekly import start_weekly_breach_stream, weekly_breach_agg, weekly_breach_stream
 
 
 def test_stream_equals_batch(spark, sf_dir):
@@ -24,20 +26,50 @@ def test_stream_equals_batch(spark, sf_dir):
     assert got.exceptAll(want).count() == 0
 
 
-def test_append_stream_with_checkpoint(spark, sf_dir):
-    """Append mode emits a week once the watermark has passed it; every
-    emitted row equals the batch result for that week and location."""
-    from svcops.streaming.weekly import start_weekly_breach_stream
-    k = Tables(spark, sf_dir).k
-    src = scratch_path(spark, "stream-src-append")
-    k.write.parquet(src)
-    q = start_weekly_breach_stream(spark, src, k.schema, "weekly_append", watermark="0 days")
+def _append(spark, src, schema, base):
+    """Run the append stream until it has read all files, then stop it."""
+    q = start_weekly_breach_stream(spark, src, schema, f"{base}/data", f"{base}/checkpoint", watermark="0 days")
     try:
         q.processAllAvailable()
-        sink = q.lastProgress["sink"]["description"]
     finally:
         q.stop()
-    path = sink[sink.index("[") + 1:sink.rindex("]")]
-    got = spark.read.parquet(path)
-    assert got.count() > 0
+    return spark.read.parquet(f"{base}/data")
+
+
+def test_append_stream_restarts_where_it_stopped(spark, sf_dir):
+    """Stopped and started again with the same paths, every week appears once
+    and equals the batch result over all files."""
+    k = Tables(spark, sf_dir).k
+    src, base = scratch_path(spark, "stream-src-append"), scratch_path(spark, "stream-append")
+    early = k.where("ticket_date < '1998-06-01'")
+    early.write.parquet(src)
+    first = _append(spark, src, k.schema, base).count()
+    assert first > 0
+    k.where("ticket_date >= '1998-06-01'").write.mode("append").parquet(src)
+    got = _append(spark, src, k.schema, base)
+    assert got.count() > first
+    assert got.groupBy("week_start", "location_id").count().where("count > 1").count() == 0
     assert got.exceptAll(weekly_breach_agg(k)).count() == 0
+
+
+@pytest.mark.parametrize("zone", ["Asia/Tokyo", "America/Los_Angeles"])
+def test_weeks_do_not_depend_on_the_zone(spark, zone):
+    rows = [("1", "LOC_01", dt.date(2000, 1, 3), 1), ("2", "LOC_01", dt.date(2000, 1, 2), 0), ("3", "LOC_01", dt.date(2000, 1, 9), 0)]
+    schema = "ticket_id string, location_id string, ticket_date date, sla_breached int"
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        k = spark.createDataFrame(rows, schema)
+        src = scratch_path(spark, "stream-zone")
+        k.write.parquet(src)
+        q = (weekly_breach_stream(spark, src, k.schema, watermark="0 days").writeStream.outputMode("complete")
+             .format("memory").queryName(f"zone_{zone[:4]}").start())
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        want = [(dt.date(1999, 12, 27), "LOC_01", 1, 0, 0.0), (dt.date(2000, 1, 3), "LOC_01", 2, 1, 0.5)]
+        assert sorted(map(tuple, spark.table(f"zone_{zone[:4]}").collect())) == want
+        assert sorted(map(tuple, weekly_breach_agg(k).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
