@@ -46,8 +46,8 @@ from svcops.llm.run_index import RunIndex
 
 LENGTH = 50
 K = 32
-BLOCK_BYTES = 6_000_000
-BUCKET_BYTES = 12_000_000
+BLOCK_BYTES = 4_000_000
+BUCKET_BYTES = 6_000_000
 HOT = 3000
 #: Bytes hashed at a time.
 PIECE = 1 << 17
