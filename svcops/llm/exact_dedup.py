@@ -43,11 +43,11 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "id", F.octet_length("t").alias("size"),
         F.xxhash64(F.substring("t", 1, prefix_chars)).alias("prefix")))
 
-    def repeated(df: DataFrame, *key: str) -> DataFrame:
-        keys = df.groupBy(*key).count().where("count > 1").drop("count")
-        return df.join(keys, list(key), "left_semi")
-
-    same_start = repeated(repeated(rows, "size"), "size", "prefix")
+    # rounds 1 and 2 work on counts, so a group of copies is one row a task
+    starts = rows.groupBy("size", "prefix").count()
+    lengths = starts.groupBy("size").agg(F.sum("count").alias("n")).where("n > 1").select("size")
+    starts = starts.join(lengths, "size", "left_semi").where("count > 1").select("size", "prefix")
+    same_start = rows.join(starts, ["size", "prefix"], "left_semi")
     full = only(docs, id_col, same_start.select("id").distinct(), "left_semi").select(
         F.col(f"`{id_col}`").alias("id"), size, sha256(F.col(f"`{text_col}`")).alias("digest"))
     full = settled(full)
