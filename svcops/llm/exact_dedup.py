@@ -59,7 +59,8 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``."""
-    found = copies(docs, id_col, text_col).distinct()
+    found = (copies(docs, id_col, text_col).groupBy("id")
+             .agg(F.min("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"),
                        sha256(F.col(f"`{text_col}`")).alias("text_sha256"))
     joined = rows.join(found, rows["doc_id"].eqNullSafe(found["id"]), "left")
