@@ -9,6 +9,8 @@ into report rows with ``inline`` and unioned.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +32,15 @@ def _count_if(cond: Column) -> Column:
     return F.count_if(F.coalesce(cond, F.lit(False)))
 
 
+def _line_flags() -> tuple[Column, Column, Column]:
+    """Cancelled, positive quantity, positive price."""
+    return (F.coalesce(F.col("invoice").startswith("C"), F.lit(False)),
+            F.coalesce(F.col("quantity") > 0, F.lit(False)),
+            F.coalesce(F.col("price") > 0, F.lit(False)))
+
+
 def _transactions(raw: DataFrame) -> DataFrame:
-    cancel = F.coalesce(F.col("invoice").startswith("C"), F.lit(False))
-    qty_ok = F.coalesce(F.col("quantity") > 0, F.lit(False))
-    price_ok = F.coalesce(F.col("price") > 0, F.lit(False))
+    cancel, qty_ok, price_ok = _line_flags()
     kept = ~cancel & qty_ok & price_ok
     a = raw.agg(
         _count_if(cancel).alias("cancel"),
@@ -136,10 +143,20 @@ def dq_report(T) -> DataFrame:
 
 
 def dq_rows_removed(T) -> DataFrame:
-    return (dq_report(T).where(F.col("metric") == "total rows")
-            .select("table", F.col("before").alias("rows_before"),
-                    F.col("after").alias("rows_after"),
-                    F.col("change").alias("rows_removed")))
+    """Rows before and after cleaning, from the two counts of each table alone."""
+    cancel, qty_ok, price_ok = _line_flags()
+    n = F.count(F.lit(1))
+    customers = T.raw("customers")
+    copies = customers.groupBy(*customers.columns).agg(n.alias("_copies"))
+    counts = {
+        "transactions": T.raw("transactions").agg(n.alias("before"), F.count_if(~cancel & qty_ok & price_ok).alias("after")),
+        "customers": copies.agg(F.sum("_copies").alias("before"), n.alias("after")),
+        "tickets": T.raw("tickets").agg(n.alias("before"), n.alias("after")),
+        "operations": T.raw("operations").agg(n.alias("before"), n.alias("after")),
+    }
+    rows = [df.select(F.lit(name).alias("table"), F.col("before").alias("rows_before"), F.col("after").alias("rows_after"),
+                      (F.col("before") - F.col("after")).alias("rows_removed")) for name, df in counts.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 QUERIES = {"dq_report": dq_report, "dq_rows_removed": dq_rows_removed}
