@@ -71,7 +71,12 @@ class Tables:
 
     def stage_path(self, name: str, write) -> str:
         """A folder of the shared directory that ``write(path)`` filled from this
-        version of the input; it is called once for each version."""
+        version of the input; it is called once for each version. Unstaged tables
+        get a folder of their own each time."""
+        if not self.staged:
+            path = scratch_path(self.spark, f"own-{name}")
+            write(path)
+            return path
         key = (self.spark.sparkContext.applicationId, self.sf_dir, tuple(sorted(self.files.items())), name)
         version = self._version()
         with _LOCK:

@@ -159,6 +159,12 @@ def test_sheets_lose_no_line(spark):
     assert sorted(map(str, io.src_sheets_union(T).collect())) == sorted(map(str, raw.collect()))
 
 
+def test_unstaged_tables_share_no_folder(spark):
+    for n in ("1", "2"):
+        T = Tables.from_frames(spark, tickets=tickets(spark, [(n, "a", "L", 1.0, 4.0)]))
+        assert [r["ticket_id"] for r in io.src_csv(T).collect()] == [n]
+
+
 def test_own_files_years_and_outputs(spark):
     """A whole run over one's own files: other years, staged once, three outputs."""
     base = scratch_path(spark, "own")
