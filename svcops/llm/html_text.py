@@ -46,9 +46,11 @@ _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 
 #: Words in class, id or role that mark a container as no content.
 _NOT_CONTENT = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|"
-    r"signup|login|sidebar|side-bar|widgets?|related|recommend\w*|share|sharing|social|comments?|disqus|replies|reply|respond|menu|nav\w*|"
-    r"breadcrumbs?|pagination|pager|footer|foot|masthead|toolbar|copyright|legal|skip|search|tags?|hidden|contentinfo|complementary)(?:$|[^a-z])")
+    r"(?:^|[^a-z])(?:ads?|adsby\w*|advert\w*|adsense|announcement\w*|banner\w*|breadcrumb\w*|comment\w*|complementary|consent|contentinfo|"
+    r"cookie\w*|copyright|disclaimer\w*|disqus\w*|foot|footer\w*|gdpr|hidden|legal|login\w*|masthead\w*|menu\w*|modal|nav\w*|newsletter\w*|"
+    r"notices?|notification\w*|overlay|pager|pagination|popup\w*|promo\w*|recommend\w*|related\w*|repl(?:y|ies)|respond|search|shar(?:e|ing)\w*|"
+    r"sidebar\w*|side-bar|signup|skip|social\w*|sponsor\w*|subscri\w*|tags?|toolbar|top-?bar|widgets?)(?:$|[^a-z])")
+_HEADER = re.compile(r"(?:^|[^a-z])header(?:$|[^a-z])")
 _CONTENT = re.compile(r"(?:^|[^a-z])(?:article|articlebody|main|content|post|entry|story|body-?text)(?:$|[^a-z])")
 
 _TOKEN = re.compile(
@@ -85,7 +87,8 @@ def _container(name: str, attributes: str, in_article: bool) -> tuple[bool, bool
     article = name in ("article", "main") or name in ("div", "section") and bool(values) and bool(_CONTENT.search(values))
     never = hidden or name in _NEVER or name == "header" and not in_article
     if not never and values and name not in ("html", "body", "article", "main"):
-        never = bool(_NOT_CONTENT.search(values))
+        page_header = not in_article and not article and bool(_HEADER.search(values))
+        never = page_header or bool(_NOT_CONTENT.search(values))
     return never, article and not never
 
 

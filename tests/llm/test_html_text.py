@@ -23,6 +23,8 @@ LONG = "the quick of and " * 20
     ("<article>a<script>var t='</p>';</script><style>p{}</style><!-- <p>c --><noscript>n</noscript>b</article>", "ab"),
     ("<article><ul><li>1<li>2</ul><table><tr><td>3<td>4</table></article>", "1\n2\n3\n4"),
     ("<article><p hidden>h</p><p style='display: none'>n</p><p>x &lt;b&gt; 1 < 2</p>", "x <b> 1 < 2"),
+    ("<div class='header'>Site</div><div id=content><div class='header'>Title</div><p>x</div><ol class=commentlist><li>hi</ol>", "Title\nx"),
+    ("<main><p>x</p><div class='cookiebar'>c</div><div class=adsbygoogle>buy</div><p>notable commentary</p></main>", "x\nnotable commentary"),
     ("<article><p>cut <a href=\"x", "cut"), ("<article><p>text</p></div></span></article>tail <p>more", "text"),
     (f"<div><a href=1>Home</a> <a href=2>About</a></div><div>{LONG}</div><div>short tail</div><div><a href=3>More</a></div>",
      LONG.strip() + "\nshort tail"),
