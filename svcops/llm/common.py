@@ -9,8 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from svcops.session import shared_dir
-
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -18,14 +16,6 @@ SPACES = r"[\x20\x09-\x0D]+"
 CHUNK_BYTES = 1 << 20
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared checkpoint folder, so that
-    what reads it twice doesn't repeat the work and a lost executor costs only
-    a reread. For narrow rows; whole texts are not written this way."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fold(id_col: Column | str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id has fold -1."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

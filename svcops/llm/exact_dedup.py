@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from svcops.llm.common import SPACES, only, settled
+from svcops.llm.common import SPACES, only
+from svcops.session import settled
 
 PREFIX_CHARS = 256
 

@@ -35,8 +35,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from svcops.llm.common import chunks, settled, shared, utf8
+from svcops.llm.common import chunks, shared, utf8
 from svcops.llm.softmax import features, fit, logits, lowered, ngram_buckets, softmax, temperature
+from svcops.session import settled
 
 BUCKETS = 1 << 16
 SAMPLE = 4000

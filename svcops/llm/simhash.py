@@ -28,8 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from svcops.llm.common import only, settled, utf8
+from svcops.llm.common import only, utf8
 from svcops.llm.components import components
+from svcops.session import settled
 
 BITS = 64
 SEED = 42
