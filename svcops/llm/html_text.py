@@ -22,7 +22,6 @@ from __future__ import annotations
 import html
 import re
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
