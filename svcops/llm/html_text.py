@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STOP_WORDS = 300
+#: Longer words are not counted as stop words.
+LONGEST_STOP_WORD = 12
 #: First-pass thresholds.
 MAX_LINK_DENSITY = 0.33
 LENGTH_LOW, LENGTH_HIGH = 70, 200
@@ -245,7 +247,7 @@ def stop_words(pages: DataFrame, html_col: str = "html", most: int = STOP_WORDS)
             total: dict[str, int] = {}
             for page in batch.column("html").to_pylist():
                 for w in _WORD.findall(_MARKUP.sub(" ", page or "").lower()):
-                    if len(w) <= 12:
+                    if len(w) <= LONGEST_STOP_WORD:
                         total[w] = total.get(w, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([*total], pa.string()), pa.array([*total.values()], pa.int64())], ["word", "n"])
 
