@@ -52,9 +52,11 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = only(docs, id_col, same_start.select("id").distinct(), "left_semi").select(
         F.col(f"`{id_col}`").alias("id"), size, sha256(F.col(f"`{text_col}`")).alias("digest"))
     full = settled(full)
-    groups = (full.groupBy("size", "digest")
-              .agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
-              .where("group_size > 1"))
+    # settled, so that both sides of the join are plain shuffles, which adaptive
+    # execution splits where a third of the rows are copies of one text
+    groups = settled(full.groupBy("size", "digest")
+                     .agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
+                     .where("group_size > 1"))
     return full.join(groups, ["size", "digest"]).select("id", "keep_id", "group_size")
 
 
