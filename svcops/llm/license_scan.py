@@ -1,16 +1,20 @@
 """License scans with a trained paragraph classifier.
 
 A paragraph is a window of ``WINDOW`` words of one line, windows overlapping by
-half. A softmax regression over sparse word n-grams tells the licence families
+half. A line goes on in the next one where the words on both sides of a single
+line feed are neighbours in a notice, so a wrapped notice is one line. A softmax regression over sparse word n-grams tells the licence families
 and ``unknown`` apart; it is trained on the families' notices (cut and set in
 other text in many ways) against paragraphs from a bounded sample of the
 documents, and its probabilities are calibrated on examples kept apart. A
 family's paragraph is confirmed by comparison with the family's notices: most
-of the shorter one's word pairs must occur in the other.
+of the shorter one's word pairs must occur in the other. A notice of at most
+``LEAST_PAIRS`` words is confirmed by its words in order, whatever the rest of
+the paragraph says.
 
 Every word pair of every text is looked up among the notices' pairs first; a
-paragraph with fewer than ``LEAST_PAIRS`` of them could not be confirmed and is
-``unknown`` without classification.
+paragraph with fewer than ``LEAST_PAIRS`` of them, and without a whole notice of
+fewer pairs (``all rights reserved``, ``mit license``), could not be confirmed and
+is ``unknown`` without classification.
 
 Words are lower-cased runs of ASCII letters, digits and non-ASCII characters.
 
@@ -100,6 +104,26 @@ NOTICES = {
     "Proprietary": ["All rights reserved. No part of this work may be reproduced without written permission."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+# Titles and short forms of the same licences.
+for _family, _titles in {
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "AGPL-3.0"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache-2.0", "Apache 2.0"],
+    "BSD-2-Clause": ["BSD 2-Clause"],
+    "BSD-3-Clause": ["BSD 3-Clause"],
+    "CC-BY-4.0": ["CC BY 4.0"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0"],
+    "CC-BY-SA-4.0": ["CC BY-SA 4.0"],
+    "CC0-1.0": ["CC0 1.0"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GPL-2.0"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GPL-3.0"],
+    "ISC": ["ISC License"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "LGPL-3.0"],
+    "MIT": ["MIT License", "MIT Licence", "License: MIT", "Licence: MIT"],
+    "MPL-2.0": ["Mozilla Public License, version 2.0", "MPL-2.0"],
+    "Proprietary": ["All rights reserved."],
+    "Unlicense": ["The Unlicense"],
+}.items():
+    NOTICES[_family] += _titles
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -121,26 +145,38 @@ def pairs(found: list[str]) -> set[tuple[str, str]]:
 class Paragraphs:
     """Candidate windows of a batch of folded texts."""
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray, known: np.ndarray | None):
+    def __init__(self, raw: np.ndarray, off: np.ndarray, known: np.ndarray | None, short: dict[int, np.ndarray] | None = None):
         starts, ends, woff = words(raw, off)
         doc = np.repeat(np.arange(len(off) - 1), np.diff(woff))
         line = np.concatenate([[0], np.cumsum(raw == 10)])[starts]
-        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])]) if len(starts) else np.zeros(0, bool)
+        h = word_hashes(raw, starts, ends) if known is not None else None
+        pair = np.isin(gram_hashes(h, 2), known) if known is not None else False
+        feeds = np.diff(line)
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (feeds > 1) | (feeds == 1) & ~np.bool_(pair)]) if len(starts) else np.zeros(0, bool)
         head = np.flatnonzero(new)
         size = np.diff(np.concatenate([head, [len(starts)]])).astype(np.int64)
         number = np.cumsum(new) - 1  # of the line
         place = np.arange(len(starts)) - head[number] if len(starts) else np.zeros(0, np.int64)
         if known is None:  # every window
             at = np.arange(len(starts))
-        else:
-            h = word_hashes(raw, starts, ends)
-            at = np.flatnonzero(np.isin(pair_hashes(h), known) & ~new[1:]) if len(h) > 1 else np.zeros(0, np.int64)
+            n, weight = np.full(len(at), 2), np.ones(len(at), np.int64)
+        else:  # pairs of notices count one, a whole short notice as many as are needed
+            at = [np.flatnonzero(pair & ~new[1:])]
+            n, weight = [np.full(len(at[0]), 2)], [np.ones(len(at[0]), np.int64)]
+            for k, grams in (short or {}).items():
+                whole = np.flatnonzero(np.isin(gram_hashes(h, k), grams))
+                whole = whole[number[whole] == number[whole + k - 1]]
+                at.append(whole)
+                n.append(np.full(len(whole), k))
+                weight.append(np.full(len(whole), LEAST_PAIRS))
+            at, n, weight = np.concatenate(at), np.concatenate(n), np.concatenate(weight)
         half = WINDOW // 2
         k = place[at] // half
         k = np.minimum(k, np.maximum(-(-size[number[at]] // half) - 2, 0))  # the last window is not a part of the one before
         key = np.concatenate([number[at] * (1 << 40) + k, (number[at] * (1 << 40) + k - 1)[k > 0]])
-        inside = np.concatenate([np.ones(len(at), bool), (place[at][k > 0] - (k[k > 0] - 1) * half) < WINDOW - 1])
-        key, hits = np.unique(key[inside], return_counts=True)
+        inside = np.concatenate([np.ones(len(at), bool), (place[at][k > 0] - (k[k > 0] - 1) * half) <= WINDOW - n[k > 0]])
+        key, own = np.unique(key[inside], return_inverse=True)
+        hits = np.bincount(own, np.concatenate([weight, weight[k > 0]])[inside], len(key))
         key = key[hits >= (LEAST_PAIRS if known is not None else 1)]
         number, k = key >> 40, key & ((1 << 40) - 1)
         self.first = head[number] + k * half
@@ -156,26 +192,44 @@ class Paragraphs:
         return (np.concatenate(data) if data else np.zeros(0, np.uint8)), off
 
 
-def pair_hashes(h: np.ndarray) -> np.ndarray:
-    return mixed(h[:-1] * np.uint64(31) + h[1:])
+def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each run of n words."""
+    m = max(len(h) - n + 1, 0)
+    out = h[:m]
+    for k in range(1, n):
+        out = out * np.uint64(31) + h[k: m + k]
+    return mixed(out)
 
 
-def _hashed_pairs(texts: list[str]) -> np.ndarray:
+def _hashed(texts: list[str], n: int) -> np.ndarray:
+    """Hashes of all runs of n words."""
     out = [np.zeros(0, np.uint64)]
     for t in texts:
         raw = folded(t)
         starts, ends, _ = words(raw, np.array([0, len(raw)]))
-        out.append(pair_hashes(word_hashes(raw, starts, ends)))
+        out.append(gram_hashes(word_hashes(raw, starts, ends), n))
     return np.unique(np.concatenate(out))
 
 
+def _short(notice: str) -> bool:
+    return 0 < len(word_list(notice)) <= LEAST_PAIRS
+
+
 class Scanner:
     """The trained classifier with the notices it compares with."""
 
     def __init__(self, families: list[str], weights: np.ndarray, bias: np.ndarray, notices: dict[str, list[str]]):
         self.families, self.weights, self.bias = families, weights, bias  # the last class is unknown
-        self.notices = {k: [pairs(word_list(t)) for t in v] for k, v in notices.items()}
-        self.known = _hashed_pairs([t for v in notices.values() for t in v])
+        self.notices = {k: [pairs(word_list(t)) for t in v if not _short(t)] for k, v in notices.items()}
+        self.titles: dict[tuple[str, ...], dict[str, float]] = {}  # short notices: their families and scores
+        for family in families:
+            for t in filter(_short, notices[family]):
+                raw = folded(t)
+                score = self.probabilities(raw, np.array([0, len(raw)]))[0, families.index(family)]
+                self.titles.setdefault(tuple(word_list(t)), {})[family] = float(score)
+        own = [t for v in notices.values() for t in v]
+        self.known = _hashed(own, 2)
+        self.short = {n: _hashed([t for t in own if _short(t) and len(word_list(t)) == n], n) for n in range(1, LEAST_PAIRS + 1)}
 
     def probabilities(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         goff, bucket, _ = ngram_buckets(raw, off, ORDERS, BUCKETS)
@@ -183,25 +237,44 @@ class Scanner:
 
     def similarity(self, family: str, found: list[str]) -> float:
         own = pairs(found)
-        return max((len(own & p) / min(len(own), len(p)) for p in self.notices[family] if own and len(own & p) >= min(LEAST_PAIRS, len(p))), default=0.0)
+        if family in self.named(found):
+            return 1.0
+        return max((len(own & p) / min(len(own), len(p)) for p in self.notices[family] if len(own & p) >= LEAST_PAIRS), default=0.0)
 
     def scan(self, raw: np.ndarray, off: np.ndarray):
         """(document, family, score, similarity) of each confirmed paragraph."""
-        found = Paragraphs(raw, off, self.known)
+        found = Paragraphs(raw, off, self.known, self.short)
         text, toff = found.texts()
         if len(toff) == 1:
             return
         p = self.probabilities(text, toff)
         best = p.argmax(axis=1)
-        for i in np.flatnonzero((best < len(self.families)) & (p.max(axis=1) >= LEAST_SCORE)).tolist():
-            family = self.families[best[i]]
-            near = self.similarity(family, text[toff[i]: toff[i + 1]].tobytes().decode("utf-8", "replace").split())
-            if near >= LEAST_SIMILARITY:
-                yield int(found.doc[i]), family, float(p[i, best[i]]), near
-
-
-def background(docs: DataFrame, id_col: str, text_col: str, known: np.ndarray) -> list[str]:
-    """Paragraphs of a sample of documents that hold few of the notices' pairs."""
+        sure = (best < len(self.families)) & (p.max(axis=1) >= LEAST_SCORE)
+        for i in range(len(best)):
+            own = text[toff[i]: toff[i + 1]].tobytes().decode("utf-8", "replace").split()
+            named = self.named(own)
+            if sure[i]:
+                family = self.families[best[i]]
+                near = self.similarity(family, own)
+                if near >= LEAST_SIMILARITY:
+                    named[family] = max(named.get(family, 0.0), float(p[i, best[i]]))
+                    yield int(found.doc[i]), family, named.pop(family), near
+            for family, score in sorted(named.items()):
+                yield int(found.doc[i]), family, score, 1.0
+
+    def named(self, found: list[str]) -> dict[str, float]:
+        """Families with a whole short notice among the words, whatever stands
+        around it, and the notice's own score."""
+        out: dict[str, float] = {}
+        for n in self.short:
+            for k in range(len(found) - n + 1):
+                for family, score in self.titles.get(tuple(found[k: k + n]), {}).items():
+                    out[family] = max(out.get(family, 0.0), score)
+        return out
+
+
+def background(docs: DataFrame, id_col: str, text_col: str, known: np.ndarray, short: dict[int, np.ndarray]) -> list[str]:
+    """Paragraphs of a sample of documents that hold few of the notices' pairs and no short notice."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     n = rows.count()
     share = min(1.0, SAMPLE_DOCS / max(n, 1))
@@ -213,7 +286,8 @@ def background(docs: DataFrame, id_col: str, text_col: str, known: np.ndarray) -
                 text, toff = Paragraphs(_FOLD[raw[off[i]: off[j]]], off[i: j + 1] - off[i], None).texts()
                 text = text.tobytes()
                 out = [text[a:b].decode("utf-8", "replace") for a, b in zip(toff[:-1].tolist(), toff[1:].tolist(), strict=True)]
-                out = [x for x in out if np.isin(_hashed_pairs([x]), known).sum() < LEAST_PAIRS]
+                out = [x for x in out if np.isin(_hashed([x], 2), known).sum() < LEAST_PAIRS
+                       and not any(np.isin(_hashed([x], n), grams).any() for n, grams in short.items() if len(grams))]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["text"])
 
     some = rows.where(F.pmod(F.xxhash64("id", F.lit(6)), F.lit(1_000_000)) < share * 1_000_000)
@@ -248,7 +322,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notic
     notices = NOTICES if notices is None else notices
     families = sorted(notices)
     blank = Scanner(families, np.zeros((BUCKETS, len(families) + 1)), np.zeros(len(families) + 1), notices)
-    texts, y = examples(notices, background(docs, id_col, text_col, blank.known))
+    texts, y = examples(notices, background(docs, id_col, text_col, blank.known, blank.short))
     raw = [folded(t) for t in texts]
     y = np.array(y)
 
