@@ -4,9 +4,13 @@ A page is read once into blocks: text between block-level tags, with the
 characters in links counted, and with the kinds of container around it. The
 first pass classifies each block by its stop-word density, length and link
 density; containers that are never content (navigation, adverts, comments,
-forms ...) decide at once, and a block inside the page's article needs less
-evidence. The second pass gives blocks that stayed open (short ones) the label
-of their nearest decided neighbours.
+forms ...) decide at once. Other containers are only evidence: inside an
+``article`` or ``main`` element a block counts unless it is mostly links, inside
+one that has the words of an article in its class or id headings count and
+half the stop words are enough, and elsewhere the full thresholds hold, whether
+the page has an article or not. The second pass gives blocks that stayed open
+(short ones) the label of their nearest decided neighbours; outside the page's
+article only text outside vouches for a block.
 
 Stop words are learned from the pages themselves: the ``STOP_WORDS`` commonest
 words of all visible text, counted in Spark, so no language list is needed.
@@ -65,11 +69,12 @@ _MARKUP = re.compile(r"<(script|style|head)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re
 
 
 class Block:
-    """Text of one block: its raw pieces, characters inside links, and where it stands."""
+    """Text of one block: its raw pieces, characters inside links, and where it
+    stands (inside: 2 an article element, 1 a container named like one, 0 neither)."""
 
     __slots__ = ("pieces", "linked", "never", "inside", "heading")
 
-    def __init__(self, never: bool, inside: bool, heading: bool):
+    def __init__(self, never: bool, inside: int, heading: bool):
         self.pieces, self.linked, self.never, self.inside, self.heading = [], 0, never, inside, heading
 
     def text(self) -> str:
@@ -94,10 +99,10 @@ def _container(name: str, attributes: str, in_article: bool) -> tuple[bool, bool
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks in order. The stack holds (name, never content, in the article)."""
+    """The page's blocks in order. The stack holds (name, never content, how far in the article)."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
-    now = Block(False, False, False)
+    stack: list[tuple[str, bool, int]] = []
+    now = Block(False, 0, False)
     links = 0
     at, end = 0, len(page)
 
@@ -105,7 +110,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal now
         if now.pieces:
             out.append(now)
-        _, never, inside = stack[-1] if stack else ("", False, False)
+        _, never, inside = stack[-1] if stack else ("", False, 0)
         now = Block(never, inside, any(x[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for x in stack[-2:]))
 
     def add(raw: str):
@@ -177,9 +182,10 @@ def blocks(page: str) -> list[Block]:
             continue
         attributes = m[3] or m[6] or ""
         if not attributes.rstrip().endswith("/") or name in _BLOCK:
-            _, never, inside = stack[-1] if stack else ("", False, False)
-            own, article = _container(name, attributes, inside) if attributes.strip() or name in _NEVER or name in ("article", "main", "header") else (False, False)
-            stack.append((name, never or own, (inside or article) and not own))
+            _, never, inside = stack[-1] if stack else ("", False, 0)
+            own, article = _container(name, attributes, inside > 0) if attributes.strip() or name in _NEVER or name in ("article", "main", "header") else (False, False)
+            level = 2 if name in ("article", "main") else int(article)
+            stack.append((name, never or own, 0 if own else max(inside, level)))
             links += name == "a"
             if name in _BLOCK or own != never and own:
                 turn()
@@ -191,18 +197,22 @@ def blocks(page: str) -> list[Block]:
 GOOD, BAD, OPEN = 1, 0, 2
 
 
-def first_pass(block: Block, text: str, stop: frozenset[str], has_article: bool) -> int:
+def first_pass(block: Block, text: str, stop: frozenset[str]) -> int:
     """GOOD, BAD or OPEN by container, link density, length and stop words."""
-    if block.never or has_article and not block.inside:
+    if block.never:
         return BAD
     solid = len("".join(text.split()))
     linked = block.linked / max(solid, 1)
-    if block.inside:  # the article's own markup vouches for it unless it is mostly links
-        return GOOD if linked <= MAX_LINK_DENSITY else BAD if linked > 0.8 else OPEN
+    if block.inside and linked > MAX_LINK_DENSITY:
+        return BAD if linked > 0.8 else OPEN
+    if block.inside == 2 or block.inside and block.heading:
+        return GOOD
     if linked > MAX_LINK_DENSITY:
         return BAD
     found = _WORD.findall(text.lower())
     dense = sum(w in stop for w in found) / max(len(found), 1)
+    if block.inside:
+        return GOOD if dense >= STOP_LOW / 2 else OPEN
     if len(text) < LENGTH_LOW:
         return BAD if linked > 0 else OPEN
     if dense >= STOP_HIGH or dense >= STOP_LOW and len(text) > LENGTH_HIGH:
@@ -235,8 +245,18 @@ def main_text(page: str | None, stop: frozenset[str]) -> str:
     """The page's article: its good blocks, one to a line."""
     found = blocks(page or "")
     texts = [b.text() for b in found]
-    has_article = any(b.inside and not b.never for b in found)
-    labels = second_pass([first_pass(b, t, stop, has_article) for b, t in zip(found, texts, strict=True)], GOOD)
+    first = [first_pass(b, t, stop) for b, t in zip(found, texts, strict=True)]
+    if not any(b.inside and not b.never for b in found):
+        labels = second_pass(first, GOOD)
+    else:
+        labels = [BAD] * len(found)
+        for inside in (True, False):
+            at = [i for i, b in enumerate(found) if not b.never and (b.inside > 0) == inside]
+            own = [first[i] for i in at]
+            if not inside and all(k == OPEN for k in own):  # the longer ones decide
+                own = [GOOD if len(texts[i]) >= LENGTH_LOW else OPEN for i in at]
+            for i, k in zip(at, second_pass(own, GOOD if inside else BAD), strict=True):
+                labels[i] = k
     return "\n".join(t for t, k in zip(texts, labels, strict=True) if k == GOOD)
 
 
