@@ -1,14 +1,17 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Benchmark items and documents are lower-cased and their white space is
-collapsed. An item is cut into overlapping segments of ``SEGMENT`` characters
-(a shorter item is one segment), so an excerpt counts as a leak as well as the
-whole item. A segment of m characters occurs in a document if some stretch of
+collapsed. Every run of ``SEGMENT`` characters of an item, one at each position, is
+a segment (a shorter item is one segment), so an excerpt of ``SEGMENT`` characters
+or more counts as a leak wherever it starts in the item; shorter ones of a longer
+item needn't be found. A segment of m characters occurs in a document if some stretch of
 the document is within e = floor(``ERROR_SHARE`` * m) edits of it. By the q-gram
 lemma such a stretch shares at least m - q + 1 - e*q q-grams with the segment,
 all on e + 1 neighbouring diagonals (document position minus segment position).
-Hits are therefore counted in overlapping bands of 2(e + 1) diagonals; bands
-that reach the bound are kept, and a banded alignment decides them.
+The item's q-grams are indexed once by position in the item; hits are counted in
+overlapping bands of 2(e + 1) diagonals of the item, and the segments that reach
+the bound there are kept. Those that occur unchanged are compared directly; a
+banded alignment decides the others.
 
 The benchmark is read in blocks of bounded size, each a broadcast index, and
 every block meets all documents; documents are never shuffled.
@@ -29,7 +32,8 @@ from svcops.llm.common import chunks, mixed, shared, utf8
 
 Q = 8
 SEGMENT = 64
-STRIDE = 32
+#: Characters between the starts of segments; more than 1 would miss excerpts.
+STRIDE = 1
 ERROR_SHARE = 0.08
 #: Characters of benchmark text in one broadcast index.
 BLOCK_CHARS = 2_000_000
@@ -73,89 +77,121 @@ def budget(m: int, q: int, share: float) -> int:
 
 
 class Index:
-    """Segments of one benchmark block and their q-grams."""
-
-    def __init__(self, items: list[tuple], q: int = Q, segment: int = SEGMENT, stride: int = STRIDE, share: float = ERROR_SHARE):
-        self.q, self.ids, self.count = q, [i for i, _ in items], np.zeros(len(items), np.int32)
-        text, item = [], []
-        for n, (_, raw) in enumerate(items):
-            t = plain(raw)
-            last = max(len(t) - segment, 0)
-            at = [] if len(t) < q else sorted({*range(0, last, stride), last})
-            self.count[n] = len(at)
-            text += [codes(t[a: a + segment]) for a in at]
-            item += [n] * len(at)
-        self.seg_item = np.array(item, np.int64)
-        self.size = np.array([len(t) for t in text], np.int64)
-        self.edits = np.array([budget(len(t), q, share) for t in text], np.int64)
+    """Items of one benchmark block and their q-grams."""
+
+    def __init__(self, items: list[tuple], q: int = Q, segment: int = SEGMENT, share: float = ERROR_SHARE):
+        self.q, self.ids = q, [i for i, _ in items]
+        text = [codes(plain(raw)) for _, raw in items]
+        length = np.array([len(t) for t in text], np.int64)
+        self.start = np.cumsum(length) - length  # of each item in self.text
+        self.text = np.concatenate([*text, np.zeros(0, np.uint32)])
+        self.size = np.minimum(length, segment)  # of the item's segments
+        self.edits = np.array([budget(int(m), q, share) for m in self.size], np.int64)
         self.least = self.size - q + 1 - self.edits * q
-        self.text = np.full((len(text), segment), _NOTHING, np.uint32)
-        for n, t in enumerate(text):
-            self.text[n, : len(t)] = t
+        self.last = length - self.size  # where the last segment starts
+        self.count = np.where(length < q, 0, self.last // STRIDE + 1 + (self.last % STRIDE > 0)).astype(np.int32)
         grams = [qgrams(t, q) for t in text]
-        gram = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+        gram = np.concatenate([*grams, np.zeros(0, np.uint64)])
         order = np.argsort(gram, kind="stable")
+        n = np.array([len(g) for g in grams], np.int64)
         self.gram = gram[order]
-        self.seg = np.repeat(np.arange(len(text)), [len(g) for g in grams])[order] if grams else np.zeros(0, np.int64)
-        self.pos = np.concatenate([np.arange(len(g)) for g in grams])[order] if grams else np.zeros(0, np.int64)
-        _, self.repeats = np.unique(self.gram, return_counts=True)
-        self.repeats = np.repeat(self.repeats, self.repeats)  # at each entry, how often its gram occurs
+        self.item = np.repeat(np.arange(len(text), dtype=np.int32), n)[order]
+        self.pos = _ranks(n).astype(np.int32)[order]
+        _, repeats = np.unique(self.gram, return_counts=True)
+        self.repeats = np.repeat(repeats, repeats).astype(np.int32)  # at each entry, how often its gram occurs
         self.bitmap = np.zeros(_BITMAP, bool)
         self.bitmap[gram & np.uint64(_BITMAP - 1)] = True
 
     def bands(self, c: np.ndarray, doc: np.ndarray, off: np.ndarray):
-        """Candidate (document, segment, first diagonal of the band), diagonals
-        counted from the document's start."""
+        """Candidates (document, item, start of the segment, first diagonal of
+        the band), diagonals counted from the document's start; and the hits
+        among them (document, item, position in the item, place in the document)."""
         h = qgrams(c, self.q)
         at = np.flatnonzero(self.bitmap[h & np.uint64(_BITMAP - 1)])
         h, own = h[at], doc[at]
         lo = np.searchsorted(self.gram, h, "left")
-        n = np.where((lo < len(self.gram)) & (at + self.q <= off[1:][own]), self.repeats[np.minimum(lo, len(self.gram) - 1)], 0)
+        n = np.where((lo < len(self.gram)) & (at + self.q <= off[1:][own]), self.repeats[np.minimum(lo, len(self.gram) - 1)], 0).astype(np.int64)
         n[n > 0] *= self.gram[lo[n > 0]] == h[n > 0]
         entry = np.repeat(lo, n) + _ranks(n)
         place = np.repeat(at - off[:-1][own], n)
-        own, seg = np.repeat(own, n), self.seg[entry]
-        width = self.edits[seg] + 1
-        pad = self.text.shape[1] + 1
-        band = (place - self.pos[entry]) // width + pad  # positive
+        own, item, pos = np.repeat(own, n), self.item[entry].astype(np.int64), self.pos[entry].astype(np.int64)
+        width = self.edits[item] + 1
+        pad = int(self.size.max() + self.last.max()) + 1
+        band = (place - pos) // width + pad  # positive
         room = int(np.diff(off).max(initial=0)) + 2 * pad
-        key = (own * len(self.seg_item) + seg) * room + band
+        key = (own * len(self.size) + item) * room + band
         # most hits stand alone: a count by hash leaves few to sort
         slot = [(mixed((key - k).view(np.uint64)) >> np.uint64(44)).astype(np.int64) for k in (0, 1)]
         count = np.bincount(slot[0], minlength=1 << 20) + np.bincount(slot[1], minlength=1 << 20)
-        key = np.concatenate([(key - k)[count[slot[k]] >= self.least[seg]] for k in (0, 1)])
-        key, found = np.unique(key, return_counts=True)
-        own, seg, band = key // room // len(self.seg_item), key // room % len(self.seg_item), key % room - pad
-        good = found >= self.least[seg]
-        return own[good], seg[good], (band * (self.edits[seg] + 1))[good]
-
-    def align(self, c: np.ndarray, off: np.ndarray, doc: np.ndarray, seg: np.ndarray, first: np.ndarray):
+        hit = [np.flatnonzero(count[slot[k]] >= self.least[item]) for k in (0, 1)]
+        key, hit = np.concatenate([key[hit[0]], key[hit[1]] - 1]), np.concatenate(hit)
+        order = np.lexsort((pos[hit], key))
+        key, hit = key[order], hit[order]
+        own, item, pos, place = own[hit], item[hit], pos[hit], place[hit]
+        # hits i .. i + least - 1 of a band lie in the segments that start from lo to hi
+        i = np.arange(len(key))
+        end = i + self.least[item] - 1
+        i = i[end < len(key)]
+        end = end[end < len(key)]
+        together = key[i] == key[end]
+        i, end = i[together], end[together]
+        lo = np.maximum(pos[end] - (self.size - self.q)[item[i]], 0)
+        hi = np.minimum(pos[i], self.last[item[i]])
+        good = lo <= hi
+        i, lo, hi = i[good], lo[good], hi[good]
+        if len(i) > 1:  # both grow inside a band: each segment once
+            lo[1:] = np.where(key[i[1:]] == key[i[:-1]], np.maximum(lo[1:], hi[:-1] + 1), lo[1:])
+        n = np.maximum(hi - lo + 1, 0)
+        which, a = np.repeat(i, n), np.repeat(lo, n) + _ranks(n)
+        some = (a % STRIDE == 0) | (a == self.last[item[which]])
+        which, a = which[some], a[some]
+        first = (key[which] % room - pad) * (self.edits[item[which]] + 1)
+        kept = np.isin(key, key[i])
+        return (own[which], item[which], a, first), (own[kept], item[kept], pos[kept], place[kept])
+
+    def same(self, c: np.ndarray, off: np.ndarray, doc: np.ndarray, item: np.ndarray, pos: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Whether the segment that starts at each hit stands in the document unchanged."""
+        size = self.size[item]
+        good = (pos <= self.last[item]) & (off[:-1][doc] + place + size <= off[1:][doc])
+        good &= (pos % STRIDE == 0) | (pos == self.last[item])
+        at = np.flatnonzero(good)
+        x, y = (off[:-1][doc] + place)[at], (self.start[item] + pos)[at]
+        for k in range(int(size.max(initial=0))):
+            if not len(at):
+                break
+            equal = (k >= size[at]) | (c[np.minimum(x + k, len(c) - 1)] == self.text[np.minimum(y + k, len(self.text) - 1)])
+            good[at[~equal]] = False
+            at, x, y = at[equal], x[equal], y[equal]
+        return good
+
+    def align(self, c: np.ndarray, off: np.ndarray, doc: np.ndarray, item: np.ndarray, a: np.ndarray, first: np.ndarray):
         """Fewest edits of each candidate's segment against any stretch of the
         document that starts on the band's diagonals, and where that ends."""
-        edits = np.zeros(len(seg), np.int64)
-        end = np.zeros(len(seg), np.int64)
+        edits = np.zeros(len(item), np.int64)
+        end = np.zeros(len(item), np.int64)
         padded = np.concatenate([c, [_NOTHING]])
-        for e in np.unique(self.edits[seg]):
-            own = np.flatnonzero(self.edits[seg] == e)
+        for e in np.unique(self.edits[item]):
+            own = np.flatnonzero(self.edits[item] == e)
             for part in np.array_split(own, max(1, len(own) // 4096 + 1)):
-                edits[part], end[part] = self._align(padded, off, doc[part], seg[part], first[part] - e, 2 * (e + 1) + 2 * e)
+                edits[part], end[part] = self._align(padded, off, doc[part], item[part], a[part], first[part] + a[part] - e, 2 * (e + 1) + 2 * e)
         return edits, end
 
-    def _align(self, c, off, doc, seg, first, width):
+    def _align(self, c, off, doc, item, a, first, width):
         start, stop = off[:-1][doc][:, None], off[1:][doc][:, None]
-        k = np.arange(width)
-        row = np.zeros((len(seg), width), np.int64)
-        best = np.zeros((len(seg), width), np.int64)
-        for i in range(1, int(self.size[seg].max(initial=0)) + 1):
+        size = self.size[item]
+        k = np.arange(width, dtype=np.int16)
+        row = np.zeros((len(item), width), np.int16)
+        best = np.zeros((len(item), width), np.int16)
+        for i in range(1, int(size.max(initial=0)) + 1):
             at = start + first[:, None] + k + i - 1
             there = np.where((at >= start) & (at < stop), c[np.clip(at, 0, len(c) - 1)], _NOTHING - np.uint32(1))
-            new = row + (there != self.text[seg, i - 1][:, None])
-            new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
+            new = row + (there != self.text[np.minimum(self.start[item] + a + i - 1, len(self.text) - 1)][:, None])
+            new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + np.int16(1))
             row = np.minimum.accumulate(new - k, axis=1) + k
-            done = self.size[seg] == i
+            done = size == i
             best[done] = row[done]
         at = best.argmin(axis=1)
-        return best[np.arange(len(seg)), at], first + self.size[seg] + at
+        return best[np.arange(len(item)), at], first + size + at
 
     def matches(self, texts: list[str]):
         """(document, item, segments found, edits in them, end of the first) for each leak."""
@@ -164,14 +200,27 @@ class Index:
         if not len(c) or not len(self.gram):
             return []
         doc = np.repeat(np.arange(len(texts)), np.diff(off))
-        doc, seg, first = self.bands(c, doc, off)
-        edits, end = self.align(c, off, doc, seg, first)
-        good = edits <= self.edits[seg]
-        found: dict[tuple[int, int], dict[int, tuple[int, int]]] = {}
-        for d, s, x, z in zip(doc[good].tolist(), seg[good].tolist(), edits[good].tolist(), end[good].tolist(), strict=True):
-            own = found.setdefault((d, int(self.seg_item[s])), {})
-            own[s] = min(own.get(s, (x, z)), (x, z))
-        return [(d, n, len(s), sum(x for x, _ in s.values()), min(z for _, z in s.values())) for (d, n), s in sorted(found.items())]
+        (doc, item, a, first), hits = self.bands(c, doc, off)
+        most = len(self.text) + 1
+        equal = self.same(c, off, *hits)
+        d, n, pos, place = (x[equal] for x in hits)
+        exact = (d * len(self.size) + n) * most + pos
+        key = (doc * len(self.size) + item) * most + a
+        open_ = ~np.isin(key, exact)
+        key = key[open_]
+        edits, end = self.align(c, off, doc[open_], item[open_], a[open_], first[open_])
+        good = edits <= self.edits[item[open_]]
+        key = np.concatenate([exact, key[good]])
+        edits, end = np.concatenate([np.zeros(len(exact), np.int64), edits[good]]), np.concatenate([place + self.size[n], end[good]])
+        order = np.lexsort((end, edits, key))  # the best place of each segment first
+        order = order[np.diff(key[order], prepend=-1) != 0]
+        key, edits, end = key[order] // most, edits[order], end[order]
+        head = np.flatnonzero(np.diff(key, prepend=-1))
+        if not len(head):
+            return []
+        found = np.diff(np.append(head, len(key)))
+        return list(zip((key[head] // len(self.size)).tolist(), (key[head] % len(self.size)).tolist(), found.tolist(),
+                        np.add.reduceat(edits, head).tolist(), np.minimum.reduceat(end, head).tolist(), strict=True))
 
 
 def _ranks(n: np.ndarray) -> np.ndarray:
