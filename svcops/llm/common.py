@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from svcops.session import settled
+
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -32,6 +34,35 @@ def only(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
     return left.join(ids, F.col(f"__docs.`{id_col}`").eqNullSafe(F.col(name)), how)
 
 
+def first_rows(docs: DataFrame, id_col: str, key: str, found: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group; column ``key`` goes, the others stay.
+
+    ``found`` has ``id, key, group`` for each row of ``docs`` that may have
+    company. The row with the smallest id stays (null is the largest), then the
+    one with the smallest key; of several such rows the one whose JSON has the
+    smallest hash, so each row is judged by its own text and one of identical
+    rows stays. Rows are counted before any join, so a large group of repeated
+    rows is one row a task."""
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "key")
+    heads = settled(found.groupBy("group").agg(F.min(order).alias("head"), F.count("*").alias("rows"))
+                    .where("rows > 1").select("group", "head"))
+    counts = found.groupBy("group", "id", "key").agg(F.count("*").alias("n")).join(heads, "group")
+    first = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("key") == F.col("head.key"))
+    counts = settled(counts.select("id", "key", "n", first.alias("first")))
+    left = docs.alias("__docs")
+
+    def match(rows: DataFrame, how: str) -> DataFrame:
+        own = F.col(f"__docs.`{id_col}`").eqNullSafe(F.col("__id")) & (F.col(f"__docs.`{key}`") == F.col("__key"))
+        return left.join(rows.select("id", "key").toDF("__id", "__key"), own, how)
+
+    kept = match(counts.where("n > 1 or not first"), "left_anti")
+    again = match(counts.where("n > 1 and first"), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = (again.select(row.alias("row")).groupBy(F.col(f"row.`{id_col}`"), F.col(f"row.`{key}`"))
+             .agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row")).select("row.*"))
+    return kept.union(again).drop(key)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 

@@ -10,9 +10,10 @@ splits.
 
 Defined results: null text counts as empty, and empty texts equal each other;
 of equal texts the row with the smallest id stays (null ids are never the
-smallest unless all are null); rows that share an id share its decision; an
-empty table gives an empty result; other columns don't matter, whatever their
-names.
+smallest unless all are null); each row is judged by its own text, also where
+ids repeat or are null; ``exact_groups`` marks every row with the staying id as
+kept, while ``exact_dedup`` leaves one row of each group; an empty table gives an
+empty result; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from svcops.llm.common import SPACES, only
+from svcops.llm.common import SPACES, first_rows, only
 from svcops.session import settled
 
 PREFIX_CHARS = 256
@@ -37,7 +38,7 @@ def sha256(text: Column) -> Column:
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """The rows that have an equal: ``id, keep_id, group_size``."""
+    """The rows that have an equal: ``id, digest, keep_id, group_size``."""
     text = normalised(F.col(f"`{text_col}`"))
     size = F.octet_length(text).alias("size")
     rows = settled(docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("t")).select(
@@ -57,16 +58,16 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = settled(full.groupBy("size", "digest")
                      .agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
                      .where("group_size > 1"))
-    return full.join(groups, ["size", "digest"]).select("id", "keep_id", "group_size")
+    return full.join(groups, ["size", "digest"]).select("id", "digest", "keep_id", "group_size")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``."""
-    found = (copies(docs, id_col, text_col).groupBy("id")
+    found = (copies(docs, id_col, text_col).groupBy("id", "digest")
              .agg(F.min("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"),
                        sha256(F.col(f"`{text_col}`")).alias("text_sha256"))
-    joined = rows.join(found, rows["doc_id"].eqNullSafe(found["id"]), "left")
+    joined = rows.join(found, rows["doc_id"].eqNullSafe(found["id"]) & (rows["text_sha256"] == found["digest"]), "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select("doc_id", keep.alias("keep_id"),
                          F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
@@ -74,6 +75,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that equal one with a smaller id; all columns stay."""
-    gone = copies(docs, id_col, text_col).where(~F.col("id").eqNullSafe(F.col("keep_id")))
-    return only(docs, id_col, gone.select("id").distinct(), "left_anti")
+    """``docs`` with one row of each group of equal texts, one of the smallest id; all columns stay."""
+    found = copies(docs, id_col, text_col).select("id", F.col("digest").alias("key"), F.col("digest").alias("group"))
+    return first_rows(docs.withColumn("__digest", sha256(F.col(f"`{text_col}`"))), id_col, "__digest", found)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from svcops.llm.common import only, utf8
+from svcops.llm.common import first_rows, utf8
 from svcops.llm.components import components
 from svcops.session import settled
 
@@ -64,6 +64,13 @@ def text_fingerprint(text: bytes, shingle: int = SHINGLE_WORDS) -> np.uint64:
     return _fingerprint(np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, k + 1))
 
 
+def _text_fingerprints(column, shingle: int) -> np.ndarray:
+    off, raw = utf8(column)
+    data = raw.tobytes()
+    spans = zip(off[:-1].tolist(), off[1:].tolist(), strict=True)
+    return np.fromiter((text_fingerprint(data[a:b], shingle) for a, b in spans), np.uint64, len(off) - 1)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  shingle: int = SHINGLE_WORDS) -> DataFrame:
     """``id, fp``: the 64 bits as a signed bigint."""
@@ -71,10 +78,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for batch in batches:
-            off, raw = utf8(batch.column("text"))
-            data = raw.tobytes()
-            fp = np.fromiter((text_fingerprint(data[a:b], shingle) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)),
-                             np.uint64, len(off) - 1)
+            fp = _text_fingerprints(batch.column("text"), shingle)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
@@ -160,14 +164,20 @@ def links(distinct: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFr
     return cells.mapInArrow(lambda batches: link_cells(batches, radius), "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    shingle: int = SHINGLE_WORDS, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
-    """One row per document: ``doc_id, fingerprint, component_id``."""
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE_WORDS, radius: int = RADIUS,
+                cell: int = CELL) -> tuple[DataFrame, DataFrame]:
+    """``id, fp`` of every document, and ``fp, root, least`` of every fingerprint."""
     fps = settled(fingerprints(docs, id_col, text_col, shingle))
     nodes = fps.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(links(nodes.select("fp"), radius, cell), "a", "b")
     nodes = nodes.join(roots, nodes["fp"] == roots["node"], "left")
-    nodes = settled(nodes.select("fp", F.coalesce("root", "fp").alias("root"), "least"))
+    return fps, settled(nodes.select("fp", F.coalesce("root", "fp").alias("root"), "least"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    shingle: int = SHINGLE_WORDS, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
+    """One row per document: ``doc_id, fingerprint, component_id``."""
+    fps, nodes = _components(docs, id_col, text_col, shingle, radius, cell)
     named = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = nodes.select("fp", "root").join(named, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
@@ -175,7 +185,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that aren't the first of their component."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return only(docs, id_col, gone.select("doc_id").distinct(), "left_anti")
+    """``docs`` with the first row of each component; each row is judged by its own fingerprint."""
+    fps, nodes = _components(docs, id_col, text_col)
+    found = fps.join(nodes, "fp").select("id", F.col("fp").alias("key"), F.col("root").alias("group"))
+
+    def run(batches):
+        for batch in batches:
+            fp = _text_fingerprints(batch.column(text_col), SHINGLE_WORDS)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*batch.schema.names, "__fp"])
+
+    marked = docs.mapInArrow(run, docs.select("*", F.lit(0).cast("bigint").alias("__fp")).schema)
+    return first_rows(marked, id_col, "__fp", found)
