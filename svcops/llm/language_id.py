@@ -15,6 +15,12 @@ Defined results: a null text, or one without a letter, is ``und`` with score 0;
 so is every text when nothing could be learned. Otherwise the score is the
 posterior probability of the predicted language; ties go to the language that
 sorts first. Rows with a null id or null language are never learned from.
+
+The posterior only compares the known languages, and is near 1 for long texts in
+none of them. ``accepted`` therefore also asks for a mean log-probability per
+gram not far below that of the rows learned from: at most ``FAR`` times their
+spread, a text's own sampling error added. Texts of a few words are seldom
+refused.
 """
 
 from __future__ import annotations
@@ -31,6 +37,10 @@ ORDERS = (1, 2, 3)
 MAX_LANGUAGES = 256
 MAX_ROWS_PER_LANGUAGE = 5000
 UNKNOWN = "und"
+#: Spreads that a text's mean log-probability may lie below the language's median.
+FAR = 3.5
+#: The spread is at least this share of one gram's standard deviation, as subjects and styles differ.
+LEAST_SPREAD = 0.26
 
 _LETTERS: list[np.ndarray] = []
 
@@ -87,8 +97,7 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
     if not sizes:
         return [], np.zeros((0, BUCKETS), np.float32), np.zeros(0)
     langs = sorted(sizes)
-    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, max_rows / sizes[x]))) for x in langs])
-    sample = known.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1_000_000)) < share * 1_000_000)
+    sample = _sample(known, sizes, max_rows)
 
     def count(batches):
         for batch in batches:
@@ -114,22 +123,64 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
     return langs, matrix.astype(np.float32), prior
 
 
+def _sample(known: DataFrame, sizes: dict[str, int], max_rows: int) -> DataFrame:
+    """About ``max_rows`` rows of each language, by a hash of the id."""
+    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, max_rows / n))) for x, n in sorted(sizes.items())])
+    return known.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1_000_000)) < share * 1_000_000)
+
+
+def usual(docs: DataFrame, model, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+          max_rows: int = MAX_ROWS_PER_LANGUAGE) -> dict[str, tuple[float, float, float]]:
+    """For each language the median of its rows' mean log-probability of a gram,
+    the spread between rows (1.4826 times the median deviation) and the standard
+    deviation of one gram. Rows that the model gives to another language don't count."""
+    langs, matrix, _ = model
+    if not langs:
+        return {}
+    score = scorer(docs.sparkSession, model)
+    known = docs.where(learn & F.col(f"`{id_col}`").isNotNull()).select(
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    known = known.where(F.col("lang").isNotNull())
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+
+    def run(batches):
+        for batch in batches:
+            label, _, mean, _ = score(batch.column("text"))
+            good = label == np.array(batch.column("lang").to_pylist(), object)
+            yield pa.RecordBatch.from_arrays([pa.array(label[good].tolist(), pa.string()), pa.array(mean[good])], ["lang", "mean"])
+
+    found = _sample(known, sizes, max_rows).select("lang", "text").mapInArrow(run, "lang string, mean double").toArrow()
+    name, mean = np.array(found["lang"].to_pylist(), object), found["mean"].to_numpy()
+    out = {}
+    for x, row in zip(langs, matrix.astype(np.float64), strict=True):
+        own, p = mean[name == x], np.exp(row)
+        entropy = (p * row).sum()
+        middle = float(np.median(own)) if len(own) else float(entropy)
+        out[x] = (middle, 1.4826 * float(np.median(np.abs(own - middle))) if len(own) else 0.0, float(np.sqrt((p * (row - entropy) ** 2).sum())))
+    return out
+
+
 def scorer(spark, model):
-    """A function from an Arrow text column to (labels, scores); the model is broadcast."""
+    """A function from an Arrow text column to (labels, scores, mean
+    log-probability of a gram, grams); the model is broadcast."""
     langs, matrix, prior = model
     sent = spark.sparkContext.broadcast((langs, np.ascontiguousarray(matrix), prior))
 
-    def score(column) -> tuple[np.ndarray, np.ndarray]:
+    def score(column) -> tuple[np.ndarray, ...]:
         langs, matrix, prior = sent.value
         off, _ = utf8(column)
         label, value = np.full(len(off) - 1, len(langs)), np.zeros(len(off) - 1)
+        mean, size = np.zeros(len(off) - 1), np.zeros(len(off) - 1, np.int64)
         for i, j in chunks(off) if langs else []:
             bucket, goff = grams(_texts(column, i, j))
             like = np.stack([sums(m[bucket].astype(np.float64), goff) for m in matrix], axis=1) + prior
             p = 1 / np.exp(like - like.max(axis=1, keepdims=True)).sum(axis=1)
             some = goff[1:] > goff[:-1]
             label[i:j], value[i:j] = np.where(some, like.argmax(axis=1), len(langs)), np.where(some, p, 0)
-        return np.array([*langs, UNKNOWN], object)[label], value
+            best = like.argmax(axis=1)
+            size[i:j] = np.diff(goff)
+            mean[i:j] = (like[np.arange(len(best)), best] - prior[best]) / np.maximum(size[i:j], 1)
+        return np.array([*langs, UNKNOWN], object)[label], value, mean, size
 
     return score
 
@@ -143,7 +194,7 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches):
         for batch in batches:
-            label, value = score(batch.column("text"))
+            label, value, _, _ = score(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(label.tolist(), pa.string()), pa.array(value)], names)
 
@@ -163,15 +214,25 @@ def identify(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col:
     return predict(docs, model, id_col, text_col, held_out=fold(f"`{id_col}`", folds) <= 0)
 
 
+def distance(known: dict[str, tuple[float, float, float]], label: np.ndarray, mean: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many spreads each text lies below the median of its language; the
+    grams of a text overlap, so about a third of them are independent."""
+    middle, spread, one = np.array([known.get(x, (0.0, 0.0, 1.0)) for x in label], float).reshape(-1, 3).T
+    return (middle - mean) / np.maximum(np.maximum(spread, LEAST_SPREAD * one) + one / np.sqrt(np.maximum(size / 3, 1)), 1e-9)
+
+
 def accepted(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
              lang_col: str = "lang") -> DataFrame:
     """``docs`` without the rows whose text is in no known language: it is
-    ``und``, or no language has ``min_score`` of the posterior. One pass, no shuffle."""
-    score = scorer(docs.sparkSession, learned(docs, id_col=id_col, text_col=text_col, lang_col=lang_col))
+    ``und``, no language has ``min_score`` of the posterior, or the text is too
+    unlike the rows of its language. One pass, no shuffle."""
+    model = learned(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    score = scorer(docs.sparkSession, model)
+    known = usual(docs, model, fold(f"`{id_col}`", 5) != 0, id_col, text_col, lang_col)
 
     def run(batches):
         for batch in batches:
-            label, value = score(batch.column(text_col))
-            yield batch.filter(pa.array((label != UNKNOWN) & (value >= min_score)))
+            label, value, mean, size = score(batch.column(text_col))
+            yield batch.filter(pa.array((label != UNKNOWN) & (value >= min_score) & (distance(known, label, mean, size) <= FAR)))
 
     return docs.mapInArrow(run, docs.schema)
