@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from svcops.llm import (decontaminate, exact_dedup, html_text, language_id, license_scan, mixing, quality_rules,
-                        repeats, simhash, token_counts)
+from svcops.llm import (alignment, conversations, decontaminate, exact_dedup, html_text, language_id, license_scan,
+                        mixing, packing, quality_rules, repeats, simhash, token_counts)
 from svcops.llm.common import read
 
 
-#: The tokenizer's model file; another path can be given to the operator.
+#: The tokenizers' files; other paths can be given to the operators.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def op1_html_text(spark, sf_dir):
@@ -61,9 +62,25 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_best_fit_packing(spark, sf_dir):
+    """Place of every document's pieces in sequences of 1,024 tokens."""
+    return packing.pack(read(spark, sf_dir, "documents"), BYTE_TOKENIZER)
+
+
+def op12_token_alignment(spark, sf_dir):
+    """Groups and links of every document's tokens by two tokenizers."""
+    return alignment.digest(alignment.align(read(spark, sf_dir, "documents"), BYTE_TOKENIZER, TOKENIZER))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    """Faults and cheapest repair of every damaged conversation."""
+    return conversations.digest(read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_html_text, op2_mixing, op3_token_counts, op4_decontaminate, op5_suffix_dedup, op6_license_scan, op7_quality_rules,
-    op8_exact_dedup, op9_language_id, op10_simhash_near_dedup)}
+    op8_exact_dedup, op9_language_id, op10_simhash_near_dedup, op11_best_fit_packing, op12_token_alignment,
+    op13_conversation_repair)}
 
 SQL = {
     "op8_exact_dedup": r"""
