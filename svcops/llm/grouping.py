@@ -106,14 +106,19 @@ def crossover(a: Genome, b: Genome, capacity: int, rng: random.Random) -> Genome
     least = WELL_FILLED * capacity
     injected = {s: max(1, round(n * rng.uniform(0.2, 1))) for s, n in sorted(b.items()) if sum(s) >= least and rng.random() < 0.5}
     twice = contents(injected)  # each of these documents is in a bin of ``a`` too
+    open_ = sum(twice.values())
     child, displaced = dict(injected), Counter()
     for sizes in sorted(a, key=lambda s: (sum(s), s)):  # poorly filled ones go first
-        n, held = a[sizes], Counter(sizes)
-        gone = min(n, max((-(-twice[s] // k) for s, k in held.items() if twice[s] > 0), default=0))
-        for s, k in held.items():
-            dropped = min(max(twice[s], 0), gone * k)
-            twice[s] -= dropped
-            displaced[s] += gone * k - dropped
+        n, gone = a[sizes], 0
+        if open_ and any(twice.get(s) for s in sizes):
+            held = Counter(sizes)
+            gone = min(n, max(-(-twice.get(s, 0) // k) for s, k in held.items()))
+            for s, k in held.items():
+                dropped = min(twice.get(s, 0), gone * k)
+                if dropped:
+                    twice[s] -= dropped
+                    open_ -= dropped
+                displaced[s] += gone * k - dropped
         if n > gone:
             child[sizes] = child.get(sizes, 0) + n - gone
     return best_fit(child, displaced, capacity)
@@ -180,18 +185,18 @@ def cost(bins: Genome) -> tuple:
 def evolve(population: list[Genome], capacity: int, bound: int, rng: random.Random) -> list[Genome]:
     """One epoch of one island, the best genome first; it ends early where a
     genome needs no more bins than ``bound``."""
-    ranked = sorted(population, key=cost)
+    ranked = sorted(((cost(g), i, g) for i, g in enumerate(population)), key=lambda x: x[:2])
     for _ in range(GENERATIONS):
-        if cost(ranked[0])[0] <= bound:
+        if ranked[0][0][0] <= bound:
             break
         children = []
         for _ in range(POPULATION):
-            a, b = (min(rng.sample(ranked, min(2, len(ranked))), key=cost) for _ in range(2))
+            a, b = (min(rng.sample(ranked, min(2, len(ranked))), key=lambda x: x[0])[2] for _ in range(2))
             child = crossover(a, b, capacity, rng) if a is not b else a
             children.append(mutation(child, capacity, rng) if a is b or rng.random() < 0.5 else child)
-        ranked = sorted(ranked + children, key=cost)
-        ranked = [g for i, g in enumerate(ranked) if i == 0 or cost(g) != cost(ranked[i - 1])][:POPULATION]
-    return ranked
+        everyone = sorted([*ranked, *((cost(g), len(ranked) + i, g) for i, g in enumerate(children))], key=lambda x: x[:2])
+        ranked = [x for i, x in enumerate(everyone) if i == 0 or x[0] != everyone[i - 1][0]][:POPULATION]
+    return [g for _, _, g in ranked]
 
 
 def _pack(genome: Genome) -> list[dict]:

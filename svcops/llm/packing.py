@@ -30,7 +30,7 @@ from svcops.session import scratch_path
 CAPACITY = 1024
 END_ID = 2
 #: Pieces of one length that are ranked in one group, about.
-GROUP = 200_000
+GROUP = 1_000
 
 
 def piece_starts(length: int, capacity: int) -> list[int]:
