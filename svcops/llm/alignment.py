@@ -81,9 +81,8 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteTokens(a_path, plain=True), PieceTokens(b_path)
-        self.size_a, self.size_b = (np.zeros(max(x.bytes) + 2, np.int64) for x in (self.a, self.b))
-        for size, x in ((self.size_a, self.a), (self.size_b, self.b)):
-            size[list(x.bytes)] = [len(v) for v in x.bytes.values()]
+        self.raw_a, self.raw_b = ([x.bytes.get(i, b"") for i in range(max(x.bytes) + 2)] for x in (self.a, self.b))
+        self.size_a, self.size_b = (np.array([len(v) for v in raw], np.int64) for raw in (self.raw_a, self.raw_b))
         self.shift = np.int64(pair_bits(b_path))
         self.text = [f"{i}{s}" for i in range(max(len(self.size_a), len(self.size_b))) for s in _SEPARATORS]
 
@@ -95,7 +94,7 @@ class Aligner:
         for i, b in zip(own, self.b.ids([texts[i] for i in own]), strict=True):
             raw = b" " + texts[i].encode()
             a = self.a.ids(" " + texts[i]).astype(np.int64)
-            if all(b"".join([x.bytes.get(k, b"") for k in ids.tolist()]) == raw for x, ids in ((self.a, a), (self.b, b))):
+            if all(b"".join(map(table.__getitem__, ids.tolist())) == raw for table, ids in ((self.raw_a, a), (self.raw_b, b))):
                 out[i] = a, b
         return out
 
