@@ -1,18 +1,7 @@
 import random
 
 from svcops.llm import license_scan as L
-from svcops.llm.common import read
 from tests.llm.helpers import documents, prose
-from tests.llm.test_license_scan import SENTENCES
-
-FIVE = SENTENCES | {"All rights reserved.": "Proprietary"}
-
-
-def test_all_five_driver_sentences(spark):
-    docs = read(spark, "/root/testdata/sf0.01", "documents")
-    got = {(r["doc_id"], r["family"]) for r in L.scan(docs).collect()}
-    want = {(r["doc_id"], f) for r in docs.collect() for s, f in FIVE.items() if s in r["text"]}
-    assert got == want and {f for _, f in want} == set(FIVE.values())
 
 
 def test_short_and_wrapped_notices(spark):
