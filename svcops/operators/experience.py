@@ -5,7 +5,9 @@ The per-customer risk profile aggregates tickets to one row per customer
 an id listed twice counts as grouping the joined rows would count it.
 "Hot" customers only add partial-aggregate rows per map task.
 The profile is staged once and reused by the experience and implication
-reports, as the original writes it to a file for the next notebook.
+reports, as the original writes it to a file for the next notebook. Its sums of
+tickets per customer are kept by input file: a new month of tickets is read
+alone and its sums are merged with the former ones.
 """
 
 from __future__ import annotations
@@ -31,10 +33,20 @@ def customer_attributes(T: Tables) -> DataFrame:
         F.max("region").alias("region"), F.count(F.lit(1)).alias("_m"))
 
 
-def _risk_profile(T: Tables) -> DataFrame:
-    per = T.k.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
+def _ticket_sums(tickets: DataFrame) -> DataFrame:
+    """Sums of tickets per customer: exact, so they merge in any order."""
+    return tickets.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
         F.count("ticket_id").alias("_n"), F.sum("sla_breached").alias("_b"),
-        F.avg("csat_score").alias("avg_csat"))
+        F.sum(C.exact("csat_score")).alias("_cs"), F.count("csat_score").alias("_cn"))
+
+
+def _merged_sums(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("customer_id").agg(*[F.sum(c).alias(c) for c in ("_n", "_b", "_cs", "_cn")])
+
+
+def _risk_profile(T: Tables) -> DataFrame:
+    per = T.summed("ticket_sums", "tickets", _ticket_sums, _merged_sums).withColumn(
+        "avg_csat", C.ratio(F.col("_cs").cast("double"), F.col("_cn")))
     times = F.coalesce("_m", F.lit(1))  # an id listed twice meets its tickets twice
     prof = per.join(customer_attributes(T), "customer_id", "left").select(
         "customer_id", (F.col("_n") * times).alias("total_tickets"),

@@ -87,6 +87,25 @@ def file_version(spark: SparkSession, paths) -> tuple:
     return tuple(out)
 
 
+def data_files(spark: SparkSession, path: str) -> tuple:
+    """``file_version`` of the data files at a path: no hidden ones, no markers."""
+    return tuple(f for f in file_version(spark, [path]) if not f[0].rsplit("/", 1)[-1].startswith(("_", ".")))
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where there is no folder."""
+    hadoop, fs = _path(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(hadoop)) if fs.exists(hadoop) else []
+
+
+def remove_under(spark: SparkSession, base: str, name: str) -> None:
+    """Delete one of a stage's own folders, given by its name under the stage's."""
+    if not re.fullmatch(r"(manifest/\d+|data/part=[0-9a-f]+)", name):
+        raise ValueError(f"not a stage's folder: {name}")
+    hadoop, fs = _path(spark, f"{base}/{name}")
+    fs.delete(hadoop, True)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a work folder of our own under the shared folder."""
     if not path.startswith(f"{shared_dir(spark)}/svcops/"):

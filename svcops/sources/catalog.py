@@ -9,6 +9,11 @@ files (names, sizes, modification times): when they change, the next use writes
 it anew and removes the old one; ``unstage`` removes all. The write is a normal
 Spark job: task retries and the output committer make it survive executor
 loss; a half-written folder is never registered.
+
+Two stages grow by files instead (``sources.stages``): clean transactions, whose
+rows are cleaned one by one, and the sums of tickets per customer, which merge.
+After a new file they read that file only. With a ``stage_dir`` of one's own they
+stay for the next session.
 """
 
 from __future__ import annotations
@@ -21,12 +26,14 @@ from pyspark.sql import functions as F
 from svcops.functions import columns as C
 from svcops.functions import constants as K
 from svcops.operators import clean as CL
-from svcops.session import file_version, remove_path, scratch_path
+from svcops.session import data_files, file_version, remove_path, scratch_path
 from svcops.sources import fixtures as FX
+from svcops.sources.stages import FileStage
 
 _LOCK = threading.Lock()
 _STAGED: dict[tuple, tuple[tuple, str]] = {}  # key -> (input version, path)
 _BUILDING: dict[tuple, threading.Lock] = {}
+_GROWING: dict[tuple, tuple[str, tuple, list[str]]] = {}  # key -> (folder, input version, parts)
 
 CLEAN_TABLES = ("transactions", "customers", "tickets", "operations")
 YEAR_PARTITION = "invoice_year"
@@ -39,8 +46,9 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str, staged: bool = True,
                  raw_frames: dict[str, DataFrame] | None = None, files: dict[str, str] | None = None,
-                 years: tuple[int, ...] = K.YEARS, months: int = K.MONTHS_IN_DATA):
+                 years: tuple[int, ...] = K.YEARS, months: int = K.MONTHS_IN_DATA, stage_dir: str | None = None):
         self.spark = spark
+        self.stage_dir = stage_dir and stage_dir.rstrip("/")
         self.sf_dir = sf_dir.rstrip("/")
         self.files = dict(files or {})
         self.raw_frames = dict(raw_frames or {})
@@ -56,12 +64,14 @@ class Tables:
 
     @classmethod
     def from_files(cls, spark: SparkSession, *, years=K.YEARS, months=K.MONTHS_IN_DATA,
-                   staged: bool = True, **paths: str) -> Tables:
+                   staged: bool = True, stage_dir: str | None = None, **paths: str) -> Tables:
         """Tables over one's own raw files: ``transactions=path, customers=path,
-        tickets=path, operations=path``, CSV with a header or Parquet (by the
-        path's ending), read with the raw schemas of ``sources.io``."""
+        tickets=path, operations=path``, a file or a folder of files, CSV with a
+        header or Parquet (by the path's ending), read with the raw schemas of
+        ``sources.io``. ``stage_dir``: a folder on shared storage in which the
+        stages that grow by files stay after the session."""
         from svcops.sources.io import read_raw
-        return cls(spark, "<files>", staged=staged, files=paths, years=years, months=months,
+        return cls(spark, "<files>", staged=staged, files=paths, years=years, months=months, stage_dir=stage_dir,
                    raw_frames={name: read_raw(spark, name, path) for name, path in paths.items()})
 
     # ------------------------------------------------------------------ staging
@@ -93,10 +103,14 @@ class Tables:
         return path
 
     def unstage(self) -> None:
-        """Remove everything staged from this source."""
+        """Remove everything staged from this source in this session's work folder."""
         own = (self.spark.sparkContext.applicationId, self.sf_dir, tuple(sorted(self.files.items())))
         for key in [k for k in _STAGED if k[:3] == own]:
             remove_path(self.spark, _STAGED.pop(key)[1])
+        for key in [k for k in _GROWING if k[:3] == own]:
+            base = _GROWING.pop(key)[0]
+            if not self.stage_dir:
+                remove_path(self.spark, base)
 
     def _stage(self, name: str, build, partition_by: tuple[str, ...] = (), sort: tuple[str, ...] = ()) -> DataFrame:
         if not self.staged:
@@ -109,6 +123,37 @@ class Tables:
 
         return self.spark.read.parquet(self.stage_path(name, write))
 
+    def _facts(self, name: str):
+        """(its data files, the state of all other inputs, a builder of the raw
+        table from some of the files) of a table made row by row of its files."""
+        if name in self.files:
+            from svcops.sources.io import read_raw
+            path = self.files[name]
+            return data_files(self.spark, path), "", lambda files: read_raw(self.spark, name, path, files)
+        fact, dims = FX.FACTS[name]
+        others = file_version(self.spark, [f"{self.sf_dir}/{t}.parquet" for t in dims])
+        return (data_files(self.spark, f"{self.sf_dir}/{fact}.parquet"), repr(others),
+                lambda files: FX.RAW_BUILDERS[f"{name}_raw"](self.spark, self.sf_dir, files))
+
+    def _grown(self, stage: str, name: str, make, partition_by: tuple[str, ...] = (), sort: tuple[str, ...] = (), merge=None) -> DataFrame:
+        """The stage of ``make(clean table)`` that grows by the table's files."""
+        files, others, raw = self._facts(name)
+        version = (files, others)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, tuple(sorted(self.files.items())), stage, self.stage_dir)
+        with _LOCK:
+            building = _BUILDING.setdefault(key, threading.Lock())
+
+        def build(paths):
+            return make(CL.CLEANERS[name](raw(paths)))
+
+        with building:
+            old = _GROWING.get(key)
+            base = old[0] if old else f"{self.stage_dir}/{stage}" if self.stage_dir else scratch_path(self.spark, f"stage-{stage}")
+            grown = FileStage(self.spark, base, partition_by, sort, merge)
+            parts = old[2] if old and old[1] == version else grown.refresh(files, others, build)
+            _GROWING[key] = (base, version, parts)
+        return grown.read(parts) if parts else build(())
+
     # ------------------------------------------------------------------ tables
     def raw(self, name: str) -> DataFrame:
         """``transactions``/``customers``/``tickets``/``operations`` raw table."""
@@ -127,10 +172,8 @@ class Tables:
     def _transactions_staged(self) -> DataFrame:
         """Clean transactions by invoice year, sorted by date inside the files, so
         that a date range skips row groups."""
-        def build():
-            t = CL.clean_transactions(self.raw("transactions"))
-            return t.withColumn(YEAR_PARTITION, F.year("invoice_date"))
-        return self._stage("transactions", build, (YEAR_PARTITION,), ("invoice_date",))
+        return self._grown("transactions", "transactions", lambda t: t.withColumn(YEAR_PARTITION, F.year("invoice_date")),
+                           (YEAR_PARTITION,), ("invoice_date",))
 
     def t_years(self, years) -> DataFrame:
         """Clean transactions of the given invoice years: partition pruning on
@@ -150,6 +193,13 @@ class Tables:
         like the clean tables."""
         return self._stage(name, build)
 
+    def summed(self, stage: str, name: str, make, merge) -> DataFrame:
+        """Partial aggregates ``make(clean table)``, merged by ``merge``; staged
+        tables keep them by file and aggregate new files only."""
+        if not self.staged:
+            return make(self.clean(name))
+        return merge(self._grown(stage, name, make, merge=merge))
+
     # short names used throughout the jobs
     @property
     def t(self) -> DataFrame:

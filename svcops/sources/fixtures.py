@@ -33,10 +33,18 @@ def _country(nationkey, nation_name):
             .otherwise(nation_name))
 
 
-def transactions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def read_facts(spark: SparkSession, sf_dir: str, name: str, files: tuple[str, ...] | None) -> DataFrame:
+    """A fact table, or only the given files of it."""
+    if files is None:
+        return read_table(spark, sf_dir, name)
+    whole = read_table(spark, sf_dir, name)
+    return spark.read.schema(whole.schema).parquet(*files) if files else whole.limit(0)
+
+
+def transactions_raw(spark: SparkSession, sf_dir: str, files: tuple[str, ...] | None = None) -> DataFrame:
     """One row per invoice line: ``invoice, stock_code, description, quantity,
     invoice_date, price, customer_id, country, revenue`` (revenue on raw rows,
-    negatives kept)."""
+    negatives kept). ``files``: of these files of lineitem only."""
     nation = F.broadcast(read_table(spark, sf_dir, "nation")
                          .select("n_nationkey", "n_name"))
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -45,7 +53,7 @@ def transactions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
               .join(cust, F.col("o_custkey") == F.col("c_custkey"))
               .join(nation, F.col("c_nationkey") == F.col("n_nationkey")))
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
-    line = read_table(spark, sf_dir, "lineitem").select(
+    line = read_facts(spark, sf_dir, "lineitem", files).select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
     j = (line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
          .join(part, F.col("l_partkey") == F.col("p_partkey")))
@@ -110,11 +118,11 @@ def customers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CATEGORY_SPELLINGS = tuple(K.CATEGORY_MAP)
 
 
-def tickets_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tickets_raw(spark: SparkSession, sf_dir: str, files: tuple[str, ...] | None = None) -> DataFrame:
     """One service ticket per order: ``ticket_id, customer_id, location_id,
     ticket_date, issue_category, priority, resolution_days, csat_score,
-    status``."""
-    o = read_table(spark, sf_dir, "orders").select(
+    status``. ``files``: of these files of orders only."""
+    o = read_facts(spark, sf_dir, "orders", files).select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
         "o_orderdate", "o_orderpriority")
     key = F.col("o_orderkey")
@@ -180,6 +188,12 @@ def operations_raw(spark: SparkSession, sf_dir: str,
     )
 
 
+#: Raw tables made row by row of one fact table, and the tables joined to it.
+FACTS = {
+    "transactions": ("lineitem", ("orders", "customer", "nation", "part")),
+    "tickets": ("orders", ()),
+}
+
 RAW_BUILDERS = {
     "transactions_raw": transactions_raw,
     "customers_raw": customers_raw,

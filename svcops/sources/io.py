@@ -66,7 +66,7 @@ def _csv_options(null_text: str) -> dict[str, str]:
             "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
-def read_csv(spark: SparkSession, path: str, schema: T_.StructType, null_text: str = "",
+def read_csv(spark: SparkSession, path: str | list[str], schema: T_.StructType, null_text: str = "",
              multi_line: bool = False) -> DataFrame:
     """CSV with a header, every column of the schema present. ``null_text``: the
     text of a missing value (by default an empty field). ``multi_line``: fields
@@ -80,11 +80,15 @@ def write_csv(df: DataFrame, path: str, null_text: str = "") -> None:
     df.write.options(**_csv_options(null_text), emptyValue='""').csv(path)
 
 
-def read_raw(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """One of the four raw tables from a Parquet or CSV path."""
+def read_raw(spark: SparkSession, name: str, path: str, files: tuple[str, ...] | None = None) -> DataFrame:
+    """One of the four raw tables from a Parquet or CSV path, or only the given
+    files of it."""
+    if files is not None and not files:
+        return spark.createDataFrame([], RAW_SCHEMAS[name])
+    paths = [path] if files is None else list(files)
     if path.rstrip("/").endswith(".parquet"):
-        return spark.read.schema(RAW_SCHEMAS[name]).parquet(path)
-    return read_csv(spark, path, RAW_SCHEMAS[name], multi_line=name == "transactions")
+        return spark.read.schema(RAW_SCHEMAS[name]).parquet(*paths)
+    return read_csv(spark, paths, RAW_SCHEMAS[name], multi_line=name == "transactions")
 
 
 def write_outputs(T, base: str) -> None:
