@@ -2,7 +2,7 @@
 
 Every profile is one aggregate pass per table (``count_if`` per column, all
 statistics in one ``agg``), reshaped with ``unpivot`` / ``inline``; exact
-quartiles come from ranked distinct values (``functions.ranks``)."""
+quartiles come from distributed selection (``functions.ranks``)."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from svcops.functions import columns as C
 from svcops.functions.frames import presented, with_scalars
-from svcops.functions.ranks import percentiles
+from svcops.functions.ranks import column_percentiles
 from svcops.operators.experience import risk_profile
 from svcops.sources.catalog import CLEAN_TABLES, Tables
 
@@ -86,10 +86,7 @@ _STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 def prof_describe(T: Tables) -> DataFrame:
     """``describe()`` of quantity and price on the raw lines, 2 decimals."""
     raw = T.raw("transactions")
-    long = raw.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v"))
-                                          for c in ("quantity", "price")])).alias("x")).select("x.c", "x.v")
-    quartiles = percentiles(long, "c", "v", (0.25, 0.5, 0.75)).agg(*[
-        F.max(F.when(F.col("c") == c, F.array("p0", "p1", "p2"))).alias(f"{c}_q") for c in ("quantity", "price")])
+    quartiles = column_percentiles(raw, ("quantity", "price"), (0.25, 0.5, 0.75))
     aggs = []
     for c in ("quantity", "price"):
         aggs += [F.count(c).cast("double").alias(f"{c}_count"), C.avg_round(c, 2).alias(f"{c}_mean"),

@@ -2,9 +2,12 @@
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 import pytest
 
-from svcops.functions.ranks import percentiles
+from svcops.functions import ranks
+from svcops.functions.ranks import column_percentiles, percentiles
 from svcops.operators import clean as CL
 from svcops.operators import experience as X
 from svcops.operators import exploratory as E
@@ -126,6 +129,49 @@ def test_percentiles_of_many_values(spark):
     assert got == {"a": (250000.0, 500000.0, 1000000.0), "b": (1.25, 1.5, 2.0), "c": (7.0, 7.0, 7.0)}
 
 
+@pytest.mark.parametrize("shape", ["spread", "few", "skewed", "ties", "signs"])
+def test_percentiles_equal_pandas(spark, shape, monkeypatch):
+    """Also where the sketches are coarse against the number of rows."""
+    rng = np.random.default_rng(5)
+    n = 60_000
+    values = {"spread": rng.normal(size=n), "few": rng.integers(0, 4, n) * 1.5, "skewed": np.exp(rng.normal(0, 9, n)),
+              "ties": np.where(rng.random(n) < 0.9, 7.0, rng.random(n)), "signs": rng.integers(-2, 3, n) * 10.0 ** rng.integers(-300, 300, n)}[shape]
+    monkeypatch.setattr(ranks, "ACCURACY", 500)
+    monkeypatch.setattr(ranks, "MARGIN", 5 / 500)
+    monkeypatch.setattr(ranks, "GRID", 40)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", "c"], n, p=[0.9, 0.0999, 0.0001]), "v": values})
+    shares = (0.0, 0.001, 0.25, 0.5, 0.75, 0.9999, 1.0)
+    df = spark.createDataFrame(pdf).repartition(7)
+    got = {r["g"]: list(r)[1:] for r in percentiles(df, "g", "v", shares).collect()}
+    for g, own in pdf.groupby("g"):
+        want = own["v"].quantile(shares, interpolation="lower"), own["v"].quantile(shares, interpolation="higher")
+        assert all(a <= x <= b for x, a, b in zip(got[g], *want)), g
+        assert np.allclose(got[g], own["v"].quantile(shares), rtol=1e-9)
+    both = column_percentiles(df, ("v",), shares).first()
+    assert np.allclose(both["v_q"], pdf["v"].quantile(shares), rtol=1e-9)
+
+
+def test_percentiles_run_nothing_while_planned(spark):
+    """No job, checkpoint or range partitioning; the last shuffle holds a few values."""
+    df = spark.range(200_000).selectExpr("CAST(id % 2 AS STRING) AS g", "CAST(id AS DOUBLE) AS v", "CAST(-id AS DOUBLE) AS w")
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    one, two = percentiles(df, "g", "v", (0.5,)), column_percentiles(df, ("v", "w"), (0.25, 0.5))
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    for x in (one, two):
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in plan and "Scan ExistingRDD" not in plan
+    assert {r["g"]: r["p0"] for r in one.collect()} == {"0": 99_999.0, "1": 100_000.0}
+    row = two.first()
+    assert row["v_q"] == [49_999.75, 99_999.5] and row["w_q"] == [-149_999.25, -99_999.5]
+
+
+def test_percentiles_of_nothing(spark):
+    df = spark.createDataFrame([(None, 1.0), ("a", None)], "g string, v double")
+    assert percentiles(df, "g", "v", (0.5,)).count() == 0
+    assert column_percentiles(df.where("false"), ("v",), (0.5,)).count() == 0
+
+
 # ------------------------------------------------------------------ files
 
 AWKWARD = ['say "hi", ok', "two\nlines", " lead", "trail ", "", None, "comma, here", '"', "\\N-ish", "é"]
