@@ -10,15 +10,20 @@ lemma such a stretch shares at least m - q + 1 - e*q q-grams with the segment,
 all on e + 1 neighbouring diagonals (document position minus segment position).
 The item's q-grams are indexed once by position in the item; hits are counted in
 overlapping bands of 2(e + 1) diagonals of the item, and the segments that reach
-the bound there are kept. Those that occur unchanged are compared directly; a
-banded alignment decides the others.
+the bound there are kept. Those that occur unchanged are compared directly. Of the
+others up to ``TOGETHER`` neighbouring ones are aligned at once: what they have in
+common is no dearer than any of them, so if its banded alignment exceeds the
+budget all are out (items that share a stem with the document end here); the rest
+is aligned one by one. Hits are counted in parts of the text that hold a bounded
+number of them.
 
-The benchmark is read in blocks of bounded size, each a broadcast index, and
-every block meets all documents; documents are never shuffled.
+The benchmark is read in blocks of bounded size, each a broadcast index, built
+one after another, and every block meets all documents; documents are never
+shuffled.
 
 Defined results: a null or empty item, or one of fewer than q characters,
-matches nothing; a null or empty document has no match; repeated items and
-documents each keep their own rows.
+matches nothing; a null or empty document has no match; repeated rows of items and
+of documents each give rows of their own.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from svcops.llm.common import chunks, mixed, shared, utf8
+from svcops.session import settled
 
 Q = 8
 SEGMENT = 64
@@ -37,6 +43,10 @@ STRIDE = 1
 ERROR_SHARE = 0.08
 #: Characters of benchmark text in one broadcast index.
 BLOCK_CHARS = 2_000_000
+#: Neighbouring segments whose common part is aligned first.
+TOGETHER = 24
+#: Hits of q-grams that are counted at a time, about.
+HITS = 1 << 20
 _BITMAP = 1 << 22
 _NOTHING = np.uint32(0xFFFFFFFF)
 
@@ -77,11 +87,12 @@ def budget(m: int, q: int, share: float) -> int:
 
 
 class Index:
-    """Items of one benchmark block and their q-grams."""
+    """Items (id, text, how often the table has it) of one block and their q-grams."""
 
     def __init__(self, items: list[tuple], q: int = Q, segment: int = SEGMENT, share: float = ERROR_SHARE):
-        self.q, self.ids = q, [i for i, _ in items]
-        text = [codes(plain(raw)) for _, raw in items]
+        self.q, self.ids = q, [x[0] for x in items]
+        self.copies = np.array([x[2] for x in items], np.int64)
+        text = [codes(plain(x[1])) for x in items]
         length = np.array([len(t) for t in text], np.int64)
         self.start = np.cumsum(length) - length  # of each item in self.text
         self.text = np.concatenate([*text, np.zeros(0, np.uint32)])
@@ -105,13 +116,34 @@ class Index:
     def bands(self, c: np.ndarray, doc: np.ndarray, off: np.ndarray):
         """Candidates (document, item, start of the segment, first diagonal of
         the band), diagonals counted from the document's start; and the hits
-        among them (document, item, position in the item, place in the document)."""
+        among them (document, item, position in the item, place in the document).
+        Parts of the text overlap by more than a segment's occurrence, so each is
+        whole in one of them; what two parts find is the same."""
         h = qgrams(c, self.q)
         at = np.flatnonzero(self.bitmap[h & np.uint64(_BITMAP - 1)])
         h, own = h[at], doc[at]
         lo = np.searchsorted(self.gram, h, "left")
         n = np.where((lo < len(self.gram)) & (at + self.q <= off[1:][own]), self.repeats[np.minimum(lo, len(self.gram) - 1)], 0).astype(np.int64)
         n[n > 0] *= self.gram[lo[n > 0]] == h[n > 0]
+        at, own, lo, n = (x[n > 0] for x in (at, own, lo, n))
+        overlap = int(self.size.max() + 2 * self.edits.max()) + 2 * self.q + 2
+        upto = np.cumsum(n)
+        found, i = [], 0
+        while i < len(at):
+            j = int(np.searchsorted(upto, upto[i] - n[i] + HITS, "right"))
+            j = max(j, int(np.searchsorted(at, at[i] + 2 * overlap)))
+            found.append(self._bands(at[i:j], own[i:j], lo[i:j], n[i:j], off))
+            if j >= len(at):
+                break
+            i = max(i + 1, int(np.searchsorted(at, at[j] - overlap)))
+        if len(found) == 1:
+            return found[0]
+        empty = np.zeros((4, 0), np.int64)
+        return tuple(tuple(np.unique(np.concatenate([empty, *(np.stack(f[k]) for f in found)], axis=1), axis=1)) for k in (0, 1))
+
+    def _bands(self, at: np.ndarray, own: np.ndarray, lo: np.ndarray, n: np.ndarray, off: np.ndarray):
+        """``bands`` of the q-grams at the places ``at`` of the text, each with ``n``
+        entries of the index from ``lo`` on."""
         entry = np.repeat(lo, n) + _ranks(n)
         place = np.repeat(at - off[:-1][own], n)
         own, item, pos = np.repeat(own, n), self.item[entry].astype(np.int64), self.pos[entry].astype(np.int64)
@@ -164,21 +196,39 @@ class Index:
             at, x, y = at[equal], x[equal], y[equal]
         return good
 
-    def align(self, c: np.ndarray, off: np.ndarray, doc: np.ndarray, item: np.ndarray, a: np.ndarray, first: np.ndarray):
-        """Fewest edits of each candidate's segment against any stretch of the
-        document that starts on the band's diagonals, and where that ends."""
+    def align(self, c: np.ndarray, off: np.ndarray, doc: np.ndarray, item: np.ndarray, a: np.ndarray, first: np.ndarray,
+              size: np.ndarray | None = None):
+        """Fewest edits of each candidate's segment (or of ``size`` characters from
+        ``a`` on) against any stretch of the document that starts on the band's
+        diagonals, and where that ends."""
         edits = np.zeros(len(item), np.int64)
         end = np.zeros(len(item), np.int64)
         padded = np.concatenate([c, [_NOTHING]])
         for e in np.unique(self.edits[item]):
             own = np.flatnonzero(self.edits[item] == e)
             for part in np.array_split(own, max(1, len(own) // 4096 + 1)):
-                edits[part], end[part] = self._align(padded, off, doc[part], item[part], a[part], first[part] + a[part] - e, 2 * (e + 1) + 2 * e)
+                edits[part], end[part] = self._align(padded, off, doc[part], item[part], a[part], first[part] + a[part] - e, 2 * (e + 1) + 2 * e,
+                                                     self.size[item[part]] if size is None else size[part])
         return edits, end
 
-    def _align(self, c, off, doc, item, a, first, width):
+    def possible(self, c: np.ndarray, off: np.ndarray, doc: np.ndarray, item: np.ndarray, a: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Which candidates may keep the budget: up to ``TOGETHER`` neighbours of a
+        band are judged by the part that all of them contain."""
+        if not len(a):
+            return np.zeros(0, bool)
+        key = np.stack([doc, item, first, a // TOGETHER])
+        order = np.lexsort(np.vstack([a, key[::-1]]))
+        sorted_ = key[:, order]
+        head = np.concatenate([[True], (sorted_[:, 1:] != sorted_[:, :-1]).any(axis=0)])
+        group = np.empty(len(a), np.int64)
+        group[order] = np.cumsum(head) - 1
+        at = order[head]
+        lowest, highest = a[at], a[order[np.append(np.flatnonzero(head)[1:], len(a)) - 1]]
+        edits, _ = self.align(c, off, doc[at], item[at], highest, first[at], self.size[item[at]] - (highest - lowest))
+        return (edits <= self.edits[item[at]])[group]
+
+    def _align(self, c, off, doc, item, a, first, width, size):
         start, stop = off[:-1][doc][:, None], off[1:][doc][:, None]
-        size = self.size[item]
         k = np.arange(width, dtype=np.int16)
         row = np.zeros((len(item), width), np.int16)
         best = np.zeros((len(item), width), np.int16)
@@ -206,7 +256,8 @@ class Index:
         d, n, pos, place = (x[equal] for x in hits)
         exact = (d * len(self.size) + n) * most + pos
         key = (doc * len(self.size) + item) * most + a
-        open_ = ~np.isin(key, exact)
+        open_ = np.flatnonzero(~np.isin(key, exact))
+        open_ = open_[self.possible(c, off, doc[open_], item[open_], a[open_], first[open_])]
         key = key[open_]
         edits, end = self.align(c, off, doc[open_], item[open_], a[open_], first[open_])
         good = edits <= self.edits[item[open_]]
@@ -228,16 +279,28 @@ def _ranks(n: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
 
 
-def blocks(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", limit: int = BLOCK_CHARS) -> list[Index]:
-    """The benchmark's indexes; items are dealt to blocks by a hash, so each
-    holds about ``limit`` characters."""
-    items = bench.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    items = items.where(F.length("text") > 0).distinct()
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // limit)
-    block = F.pmod(F.xxhash64("id", "text"), F.lit(max(n, 1)))
-    return [Index(sorted(((r["id"], r["text"]) for r in items.where(block == i).collect()), key=lambda x: (x[0] is not None, x)))
-            for i in range(n)]
+class Blocks:
+    """The benchmark's indexes, each built when its turn comes; items are dealt to
+    blocks by a hash, so each holds about ``limit`` characters. Equal rows are one
+    item with a number of copies."""
+
+    def __init__(self, bench: DataFrame, id_col: str, text_col: str, limit: int):
+        items = bench.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+        self.items = settled(items.where(F.length("text") > 0).groupBy("id", "text").agg(F.count("*").alias("copies")))
+        self.n = -(-(self.items.agg(F.sum(F.length("text"))).first()[0] or 0) // limit)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self):
+        block = F.pmod(F.xxhash64("id", "text"), F.lit(max(self.n, 1)))
+        for i in range(self.n):
+            rows = (tuple(r) for r in self.items.where(block == i).collect())
+            yield Index(sorted(rows, key=lambda x: (x[0] is not None, x)))
+
+
+def blocks(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", limit: int = BLOCK_CHARS) -> Blocks:
+    return Blocks(bench, id_col, text_col, limit)
 
 
 def _scan(index: Index, column):
@@ -264,6 +327,7 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
             index = get()
             for batch in batches:
                 found = list(_scan(index, batch.column("text")))
+                found = [x for x in found for _ in range(index.copies[x[1]])]
                 d, n, hits, edits, end = (list(x) for x in zip(*found, strict=True)) if found else ([],) * 5
                 ids = pa.array([index.ids[i] for i in n])
                 if found:
@@ -279,7 +343,8 @@ def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
 def drop_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id",
                item_text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that share a segment with any item; no shuffle."""
-    for index in blocks(bench, item_col, item_text_col):
+    parts = blocks(bench, item_col, item_text_col)
+    for i, index in enumerate(parts):
         get = shared(docs.sparkSession, index)
 
         def run(batches, get=get):
@@ -290,4 +355,6 @@ def drop_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_c
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if i + 1 < len(parts):  # a task holds one index at a time
+            docs = settled(docs)
     return docs
