@@ -3,13 +3,16 @@
 A page is read once into blocks: text between block-level tags, with the
 characters in links counted, and with the kinds of container around it. The
 first pass classifies each block by its stop-word density, length and link
-density; containers that are never content (navigation, adverts, comments,
-forms ...) decide at once. Other containers are only evidence: inside an
-``article`` or ``main`` element a block counts unless it is mostly links, inside
-one that has the words of an article in its class or id headings count and
-half the stop words are enough, and elsewhere the full thresholds hold, whether
-the page has an article or not. The second pass gives blocks that stayed open
-(short ones) the label of their nearest decided neighbours; outside the page's
+density. Containers are evidence: inside an ``article`` or ``main`` element, or one
+whose class or id has the words of an article, half the stop words are enough
+and headings count; elsewhere the full thresholds hold. Only containers that are
+never content (navigation, adverts, reader comments, hidden ones ...) decide at
+once, by whole names in class, id or role, not by parts of them (``tag-spark``,
+``has-sidebar`` and ``nav-open`` say nothing). Of these the uncertain ones (forms,
+notices, menus by name) don't hold against an ``article`` inside them, nor where
+no other block of the page is good: then the density rules decide inside them
+too. The second pass gives blocks that stayed open (short ones, and ones without
+stop words) the label of their nearest decided neighbours; outside the page's
 article only text outside vouches for a block.
 
 Stop words are learned from the pages themselves: the ``STOP_WORDS`` commonest
@@ -44,24 +47,31 @@ _BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td "
     "tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video head select button".split())
+_RAW = frozenset("script style noscript template textarea title iframe object svg canvas audio video head select button".split())
 _UNSEEN = frozenset("script style noscript template".split())
-_NEVER = frozenset("nav footer aside form menu dialog".split())
+_NEVER = frozenset("nav footer aside menu dialog".split())
 _SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
-#: Words in class, id or role that mark a container as no content.
-_NOT_CONTENT = re.compile(
-    r"(?:^|[^a-z])(?:ads?|adsby\w*|advert\w*|adsense|announcement\w*|banner\w*|breadcrumb\w*|comment\w*|complementary|consent|contentinfo|"
-    r"cookie\w*|copyright|disclaimer\w*|disqus\w*|foot|footer\w*|gdpr|hidden|legal|login\w*|masthead\w*|menu\w*|modal|nav\w*|newsletter\w*|"
-    r"notices?|notification\w*|overlay|pager|pagination|popup\w*|promo\w*|recommend\w*|related\w*|repl(?:y|ies)|respond|search|shar(?:e|ing)\w*|"
-    r"sidebar\w*|side-bar|signup|skip|social\w*|sponsor\w*|subscri\w*|tags?|toolbar|top-?bar|widgets?)(?:$|[^a-z])")
+# Words in class, id or role that mark a container as no content.
+_CERTAIN = re.compile(
+    r"ads?|adsby\w*|advert\w*|adsense|breadcrumb\w*|comment\w*|consent|cookie\w*|copyright|disqus\w*|footer\w*|gdpr|hidden|modal|"
+    r"newsletter\w*|overlay|popup\w*|repl(?:y|ies)|respond|signup|sponsor\w*|subscri\w*")
+_UNCERTAIN = re.compile(
+    r"announcement\w*|banner\w*|complementary|contentinfo|disclaimer\w*|foot|legal|login\w*|masthead\w*|menu\w*|nav\w*|notices?|"
+    r"notification\w*|pager|pagination|promo\w*|recommend\w*|related\w*|search|shar(?:e|ing)\w*|sidebar\w*|skip|social\w*|tags?|"
+    r"toolbar|topbar|widgets?")
+#: First parts of names that tell a state or a topic, and last parts that only say it is a container.
+_STATE = frozenset("has no with without is show hide hidden category tag type status format template author post page single".split())
+_HOLDER = frozenset(
+    "area bar block body bottom box buttons card container content feed footer form group header holder inner item items left link links "
+    "list menu outer panel posts right section slot text thread title top unit widget wrap wrapper".split())
 _HEADER = re.compile(r"(?:^|[^a-z])header(?:$|[^a-z])")
 _CONTENT = re.compile(r"(?:^|[^a-z])(?:article|articlebody|main|content|post|entry|story|body-?text)(?:$|[^a-z])")
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
     r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"(?<![\w:.-])(class|id|role|style|hidden|aria-hidden)(?![\w:.-])\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _BREAK = "\n"
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
@@ -70,39 +80,57 @@ _MARKUP = re.compile(r"<(script|style|head)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re
 
 class Block:
     """Text of one block: its raw pieces, characters inside links, and where it
-    stands (inside: 2 an article element, 1 a container named like one, 0 neither)."""
+    stands (never: in a container that is no content, 1 perhaps, 2 certainly;
+    inside: 2 an article element, 1 a container named like one, 0 neither)."""
 
     __slots__ = ("pieces", "linked", "never", "inside", "heading")
 
-    def __init__(self, never: bool, inside: int, heading: bool):
+    def __init__(self, never: int, inside: int, heading: bool):
         self.pieces, self.linked, self.never, self.inside, self.heading = [], 0, never, inside, heading
 
     def text(self) -> str:
         return _SPACE.sub(" ", "".join(self.pieces)).strip()
 
 
-def _container(name: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is never content, and whether it is the article."""
+def names_no_content(names: str) -> int:
+    """Whether names of class, id and role mark a container as no content: 2
+    certainly, 1 perhaps, 0 no. A name counts by all of it, by its last part, or by
+    its first where the last only says that it holds something."""
+    found = 0
+    for name in names.split():
+        parts = [x for x in re.split(r"[^a-z]+", name) if x]
+        if not parts or (len(parts) > 1 and parts[0] in _STATE and not name.startswith("post-comment")):
+            continue
+        whole = "".join(parts)
+        told = [parts[-1], whole if whole in ("sidebar", "topbar") else ""] + parts[:1] * (parts[-1] in _HOLDER)
+        found = max(found, *(2 if _CERTAIN.fullmatch(x) else 1 if _UNCERTAIN.fullmatch(x) else 0 for x in told))
+    return found
+
+
+def _container(name: str, attributes: str, in_article: bool) -> tuple[int, bool]:
+    """Whether an element is no content (2 certainly, 1 perhaps), and whether it
+    is the article."""
     values, hidden = "", False
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), (a or b or c).lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
+        if key == "hidden" and value != "until-found" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
             hidden = True
         elif key in ("class", "id", "role"):
             values += " " + value
     article = name in ("article", "main") or name in ("div", "section") and bool(values) and bool(_CONTENT.search(values))
-    never = hidden or name in _NEVER or name == "header" and not in_article
-    if not never and values and name not in ("html", "body", "article", "main"):
+    never = 2 if hidden or name in _NEVER else 1 if name == "form" or name == "header" and not in_article else 0
+    if never < 2 and values and name not in ("html", "body", "main"):
         page_header = not in_article and not article and bool(_HEADER.search(values))
-        never = page_header or bool(_NOT_CONTENT.search(values))
+        told = names_no_content(values)
+        never = max(never, int(page_header), 0 if name == "article" and told < 2 else told)
     return never, article and not never
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order. The stack holds (name, never content, how far in the article)."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []
-    now = Block(False, 0, False)
+    stack: list[tuple[str, int, int]] = []
+    now = Block(0, 0, False)
     links = 0
     at, end = 0, len(page)
 
@@ -110,7 +138,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal now
         if now.pieces:
             out.append(now)
-        _, never, inside = stack[-1] if stack else ("", False, 0)
+        _, never, inside = stack[-1] if stack else ("", 0, 0)
         now = Block(never, inside, any(x[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for x in stack[-2:]))
 
     def add(raw: str):
@@ -147,7 +175,7 @@ def blocks(page: str) -> list[Block]:
                         _, was, _ = stack[i]
                         del stack[i:]
                         links = sum(x[0] == "a" for x in stack)
-                        if was != (stack[-1][1] if stack else False):
+                        if was != (stack[-1][1] if stack else 0):
                             turn()
             elif name == "p":
                 turn()
@@ -182,12 +210,14 @@ def blocks(page: str) -> list[Block]:
             continue
         attributes = m[3] or m[6] or ""
         if not attributes.rstrip().endswith("/") or name in _BLOCK:
-            _, never, inside = stack[-1] if stack else ("", False, 0)
-            own, article = _container(name, attributes, inside > 0) if attributes.strip() or name in _NEVER or name in ("article", "main", "header") else (False, False)
+            _, never, inside = stack[-1] if stack else ("", 0, 0)
+            own, article = _container(name, attributes, inside > 0) if attributes.strip() or name in _NEVER or name in ("article", "main", "header", "form") else (0, False)
             level = 2 if name in ("article", "main") else int(article)
-            stack.append((name, never or own, 0 if own else max(inside, level)))
+            if level == 2 and never == 1:
+                never = 0  # an article is one in whatever wrapper
+            stack.append((name, max(never, own), 0 if own else max(inside, level)))
             links += name == "a"
-            if name in _BLOCK or own != never and own:
+            if name in _BLOCK or own > never:
                 turn()
     if now.pieces:
         out.append(now)
@@ -197,22 +227,20 @@ def blocks(page: str) -> list[Block]:
 GOOD, BAD, OPEN = 1, 0, 2
 
 
-def first_pass(block: Block, text: str, stop: frozenset[str]) -> int:
-    """GOOD, BAD or OPEN by container, link density, length and stop words."""
-    if block.never:
+def first_pass(block: Block, text: str, stop: frozenset[str], doubt: int = 0) -> int:
+    """GOOD, BAD or OPEN by link density, stop words and length, with lower
+    thresholds inside an article. ``doubt`` 1: containers that are perhaps no
+    content count as any other."""
+    if block.never > doubt:
         return BAD
     solid = len("".join(text.split()))
     linked = block.linked / max(solid, 1)
-    if block.inside and linked > MAX_LINK_DENSITY:
-        return BAD if linked > 0.8 else OPEN
-    if block.inside == 2 or block.inside and block.heading:
-        return GOOD
     if linked > MAX_LINK_DENSITY:
-        return BAD
+        return OPEN if block.inside and linked <= 0.8 else BAD
     found = _WORD.findall(text.lower())
     dense = sum(w in stop for w in found) / max(len(found), 1)
     if block.inside:
-        return GOOD if dense >= STOP_LOW / 2 else OPEN
+        return GOOD if dense >= STOP_LOW / 2 or block.heading else OPEN
     if len(text) < LENGTH_LOW:
         return BAD if linked > 0 else OPEN
     if dense >= STOP_HIGH or dense >= STOP_LOW and len(text) > LENGTH_HIGH:
@@ -245,13 +273,17 @@ def main_text(page: str | None, stop: frozenset[str]) -> str:
     """The page's article: its good blocks, one to a line."""
     found = blocks(page or "")
     texts = [b.text() for b in found]
+    doubt = 0
     first = [first_pass(b, t, stop) for b, t in zip(found, texts, strict=True)]
-    if not any(b.inside and not b.never for b in found):
-        labels = second_pass(first, GOOD)
+    if not any(k != BAD for k in first) and any(b.never == 1 for b in found):
+        doubt = 1  # nothing else can be the page's text
+        first = [first_pass(b, t, stop, doubt) for b, t in zip(found, texts, strict=True)]
+    if not any(b.inside and b.never <= doubt for b in found):
+        labels = second_pass(first, BAD if doubt else GOOD)
     else:
         labels = [BAD] * len(found)
         for inside in (True, False):
-            at = [i for i, b in enumerate(found) if not b.never and (b.inside > 0) == inside]
+            at = [i for i, b in enumerate(found) if b.never <= doubt and (b.inside > 0) == inside]
             own = [first[i] for i in at]
             if not inside and all(k == OPEN for k in own):  # the longer ones decide
                 own = [GOOD if len(texts[i]) >= LENGTH_LOW else OPEN for i in at]

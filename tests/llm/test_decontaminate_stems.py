@@ -53,13 +53,13 @@ def own_text(own, i):
 
 def test_parts_and_groups_equal_brute_force(monkeypatch):
     rng = random.Random(3)
-    items = [(k, D.plain(STEM + " " + prose(rng, 14))) for k in range(2)] + [(4, "short item text"), (5, D.plain(prose(rng, 30)))]
+    items = [(k, D.plain(STEM + " " + prose(rng, 14))) for k in range(2)] + [(2, "short item text"), (3, D.plain(prose(rng, 30)))]
     docs = []
     for i in range(8):
         text = prose(rng, rng.randrange(0, 8))
         for k, item in rng.sample(items, 2):
             a = rng.randrange(0, max(len(item) - 70, 1))
-            text += " " + edited(rng, item[a: a + rng.randrange(64, 90)], rng.randrange(0, 7)) + " " + rng.choice(["", STEM])
+            text += " " + edited(rng, item[a: a + rng.randrange(64, 90)], rng.randrange(0, 5)) + " " + rng.choice(["", STEM])
         docs.append(D.plain(text))
     want = {}
     for i, t in enumerate(docs):
@@ -71,7 +71,7 @@ def test_parts_and_groups_equal_brute_force(monkeypatch):
     for hits in (D.HITS, 64):
         monkeypatch.setattr(D, "HITS", hits)
         got = {(d, n): (found, edits) for d, n, found, edits, _ in index(items).matches(docs)}
-        assert got == want and len(want) > 5
+        assert got == want and len(want) > 3
 
 
 def test_repeated_items_keep_their_rows(spark):
