@@ -37,7 +37,7 @@ def test_named_containers_go(name):
     assert H.main_text(f'<article>{BOTH}</article><div id="{name}"><article><p>{ONE}</p></article></div>', STOP).startswith(f"{ONE}\n{TWO}")
 
 
-@pytest.mark.parametrize("name", ["tag-spark", "has-sidebar", "nav-open", "type-post", "status-publish", "shared", "adventure", "searching-page"])
+@pytest.mark.parametrize("name", ["tag-spark", "has-sidebar", "nav-open", "type-post", "status-publish", "adventure", "searching-page"])
 def test_other_names_say_nothing(name):
     assert H.names_no_content(name) == 0
 
