@@ -24,43 +24,72 @@ def fold(id_col: Column | str, modulus: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % modulus, F.lit(-1).cast("bigint"))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    have = {c.lower() for c in docs.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def only(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
     """The rows of ``docs`` whose id is (``left_semi``) or isn't (``left_anti``)
     the one column of ``ids``. Columns of ``docs`` stay as they are; a null id
     equals a null id."""
-    name = "__only_id"
-    ids = ids.toDF(name)
-    left = docs.alias("__docs")
-    return left.join(ids, F.col(f"__docs.`{id_col}`").eqNullSafe(F.col(name)), how)
+    name = unused(docs, "only_id")
+    return docs.join(ids.toDF(name), F.col(f"`{id_col}`").eqNullSafe(F.col(name)), how)
+
 
+#: Marked rows that are broadcast; more are joined by a shuffle.
+MARKED = 200_000
 
-def first_rows(docs: DataFrame, id_col: str, key: str, found: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group; column ``key`` goes, the others stay.
+
+def first_rows(docs: DataFrame, id_col: str, keyed, found: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group; all its columns stay as they are.
 
     ``found`` has ``id, key, group`` for each row of ``docs`` that may have
     company. The row with the smallest id stays (null is the largest), then the
     one with the smallest key; of several such rows the one whose JSON has the
     smallest hash, so each row is judged by its own text and one of identical
     rows stays. Rows are counted before any join, so a large group of repeated
-    rows is one row a task."""
+    rows is one row a task.
+
+    ``keyed(name)`` gives ``docs`` with each row's key in a column of that name; it
+    is only needed where a marked id occurs in several rows. Texts are shuffled
+    once at most, and not at all where few rows are marked."""
     order = F.struct(F.col("id").isNull().alias("last"), "id", "key")
     heads = settled(found.groupBy("group").agg(F.min(order).alias("head"), F.count("*").alias("rows"))
                     .where("rows > 1").select("group", "head"))
     counts = found.groupBy("group", "id", "key").agg(F.count("*").alias("n")).join(heads, "group")
     first = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("key") == F.col("head.key"))
     counts = settled(counts.select("id", "key", "n", first.alias("first")))
-    left = docs.alias("__docs")
+    gone, again = counts.where("n > 1 or not first"), counts.where("n > 1 and first")
+
+    ids = docs.select(F.col(f"`{id_col}`").alias("id"))
+    marked = only(ids, "id", _sized(gone.select("id").distinct()), "left_semi")
+    if marked.groupBy("id").count().where("count > 1").isEmpty():  # an id names its row
+        return only(docs, id_col, _sized(gone.select("id")), "left_anti")
+
+    key = unused(docs, "first_key")
+    left = keyed(key)
+    names = [unused(left, "marked_id"), unused(left, "marked_key")]
 
     def match(rows: DataFrame, how: str) -> DataFrame:
-        own = F.col(f"__docs.`{id_col}`").eqNullSafe(F.col("__id")) & (F.col(f"__docs.`{key}`") == F.col("__key"))
-        return left.join(rows.select("id", "key").toDF("__id", "__key"), own, how)
-
-    kept = match(counts.where("n > 1 or not first"), "left_anti")
-    again = match(counts.where("n > 1 and first"), "left_semi")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    again = (again.select(row.alias("row")).groupBy(F.col(f"row.`{id_col}`"), F.col(f"row.`{key}`"))
-             .agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row")).select("row.*"))
-    return kept.union(again).drop(key)
+        own = F.col(f"`{id_col}`").eqNullSafe(F.col(names[0])) & (F.col(key) == F.col(names[1]))
+        return left.join(_sized(rows.select("id", "key")).toDF(*names), own, how)
+
+    kept = match(gone, "left_anti")
+    if not again.isEmpty():
+        row = F.struct(*[F.col(f"`{c}`") for c in left.columns])
+        repeated = (match(again, "left_semi").select(row.alias("row")).groupBy(F.col(f"row.`{id_col}`"), F.col(f"row.`{key}`"))
+                    .agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row")).select("row.*"))
+        kept = kept.union(repeated)
+    return kept.drop(key)
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """``rows`` (of a settled table) to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= MARKED else rows
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -77,4 +77,4 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, one of the smallest id; all columns stay."""
     found = copies(docs, id_col, text_col).select("id", F.col("digest").alias("key"), F.col("digest").alias("group"))
-    return first_rows(docs.withColumn("__digest", sha256(F.col(f"`{text_col}`"))), id_col, "__digest", found)
+    return first_rows(docs, id_col, lambda key: docs.withColumn(key, sha256(F.col(f"`{text_col}`"))), found)

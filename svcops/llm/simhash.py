@@ -189,10 +189,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     fps, nodes = _components(docs, id_col, text_col)
     found = fps.join(nodes, "fp").select("id", F.col("fp").alias("key"), F.col("root").alias("group"))
 
-    def run(batches):
-        for batch in batches:
-            fp = _text_fingerprints(batch.column(text_col), SHINGLE_WORDS)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*batch.schema.names, "__fp"])
+    def keyed(key: str) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                fp = _text_fingerprints(batch.column(text_col), SHINGLE_WORDS)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*batch.schema.names, key])
+
+        return docs.mapInArrow(run, docs.select("*", F.lit(0).cast("bigint").alias(key)).schema)
 
-    marked = docs.mapInArrow(run, docs.select("*", F.lit(0).cast("bigint").alias("__fp")).schema)
-    return first_rows(marked, id_col, "__fp", found)
+    return first_rows(docs, id_col, keyed, found)

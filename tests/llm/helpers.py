@@ -11,7 +11,8 @@ SCHEMA = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
 
 #: Extra columns whose names operators use inside.
-CLASHING = ("id", "size", "fp", "block", "label", "keep_id", "component_id", "tokens", "score", "prefix", "t", "p", "held_out")
+CLASHING = ("id", "size", "fp", "block", "label", "keep_id", "component_id", "tokens", "score", "prefix", "t", "p", "held_out",
+            "__fp", "__digest", "__id", "__key", "__docs", "__only_id", "only_id", "marked_id", "marked_key", "first_key", "row", "tie", "at", "n")
 
 
 def documents(spark, rows):

@@ -81,3 +81,12 @@ def test_without_labels(spark, rows):
     got = out.collect()
     assert len(got) == len(rows) and all(abs(r["p_good"] - 1 / 3) < 1e-9 for r in got)
     assert M.mix(documents(spark, rows), labelled(spark, [])).count() == len(rows)
+
+
+def test_unreached_targets_are_told(spark, monkeypatch):
+    """Documents of one kind can't make up a mixture of three."""
+    monkeypatch.setattr(M, "MAX_PASSES", 5)
+    docs = documents(spark, [(i, "the same text of every document") for i in range(20)])
+    with pytest.warns(UserWarning, match="misses its targets"):
+        out, mixer = M.mixed_rates(docs, labelled(spark, []), {"good": 0.9, "poor": 0.1, "toxic": 0.0})
+    assert mixer.deviation > M.TOLERANCE and out.count() == 20

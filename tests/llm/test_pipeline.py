@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     names = entry.queries()
-    assert "pipeline" in names and [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert "pipeline" in names and [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 14)]
     assert set(QUERIES) <= set(names) and set(SQL) <= set(QUERIES) and set(SQL) <= set(entry.oracle_sql())
     assert [n for n, _ in P.STAGES] == ["language_id", "exact_dedup", "simhash_near_dedup", "decontaminate", "mixing"]
 
