@@ -18,12 +18,19 @@ from pyspark.sql import functions as F
 from svcops.functions import columns as C
 from svcops.functions.frames import presented, with_scalars
 from svcops.functions import constants as K
+from svcops.sources import layouts as L
 from svcops.sources.catalog import Tables
 
 
 def ticket_customer(T: Tables) -> DataFrame:
-    """Tickets left-joined to the customer attributes used downstream."""
-    return T.k.join(T.c.select("customer_id", "segment", "clv", "region"), "customer_id", "left")
+    """Tickets left-joined to the customer attributes used downstream. Staged
+    tables lie by (customer, slice of its tickets): neither side is shuffled,
+    and a customer with many tickets is spread over tasks."""
+    attributes = ("customer_id", "segment", "clv", "region")
+    if not T.staged:
+        return T.k.join(T.c.select(*attributes), "customer_id", "left")
+    tickets, listed = L.tickets_and_customers(T)
+    return tickets.join(listed.select(*attributes, L.SLICE), ["customer_id", L.SLICE], "left").drop(L.SLICE)
 
 
 def customer_attributes(T: Tables) -> DataFrame:
@@ -37,15 +44,26 @@ def _ticket_sums(tickets: DataFrame) -> DataFrame:
     """Sums of tickets per customer: exact, so they merge in any order."""
     return tickets.where(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
         F.count("ticket_id").alias("_n"), F.sum("sla_breached").alias("_b"),
-        F.sum(C.exact("csat_score")).alias("_cs"), F.count("csat_score").alias("_cn"))
+        F.sum(C.exact("csat_score")).alias("_cs"), F.count("csat_score").alias("_cn"),
+        F.sum(C.exact("resolution_days")).alias("_ds"), F.count("resolution_days").alias("_dn"))
 
 
 def _merged_sums(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("customer_id").agg(*[F.sum(c).alias(c) for c in ("_n", "_b", "_cs", "_cn")])
+    return parts.groupBy("customer_id").agg(*[
+        F.sum(c).cast(parts.schema[c].dataType).alias(c) for c in ("_n", "_b", "_cs", "_cn", "_ds", "_dn")])
+
+
+def ticket_sums(T: Tables) -> DataFrame:
+    return T.summed("ticket_sums", "tickets", _ticket_sums, _merged_sums)
+
+
+def ticket_totals(T: Tables) -> DataFrame:
+    """Ticket sums per customer, laid out by the id for joins with customers."""
+    return L.by_customer(T, "ticket_totals", lambda: ticket_sums(T))
 
 
 def _risk_profile(T: Tables) -> DataFrame:
-    per = T.summed("ticket_sums", "tickets", _ticket_sums, _merged_sums).withColumn(
+    per = ticket_sums(T).withColumn(
         "avg_csat", C.ratio(F.col("_cs").cast("double"), F.col("_cn")))
     times = F.coalesce("_m", F.lit(1))  # an id listed twice meets its tickets twice
     prof = per.join(customer_attributes(T), "customer_id", "left").select(
@@ -96,13 +114,13 @@ def tickets_per_customer(T: Tables) -> DataFrame:
 
 
 def _segment_burden(T: Tables) -> DataFrame:
-    per = tickets_per_customer(T).join(T.c.select("customer_id", "segment"), "customer_id")
+    per = ticket_totals(T).join(L.customers(T).select("customer_id", "segment"), "customer_id")
     g = (per.where(F.col("segment").isNotNull()).groupBy("segment")
          .agg(*[F.sum(c).alias(c) for c in ("_n", "_b", "_cs", "_cn", "_ds", "_dn")]))
     return g.select(
         "segment", F.col("_n").alias("ticket_count"),
         F.round(F.col("_b") / F.col("_n"), 2).alias("sla_breach_rate"),
-        F.round(C.ratio(F.col("_cs"), F.col("_cn")), 2).alias("avg_csat"),
+        F.round(C.ratio(F.col("_cs").cast("double"), F.col("_cn")), 2).alias("avg_csat"),
         C.round_ratio(F.col("_ds"), F.col("_dn"), 2).alias("avg_resolution"))
 
 

@@ -5,6 +5,8 @@ Scale notes
 * Joins between the big tables (transactions or tickets with customers) are
   preceded by an aggregation to the join grain (customer x invoice, or
   customer x location), so the shuffle carries pre-aggregated rows, not lines.
+  Sums per customer and the customers are staged by id (``sources.layouts``)
+  and meet without a shuffle.
   The customer side grows with the data, so it is never force-broadcast;
   AQE turns the sort-merge join into a broadcast at run time only when the
   measured side is small enough (``autoBroadcastJoinThreshold``).
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from svcops.functions import columns as C
 from svcops.functions.frames import presented, with_scalars
 from svcops.functions import constants as K
+from svcops.operators.experience import ticket_totals
+from svcops.sources import layouts as L
 from svcops.sources.catalog import Tables
 
 def _all() -> Window:
@@ -95,18 +99,49 @@ def customer_invoices(T: Tables) -> DataFrame:
         F.max("invoice_date").alias("inv_last")))
 
 
+def invoices_of_one_customer(T: Tables) -> DataFrame:
+    """How many invoices of a customer name no other one."""
+    return (_known(T.t).groupBy("invoice").agg(F.min("customer_id").alias("customer_id"), F.max("customer_id").alias("_other"))
+            .where(F.col("customer_id") == F.col("_other")).groupBy("customer_id").agg(F.count(F.lit(1)).alias("own_orders")))
+
+
+def customer_totals(T: Tables) -> DataFrame:
+    """Known customers' transactions, one row per id, laid out by the id."""
+    def build() -> DataFrame:
+        sums = customer_invoices(T).groupBy("customer_id").agg(
+            F.count(F.lit(1)).alias("orders"), F.sum("inv_revenue").alias("revenue"), F.sum("inv_lines").alias("lines"),
+            F.min("inv_first").alias("first"), F.max("inv_last").alias("last"))
+        own = invoices_of_one_customer(T)
+        return sums.join(own, "customer_id", "left").withColumn("own_orders", F.coalesce("own_orders", F.lit(0)))
+
+    return L.by_customer(T, "customer_totals", build)
+
+
+def shared_invoices(T: Tables) -> DataFrame:
+    """(customer, invoice) of invoices that name several customers: those that
+    a customer has beside its own. Usually there are none."""
+    def build() -> DataFrame:
+        several = (_known(T.t).groupBy("invoice").agg(F.min("customer_id").alias("_a"), F.max("customer_id").alias("_b"))
+                   .where(F.col("_a") != F.col("_b")).select(F.col("invoice").alias("_invoice")))
+        pairs = _known(T.t).select("customer_id", "invoice").distinct()
+        return pairs.join(several, F.col("invoice").eqNullSafe(F.col("_invoice")), "left_semi")
+
+    return L.by_customer(T, "shared_invoices", build)
+
+
 def q2_1_segment_revenue(T: Tables) -> DataFrame:
-    # the two distinct counts are groupings of their own: no row is expanded
-    ci = customer_invoices(T).join(T.c.select("customer_id", "segment"), "customer_id")
-    orders = ci.groupBy("segment", "invoice").agg(
-        F.sum("inv_revenue").alias("_rev"), F.sum("inv_lines").alias("_lines"))
-    orders = orders.groupBy("segment").agg(
-        F.count(F.lit(1)).alias("total_orders"), F.sum("_rev").alias("_rev"),
-        F.sum("_lines").alias("_lines"))
-    ids = (ci.groupBy("segment", "customer_id").agg(F.lit(1)).groupBy("segment")
-           .agg(F.count(F.lit(1)).alias("customer_count")))
-    g = orders.join(ids.withColumnRenamed("segment", "_segment"),
-                    F.col("segment").eqNullSafe(F.col("_segment")))
+    """Sums per customer meet the segment, not invoices. A segment's orders are
+    distinct invoices: those of one customer are counted with the customer, and
+    only invoices that several customers share are compared by number."""
+    listed = L.customers(T).groupBy("customer_id", "segment").agg(F.count(F.lit(1)).alias("_m"))
+    shared = (shared_invoices(T).join(listed, "customer_id").groupBy("segment", "invoice").agg(F.lit(1))
+              .select("segment", F.lit(1).cast("bigint").alias("_orders")))
+    sums = customer_totals(T).join(listed, "customer_id").select(
+        "segment", F.col("own_orders").alias("_orders"), F.lit(1).alias("_ids"),
+        (F.col("revenue") * F.col("_m")).alias("_rev"), (F.col("lines") * F.col("_m")).alias("_lines"))
+    g = sums.unionByName(shared, allowMissingColumns=True).groupBy("segment").agg(
+        F.sum("_ids").alias("customer_count"), F.sum("_orders").alias("total_orders"),
+        F.sum("_rev").alias("_rev"), F.sum("_lines").alias("_lines"))
     return (g.select(
         "segment", "customer_count", "total_orders",
         F.round(F.col("_rev").cast("double"), 2).alias("total_revenue"),
@@ -116,20 +151,14 @@ def q2_1_segment_revenue(T: Tables) -> DataFrame:
 
 
 def q2_2_top20_customers(T: Tables) -> DataFrame:
-    per_cust = customer_invoices(T).groupBy("customer_id").agg(
-        F.count(F.lit(1)).alias("total_orders"),
-        F.sum("inv_revenue").alias("_rev"),
-        F.sum("inv_lines").alias("_lines"),
-        F.min("inv_first").alias("_first"),
-        F.max("inv_last").alias("_last"))
-    j = per_cust.join(T.c.select("customer_id", "segment", "region", "clv"), "customer_id")
+    j = customer_totals(T).join(L.customers(T).select("customer_id", "segment", "region", "clv"), "customer_id")
     return (j.select(
         "customer_id", "segment", "region", F.col("clv").alias("assigned_clv"),
-        "total_orders",
-        F.round(F.col("_rev").cast("double"), 2).alias("total_revenue"),
-        C.round_ratio(F.col("_rev"), F.col("_lines"), 2).alias("avg_order_value"),
-        F.to_date("_first").alias("first_order"),
-        F.to_date("_last").alias("last_order"))
+        F.col("orders").alias("total_orders"),
+        F.round(F.col("revenue").cast("double"), 2).alias("total_revenue"),
+        C.round_ratio(F.col("revenue"), F.col("lines"), 2).alias("avg_order_value"),
+        F.to_date("first").alias("first_order"),
+        F.to_date("last").alias("last_order"))
         .orderBy(F.desc("total_revenue"), "customer_id")
         .limit(20))
 
@@ -179,15 +208,15 @@ def q2_5_mom_growth(T: Tables, years=None) -> DataFrame:
 
 def at_risk_customers(T: Tables) -> DataFrame:
     """Customers with >= 2 breaches and average CSAT < 2.5 (SQL HAVING form)."""
-    return (T.k.groupBy("customer_id").agg(
-        F.sum("sla_breached").alias("sla_breaches"),
-        F.avg("csat_score").alias("avg_csat"))
+    return (ticket_totals(T)
+        .select("customer_id", F.col("_b").alias("sla_breaches"),
+                C.ratio(F.col("_cs").cast("double"), F.col("_cn")).alias("avg_csat"))
         .where((F.col("sla_breaches") >= K.CHURN_MIN_BREACHES)
                & (F.col("avg_csat") < K.CHURN_MAX_AVG_CSAT)))
 
 
 def q3_1_clv_risk_segment(T: Tables) -> DataFrame:
-    j = T.c.join(at_risk_customers(T).select("customer_id"), "customer_id")
+    j = L.customers(T).join(at_risk_customers(T).select("customer_id"), "customer_id")
     g = j.groupBy("segment").agg(
         F.countDistinct("customer_id").alias("customers_at_risk"),
         F.sum(C.money("clv")).alias("_sum"),
@@ -236,7 +265,7 @@ def scenario_rows(T: Tables) -> DataFrame:
 
 
 def q3_3_churn_cost(T: Tables) -> DataFrame:
-    base = (T.c.join(at_risk_customers(T).select("customer_id"), "customer_id")
+    base = (L.customers(T).join(at_risk_customers(T).select("customer_id"), "customer_id")
             .agg(F.sum(C.money("clv")).alias("clv_at_risk")))
     return (with_scalars(scenario_rows(T), base)
             .select("churn_scenario",

@@ -13,7 +13,8 @@ loss; a half-written folder is never registered.
 Two stages grow by files instead (``sources.stages``): clean transactions, whose
 rows are cleaned one by one, and the sums of tickets per customer, which merge.
 After a new file they read that file only. With a ``stage_dir`` of one's own they
-stay for the next session.
+stay for the next session. What is joined by customer is staged as bucketed tables
+(``sources.layouts``).
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from svcops.functions import constants as K
 from svcops.operators import clean as CL
 from svcops.session import data_files, file_version, remove_path, scratch_path
 from svcops.sources import fixtures as FX
+from svcops.sources.layouts import drop_database
 from svcops.sources.stages import FileStage
 
 _LOCK = threading.Lock()
@@ -79,6 +81,11 @@ class Tables:
         paths = self.files.values() or [f"{self.sf_dir}/{t}.parquet" for t in SOURCES]
         return file_version(self.spark, paths)
 
+    def raw_bytes(self, name: str) -> int:
+        """Bytes of the files that the raw table has its rows from."""
+        paths = [self.files[name]] if name in self.files else [f"{self.sf_dir}/{FX.ROWS_FROM[name]}.parquet"]
+        return sum(size for path in paths for _, size, _ in data_files(self.spark, path))
+
     def stage_path(self, name: str, write) -> str:
         """A folder of the shared directory that ``write(path)`` filled from this
         version of the input; it is called once for each version. Unstaged tables
@@ -99,14 +106,18 @@ class Tables:
             write(path)
             _STAGED[key] = (version, path)
         if old:
-            remove_path(self.spark, old[1])
+            self._discard(old[1])
         return path
 
+    def _discard(self, path: str) -> None:
+        drop_database(self.spark, path)
+        remove_path(self.spark, path)
+
     def unstage(self) -> None:
         """Remove everything staged from this source in this session's work folder."""
         own = (self.spark.sparkContext.applicationId, self.sf_dir, tuple(sorted(self.files.items())))
         for key in [k for k in _STAGED if k[:3] == own]:
-            remove_path(self.spark, _STAGED.pop(key)[1])
+            self._discard(_STAGED.pop(key)[1])
         for key in [k for k in _GROWING if k[:3] == own]:
             base = _GROWING.pop(key)[0]
             if not self.stage_dir:
@@ -138,7 +149,6 @@ class Tables:
     def _grown(self, stage: str, name: str, make, partition_by: tuple[str, ...] = (), sort: tuple[str, ...] = (), merge=None) -> DataFrame:
         """The stage of ``make(clean table)`` that grows by the table's files."""
         files, others, raw = self._facts(name)
-        version = (files, others)
         key = (self.spark.sparkContext.applicationId, self.sf_dir, tuple(sorted(self.files.items())), stage, self.stage_dir)
         with _LOCK:
             building = _BUILDING.setdefault(key, threading.Lock())
@@ -146,6 +156,8 @@ class Tables:
         def build(paths):
             return make(CL.CLEANERS[name](raw(paths)))
 
+        others += build(()).schema.simpleString()  # parts with other columns are made anew
+        version = (files, others)
         with building:
             old = _GROWING.get(key)
             base = old[0] if old else f"{self.stage_dir}/{stage}" if self.stage_dir else scratch_path(self.spark, f"stage-{stage}")

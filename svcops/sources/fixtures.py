@@ -194,6 +194,9 @@ FACTS = {
     "tickets": ("orders", ()),
 }
 
+#: The driver's table that a raw table has its rows from.
+ROWS_FROM = {"transactions": "lineitem", "customers": "customer", "tickets": "orders", "operations": "orders"}
+
 RAW_BUILDERS = {
     "transactions_raw": transactions_raw,
     "customers_raw": customers_raw,

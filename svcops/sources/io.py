@@ -16,6 +16,7 @@ from pyspark.sql import types as T_
 
 from svcops.functions import columns as C
 from svcops.operators import clean as CL
+from svcops.sources.layouts import create_database, database
 
 S, D, I = T_.StringType(), T_.DoubleType(), T_.IntegerType()
 DAY, B = T_.DateType(), T_.BooleanType()
@@ -147,20 +148,17 @@ def sink_csv(T) -> DataFrame:
     return read_csv(T.spark, path, CLEAN_SCHEMAS["customers"], NULL_TEXT)
 
 
-def save_tables(T, database: str, location: str) -> None:
+def save_tables(T, location: str) -> None:
     """The four clean tables as Spark tables of a database at ``location``."""
-    T.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{location}'")
+    base = create_database(T.spark, location)
     for name in CL.CLEANERS:
-        T.clean(name).write.mode("overwrite").format("parquet").saveAsTable(f"{database}.{name}")
+        T.clean(name).write.mode("overwrite").format("parquet").saveAsTable(f"{base}.{name}")
 
 
 def sink_tables(T) -> DataFrame:
     """Row counts read back from the saved tables; they are written once for
-    each version of the input."""
-    def database(path: str) -> str:
-        return "svcops_" + path.rsplit("-", 1)[-1]
-
-    path = T.stage_path("tables", lambda p: save_tables(T, database(p), p))
+    each version of the input, and ``unstage`` drops their database."""
+    path = T.stage_path("tables", lambda p: save_tables(T, p))
     counts = [T.spark.table(f"{database(path)}.{name}").agg(F.count(F.lit(1)).alias("rows"))
               .select(F.lit(name).alias("table"), "rows") for name in CL.CLEANERS]
     return reduce(DataFrame.unionByName, counts)
