@@ -166,6 +166,15 @@ def test_percentiles_run_nothing_while_planned(spark):
     assert row["v_q"] == [49_999.75, 99_999.5] and row["w_q"] == [-149_999.25, -99_999.5]
 
 
+def test_percentiles_of_values_that_are_no_numbers(spark):
+    """NaN is the largest value, a third of the rows here; infinities stay what they are."""
+    df = spark.range(9_001).selectExpr("'a' AS g", "CASE WHEN id % 3 = 0 THEN double('NaN') WHEN id = 1 THEN double('-Infinity') "
+                                       "ELSE CAST(id AS DOUBLE) END AS v")
+    low, mid, high = percentiles(df, "g", "v", (0.0, 0.5, 0.9)).first()[1:]
+    order = sorted(i for i in range(9_001) if i % 3)
+    assert (low, mid) == (float("-inf"), float(order[4_500])) and np.isnan(high)
+
+
 def test_percentiles_of_nothing(spark):
     df = spark.createDataFrame([(None, 1.0), ("a", None)], "g string, v double")
     assert percentiles(df, "g", "v", (0.5,)).count() == 0
