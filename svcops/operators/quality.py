@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from svcops.functions import constants as K
 from svcops.functions.frames import presented
+from svcops.operators import clean as CL
 
 
 def _row(step: int, table: str, metric: str, before: Column, after: Column,
@@ -129,11 +130,23 @@ def _operations(raw: DataFrame) -> DataFrame:
     return a.select(F.inline(F.array(*rows)))
 
 
+def _rejected(T) -> list[DataFrame]:
+    """A row for each of one's own files that had lines which can't be read."""
+    if not T.files:
+        return []
+    from svcops.sources.io import rejected_lines
+    counts = rejected_lines(T).groupBy("table").agg(F.count(F.lit(1)).alias("n"))
+    step = F.lit(20) + F.array_position(F.array(*[F.lit(t) for t in CL.CLEANERS]), F.col("table")).cast("int") - 1
+    return [counts.select(step.alias("step"), "table", F.lit("unreadable lines").alias("metric"), F.col("n").alias("before"),
+                          F.lit(0).cast("bigint").alias("after"), F.lit("Set apart in rejected_lines").alias("action_taken"))]
+
+
 def dq_report(T) -> DataFrame:
     """19 rows: step, table, metric, before, after, change, action_taken.
-    ``change`` is numeric for every row (the original leaves most as text)."""
+    ``change`` is numeric for every row (the original leaves most as text).
+    One's own files with unreadable lines have a row each after them."""
     parts = [_transactions(T.raw("transactions")), _customers(T.raw("customers")),
-             _tickets(T.raw("tickets")), _operations(T.raw("operations"))]
+             _tickets(T.raw("tickets")), _operations(T.raw("operations")), *_rejected(T)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

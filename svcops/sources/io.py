@@ -1,6 +1,8 @@
 """Typed CSV / Parquet sources and sinks, and the table sink.
 
-Reads always pass an explicit schema (no inference pass over the data). The
+Reads always pass an explicit schema (no inference pass over the data). Lines of
+one's own CSV files that can't be read are set apart (``rejected_lines``); in the
+files that this package wrote itself they are an error. The
 registered round trips write to the cluster-shared folder, once for each
 version of the input; they are the re-aimed form of the original's
 spreadsheet and CSV hand-offs.
@@ -10,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
@@ -77,6 +79,20 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T_.StructType,
             .option("multiLine", multi_line).option("mode", "FAILFAST").csv(path))
 
 
+#: Name of the column that holds the text of an unreadable line.
+REJECTED = "_rejected_line"
+
+
+def read_csv_lines(spark: SparkSession, path: str | list[str], schema: T_.StructType, null_text: str = "",
+                   multi_line: bool = False) -> DataFrame:
+    """Like ``read_csv``, but a line that can't be read (a field too many or too
+    few, text in a number's place) is a row too, its text in ``REJECTED``; what
+    reads it must read all columns (``_parsed``)."""
+    return (spark.read.schema(_schema(*((f.name, f.dataType) for f in schema), (REJECTED, S)))
+            .options(**_csv_options(null_text), emptyValue="").option("multiLine", multi_line)
+            .option("columnPruning", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", REJECTED).csv(path))
+
+
 def write_csv(df: DataFrame, path: str, null_text: str = "") -> None:
     df.write.options(**_csv_options(null_text), emptyValue='""').csv(path)
 
@@ -87,17 +103,46 @@ def read_raw(spark: SparkSession, name: str, path: str, files: tuple[str, ...] |
     if files is not None and not files:
         return spark.createDataFrame([], RAW_SCHEMAS[name])
     paths = [path] if files is None else list(files)
-    if path.rstrip("/").endswith(".parquet"):
+    if not _is_csv(path):
         return spark.read.schema(RAW_SCHEMAS[name]).parquet(*paths)
-    return read_csv(spark, paths, RAW_SCHEMAS[name], multi_line=name == "transactions")
+    lines = _lines(spark, name, paths)
+    return lines.where(F.col(REJECTED).isNull() & _parsed(lines)).drop(REJECTED)
+
+
+def _parsed(lines: DataFrame) -> Column:
+    """Always true, and needs every column: Spark checks only fields that the
+    query reads, and a line must be judged alike whatever is selected."""
+    return F.pmod(F.hash(*[c for c in lines.columns if c != REJECTED]), F.lit(2)) >= 0
+
+
+def _is_csv(path: str) -> bool:
+    return not path.rstrip("/").endswith(".parquet")
+
+
+def _lines(spark: SparkSession, name: str, paths: list[str]) -> DataFrame:
+    return read_csv_lines(spark, paths, RAW_SCHEMAS[name], multi_line=name == "transactions")
+
+
+def rejected_lines(T) -> DataFrame:
+    """``table, file, line``: the lines of one's own CSV files that can't be read
+    and are in no table. Other sources have none."""
+    parts = [T.spark.createDataFrame([], "table string, file string, line string")]
+    for name, path in sorted(T.files.items()):
+        if _is_csv(path):
+            lines = _lines(T.spark, name, [path])
+            bad = lines.where(F.col(REJECTED).isNotNull() & _parsed(lines))
+            parts.append(bad.select(F.lit(name).alias("table"), F.input_file_name().alias("file"), F.col(REJECTED).alias("line")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def write_outputs(T, base: str) -> None:
-    """The analysis' three CSV outputs: risk profile, critical list, quality report."""
+    """The analysis' three CSV outputs (risk profile, critical list, quality
+    report) and the lines that couldn't be read."""
     from svcops.operators import experience, quality
     write_csv(experience.cx_risk_profile(T), f"{base}/customer_risk_profile")
     write_csv(experience.cx_critical_top20(T), f"{base}/critical_risk_customers")
     write_csv(quality.dq_report(T), f"{base}/data_quality_report")
+    write_csv(rejected_lines(T), f"{base}/rejected_lines")
 
 
 def rename_snake(df: DataFrame) -> DataFrame:
