@@ -1,8 +1,9 @@
 """Dashboard datasets: headline KPIs, CSAT by category, segment risk share.
 
-Optional ``segment`` / ``location`` filters are pushed into the scans
-(``where`` before any aggregation); with a segment, tickets and transaction
-lines are summed per customer before the semi-join on the segment's ids."""
+Staged tables answer every ``segment`` / ``location`` filter from the cells of
+``operators.cube``. Unstaged ones push the filters into the scans (``where``
+before any aggregation); with a segment, tickets and transaction lines are
+summed per customer before the semi-join on the segment's ids."""
 
 from __future__ import annotations
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from svcops.functions import columns as C
 from svcops.functions.frames import presented, with_scalars
 from svcops.functions import constants as K
+from svcops.operators import cube
 from svcops.operators.experience import at_risk
 from svcops.sources.catalog import Tables
 
@@ -35,6 +37,8 @@ def _service(T: Tables, segment: str | None, location: str | None, *by: str) ->
 
 
 def dash_kpis(T: Tables, segment: str | None = None, location: str | None = None) -> DataFrame:
+    if T.staged:
+        return cube.kpis(T, segment, location)
     rev, risk = T.t, at_risk(T)
     if segment is None:
         rev = rev.agg(F.round(C.total("revenue"), 2).alias("total_revenue"))
@@ -61,7 +65,9 @@ def dash_kpis_corporate(T: Tables) -> DataFrame:
 
 def dash_csat_by_category(T: Tables, segment: str | None = None,
                           location: str | None = None) -> DataFrame:
-    return (_service(T, segment, location, "issue_category").where(F.col("issue_category").isNotNull())
+    sums = (cube.csat_by_category(T, segment, location) if T.staged
+            else _service(T, segment, location, "issue_category"))
+    return (sums.where(F.col("issue_category").isNotNull())
             .select("issue_category", F.round(C.ratio(F.col("_cs"), F.col("_cn")), 2).alias("avg_csat"),
                     F.col("_n").alias("ticket_count"))
             .transform(presented, F.asc_nulls_last("avg_csat"), "issue_category"))

@@ -134,6 +134,35 @@ FROM tickets WHERE issue_category IS NOT NULL GROUP BY issue_category ORDER BY a
        round(clv_at_risk / sum(clv_at_risk) OVER () * 100, 1) AS share_pct
 FROM (SELECT segment, CAST(sum(CAST(clv AS DECIMAL(18,2))) AS DOUBLE) AS clv_at_risk
       FROM risk_profile WHERE churn_risk AND segment IS NOT NULL GROUP BY segment)""",
+    "dash_cube": f"""
+, members AS (SELECT DISTINCT customer_id, segment FROM customers WHERE customer_id IS NOT NULL AND segment IS NOT NULL)
+, seen AS (SELECT CAST(NULL AS VARCHAR) AS segment, true AS all_segments, customer_id, location_id, issue_category, ticket_id,
+                    sla_breached, csat_score FROM tickets
+             UNION ALL SELECT l.segment, false, k.customer_id, location_id, issue_category, ticket_id, sla_breached, csat_score
+             FROM tickets k JOIN members l ON k.customer_id = l.customer_id)
+, figures AS (SELECT segment, location_id, issue_category, all_segments, GROUPING(location_id) = 1 AS all_locations,
+                 GROUPING(issue_category) = 1 AS all_categories, count(ticket_id) AS ticket_count,
+                 round(avg(sla_breached) * 100, 1) AS breach_rate_pct, round(avg(csat_score), 2) AS avg_csat
+          FROM seen GROUP BY GROUPING SETS ((segment, all_segments, location_id, issue_category),
+               (segment, all_segments, location_id), (segment, all_segments, issue_category), (segment, all_segments)))
+, earned AS (SELECT CAST(NULL AS VARCHAR) AS segment, true AS all_segments, round({tot('revenue')}, 2) AS total_revenue FROM transactions
+          UNION ALL SELECT l.segment, false, round({tot('revenue')}, 2)
+          FROM transactions t JOIN members l ON t.customer_id = l.customer_id GROUP BY l.segment)
+, threatened AS (SELECT customer_id, segment, CAST(clv AS DECIMAL(18,2)) AS clv FROM risk_profile WHERE churn_risk)
+, located AS (SELECT r.segment, p.location_id, false AS all_locations, clv FROM threatened r
+             JOIN (SELECT DISTINCT customer_id, location_id FROM tickets) p ON r.customer_id = p.customer_id
+             UNION ALL SELECT segment, NULL, true, clv FROM threatened)
+, exposed AS (SELECT segment, location_id, GROUPING(segment) = 1 AS all_segments, all_locations, CAST(sum(clv) AS DOUBLE) AS clv_at_risk
+             FROM located GROUP BY GROUPING SETS ((segment, location_id, all_locations), (location_id, all_locations)))
+, cells AS (SELECT segment, location_id, issue_category, all_segments, all_locations, all_categories, ticket_count,
+                   breach_rate_pct, avg_csat, CAST(NULL AS DOUBLE) AS total_revenue, CAST(NULL AS DOUBLE) AS clv_at_risk FROM figures
+            UNION ALL SELECT segment, NULL, NULL, all_segments, true, true, NULL, NULL, NULL, total_revenue, NULL FROM earned
+            UNION ALL SELECT segment, location_id, NULL, all_segments, all_locations, true, NULL, NULL, NULL, NULL, clv_at_risk
+            FROM exposed WHERE all_segments OR segment IS NOT NULL)
+SELECT segment, location_id, issue_category, all_segments, all_locations, all_categories, max(ticket_count) AS ticket_count,
+       max(breach_rate_pct) AS breach_rate_pct, max(avg_csat) AS avg_csat, max(total_revenue) AS total_revenue,
+       max(clv_at_risk) AS clv_at_risk
+FROM cells GROUP BY ALL""",
     "weekly_breach": """SELECT CAST(date_trunc('week', ticket_date) AS DATE) AS week_start, location_id,
        count(ticket_id) AS tickets, CAST(sum(sla_breached) AS BIGINT) AS breaches,
        round(sum(sla_breached) / count(ticket_id), 3) AS breach_rate

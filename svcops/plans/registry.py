@@ -15,12 +15,12 @@ JobFn = Callable[[Tables], DataFrame]
 
 
 def _jobs() -> dict[str, JobFn]:
-    from svcops.operators import (clean, dashboard, experience, exploratory, implications,
+    from svcops.operators import (clean, cube, dashboard, experience, exploratory, implications,
                                   market, profiling, quality, service_queries)
     from svcops.sources import io
     jobs: dict[str, JobFn] = {}
     for module in (io, profiling, clean, quality, service_queries, experience, implications,
-                   exploratory, market, dashboard):
+                   exploratory, market, dashboard, cube):
         jobs.update(module.QUERIES)
     return jobs
 
