@@ -100,7 +100,7 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
 
 def remove_under(spark: SparkSession, base: str, name: str) -> None:
     """Delete one of a stage's own folders, given by its name under the stage's."""
-    if not re.fullmatch(r"(manifest/\d+|data/part=[0-9a-f]+)", name):
+    if not re.fullmatch(r"(manifest/\d+|data/part=[0-9a-f]+|pointer/\d+|versions/[0-9a-f]+)", name):
         raise ValueError(f"not a stage's folder: {name}")
     hadoop, fs = _path(spark, f"{base}/{name}")
     fs.delete(hadoop, True)

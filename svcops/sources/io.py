@@ -18,7 +18,8 @@ from pyspark.sql import types as T_
 
 from svcops.functions import columns as C
 from svcops.operators import clean as CL
-from svcops.sources.layouts import create_database, database
+from svcops.sources.layouts import database
+from svcops.sources.publish import Publication
 
 S, D, I = T_.StringType(), T_.DoubleType(), T_.IntegerType()
 DAY, B = T_.DateType(), T_.BooleanType()
@@ -188,22 +189,32 @@ def src_csv(T) -> DataFrame:
     return read_csv(T.spark, path, TICKETS_RAW_SCHEMA, NULL_TEXT)
 
 
-def sink_csv(T) -> DataFrame:
-    path = T.stage_path("customers_clean_csv", lambda p: write_csv(T.c, p, NULL_TEXT))
-    return read_csv(T.spark, path, CLEAN_SCHEMAS["customers"], NULL_TEXT)
+def published_csv(spark: SparkSession, location: str) -> Publication:
+    """Clean tables as CSV, published at ``location``."""
+    return Publication(spark, location, schemas=CLEAN_SCHEMAS, csv=_csv_options(NULL_TEXT))
+
+
+def published_tables(spark: SparkSession, location: str, database: str | None = None) -> Publication:
+    """Clean tables as Parquet, published at ``location``, with views in a database."""
+    return Publication(spark, location, database)
 
 
-def save_tables(T, location: str) -> None:
-    """The four clean tables as Spark tables of a database at ``location``."""
-    base = create_database(T.spark, location)
-    for name in CL.CLEANERS:
-        T.clean(name).write.mode("overwrite").format("parquet").saveAsTable(f"{base}.{name}")
+def publish_clean(T, publication: Publication, names: tuple[str, ...] = tuple(CL.CLEANERS)) -> None:
+    """Make the clean tables the publication's current version."""
+    publication.publish({name: T.clean(name) for name in names})
+
+
+def sink_csv(T) -> DataFrame:
+    """Clean customers read back from their published CSV."""
+    path = T.stage_path("customers_clean_csv", lambda p: publish_clean(T, published_csv(T.spark, p), ("customers",)))
+    return published_csv(T.spark, path).tables()["customers"]
 
 
 def sink_tables(T) -> DataFrame:
-    """Row counts read back from the saved tables; they are written once for
-    each version of the input, and ``unstage`` drops their database."""
-    path = T.stage_path("tables", lambda p: save_tables(T, p))
+    """Row counts read back from the views of the published tables; they are
+    written once for each version of the input, and ``unstage`` drops their
+    database."""
+    path = T.stage_path("tables", lambda p: publish_clean(T, published_tables(T.spark, p, database(p))))
     counts = [T.spark.table(f"{database(path)}.{name}").agg(F.count(F.lit(1)).alias("rows"))
               .select(F.lit(name).alias("table"), "rows") for name in CL.CLEANERS]
     return reduce(DataFrame.unionByName, counts)
