@@ -7,9 +7,16 @@ and ``unknown`` apart; it is trained on the families' notices (cut and set in
 other text in many ways) against paragraphs from a bounded sample of the
 documents, and its probabilities are calibrated on examples kept apart. A
 family's paragraph is confirmed by comparison with the family's notices: most
-of the shorter one's word pairs must occur in the other. A notice of at most
-``LEAST_PAIRS`` words is confirmed by its words in order, whatever the rest of
-the paragraph says.
+of the shorter one's word pairs must occur in the other.
+
+What a paragraph shares with a notice, or a whole notice of at most
+``LEAST_PAIRS`` words in it, is a *mention*. A second softmax regression of the
+same kind reads each mention with ``CONTEXT`` words of its line on both sides; it
+is trained on notices in other text, and for its own unknown class on notices
+that are denied, compared or listed by the dozen (``not under the MIT License``).
+A short notice counts only if this classifier names its family with at least
+``LEAST_SCORE``; a longer one does not count if it is unknown here. ``All rights
+reserved`` that goes on in a public licence is a mention of that licence.
 
 Every word pair of every text is looked up among the notices' pairs first; a
 paragraph with fewer than ``LEAST_PAIRS`` of them, and without a whole notice of
@@ -36,6 +43,7 @@ WINDOW = 24
 LEAST_PAIRS = 3
 LEAST_SIMILARITY = 0.7
 LEAST_SCORE = 0.5
+CONTEXT = 5
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: About so many documents give paragraphs of the unknown class, at most so many paragraphs in all.
@@ -125,6 +133,13 @@ for _family, _titles in {
 }.items():
     NOTICES[_family] += _titles
 
+# Words that take a licence's name without granting it, before and after it.
+BEFORE = ("not", "not under the", "is not", "was not", "are not", "isn t", "never", "no longer", "no longer under the", "not released under the",
+          "not licensed under the", "not covered by the", "neither under the", "nor", "nor the", "without the", "rather than the", "instead of the",
+          "unlike the", "compared with the", "differs from the", "incompatible with the", "a comparison of the", "a survey of the",
+          "surveys", "the history of the", "an article about the", "critics of the", "what is the")
+AFTER = ("does not apply", "was rejected", "is not used here", "would be wrong", "was considered", "is compared with")
+
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[c for c in range(128) if not chr(c).isalnum() and c != 10]] = 32
@@ -181,12 +196,17 @@ class Paragraphs:
         number, k = key >> 40, key & ((1 << 40) - 1)
         self.first = head[number] + k * half
         self.last = np.minimum(self.first + WINDOW, head[number] + size[number])  # one past
+        self.line = head[number], head[number] + size[number]  # the line's words
         self.doc, self.starts, self.ends, self.raw = doc[self.first] if len(key) else key, starts, ends, raw
 
     def texts(self) -> tuple[np.ndarray, np.ndarray]:
         """The windows one after another: (bytes, offsets)."""
-        a = self.starts[self.first] if len(self.first) else np.zeros(0, np.int64)
-        b = self.ends[self.last - 1] if len(self.first) else a
+        return self.between(self.first, self.last)
+
+    def between(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The texts from word ``first`` up to before word ``last``, one after another."""
+        a = self.starts[first] if len(first) else np.zeros(0, np.int64)
+        b = self.ends[last - 1] if len(first) else a
         off = np.concatenate([[0], np.cumsum(b - a)]).astype(np.int64)
         data = [self.raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
         return (np.concatenate(data) if data else np.zeros(0, np.uint8)), off
@@ -216,30 +236,40 @@ def _short(notice: str) -> bool:
 
 
 class Scanner:
-    """The trained classifier with the notices it compares with."""
+    """The trained classifiers, of paragraphs and of mentions, with the notices they compare with."""
 
-    def __init__(self, families: list[str], weights: np.ndarray, bias: np.ndarray, notices: dict[str, list[str]]):
-        self.families, self.weights, self.bias = families, weights, bias  # the last class is unknown
+    def __init__(self, families: list[str], paragraphs: tuple[np.ndarray, np.ndarray], mentions: tuple[np.ndarray, np.ndarray],
+                 notices: dict[str, list[str]]):
+        self.families, self.models = families, {"paragraph": paragraphs, "mention": mentions}  # the last class is unknown
         self.notices = {k: [pairs(word_list(t)) for t in v if not _short(t)] for k, v in notices.items()}
-        self.titles: dict[tuple[str, ...], dict[str, float]] = {}  # short notices: their families and scores
+        self.titles: dict[tuple[str, ...], set[str]] = {}  # short notices: their families
         for family in families:
             for t in filter(_short, notices[family]):
-                raw = folded(t)
-                score = self.probabilities(raw, np.array([0, len(raw)]))[0, families.index(family)]
-                self.titles.setdefault(tuple(word_list(t)), {})[family] = float(score)
+                self.titles.setdefault(tuple(word_list(t)), set()).add(family)
         own = [t for v in notices.values() for t in v]
         self.known = _hashed(own, 2)
         self.short = {n: _hashed([t for t in own if _short(t) and len(word_list(t)) == n], n) for n in range(1, LEAST_PAIRS + 1)}
 
-    def probabilities(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    def probabilities(self, model: str, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         goff, bucket, _ = ngram_buckets(raw, off, ORDERS, BUCKETS)
-        return softmax(logits(self.weights, self.bias, goff, bucket))
-
-    def similarity(self, family: str, found: list[str]) -> float:
-        own = pairs(found)
-        if family in self.named(found):
-            return 1.0
-        return max((len(own & p) / min(len(own), len(p)) for p in self.notices[family] if len(own & p) >= LEAST_PAIRS), default=0.0)
+        return softmax(logits(*self.models[model], goff, bucket))
+
+    def compared(self, family: str, found: list[str]) -> tuple[float, int, int]:
+        """Similarity to the nearest of the family's longer notices, and the
+        words from the first to before the last that are shared with it."""
+        own, best = pairs(found), (0.0, 0, 0)
+        for notice in self.notices[family]:
+            both = own & notice
+            near = len(both) / max(min(len(own), len(notice)), 1)
+            if len(both) >= LEAST_PAIRS and near > best[0]:
+                at = [k for k, pair in enumerate(zip(found, found[1:], strict=False)) if pair in both]
+                best = near, at[0], at[-1] + 2
+        return best
+
+    def named(self, found: list[str]) -> list[tuple[str, int, int]]:
+        """Families with a whole short notice among the words, and its place."""
+        return [(family, k, k + n) for n in self.short for k in range(len(found) - n + 1)
+                for family in sorted(self.titles.get(tuple(found[k: k + n]), ()))]
 
     def scan(self, raw: np.ndarray, off: np.ndarray):
         """(document, family, score, similarity) of each confirmed paragraph."""
@@ -247,37 +277,45 @@ class Scanner:
         text, toff = found.texts()
         if len(toff) == 1:
             return
-        p = self.probabilities(text, toff)
+        p = self.probabilities("paragraph", text, toff)
         best = p.argmax(axis=1)
         sure = (best < len(self.families)) & (p.max(axis=1) >= LEAST_SCORE)
+        mentions = []  # paragraph, family, first word, one past the last, similarity if it is a longer notice
         for i in range(len(best)):
             own = text[toff[i]: toff[i + 1]].tobytes().decode("utf-8", "replace").split()
-            named = self.named(own)
+            mentions += [(i, family, a, b, 0.0) for family, a, b in self.named(own)]
             if sure[i]:
                 family = self.families[best[i]]
-                near = self.similarity(family, own)
+                near, a, b = self.compared(family, own)
                 if near >= LEAST_SIMILARITY:
-                    named[family] = max(named.get(family, 0.0), float(p[i, best[i]]))
-                    yield int(found.doc[i]), family, named.pop(family), near
-            for family, score in sorted(named.items()):
-                yield int(found.doc[i]), family, score, 1.0
-
-    def named(self, found: list[str]) -> dict[str, float]:
-        """Families with a whole short notice among the words, whatever stands
-        around it, and the notice's own score."""
-        out: dict[str, float] = {}
-        for n in self.short:
-            for k in range(len(found) - n + 1):
-                for family, score in self.titles.get(tuple(found[k: k + n]), {}).items():
-                    out[family] = max(out.get(family, 0.0), score)
-        return out
-
-
-def background(docs: DataFrame, id_col: str, text_col: str, known: np.ndarray, short: dict[int, np.ndarray]) -> list[str]:
+                    mentions.append((i, family, a, b, near))
+        if not mentions:
+            return
+        i, _, a, b, _ = zip(*mentions, strict=True)
+        i = np.array(i)
+        first = np.maximum(found.first[i] + np.array(a) - CONTEXT, found.line[0][i])
+        last = np.minimum(found.first[i] + np.array(b) + CONTEXT, found.line[1][i])
+        q = self.probabilities("mention", *found.between(first, last))
+        out: dict[tuple[int, str], tuple[float, float]] = {}
+        for (i, family, _, _, near), own in zip(mentions, q, strict=True):
+            k = self.families.index(family)
+            if near and own.argmax() < len(self.families):
+                new = float(p[i, k]), near
+            elif not near and own.argmax() == k and own[k] >= LEAST_SCORE:
+                new = float(own[k]), 1.0
+            else:
+                continue
+            out[i, family] = tuple(map(max, out.get((i, family), new), new))
+        for (i, family), (score, near) in sorted(out.items()):
+            yield int(found.doc[i]), family, score, near
+
+
+def background(docs: DataFrame, id_col: str, text_col: str, known: np.ndarray, short: dict[int, np.ndarray],
+               sample_docs: int, sample_paragraphs: int) -> list[str]:
     """Paragraphs of a sample of documents that hold few of the notices' pairs and no short notice."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     n = rows.count()
-    share = min(1.0, SAMPLE_DOCS / max(n, 1))
+    share = min(1.0, sample_docs / max(n, 1))
 
     def run(batches):
         for batch in batches:
@@ -292,7 +330,7 @@ def background(docs: DataFrame, id_col: str, text_col: str, known: np.ndarray, s
 
     some = rows.where(F.pmod(F.xxhash64("id", F.lit(6)), F.lit(1_000_000)) < share * 1_000_000)
     some = some.select("text").mapInArrow(run, "text string").distinct()
-    return sorted(r["text"] for r in some.orderBy(F.xxhash64("text"), "text").limit(SAMPLE_PARAGRAPHS).collect())
+    return sorted(r["text"] for r in some.orderBy(F.xxhash64("text"), "text").limit(sample_paragraphs).collect())
 
 
 def examples(notices: dict[str, list[str]], plain: list[str], seed: int = 6) -> tuple[list[str], list[int]]:
@@ -318,11 +356,61 @@ def examples(notices: dict[str, list[str]], plain: list[str], seed: int = 6) ->
     return texts + plain, y + [len(notices)] * len(plain)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: dict[str, list[str]] | None = None) -> Scanner:
-    notices = NOTICES if notices is None else notices
+def mention_examples(notices: dict[str, list[str]], plain: list[str], seed: int = 7) -> tuple[list[str], list[int]]:
+    """Training mentions: notices, or twelve words of them, between other words;
+    a short notice before the beginning of another family's longer one, with that
+    family's label; for the last class notices that are denied, compared, or three
+    in a list."""
+    rng = np.random.default_rng(seed)
+    filler = [x.split() for x in plain] or [["text"]]
     families = sorted(notices)
-    blank = Scanner(families, np.zeros((BUCKETS, len(families) + 1)), np.zeros(len(families) + 1), notices)
-    texts, y = examples(notices, background(docs, id_col, text_col, blank.known, blank.short))
+    own = {f: [word_list(t) for t in notices[f]] for f in families}
+    titles = [(f, min(own[f], key=len)) for f in families]
+    loose = sorted({w for phrase in (*BEFORE, *AFTER) for w in phrase.split()})
+    texts, y = [], []
+
+    def other(most: int) -> list[str]:
+        words = filler[int(rng.integers(0, len(filler)))]
+        a = int(rng.integers(0, max(1, len(words) - most)))
+        return words[a: a + int(rng.integers(0, most + 1))]
+
+    def one(choices):
+        return choices[int(rng.integers(0, len(choices)))]
+
+    def add(label: int, *parts: list[str]) -> None:
+        texts.append(" ".join(x for part in parts for x in part))
+        y.append(label)
+
+    for k, family in enumerate(families):
+        for words in own[family]:
+            for turn in range(24):
+                w = words
+                if len(w) > 12 and turn % 2:
+                    a = int(rng.integers(0, len(w) - 8))
+                    w = w[a: a + 12]
+                add(k, other(CONTEXT) if turn else [], w, other(CONTEXT) if turn else [])
+                if turn % 2:  # single words of denials further off deny nothing
+                    add(k, [one(loose) for _ in range(int(rng.integers(1, CONTEXT)))], other(1) or ["text"], w, other(CONTEXT))
+                if turn % 2:
+                    add(len(families), other(2), one(BEFORE).split(), w, other(CONTEXT))
+                if turn % 6 == 1:
+                    add(len(families), other(CONTEXT), w, one(AFTER).split())
+            if len(words) <= LEAST_PAIRS:
+                for m, goes_on in enumerate(families):
+                    for longer in own[goes_on] if goes_on != family else []:
+                        if len(longer) > CONTEXT:
+                            add(m, other(CONTEXT), words, longer[:CONTEXT])
+    for _ in range(20 * len(families) if len(families) > 2 else 0):
+        listed = [w for n in rng.choice(len(titles), 3, replace=False) for w in [*titles[n][1], *([one(("and", "or"))] if rng.random() < 0.5 else [])]]
+        add(len(families), other(CONTEXT), listed, other(2))
+    return texts, y
+
+
+def fitted(texts: list[str], y: list[int], k: int, unknown: float = 1.0, rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of ``k`` classes, calibrated on a fifth of the examples.
+    The last class has ``unknown`` times the weight of another one."""
+    share = np.ones(k)
+    share[-1] = unknown
     raw = [folded(t) for t in texts]
     y = np.array(y)
 
@@ -332,11 +420,25 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notic
         return goff, bucket, y[at]
 
     held = np.arange(len(y)) % 5 == 0
-    k = len(families) + 1
-    w, b = fit(*pick(np.flatnonzero(~held)), k, BUCKETS)
+    w, b = fit(*pick(np.flatnonzero(~held)), k, BUCKETS, rounds=rounds, share=share)
     goff, bucket, truth = pick(np.flatnonzero(held))
-    t = temperature(logits(w, b, goff, bucket), truth, 1 / np.maximum(np.bincount(truth, minlength=k), 1)[truth])
-    return Scanner(families, w / t, b / t, notices)
+    t = temperature(logits(w, b, goff, bucket), truth, (share / np.maximum(np.bincount(truth, minlength=k), 1))[truth])
+    return w / t, b / t
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: dict[str, list[str]] | None = None,
+          sample_docs: int = SAMPLE_DOCS, sample_paragraphs: int = SAMPLE_PARAGRAPHS) -> Scanner:
+    """``sample_docs``, ``sample_paragraphs``: bounds of the sample of unlabelled
+    text that the classifiers learn the unknown class and other words from."""
+    notices = NOTICES if notices is None else notices
+    families = sorted(notices)
+    k = len(families) + 1
+    blank = np.zeros((BUCKETS, k)), np.zeros(k)
+    empty = Scanner(families, blank, blank, notices)
+    plain = background(docs, id_col, text_col, empty.known, empty.short, sample_docs, sample_paragraphs)
+    # each family's notices meet as much weight of their own denials
+    mentions = fitted(*mention_examples(notices, plain), k, unknown=len(families), rounds=300)
+    return Scanner(families, fitted(*examples(notices, plain), k), mentions, notices)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: dict[str, list[str]] | None = None) -> DataFrame:

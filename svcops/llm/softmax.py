@@ -63,11 +63,14 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
-def fit(off: np.ndarray, bucket: np.ndarray, y: np.ndarray, k: int, buckets: int, l1: float = 2e-5, rounds: int = 150):
-    """Weights (buckets x k) and bias; every class has the same total weight."""
+def fit(off: np.ndarray, bucket: np.ndarray, y: np.ndarray, k: int, buckets: int, l1: float = 2e-5, rounds: int = 150,
+        share: np.ndarray | None = None):
+    """Weights (buckets x k) and bias; every class has the same total weight, or its ``share``."""
     n = len(y)
     scale = 1 / np.sqrt(np.maximum(np.diff(off), 1))
     weight = 1 / np.maximum(np.bincount(y, minlength=k), 1)[y]
+    if share is not None:
+        weight = weight * share[y]
     weight /= weight.sum()
     entry = np.repeat(np.arange(n), np.diff(off))
     truth = np.eye(k)[y]
