@@ -10,14 +10,28 @@ Join order is chosen for scale: ``orders`` meets ``customer`` and the tiny
 ``nation`` first, so the large ``lineitem`` side is shuffled only twice (by
 order key, then by part key). Only ``nation`` / ``region`` are broadcast: the
 TPC-H schema fixes them at 25 and 5 rows at every scale factor.
+
+Both shuffles deal a number of partitions that grows with the files' bytes: the
+stage of clean lines sorts a partition in memory, and adaptive execution would
+make the partitions larger instead. As it splits no partitions of a fixed number,
+a part's lines are dealt to ``PART_SLICES`` of them and its row is repeated for
+each. The joins hash the smaller side's partition, so the lines are not sorted by key.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from svcops.functions import constants as K
+from svcops.session import data_files
+
+#: Input bytes that one partition of the lines stands for, and the least number of partitions.
+TASK_BYTES = 8 << 20
+LEAST_TASKS = 8
+PART_SLICES = 4
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +55,14 @@ def read_facts(spark: SparkSession, sf_dir: str, name: str, files: tuple[str, ..
     return spark.read.schema(whole.schema).parquet(*files) if files else whole.limit(0)
 
 
+def line_tasks(spark: SparkSession, sf_dir: str, files: tuple[str, ...] | None = None) -> int:
+    """The number of partitions for the joins of the lines (of the given files)."""
+    base = sf_dir.rstrip("/")
+    paths = [f"{base}/lineitem.parquet"] if files is None else files
+    size = sum(f[1] for p in (*paths, f"{base}/orders.parquet", f"{base}/part.parquet") for f in data_files(spark, p))
+    return max(LEAST_TASKS, math.ceil(size / TASK_BYTES))
+
+
 def transactions_raw(spark: SparkSession, sf_dir: str, files: tuple[str, ...] | None = None) -> DataFrame:
     """One row per invoice line: ``invoice, stock_code, description, quantity,
     invoice_date, price, customer_id, country, revenue`` (revenue on raw rows,
@@ -52,11 +74,19 @@ def transactions_raw(spark: SparkSession, sf_dir: str, files: tuple[str, ...] |
               .select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
               .join(cust, F.col("o_custkey") == F.col("c_custkey"))
               .join(nation, F.col("c_nationkey") == F.col("n_nationkey")))
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
+    slices = F.sequence(F.lit(0).cast("bigint"), F.lit(PART_SLICES - 1).cast("bigint"))
+    part = (read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
+            .withColumn("p_slice", F.explode(slices)))
     line = read_facts(spark, sf_dir, "lineitem", files).select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
-    j = (line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-         .join(part, F.col("l_partkey") == F.col("p_partkey")))
+        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity",
+        F.pmod(F.col("l_orderkey").cast("bigint"), F.lit(PART_SLICES).cast("bigint")).alias("l_slice"))
+    n = line_tasks(spark, sf_dir, files)
+    sold = (line.repartition(n, "l_orderkey")
+            .join(orders.repartition(n, "o_orderkey").hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey")))
+    j = (sold.repartition(n, "l_partkey", "l_slice")
+         .join(part.repartition(n, "p_partkey", "p_slice").hint("shuffle_hash"),
+               (F.col("l_partkey") == F.col("p_partkey")) & (F.col("l_slice") == F.col("p_slice")))
+         .coalesce(n))  # Spark shuffles into spark.sql.shuffle.partitions where that is more
     line_key = F.col("l_orderkey") + F.col("l_linenumber")
     okey = F.col("o_orderkey").cast("string")
     qty = F.col("l_quantity").cast("int")
