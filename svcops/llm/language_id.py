@@ -8,8 +8,8 @@ buckets, is broadcast: its size is bounded by ``MAX_LANGUAGES * BUCKETS``
 floats, and more languages raise an error. Scoring adds up the matrix columns
 of a text's grams, a batch of texts at a time.
 
-Training reads at most about ``MAX_ROWS_PER_LANGUAGE`` rows of each language,
-chosen by a hash of the id; fewer rows are all used.
+Training reads every row it may learn from, and so does the measure of what is
+usual in a language; only counts and medians leave the tasks.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 so is every text when nothing could be learned. Otherwise the score is the
@@ -30,12 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from svcops.functions.ranks import percentiles
 from svcops.llm.common import chunks, fold, mixed, sums, utf8
+from svcops.session import settled
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 MAX_LANGUAGES = 256
-MAX_ROWS_PER_LANGUAGE = 5000
+#: Bytes of text whose grams a task holds at a time: their arrays take about 200 times as much.
+GRAM_BYTES = 1 << 18
 UNKNOWN = "und"
 #: Spreads that a text's mean log-probability may lie below the language's median.
 FAR = 3.5
@@ -86,34 +89,32 @@ def _texts(column, i: int, j: int) -> list[str]:
 
 
 def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang",
-          id_col: str = "doc_id", max_rows: int = MAX_ROWS_PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray]:
+          id_col: str = "doc_id") -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log-probability matrix (languages x buckets) and log priors."""
     known = docs.where(learn & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull())
-    known = known.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"),
-                         F.col(f"`{text_col}`").cast("string").alias("text"))
+    known = known.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return [], np.zeros((0, BUCKETS), np.float32), np.zeros(0)
     langs = sorted(sizes)
-    sample = _sample(known, sizes, max_rows)
 
     def count(batches):
+        total: dict[str, np.ndarray] = {}
         for batch in batches:
             off, _ = utf8(batch.column("text"))
             names = np.array(batch.column("lang").to_pylist(), object)
-            total: dict[str, np.ndarray] = {}
-            for i, j in chunks(off):
+            for i, j in chunks(off, GRAM_BYTES):
                 bucket, goff = grams(_texts(batch.column("text"), i, j))
                 own = np.repeat(names[i:j], np.diff(goff))
                 for x in set(names[i:j]):
                     total[x] = total.get(x, 0) + np.bincount(bucket[own == x], minlength=BUCKETS)
-            for x, n in total.items():
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([x] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "bucket", "n"])
+        for x, n in total.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "bucket", "n"])
 
-    counted = sample.select("lang", "text").mapInArrow(count, "lang string, bucket int, n bigint")
+    counted = known.mapInArrow(count, "lang string, bucket int, n bigint")
     table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most languages x buckets rows
     matrix = np.ones((len(langs), BUCKETS))
     row = np.searchsorted(np.array(langs, object), np.array(table["lang"].to_pylist(), object)) if table.num_rows else []
@@ -123,14 +124,8 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
     return langs, matrix.astype(np.float32), prior
 
 
-def _sample(known: DataFrame, sizes: dict[str, int], max_rows: int) -> DataFrame:
-    """About ``max_rows`` rows of each language, by a hash of the id."""
-    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, max_rows / n))) for x, n in sorted(sizes.items())])
-    return known.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1_000_000)) < share * 1_000_000)
-
-
-def usual(docs: DataFrame, model, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          max_rows: int = MAX_ROWS_PER_LANGUAGE) -> dict[str, tuple[float, float, float]]:
+def usual(docs: DataFrame, model, learn: Column, id_col: str = "doc_id", text_col: str = "text",
+          lang_col: str = "lang") -> dict[str, tuple[float, float, float]]:
     """For each language the median of its rows' mean log-probability of a gram,
     the spread between rows (1.4826 times the median deviation) and the standard
     deviation of one gram. Rows that the model gives to another language don't count."""
@@ -139,9 +134,7 @@ def usual(docs: DataFrame, model, learn: Column, id_col: str = "doc_id", text_co
         return {}
     score = scorer(docs.sparkSession, model)
     known = docs.where(learn & F.col(f"`{id_col}`").isNotNull()).select(
-        F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    known = known.where(F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+        F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -149,14 +142,16 @@ def usual(docs: DataFrame, model, learn: Column, id_col: str = "doc_id", text_co
             good = label == np.array(batch.column("lang").to_pylist(), object)
             yield pa.RecordBatch.from_arrays([pa.array(label[good].tolist(), pa.string()), pa.array(mean[good])], ["lang", "mean"])
 
-    found = _sample(known, sizes, max_rows).select("lang", "text").mapInArrow(run, "lang string, mean double").toArrow()
-    name, mean = np.array(found["lang"].to_pylist(), object), found["mean"].to_numpy()
+    means = settled(known.where(F.col("lang").isNotNull()).mapInArrow(run, "lang string, mean double"))
+    middles = {r["lang"]: r["p0"] for r in percentiles(means, "lang", "mean", (0.5,)).collect()}  # a row a language
+    middle = F.coalesce(*[F.when(F.col("lang") == x, F.lit(m)) for x, m in sorted(middles.items())], F.lit(None).cast("double"))
+    off = means.select("lang", F.abs(F.col("mean") - middle).alias("off"))
+    spreads = {r["lang"]: r["p0"] for r in percentiles(off, "lang", "off", (0.5,)).collect()}
     out = {}
     for x, row in zip(langs, matrix.astype(np.float64), strict=True):
-        own, p = mean[name == x], np.exp(row)
+        p = np.exp(row)
         entropy = (p * row).sum()
-        middle = float(np.median(own)) if len(own) else float(entropy)
-        out[x] = (middle, 1.4826 * float(np.median(np.abs(own - middle))) if len(own) else 0.0, float(np.sqrt((p * (row - entropy) ** 2).sum())))
+        out[x] = (middles.get(x, float(entropy)), 1.4826 * spreads.get(x, 0.0), float(np.sqrt((p * (row - entropy) ** 2).sum())))
     return out
 
 
@@ -171,7 +166,7 @@ def scorer(spark, model):
         off, _ = utf8(column)
         label, value = np.full(len(off) - 1, len(langs)), np.zeros(len(off) - 1)
         mean, size = np.zeros(len(off) - 1), np.zeros(len(off) - 1, np.int64)
-        for i, j in chunks(off) if langs else []:
+        for i, j in chunks(off, GRAM_BYTES) if langs else []:
             bucket, goff = grams(_texts(column, i, j))
             like = np.stack([sums(m[bucket].astype(np.float64), goff) for m in matrix], axis=1) + prior
             p = 1 / np.exp(like - like.max(axis=1, keepdims=True)).sum(axis=1)

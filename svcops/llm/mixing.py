@@ -1,7 +1,8 @@
 """Mixing to target weights by soft membership and projected-gradient least squares.
 
-A softmax classifier over hashed words, trained on a bounded sample of the
-labelled table, gives every document a posterior over the domains. Document d
+A softmax classifier over hashed words, trained on all rows of the labelled
+table (Spark's logistic regression, four fifths of the rows, and a temperature
+from the others), gives every document a posterior over the domains. Document d
 then counts for ``tokens(d) * posterior(d, k)`` tokens in domain k, and rates
 r(d) >= 0 are fitted so that the rated totals match the target share of all
 tokens in every domain, as near to the rates' start (1 for all) as gradient
@@ -16,8 +17,8 @@ targets. A pass over a narrow table adds up the totals in tasks; between
 passes the driver holds one vector per pass, a number for each domain, and a
 document's rate is those vectors replayed, so no rate is stored.
 
-Bounds: at most ``MAX_DOMAINS`` domains, about ``SAMPLE`` labelled rows for
-training, ``MAX_PASSES`` passes. Domains without target weight get 0; weights
+Bounds: at most ``MAX_DOMAINS`` domains, ``FIT_ROUNDS`` rounds of training,
+``MAX_PASSES`` passes. Domains without target weight get 0; weights
 are scaled to sum to 1.
 
 Defined results: null and empty texts have 0 tokens, the classifier's prior
@@ -34,15 +35,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from svcops.llm.common import chunks, shared, utf8
-from svcops.llm.softmax import features, fit, logits, lowered, ngram_buckets, softmax, temperature
+from svcops.llm.softmax import TEMPERATURES, features, held_out_loss, logits, lowered, ngram_buckets, softmax
 from svcops.session import settled
 
 BUCKETS = 1 << 16
-SAMPLE = 4000
+#: Weight of the classifier's L1 term and its rounds.
+FIT_L1 = 2e-5
+FIT_ROUNDS = 50
 MAX_DOMAINS = 32
 MAX_PASSES = 40
 TOLERANCE = 1e-4
@@ -88,38 +93,75 @@ def replayed(steps: list[np.ndarray], p: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str], id_col: str = "doc_id",
-          text_col: str = "text", label_id: str = "doc_id", sample: int = SAMPLE) -> Mixer:
-    """The classifier, its temperature fitted on a fifth of the sample."""
+          text_col: str = "text", label_id: str = "doc_id") -> Mixer:
+    """The classifier, fitted on four fifths of the labelled ids, its temperature on
+    the others. Words are hashed before the labels are joined, so texts aren't shuffled."""
     if len(domains) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains")
     k = len(domains)
     known = labels.select(F.col(f"`{label_id}`").alias("id"), domain.alias("label")).where(
         F.col("id").isNotNull() & F.col("label").isin(domains)).distinct()
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    share = F.coalesce(*[F.when(F.col("label") == x, F.lit(sample / len(sizes) / n)) for x, n in sizes.items()], F.lit(0.0))
-    known = known.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1_000_000)) < share * 1_000_000)
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(known), "id")  # about ``sample`` ids
-    got = features(rows, (1,), BUCKETS).toArrow()
-    y = np.array([domains.index(x) for x in got["label"].to_pylist()], np.int64)
-    lists = [np.array(x, np.int64) for x in got["buckets"].to_pylist()]
-    order = sorted(range(len(y)), key=lambda i: (int(y[i]), lists[i].tolist()))  # not as rows happen to arrive
-    y, lists = y[order], [lists[i] for i in order]
-    if not len(y):
+    if not sizes:
         return Mixer(domains, np.zeros((BUCKETS, k)), np.zeros(k))
-
-    def pick(at):
-        off = np.concatenate([[0], np.cumsum([len(lists[i]) for i in at])]).astype(np.int64)
-        return off, np.concatenate([lists[i] for i in at]) if len(at) else np.zeros(0, np.int64), y[at]
-
-    held = np.arange(len(y)) % 5 == 0
-    w, b = fit(*pick(np.flatnonzero(~held)), k, BUCKETS)
-    off, bucket, truth = pick(np.flatnonzero(held))
-    t = temperature(logits(w, b, off, bucket), truth, 1 / np.maximum(np.bincount(truth, minlength=k), 1)[truth])
+    texts = docs.select(F.col(f"`{id_col}`").alias("label"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    hashed = features(texts.where(F.col("label").isNotNull()), (1,), BUCKETS).withColumnRenamed("label", "id")
+    held = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(5)) == 0
+    rows = settled(hashed.join(known, "id").select("label", held.alias("held"), "buckets"))
+    counts = {(r["label"], r["held"]): r["count"] for r in rows.groupBy("label", "held").count().collect()}
+    w, b = _fitted(rows.where("not held"), {x: n for (x, h), n in counts.items() if not h}, domains)
+    t = _temperature(rows.where("held"), {x: n for (x, h), n in counts.items() if h}, domains, w, b)
     prior = np.log(np.array([max(sizes.get(x, 0), 0.5) for x in domains], float) / sum(sizes.values()))
     return Mixer(domains, w / t, b / t + prior)  # classes were balanced in training
 
 
+def _fitted(rows: DataFrame, counts: dict[str, int], domains: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (buckets x domains) and bias from all ``rows``, whose domains have
+    the same total weight. Domains without a row, or a single one, get zeros."""
+    w, b = np.zeros((BUCKETS, len(domains))), np.zeros(len(domains))
+    present = [x for x in domains if counts.get(x)]
+    if len(present) < 2:
+        return w, b
+    # only buckets that occur get a column: the driver holds several vectors of that size
+    used = np.sort(rows.select(F.explode("buckets").alias("bucket")).distinct().toArrow()["bucket"].to_numpy())
+    if not len(used):
+        return w, b
+
+    def vector(buckets):
+        n = len(buckets)
+        return SparseVector(len(used), np.searchsorted(used, buckets), [n ** -0.5] * n)
+
+    pick = {x: F.when(F.col("label") == x, F.lit(float(i))) for i, x in enumerate(present)}
+    weight = F.coalesce(*[F.when(F.col("label") == x, F.lit(1 / counts[x])) for x in present])
+    data = rows.select(F.coalesce(*pick.values()).alias("y"), (weight * sum(counts.values())).alias("weight"),
+                       F.udf(vector, VectorUDT())("buckets").alias("x"))
+    model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", family="multinomial", standardization=False,
+                               regParam=FIT_L1, elasticNetParam=1.0, maxIter=FIT_ROUNDS).fit(data)
+    at = [domains.index(x) for x in present]
+    w[np.ix_(used, at)], b[at] = model.coefficientMatrix.toArray().T, model.interceptVector.toArray()
+    return w, b
+
+
+def _temperature(rows: DataFrame, counts: dict[str, int], domains: list[str], w: np.ndarray, b: np.ndarray) -> float:
+    """The divisor of the logits that makes the labels of all ``rows`` likeliest;
+    the loss of each try is added up in tasks."""
+    if not counts:
+        return 1.0
+    sent = rows.sparkSession.sparkContext.broadcast((w, b, domains, [1 / max(counts.get(x, 0), 1) for x in domains]))
+
+    def run(batches):
+        w, b, domains, share = sent.value
+        for batch in batches:
+            lists = batch.column("buckets")
+            off = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+            y = np.array([domains.index(x) for x in batch.column("label").to_pylist()], np.int64)
+            loss = held_out_loss(logits(w, b, off, lists.flatten().to_numpy()), y, np.array(share)[y])
+            yield pa.RecordBatch.from_arrays([pa.array([*range(len(loss))], pa.int32()), pa.array(loss)], ["i", "x"])
+
+    found = dict(rows.select("label", "buckets").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x")).collect())
+    return float(TEMPERATURES[min(found, key=lambda i: (found[i], i))])
+
+
 def membership(docs: DataFrame, mixer: Mixer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, tokens, p`` (posteriors in the order of the mixer's domains)."""
     get = shared(docs.sparkSession, mixer)

@@ -91,11 +91,18 @@ def fit(off: np.ndarray, bucket: np.ndarray, y: np.ndarray, k: int, buckets: int
     return w, b
 
 
+#: Divisors of the logits to choose from.
+TEMPERATURES = np.geomspace(0.02, 50, 80)
+
+
+def held_out_loss(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The weighted log loss of the labels at each of ``TEMPERATURES``."""
+    return np.array([-(weight * np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12))).sum() for t in TEMPERATURES])
+
+
 def temperature(z: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> float:
     """The divisor of the logits that makes the held-out labels likeliest."""
     if not len(y):
         return 1.0
     weight = np.ones(len(y)) if weight is None else weight
-    tries = np.geomspace(0.02, 50, 80)
-    loss = [-(weight * np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12))).sum() for t in tries]
-    return float(tries[int(np.argmin(loss))])
+    return float(TEMPERATURES[int(np.argmin(held_out_loss(z, y, weight)))])
