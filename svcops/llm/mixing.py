@@ -35,19 +35,25 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from svcops.llm.common import chunks, shared, utf8
-from svcops.llm.softmax import TEMPERATURES, features, held_out_loss, logits, lowered, ngram_buckets, softmax
+from svcops.llm.softmax import TEMPERATURES, class_logits, held_out_loss, lowered, ngram_buckets, quasi_newton, softmax
 from svcops.session import settled
 
 BUCKETS = 1 << 16
 #: Weight of the classifier's L1 term and its rounds.
 FIT_L1 = 2e-5
 FIT_ROUNDS = 50
+#: Buckets of words in a partition of the training rows, so that a round's sums (a
+#: number for each bucket and domain) are few beside what they are made of.
+FIT_ENTRIES = 1 << 21
+#: Buckets whose sums are added up together.
+SUMMED = 1 << 12
+#: Bytes of text, and buckets of texts, that a task turns into arrays at a time.
+TEXT_AT_ONCE = 1 << 18
+ENTRIES_AT_ONCE = 1 << 16
 MAX_DOMAINS = 32
 MAX_PASSES = 40
 TOLERANCE = 1e-4
@@ -70,15 +76,12 @@ class Mixer:
     steps: list[np.ndarray] = field(default_factory=list)
     deviation: float = 0.0
 
-    def posterior(self, off: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens (words) and domain posteriors of each text."""
-        tokens, p = [np.zeros(0, np.int64)], [np.zeros((0, len(self.domains)))]
-        raw = lowered(raw)
-        for i, j in chunks(off):
-            goff, bucket, n = ngram_buckets(raw[off[i]: off[j]], off[i: j + 1] - off[i], (1,), BUCKETS)
-            tokens.append(n)
-            p.append(softmax(logits(self.weights, self.bias, goff, bucket)))
-        return np.concatenate(tokens), np.concatenate(p)
+    def posterior(self, off: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Domain posteriors of texts given by their distinct buckets."""
+        p, columns = [np.zeros((0, len(self.domains)))], np.ascontiguousarray(self.weights.T)
+        for i, j in chunks(off, ENTRIES_AT_ONCE):
+            p.append(softmax(class_logits(columns, self.bias, off[i: j + 1] - off[i], bucket[off[i]: off[j]])))
+        return np.concatenate(p)
 
     def rates(self, p: np.ndarray) -> np.ndarray:
         return replayed(self.steps, p)
@@ -92,10 +95,45 @@ def replayed(steps: list[np.ndarray], p: np.ndarray) -> np.ndarray:
     return r
 
 
+def hashed(off: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offsets, buckets, tokens) of texts: each one's distinct buckets and number of words."""
+    ends, found, tokens = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, j in chunks(off, TEXT_AT_ONCE):
+        part, bucket, n = ngram_buckets(lowered(raw[off[i]: off[j]]), off[i: j + 1] - off[i], (1,), BUCKETS)
+        ends.append(part[1:] + ends[-1][-1])
+        found.append(bucket)
+        tokens.append(n)
+    return np.concatenate(ends), np.concatenate(found), np.concatenate(tokens)
+
+
+def hashed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, tokens, buckets`` of every document: all that training and posteriors need of a text."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            off, bucket, tokens = hashed(*utf8(batch.column("text")))
+            lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(bucket.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens), lists], ["doc_id", "tokens", "buckets"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, tokens bigint, buckets array<int>")
+
+
+def _lists(batch) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, buckets) of a batch of ``hashed_words``."""
+    lists = batch.column("buckets")
+    return np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64), lists.flatten().to_numpy()
+
+
 def train(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str], id_col: str = "doc_id",
           text_col: str = "text", label_id: str = "doc_id") -> Mixer:
     """The classifier, fitted on four fifths of the labelled ids, its temperature on
-    the others. Words are hashed before the labels are joined, so texts aren't shuffled."""
+    the others."""
+    return _trained(hashed_words(docs, id_col, text_col), labels, domain, domains, label_id)
+
+
+def _trained(words: DataFrame, labels: DataFrame, domain: Column, domains: list[str], label_id: str = "doc_id") -> Mixer:
+    """``train`` on ``hashed_words``: the labels are joined to them, so texts aren't shuffled."""
     if len(domains) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains")
     k = len(domains)
@@ -104,10 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str]
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if not sizes:
         return Mixer(domains, np.zeros((BUCKETS, k)), np.zeros(k))
-    texts = docs.select(F.col(f"`{id_col}`").alias("label"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    hashed = features(texts.where(F.col("label").isNotNull()), (1,), BUCKETS).withColumnRenamed("label", "id")
     held = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(5)) == 0
-    rows = settled(hashed.join(known, "id").select("label", held.alias("held"), "buckets"))
+    rows = settled(words.withColumnRenamed("doc_id", "id").join(known, "id").select("label", held.alias("held"), "buckets"))
     counts = {(r["label"], r["held"]): r["count"] for r in rows.groupBy("label", "held").count().collect()}
     w, b = _fitted(rows.where("not held"), {x: n for (x, h), n in counts.items() if not h}, domains)
     t = _temperature(rows.where("held"), {x: n for (x, h), n in counts.items() if h}, domains, w, b)
@@ -117,45 +153,98 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str]
 
 def _fitted(rows: DataFrame, counts: dict[str, int], domains: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Weights (buckets x domains) and bias from all ``rows``, whose domains have
-    the same total weight. Domains without a row, or a single one, get zeros."""
+    the same total weight. Domains without a row, or a single one, get zeros.
+
+    The objective is L1-regularised multinomial regression on centred columns, each
+    divided by its standard deviation, with the L1 term on the undivided weights."""
     w, b = np.zeros((BUCKETS, len(domains))), np.zeros(len(domains))
     present = [x for x in domains if counts.get(x)]
-    if len(present) < 2:
-        return w, b
-    # only buckets that occur get a column: the driver holds several vectors of that size
-    used = np.sort(rows.select(F.explode("buckets").alias("bucket")).distinct().toArrow()["bucket"].to_numpy())
-    if not len(used):
+    k = len(present)
+    if k < 2:
         return w, b
-
-    def vector(buckets):
-        n = len(buckets)
-        return SparseVector(len(used), np.searchsorted(used, buckets), [n ** -0.5] * n)
-
-    pick = {x: F.when(F.col("label") == x, F.lit(float(i))) for i, x in enumerate(present)}
-    weight = F.coalesce(*[F.when(F.col("label") == x, F.lit(1 / counts[x])) for x in present])
-    data = rows.select(F.coalesce(*pick.values()).alias("y"), (weight * sum(counts.values())).alias("weight"),
-                       F.udf(vector, VectorUDT())("buckets").alias("x"))
-    model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", family="multinomial", standardization=False,
-                               regParam=FIT_L1, elasticNetParam=1.0, maxIter=FIT_ROUNDS).fit(data)
+    share = {x: 1 / counts[x] / k for x in present}
+    value = F.size("buckets") ** -0.5
+    weight = F.coalesce(*[F.when(F.col("label") == x, F.lit(share[x])) for x in present])
+    found = (rows.select(F.explode("buckets").alias("bucket"), weight.alias("weight"), value.alias("value")).groupBy("bucket")
+             .agg(F.count("*"), F.sum(F.col("weight") * F.col("value")), F.sum(F.col("weight") * F.col("value") ** 2)).toArrow())
+    at, n, first, second = (c.to_numpy() for c in found.columns)
+    mean, inverse = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    variance = (second - first ** 2) / (1 - sum(share[x] ** 2 * counts[x] for x in present))
+    mean[at], inverse[at] = first, np.where(variance > 0, 1 / np.sqrt(np.where(variance > 0, variance, 1)), 0)
+    # joined and in few partitions: a round sends a vector of all buckets from each
+    rows = rows.coalesce(max(-(-int(n.sum()) // FIT_ENTRIES), rows.sparkSession.sparkContext.defaultParallelism))
+
+    def split(x):
+        scaled, own = x[: BUCKETS * k].reshape(BUCKETS, k) * inverse[:, None], x[BUCKETS * k:]
+        return scaled, own - mean @ scaled
+
+    def loss(x):
+        value, g, own = _gradient(rows, *split(x), [share[y] for y in present], present)
+        return value, np.concatenate([((g - mean[:, None] * own) * inverse[:, None]).reshape(-1), own])
+
+    l1 = np.concatenate([np.repeat(FIT_L1 * inverse, k), np.zeros(k)])
     at = [domains.index(x) for x in present]
-    w[np.ix_(used, at)], b[at] = model.coefficientMatrix.toArray().T, model.interceptVector.toArray()
+    w[:, at], b[at] = split(quasi_newton(loss, np.zeros(len(l1)), l1, FIT_ROUNDS))
     return w, b
 
 
+def _gradient(rows: DataFrame, w: np.ndarray, b: np.ndarray, share: list[float], present: list[str]) -> tuple[float, np.ndarray, np.ndarray]:
+    """The weighted log loss of all ``rows`` and its gradients by weights and bias.
+    A task sums its rows, the tasks' sums are added by block of buckets, and the driver
+    gets one number for each bucket and domain but the last, whose sums are the others'."""
+    k = len(b)
+    sent = rows.sparkSession.sparkContext.broadcast((np.ascontiguousarray(w.T), b, np.array(share), {x: i for i, x in enumerate(present)}))
+
+    def run(batches):
+        w, b, share, index = sent.value
+        g, rest = np.zeros((k - 1, BUCKETS)), np.zeros(k)  # rest: loss, then the bias
+        for batch in batches:
+            offsets, buckets = _lists(batch)
+            labels = np.array([index[x] for x in batch.column("label").to_pylist()], np.int64)
+            for i, j in chunks(offsets, ENTRIES_AT_ONCE):
+                off, bucket, y = offsets[i: j + 1] - offsets[i], buckets[offsets[i]: offsets[j]], labels[i:j]
+                z = class_logits(w, b, off, bucket)
+                z -= z.max(axis=1, keepdims=True)
+                e = np.exp(z)
+                total, each = e.sum(axis=1), np.arange(len(y))
+                rest[0] += share[y] @ (np.log(total) - z[each, y])
+                r = e / total[:, None]
+                r[each, y] -= 1
+                r *= share[y][:, None]
+                rest[1:] += r[:, :-1].sum(axis=0)
+                n = np.diff(off)
+                r *= np.maximum(n, 1)[:, None] ** -0.5
+                for c in range(k - 1):
+                    g[c] += np.bincount(bucket, np.repeat(r[:, c], n), BUCKETS)
+        blocks = [*g.reshape(-1, SUMMED), rest]
+        yield pa.RecordBatch.from_arrays([pa.array([*range(len(blocks))], pa.int32()), pa.array(blocks)], ["block", "x"])
+
+    def add(table):
+        x = table.column("x").combine_chunks()
+        return pa.table({"block": table.column("block")[:1], "x": [x.flatten().to_numpy().reshape(len(x), -1).sum(axis=0)]})
+
+    schema = "block int, x array<double>"
+    found = rows.select("label", "buckets").mapInArrow(run, schema).groupBy("block").applyInArrow(add, schema).toArrow()
+    sent.destroy()
+    blocks = dict(zip(found["block"].to_pylist(), (x.values.to_numpy() for x in found["x"])))
+    rest = blocks.pop(max(blocks))
+    g = np.concatenate([blocks[i] for i in sorted(blocks)]).reshape(k - 1, BUCKETS).T
+    return rest[0], np.column_stack([g, -g.sum(axis=1)]), np.append(rest[1:], -rest[1:].sum())
+
+
 def _temperature(rows: DataFrame, counts: dict[str, int], domains: list[str], w: np.ndarray, b: np.ndarray) -> float:
     """The divisor of the logits that makes the labels of all ``rows`` likeliest;
     the loss of each try is added up in tasks."""
     if not counts:
         return 1.0
-    sent = rows.sparkSession.sparkContext.broadcast((w, b, domains, [1 / max(counts.get(x, 0), 1) for x in domains]))
+    sent = rows.sparkSession.sparkContext.broadcast((np.ascontiguousarray(w.T), b, domains, [1 / max(counts.get(x, 0), 1) for x in domains]))
 
     def run(batches):
         w, b, domains, share = sent.value
         for batch in batches:
-            lists = batch.column("buckets")
-            off = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+            off, bucket = _lists(batch)
             y = np.array([domains.index(x) for x in batch.column("label").to_pylist()], np.int64)
-            loss = held_out_loss(logits(w, b, off, lists.flatten().to_numpy()), y, np.array(share)[y])
+            loss = held_out_loss(class_logits(w, b, off, bucket), y, np.array(share)[y])
             yield pa.RecordBatch.from_arrays([pa.array([*range(len(loss))], pa.int32()), pa.array(loss)], ["i", "x"])
 
     found = dict(rows.select("label", "buckets").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x")).collect())
@@ -164,18 +253,22 @@ def _temperature(rows: DataFrame, counts: dict[str, int], domains: list[str], w:
 
 def membership(docs: DataFrame, mixer: Mixer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, tokens, p`` (posteriors in the order of the mixer's domains)."""
-    get = shared(docs.sparkSession, mixer)
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return _members(hashed_words(docs, id_col, text_col), mixer)
+
+
+def _members(words: DataFrame, mixer: Mixer) -> DataFrame:
+    """``membership`` from ``hashed_words``."""
+    get = shared(words.sparkSession, mixer)
 
     def run(batches):
         mixer = get()
         k = len(mixer.domains)
         for batch in batches:
-            tokens, p = mixer.posterior(*utf8(batch.column("text")))
+            p = mixer.posterior(*_lists(batch))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * k), pa.array(p.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens), lists], ["doc_id", "tokens", "p"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tokens"), lists], ["doc_id", "tokens", "p"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, tokens bigint, p array<double>")
+    return words.mapInArrow(run, f"doc_id {words.schema['doc_id'].dataType.simpleString()}, tokens bigint, p array<double>")
 
 
 def _matrix(batch) -> np.ndarray:
@@ -225,8 +318,9 @@ def mixed_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
                 id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Mixer]:
     """``doc_id, tokens, p_<domain>..., rate`` for every document, and the mixer."""
     targets = TARGETS if targets is None else targets
-    mixer = train(docs, labels, label_domain() if domain is None else domain, sorted(targets), id_col, text_col)
-    members = settled(membership(docs, mixer, id_col, text_col))
+    words = settled(hashed_words(docs, id_col, text_col))  # a text is hashed once for training and posteriors
+    mixer = _trained(words, labels, label_domain() if domain is None else domain, sorted(targets))
+    members = settled(_members(words, mixer))
     mixer = fit_rates(members, mixer, targets)
     steps = list(mixer.steps)
     names = ["doc_id", "tokens", *(f"p_{x}" for x in mixer.domains), "rate"]
@@ -254,8 +348,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     def run(batches):
         mixer = get()
         for batch in batches:
-            _, p = mixer.posterior(*utf8(batch.column(text_col)))
-            rate = mixer.rates(p)
+            off, bucket, _ = hashed(*utf8(batch.column(text_col)))
+            rate = mixer.rates(mixer.posterior(off, bucket))
             out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], [*batch.schema.names, rate_col])
             yield out.filter(pa.array(rate > 0))
 
