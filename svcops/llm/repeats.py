@@ -14,16 +14,19 @@ and buckets exchange packed arrays in rounds, each a shuffle:
    that has it; of hot anchors they send the windows themselves, as hashes, so
    that no bucket gets all contexts of a hot passage. A bucket answers which
    contexts have an equal in a smaller document (all their windows go), which
-   are alone with their anchor, and which must be looked into.
+   are alone with their anchor, and which must be looked into, with the anchors'
+   places, so that blocks needn't search for anchors again.
 3. Index. For those, the document of the smallest id sends the bytes. Each
-   bucket builds a run-length Burrows-Wheeler index of them and streams them
-   through it (``run_index``): the answer is a mask of the windows that start in
-   a smaller document.
+   bucket builds a run-length Burrows-Wheeler index of them, in which an anchor
+   is a few symbols, and streams them through it (``run_index``): the answer is a
+   mask of the windows that start in a smaller document.
 4. Blocks unite the windows to spans and cut them out.
 
 A block or a bucket holds a bounded number of bytes, whatever the corpus; a
 hot key has one row per block. Equal windows decided by 64-bit hashes (steps 2)
-are compared within one anchor only.
+are compared within one anchor only. A message is a row of packed arrays for each
+block and bucket, so there are blocks x buckets rows a round; they are packed and
+unpacked all at once, and each bucket answers a round once.
 
 Defined results: null text counts as empty; a text shorter than ``LENGTH`` bytes
 loses nothing; rows that share an id don't remove bytes from each other; rows of
@@ -41,21 +44,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from svcops.llm.common import mixed, powers, utf8, word_hashes
-from svcops.llm.run_index import RunIndex
+from svcops.llm.common import chunks, mixed, powers, utf8
+from svcops.llm.run_index import RunIndex, sorted_order
 
 LENGTH = 50
 K = 32
-BLOCK_BYTES = 4_000_000
-BUCKET_BYTES = 6_000_000
+BLOCK_BYTES = 6_000_000
+BUCKET_BYTES = 12_000_000
 HOT = 3000
-#: Bytes hashed at a time.
-PIECE = 1 << 17
+#: Bytes hashed at a time, so that their arrays stay in a core's cache.
+PIECE = 1 << 15
 _LAST = np.int64(np.iinfo(np.int64).max)  # stands for a null id
 
 
 def kgram_hashes(raw: np.ndarray, k: int) -> np.ndarray:
-    """Hash of each k-gram; never 0."""
+    """Hash of each k-gram."""
     base = int(powers(2)[1])
     parts, h, width = {}, raw.astype(np.uint64) + np.uint64(1), 1
     while width <= k:
@@ -70,7 +73,10 @@ def kgram_hashes(raw: np.ndarray, k: int) -> np.ndarray:
         n = len(raw) - done - width + 1
         h = h[:n] * np.uint64(pow(base, width, 1 << 64)) + parts[width][done: done + n]
         done += width
-    return mixed(h) | np.uint64(1)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def sliding(a: np.ndarray, width: int, best) -> np.ndarray:
@@ -83,25 +89,27 @@ def sliding(a: np.ndarray, width: int, best) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of all texts, ascending."""
+    """Positions of the anchors of all texts, ascending, and the hashes of all k-grams."""
     w = LENGTH - K + 1
-    places, found = [], []
-    # long enough texts one after another in pieces that overlap by a window
+    places, grams = [np.zeros(0, np.int64)], np.empty(len(raw), np.uint64)
+    past = -1  # the last anchor so far
+    # texts one after another in pieces that overlap by a window
     for a, b in _pieces(off):
-        part = raw[a:b]
-        h = kgram_hashes(part, K)
-        least = sliding(h, w, np.minimum)  # by the window's start
-        end = _text_end(off, a, b)
-        start = np.arange(len(least)) + a
-        least[start + LENGTH > end[: len(least)]] = 0
-        edge = np.zeros(w - 1, np.uint64)
-        at = np.flatnonzero(sliding(np.concatenate([edge, least, edge]), w, np.maximum) == h)
-        places.append(at + a)
-        found.append(h[at])
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    place, first = np.unique(np.concatenate(places), return_index=True)
-    return place, np.concatenate(found)[first]
+        h = kgram_hashes(raw[a:b], K)
+        grams[a: a + len(h)] = h
+        value = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        least = np.zeros(len(value) + w - 1, np.uint32)
+        own = least[w - 1: len(value)]  # by the window's start
+        own[:] = sliding(value, w, np.minimum)
+        ends = off[np.searchsorted(off, a, "right"): np.searchsorted(off, b + LENGTH, "left")]
+        over = (ends[:, None] - np.arange(1, LENGTH)).ravel() - a  # windows that cross a text's end
+        own[over[(over >= 0) & (over < len(own))]] = 0
+        at = np.flatnonzero(sliding(least, w, np.maximum) == value)
+        at = at[np.searchsorted(at, past + 1 - a):]  # neighbouring pieces share some
+        if len(at):
+            places.append(at + a)
+            past = int(at[-1]) + a
+    return np.concatenate(places), grams
 
 
 def _pieces(off: np.ndarray):
@@ -111,125 +119,160 @@ def _pieces(off: np.ndarray):
         at += PIECE
 
 
-def _text_end(off: np.ndarray, a: int, b: int) -> np.ndarray:
-    """For each byte position in [a, b) the end of its text."""
-    i, j = np.searchsorted(off, a, "right") - 1, np.searchsorted(off, b, "left")
-    cut = np.clip(off[i: j + 1], a, b)
-    return np.repeat(off[i + 1: j + 1], np.diff(cut))
+def _changes(*sorted_: np.ndarray) -> np.ndarray:
+    """Where groups of equal rows of the sorted columns begin."""
+    new = np.zeros(len(sorted_[0]), bool)
+    new[:1] = True
+    for a in sorted_:
+        new[1:] |= a[1:] != a[:-1]
+    return new
 
 
-class Block:
-    """The texts of a block in the order of their ids, and their anchors."""
+def _keyed_order(key: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """An order by (key, hash); equal rows are in any order."""
+    order = np.argsort(h)
+    return order[sorted_order(key[order])[0]]
 
-    def __init__(self, table: pa.Table, buckets: int):
+
+class Texts:
+    """The texts of a block in the order of their ids."""
+
+    def __init__(self, table: pa.Table):
         ids = table.column("id").combine_chunks()
         number = ids.fill_null(int(_LAST)).to_numpy().astype(np.int64)
         rows = np.lexsort((table.column("size").to_numpy(), number))
         self.table = table.take(pa.array(rows))
         self.ids = number[rows]
         self.off, self.raw = utf8(self.table.column("text"))
-        self.place, h = anchors(self.raw, self.off)
-        self.doc = np.searchsorted(self.off, self.place, "right") - 1
-        self.begin = np.maximum(self.off[self.doc], self.place - (LENGTH - K))  # of the contexts
-        self.end = np.minimum(self.off[self.doc + 1], self.place + LENGTH)
-        self.bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+    def around(self, place: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Beginnings and ends of the contexts of anchors."""
+        return np.maximum(self.off[doc], place - (LENGTH - K)), np.minimum(self.off[doc + 1], place + LENGTH)
+
+
+class Block(Texts):
+    """And their anchors."""
+
+    def __init__(self, table: pa.Table, buckets: int):
+        super().__init__(table)
+        self.place, self.grams = anchors(self.raw, self.off)
+        h = self.grams[self.place]
+        self.doc = np.repeat(np.arange(len(self.ids)), np.diff(np.searchsorted(self.place, self.off)))
+        self.begin, self.end = self.around(self.place, self.doc)
         # distinct keys in the order of (bucket, key), and each anchor's key
-        whole = self.bucket << 32 | (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        self.keys, self.key = np.unique(whole, return_inverse=True)
+        whole = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64) << 32 | (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        self.order, whole = sorted_order(whole)
+        new = _changes(whole)
+        self.keys, self.first = whole[new], np.flatnonzero(new)
+        self.key = np.empty(len(whole), np.int64)
+        self.key[self.order] = np.cumsum(new) - 1
         self.buckets = buckets
 
-    def split(self, bucket_of: np.ndarray):
-        """(bucket, slice) for sorted bucket numbers."""
-        cut = np.searchsorted(bucket_of, np.arange(self.buckets + 1))
-        for b in np.flatnonzero(np.diff(cut)).tolist():
-            yield b, slice(int(cut[b]), int(cut[b + 1]))
-
     def key_counts(self) -> np.ndarray:
         """Of each key: up to 127 occurrences, plus 128 if several documents have it."""
-        n = np.bincount(self.key, minlength=len(self.keys))
-        low = np.full(len(self.keys), _LAST)
-        high = np.full(len(self.keys), -1)
-        np.minimum.at(low, self.key, self.ids[self.doc])
-        np.maximum.at(high, self.key, self.ids[self.doc])
-        return (np.minimum(n, 127) + 128 * (low != high)).astype(np.uint8)
+        n = np.diff(self.first, append=len(self.order))
+        least, most = (self.ids[self.doc[self.order[at]]] for at in (self.first, self.first + n - 1))
+        several = least != most
+        return (np.minimum(n, 127) + 128 * several).astype(np.uint8)
 
     def contexts(self, state: np.ndarray):
         """Distinct contexts of the repeated anchors: their keys, hashes, smallest
-        ids and first anchors, sorted by (bucket, key, hash); each anchor's context (-1: none)."""
+        ids and first anchors, sorted by (bucket, key, hash); then the repeated anchors
+        and each one's context."""
         at = np.flatnonzero(state[self.key] == 1)
         h = self.hashes(self.begin[at], self.end[at])
-        order = np.lexsort((self.place[at], h, self.key[at]))  # texts are in the order of ids
+        order = _keyed_order(self.key[at], h)
         at, h = at[order], h[order]
-        new = np.ones(len(at), bool)
-        new[1:] = (self.key[at][1:] != self.key[at][:-1]) | (h[1:] != h[:-1])
-        own = np.full(len(self.place), -1)
-        own[at] = np.cumsum(new) - 1
-        first = at[new]
-        return self.key[first], h[new], self.ids[self.doc[first]], first, own
+        new = _changes(self.key[at], h)
+        start = np.flatnonzero(new)
+        first = np.minimum.reduceat(at, start) if len(at) else at  # texts are in the order of ids
+        return self.key[first], h[start], self.ids[self.doc[first]], first, at, np.cumsum(new) - 1
 
     def windows(self, state: np.ndarray):
-        """Distinct windows around hot anchors, sorted by (bucket, hash): hashes, smallest
+        """Distinct windows around hot anchors, sorted by (bucket, hash): buckets, hashes, smallest
         ids; then all their starts and each one's window."""
         hot = np.flatnonzero(state[self.key] == 2)
-        n = self.end[hot] - self.begin[hot] - LENGTH + 1
-        start = np.unique(np.repeat(self.begin[hot], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+        start = self.starts(self.begin[hot], self.end[hot])
         h = self.hashes(start, start + LENGTH)
-        order = np.lexsort((start, h, h % np.uint64(self.buckets)))
+        order = np.argsort(h)
         start, h = start[order], h[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        doc = np.searchsorted(self.off, start, "right") - 1
-        return h[new], self.ids[doc[new]], start, np.cumsum(new) - 1
+        new = _changes(h)
+        first = np.flatnonzero(new)
+        least = np.minimum.reduceat(start, first) if len(h) else start
+        h = h[first]
+        bucket = ((h >> np.uint64(32)) * np.uint64(self.buckets) >> np.uint64(32)).astype(np.int64)
+        return bucket, h, self.ids[np.searchsorted(self.off, least, "right") - 1], start, np.cumsum(new) - 1
+
+    def starts(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The starts of all windows of the contexts, ascending."""
+        some = np.zeros(len(self.raw), bool)
+        last = end - LENGTH - begin
+        for j in range(LENGTH - K + 1):
+            some[begin[last >= j] + j] = True
+        return np.flatnonzero(some)
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of byte ranges of at most a context's length."""
-        out = np.zeros(len(start), np.uint64)
-        piece = start // PIECE
-        for p in np.unique(piece).tolist():
-            own = np.flatnonzero(piece == p)
-            a = p * PIECE
-            out[own] = word_hashes(self.raw[a: a + PIECE + 2 * LENGTH], start[own] - a, end[own] - a)
-        return out
+        """Hashes of byte ranges from a window's to a context's length: three k-grams cover one."""
+        h = self.grams[start] * np.uint64(0x9E3779B97F4A7C15)
+        h += self.grams[start + (LENGTH - K)] * np.uint64(0xC2B2AE3D27D4EB4F)
+        h += self.grams[end - K] * np.uint64(0x165667B19E3779F9)
+        return mixed(h + (end - start).astype(np.uint64))
 
 
-def _answers(table: pa.Table, round_: int) -> dict[int, tuple[bytes, bytes]]:
-    """The answers of one round by bucket."""
-    own = table.filter(pc.equal(table.column("round"), round_))
-    return {b: (x, y) for b, x, y in zip(*(own.column(c).to_pylist() for c in ("bucket", "x", "y")), strict=True)}
+def _values(table: pa.Table, column: str, kind) -> tuple[np.ndarray, np.ndarray]:
+    """A binary column's arrays joined, and the offsets of each row's part."""
+    off, raw = utf8(table.column(column).cast(pa.binary()))
+    kind = np.dtype(kind)
+    return np.frombuffer(raw.tobytes(), kind), off // kind.itemsize
 
 
-def _joined(block: Block, answers, bucket_of: np.ndarray, which: int, kind) -> np.ndarray:
-    """One value for each of the block's sorted entries, from the buckets' answers."""
-    out = [np.frombuffer(answers[b][which], kind) for b, _ in block.split(bucket_of)]
-    return np.concatenate(out) if out else np.zeros(0, kind)
+def _binary(values: np.ndarray, off: np.ndarray) -> pa.ChunkedArray:
+    """The array of each part of ``values`` as bytes."""
+    raw = np.ascontiguousarray(values).view(np.uint8)
+    off = np.asarray(off, np.int64) * values.itemsize
+    parts = []
+    for i, j in chunks(off, 1 << 30):
+        own = off[i: j + 1]
+        buffers = [None, pa.py_buffer((own - own[0]).astype(np.int32)), pa.py_buffer(raw[own[0]: own[-1]])]
+        parts.append(pa.Array.from_buffers(pa.binary(), j - i, buffers))
+    return pa.chunked_array(parts, pa.binary())
 
 
-_ASK = "bucket int, block int, a binary, b binary, c binary, d binary, e binary"
-_TELL = "block int, round int, bucket int, x binary, y binary"
-_ASK_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), *((c, pa.binary()) for c in "abcde")])
-_TELL_ARROW = pa.schema([("block", pa.int32()), ("round", pa.int32()), ("bucket", pa.int32()), ("x", pa.binary()), ("y", pa.binary())])
+def _answers(told: pa.Table, round_: int, which: str, kind) -> np.ndarray:
+    """One value for each entry that the block asked for in a round, from the buckets' answers."""
+    own = told.filter(pc.equal(told.column("round"), round_))
+    return _values(own.sort_by("bucket"), which, kind)[0]
 
 
-def _ask(block: int, parts: list[tuple[int, list[np.ndarray]]]) -> pa.Table:
-    rows = [{"bucket": b, "block": block} | {c: x.tobytes() for c, x in zip("abcde", arrays, strict=False)} for b, arrays in parts]
-    return pa.Table.from_pylist(rows, _ASK_ARROW)
+_ASK = "bucket int, block int, a binary, b binary, c binary, d binary, e binary, f binary"
+_TELL = "block int, round int, bucket int, x binary, y binary, z binary"
+_ASK_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), *((c, pa.binary()) for c in "abcdef")])
+_TELL_ARROW = pa.schema([("block", pa.int32()), ("round", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in "xyz")])
 
 
-def _tell(table: pa.Table, round_: int, x: list[np.ndarray], y: list[np.ndarray] | None = None) -> pa.Table:
-    n = table.num_rows
-    return pa.table([table.column("block"), pa.array([round_] * n, pa.int32()), table.column("bucket"), pa.array([v.tobytes() for v in x], pa.binary()),
-                     pa.array([v.tobytes() for v in y] if y else [b""] * n, pa.binary())], schema=_TELL_ARROW)
+def _ask(block: int, buckets: int, *columns: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    """A row for each bucket that is asked something; columns are arrays with their
+    offsets by bucket."""
+    some = np.zeros(buckets, bool)
+    for _, cut in columns:
+        some |= np.diff(cut) > 0
+    at = np.flatnonzero(some)
+    parts = [_binary(x, np.append(cut[at], cut[-1])) for x, cut in columns]  # buckets that aren't asked have nothing between
+    parts += [pa.nulls(len(at), pa.binary())] * (6 - len(columns))
+    return pa.table([pa.array(at, pa.int32()), pa.array(np.full(len(at), block), pa.int32()), *parts], schema=_ASK_ARROW)
 
 
-def _gathered(table: pa.Table, column: str, kind) -> tuple[np.ndarray, np.ndarray]:
-    """A column's arrays joined, and the offsets of each row's part."""
-    parts = [np.frombuffer(x or b"", kind) for x in table.column(column).to_pylist()]
-    off = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-    return (np.concatenate(parts) if parts else np.zeros(0, kind)), off
+def _cut(bucket_of: np.ndarray, buckets: int) -> np.ndarray:
+    """Offsets by bucket of sorted bucket numbers."""
+    return np.searchsorted(bucket_of, np.arange(buckets + 1))
 
 
-def _parts(values: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
-    return [values[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+def _tell(table: pa.Table, round_: int, *columns: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    """A row for each row of ``table``; columns are arrays with their offsets by row."""
+    n = table.num_rows
+    parts = [_binary(x, off) for x, off in columns]
+    parts += [pa.nulls(n, pa.binary())] * (3 - len(columns))
+    return pa.table([table.column("block"), pa.array(np.full(n, round_), pa.int32()), table.column("bucket"), *parts], schema=_TELL_ARROW)
 
 
 def _block_number(table: pa.Table) -> int:
@@ -241,42 +284,44 @@ def _block_number(table: pa.Table) -> int:
 def _ask_keys(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         block = Block(table, buckets)
-        n = block.key_counts()
-        low = (block.keys & 0xFFFFFFFF).astype(np.uint32)
-        return _ask(_block_number(table), [(b, [low[s], n[s]]) for b, s in block.split(block.keys >> 32)])
+        cut = _cut(block.keys >> 32, buckets)
+        return _ask(_block_number(table), buckets, ((block.keys & 0xFFFFFFFF).astype(np.uint32), cut), (block.key_counts(), cut))
 
     return run
 
 
 def _tell_keys(table: pa.Table) -> pa.Table:
-    key, off = _gathered(table, "a", np.uint32)
-    n, _ = _gathered(table, "b", np.uint8)
-    _, place = np.unique(key, return_inverse=True)
-    blocks = np.bincount(place)
-    several = np.bincount(place, weights=n >= 128) > 0
-    total = np.bincount(place, weights=n & 127)
-    state = np.where((blocks > 1) | several, np.where(total > HOT, 2, 1), 0).astype(np.uint8)
-    return _tell(table, 1, _parts(state[place], off))
+    key, off = _values(table, "a", np.uint32)
+    n, _ = _values(table, "b", np.uint8)
+    state = np.empty(len(key), np.uint8)
+    order, key = sorted_order(key.astype(np.int64))
+    start = np.flatnonzero(_changes(key))
+    if len(key):
+        n = n[order]
+        blocks = np.diff(start, append=len(key))
+        several = np.maximum.reduceat(n, start) >= 128
+        total = np.add.reduceat(n & 127, start, dtype=np.int64)
+        state[order] = np.repeat(np.where((blocks > 1) | several, np.where(total > HOT, 2, 1), 0).astype(np.uint8), blocks)
+    return _tell(table, 1, (state, off))
 
 
 # --- round 2: contexts
 
-def _key_states(block: Block, told: pa.Table) -> np.ndarray:
-    return _joined(block, _answers(told, 1), block.keys >> 32, 0, np.uint8)
+def _key_states(told: pa.Table) -> np.ndarray:
+    return _answers(told, 1, "x", np.uint8)
 
 
 def _ask_contexts(buckets: int):
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         block = Block(texts, buckets)
-        state = _key_states(block, told)
-        key, h, least, _, _ = block.contexts(state)
-        low = (block.keys & 0xFFFFFFFF).astype(np.uint32)
-        parts = {b: [low[key[s]], h[s], least[s]] for b, s in block.split(block.keys[key] >> 32)}
-        window, first, _, _ = block.windows(state)
-        none = [np.zeros(0, np.uint8)] * 3
-        for b, s in block.split((window % np.uint64(buckets)).astype(np.int64)):
-            parts[b] = [*parts.get(b, none), window[s], first[s]]
-        return _ask(_block_number(texts), sorted(parts.items()))
+        state = _key_states(told)
+        key, h, least, first, *_ = block.contexts(state)
+        whole = block.keys[key]
+        cut = _cut(whole >> 32, buckets)
+        bucket, window, window_least, *_ = block.windows(state)
+        window_cut = _cut(bucket, buckets)
+        return _ask(_block_number(texts), buckets, ((whole & 0xFFFFFFFF).astype(np.uint32), cut), (h, cut), (least, cut),
+                    (window, window_cut), (window_least, window_cut), (block.place[first].astype(np.int32), cut))
 
     return run
 
@@ -285,89 +330,115 @@ ALONE, GONE, OPEN = 0, 1, 2
 
 
 def _tell_contexts(table: pa.Table) -> pa.Table:
-    key, off = _gathered(table, "a", np.uint32)
-    h, _ = _gathered(table, "b", np.uint64)
-    least, _ = _gathered(table, "c", np.int64)
-    order = np.lexsort((h, key))
-    k, x = key[order], h[order]
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (x[1:] != x[:-1])
-    context = np.empty(len(k), np.int64)
-    context[order] = np.cumsum(new) - 1
-    state = np.zeros(len(k), np.uint8)
-    if len(k):
-        smallest = np.minimum.reduceat(least[order], np.flatnonzero(new))
-        _, anchor = np.unique(k[new], return_inverse=True)
-        others = np.bincount(anchor)[anchor] > 1
-        state = np.where(least > smallest[context], GONE, np.where(others[context], OPEN, ALONE)).astype(np.uint8)
-    window, woff = _gathered(table, "d", np.uint64)
-    first, _ = _gathered(table, "e", np.int64)
-    gone = np.zeros(len(window), np.uint8)
+    key, off = _values(table, "a", np.uint32)
+    h, _ = _values(table, "b", np.uint64)
+    least, _ = _values(table, "c", np.int64)
+    state = np.empty(len(key), np.uint8)
+    if len(key):
+        order = _keyed_order(key.astype(np.int64), h)
+        k, x, least = key[order], h[order], least[order]
+        start = np.flatnonzero(_changes(k, x))
+        smallest = np.minimum.reduceat(least, start)
+        anchor = _changes(k[start])
+        several = np.diff(np.flatnonzero(anchor), append=len(start)) > 1
+        others = several[np.cumsum(anchor) - 1]
+        n = np.diff(start, append=len(k))
+        state[order] = np.where(least > np.repeat(smallest, n), GONE, np.repeat(np.where(others, OPEN, ALONE), n))
+    window, window_off = _values(table, "d", np.uint64)
+    first, _ = _values(table, "e", np.int64)
+    gone = np.empty(len(window), np.uint8)
     if len(window):
-        _, place = np.unique(window, return_inverse=True)
-        smallest = np.full(place.max() + 1, _LAST)
-        np.minimum.at(smallest, place, first)
-        gone = (first > smallest[place]).astype(np.uint8)
-    return _tell(table, 2, _parts(state, off), _parts(gone, woff))
+        order = np.argsort(window)
+        first = first[order]
+        start = np.flatnonzero(_changes(window[order]))
+        gone[order] = first > np.repeat(np.minimum.reduceat(first, start), np.diff(start, append=len(first)))
+    place, _ = _values(table, "f", np.int32)
+    open_ = np.flatnonzero(state == OPEN)
+    return _tell(table, 2, (state, off), (gone, window_off), (place[open_], np.searchsorted(open_, off)))
 
 
 # --- round 3: the index
 
-def _context_states(block: Block, told: pa.Table, key: np.ndarray) -> np.ndarray:
-    return _joined(block, _answers(told, 2), block.keys[key] >> 32, 0, np.uint8)
-
-
 def _ask_marks(buckets: int):
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
-        block = Block(texts, buckets)
-        key, _, least, first, _ = block.contexts(_key_states(block, told))
-        open_ = np.flatnonzero(_context_states(block, told, key) == OPEN)
-        a, b = block.begin[first[open_]], block.end[first[open_]]
-        data = [block.raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-        size = (b - a).astype(np.uint8)
-        parts = [(k, [size[s], least[open_][s], np.concatenate(data[s])]) for k, s in block.split(block.keys[key[open_]] >> 32)]
-        return _ask(_block_number(texts), parts)
+        block = Texts(texts)
+        told = told.filter(pc.equal(told.column("round"), 2)).sort_by("bucket")
+        place, cut = _values(told, "z", np.int32)  # of the contexts that are open
+        doc = np.searchsorted(block.off, place, "right") - 1
+        begin, end = block.around(place.astype(np.int64), doc)
+        size = end - begin
+        off = np.concatenate([[0], np.cumsum(size)])
+        data = block.raw[np.repeat(begin - off[:-1], size) + np.arange(off[-1])]
+        bucket = np.repeat(told.column("bucket").to_numpy(), np.diff(cut))
+        cut = _cut(bucket, buckets)
+        return _ask(_block_number(texts), buckets, (size.astype(np.uint8), cut), (block.ids[doc], cut), (data, off[cut]),
+                    ((place - begin).astype(np.uint8), cut))
 
     return run
 
 
 def _tell_marks(table: pa.Table) -> pa.Table:
-    size, off = _gathered(table, "a", np.uint8)
-    owner, _ = _gathered(table, "b", np.int64)
-    data, _ = _gathered(table, "c", np.uint8)
-    index = RunIndex(data, np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), owner, LENGTH)
-    return _tell(table, 3, _parts(index.marks().astype(np.uint32), off))
+    size, off = _values(table, "a", np.uint8)
+    owner, _ = _values(table, "b", np.int64)
+    data, _ = _values(table, "c", np.uint8)
+    left, _ = _values(table, "d", np.uint8)
+    marks = _index(data, size.astype(np.int64), left.astype(np.int64), owner).marks()
+    return _tell(table, 3, (marks.astype(np.uint32), off))
+
+
+#: Digits that stand for an anchor in the index have this base.
+BASE = 64
+
+
+def _index(data: np.ndarray, size: np.ndarray, left: np.ndarray, owner: np.ndarray) -> RunIndex:
+    """The index of the contexts, each with its anchor's ``K`` bytes, which every window of
+    it contains, written as the digits of their rank among all anchors here. Digits are
+    symbols beyond all bytes, so equal windows have equal bytes and the other way round."""
+    off = np.concatenate([[0], np.cumsum(size)])
+    at = (off[:-1] + left)[:, None]
+    grams = data[at + np.arange(K)].view(np.uint64)
+    order = np.lexsort(grams.T)
+    new = _changes(*grams[order].T)
+    rank = np.empty(len(size), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    digits = 1
+    while BASE ** digits < len(size):
+        digits += 1
+    symbols = data.astype(np.uint16)
+    symbols[at + np.arange(digits)] = 256 + rank[:, None] // BASE ** np.arange(digits)[::-1] % BASE
+    keep = np.ones(len(data), bool)
+    keep[at + np.arange(digits, K)] = False
+    short = size - (K - digits)
+    return RunIndex(symbols[keep], np.concatenate([[0], np.cumsum(short)]), owner, LENGTH - (K - digits))
 
 
 # --- the result
 
-def _spans(block: Block, told: pa.Table, buckets: int) -> np.ndarray:
-    """For each byte whether it goes."""
-    state = _key_states(block, told)
-    key, _, _, first, own = block.contexts(state)
-    kind = _context_states(block, told, key)
+def _spans(block: Block, told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts, beginnings and ends of what goes, ascending."""
+    state = _key_states(told)
+    key, _, _, first, at, own = block.contexts(state)
+    kind = _answers(told, 2, "x", np.uint8)
     mask = np.zeros(len(key), np.uint32)
-    open_ = np.flatnonzero(kind == OPEN)
-    mask[open_] = _joined(block, _answers(told, 3), block.keys[key[open_]] >> 32, 0, np.uint32)
-    windows = block.end - block.begin - LENGTH + 1
-    full = ((np.uint64(1) << windows.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
-    bits = np.zeros(len(block.place), np.uint32)
-    has = np.flatnonzero(own >= 0)
-    mine = own[has]
-    later = (kind[mine] == GONE) | (block.ids[block.doc[has]] > block.ids[block.doc[first[mine]]])
-    bits[has] = np.where(later, full[has], mask[mine])
-    edge = np.zeros(len(block.raw) + 1, np.int32)
+    mask[kind == OPEN] = _answers(told, 3, "x", np.uint32)
+    begin = block.begin[at]
+    windows = block.end[at] - begin - LENGTH + 1
+    later = (kind[own] == GONE) | (block.ids[block.doc[at]] > block.ids[block.doc[first[own]]])
+    bits = np.where(later, (np.uint32(1) << windows.astype(np.uint32)) - np.uint32(1), mask[own])
+    some = np.zeros(len(block.raw), bool)  # by the window's start
+    begin, bits = begin[bits > 0], bits[bits > 0]
     for j in range(LENGTH - K + 1):
-        at = block.begin[(bits >> np.uint32(j) & np.uint32(1)).astype(bool)] + j
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + LENGTH, -1)
-    window, first_id, start, which = block.windows(state)
-    gone = _joined(block, _answers(told, 2), (window % np.uint64(buckets)).astype(np.int64), 1, np.uint8).astype(bool)
+        some[begin[(bits >> np.uint32(j) & np.uint32(1)).astype(bool)] + j] = True
+    _, _, least, start, which = block.windows(state)
+    gone = _answers(told, 2, "y", np.uint8).astype(bool)
+    doc = np.searchsorted(block.off, start, "right") - 1
+    some[start[gone[which] | (block.ids[doc] > least[which])]] = True
+    start = np.flatnonzero(some)
     doc = np.searchsorted(block.off, start, "right") - 1
-    at = start[gone[which] | (block.ids[doc] > first_id[which])]
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + LENGTH, -1)
-    return np.cumsum(edge[:-1]) > 0
+    apart = (start[1:] > start[:-1] + LENGTH) | (doc[1:] > doc[:-1])
+    edge = np.ones(min(len(start), 1), bool)
+    head = np.concatenate([edge, apart])
+    return doc[head], start[head], start[np.concatenate([apart, edge])] + LENGTH
 
 
 _RESULT = [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")]
@@ -376,17 +447,20 @@ _RESULT = [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"),
 def _result(buckets: int, with_text: bool):
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         block = Block(texts, buckets)
-        gone = _spans(block, told, buckets)
-        rows = []
-        for a, b in zip(block.off[:-1].tolist(), block.off[1:].tolist(), strict=True):
-            cut = gone[a:b]
-            kept = block.raw[a:b][~cut].tobytes()
-            spans = int(np.count_nonzero(cut[1:] & ~cut[:-1])) + bool(b > a and cut[0])
-            rows.append((b - a, int(np.count_nonzero(cut)), spans, hashlib.sha256(kept).hexdigest(), kept))
-        n, m, spans, digest, kept = zip(*rows, strict=True)
-        columns = [block.table.column("id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest)]
+        doc, start, end = _spans(block, told)
+        edge = np.zeros(len(block.raw) + 1, np.int8)
+        edge[start] = 1
+        edge[end] -= 1  # a text may begin with what goes where the one before ends with it
+        rest = block.raw[np.cumsum(edge[:-1], dtype=np.int8) == 0]
+        removed = np.zeros(len(block.ids), np.int64)
+        np.add.at(removed, doc, end - start)
+        spans = np.bincount(doc, minlength=len(block.ids))
+        off = block.off - np.concatenate([[0], np.cumsum(removed)])
+        parts = [rest[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        digest = [hashlib.sha256(x).hexdigest() for x in parts]
+        columns = [block.table.column("id").cast(pa.int64()), pa.array(np.diff(block.off), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest)]
         names = [c for c, _ in _RESULT]
-        return pa.table([*columns, pa.array(kept, pa.binary())], [*names, "kept"]) if with_text else pa.table(columns, names)
+        return pa.table([*columns, _binary(rest, off)], [*names, "kept"]) if with_text else pa.table(columns, names)
 
     return run
 
@@ -405,13 +479,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = rows.select(block.alias("block"), "id", "size", "text").repartition(parts, "block")
 
     def told_by(asked: DataFrame, answer) -> DataFrame:
-        return asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(answer, _TELL)
+        # dealt by block at once: later rounds read this exchange again instead of asking again
+        return asked.repartition(parts, "bucket").groupBy("bucket").applyInArrow(answer, _TELL).repartition(parts, "block")
 
     def with_answers(told: DataFrame, step, schema: str) -> DataFrame:
-        return texts.groupBy("block").cogroup(told.repartition(parts, "block").groupBy("block")).applyInArrow(step, schema)
+        return texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(step, schema)
 
     keys = told_by(texts.groupBy("block").applyInArrow(_ask_keys(buckets), _ASK), _tell_keys)
     contexts = told_by(with_answers(keys, _ask_contexts(buckets), _ASK), _tell_contexts)
-    marks = told_by(with_answers(keys.union(contexts), _ask_marks(buckets), _ASK), _tell_marks)
+    marks = told_by(with_answers(contexts, _ask_marks(buckets), _ASK), _tell_marks)
     schema = ", ".join(f"{c} {t}" for c, t in _RESULT) + (", kept binary" if with_text else "")
     return with_answers(keys.union(contexts).union(marks), _result(buckets, with_text), schema)
